@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from varve.llm import exact_dedup, mixing, url_filter
+from varve.llm import exact_dedup, mixing, packing, simhash, toxicity, url_filter
 
 QUERIES = {
     "op2_mixing": mixing.op2_mixing,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_url_filter": url_filter.op5_url_filter,
+    "op7_packing": packing.op7_packing,
+    "op9_toxicity": toxicity.op9_toxicity,
+    "op10_simhash": simhash.op10_simhash,
 }
 SQL = {"op4_exact_dedup": exact_dedup.SQL, "op5_url_filter": url_filter.SQL}
