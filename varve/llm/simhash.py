@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varve.llm.common import table, written
+from varve.llm.common import small_batches, table, written
 from varve.llm.components import components
 
 SHINGLE, SEED, RADIUS, TILE = 3, 42, 3, 8192
@@ -55,6 +55,7 @@ def _fingerprints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, print (the fingerprint's bits as a long), ones (its population count)."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(_fingerprints, "doc_id long, print long, ones int")
 
 
