@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varve.llm.common import table
+from varve.llm.common import small_batches, table
 
 LENGTH, END_ID, GROUP_DOCS, SEED = 1024, 0, 8192, 29
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -155,6 +155,7 @@ def pack_group(pdf: pd.DataFrame, length: int) -> pd.DataFrame:
 
 def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int = END_ID, group_docs: int = GROUP_DOCS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     n_groups = max(1, round(docs.count() / group_docs))
     sized = docs.mapInPandas(_measure(tokenizer, length, end_id), "doc_id long, doc_tokens long, crcs array<long>")
