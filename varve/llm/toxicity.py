@@ -29,11 +29,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varve.llm.common import crc_mod, table
+from varve.llm.common import crc_mod, small_batches, table
 
-MAX_PER_CLASS, N_LANDMARKS = 2500, 64
-SPAN, DECAY, WINDOW, FLOOR, POWER = 5, 0.8, 24, 0.3, 2.0
-_MAX_CACHE, _CHUNK, _SLICE, _LETTERS = 300_000, 4096, 256, 40
+MAX_PER_CLASS, N_LANDMARKS = 2500, 128
+SPAN, DECAY, WINDOW, FLOOR = 5, 0.8, 24, 0.45
+#: Powers of the kernel (each a kernel again): one that forgives changed letters, one for close spellings.
+POWERS = (2, 8)
+_MAX_CACHE, _CHUNK, _SLICE, _LETTERS = 400_000, 4096, 256, 40
 _LOOKALIKE = str.maketrans("013457@$", "oieastas")
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 _INNER = re.compile(r"[\W_]+")
@@ -43,6 +45,9 @@ _STEPS = [(j, k) for k in range(2, SPAN) for j in range(1, k)]
 
 
 def clean(word: str) -> str:
+    word = word.rstrip(".,")
+    if word.isalpha():
+        return word
     return _INNER.sub("", _EDGE.sub("", word).translate(_LOOKALIKE))
 
 
@@ -105,25 +110,30 @@ class Kernel:
         self.at[used] = np.arange(len(used))
         self.matrix = np.zeros((len(used), len(landmarks)), np.float32)
         np.add.at(self.matrix, (self.at[sub], row), weight / own[row])
+        self.most = np.append(self.matrix.max(axis=1), np.float32(0))  # at -1: no landmark has it
 
     def __call__(self, words: list[str]) -> np.ndarray:
         out = np.zeros((len(words), len(self.landmarks)), np.float32)
         for at in range(0, len(words), _CHUNK):
             part = words[at : at + _CHUNK]
             row, sub, weight = subsequences(part)
+            # The sum of squared weights is at most the own kernel, and a subsequence adds
+            # at most its greatest landmark weight: most words fall below FLOOR by these.
+            least = FLOOR * np.sqrt(np.bincount(row, weight**2, len(part)))
             where = self.at[sub]
+            may = np.bincount(row, weight * self.most[where], len(part)) >= np.maximum(least, 1e-9)
+            sel = may[row]
+            row, sub, weight, where = row[sel], sub[sel], weight[sel], where[sel]
+            order = np.argsort(row, kind="stable")
+            row, sub, weight, where = row[order], sub[order], weight[order], where[order]
             hit = where >= 0
             r, x = row[hit], self.matrix[where[hit]] * weight[hit, None]
-            order = np.argsort(r, kind="stable")
-            r, x = r[order], x[order]
             if not len(r):
                 continue
             first = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
             raw, of = np.add.reduceat(x, first), r[first]
-            # The sum of squared weights is at most the own kernel: below FLOOR without it.
-            least = np.sqrt(np.bincount(row, weight**2, len(part)))[of]
-            may = raw.max(axis=1) >= FLOOR * least
-            raw, of = raw[may], of[may]
+            near = raw.max(axis=1) >= least[of]
+            raw, of = raw[near], of[near]
             keep = np.zeros(len(part), bool)
             keep[of] = True
             sel = keep[row]
@@ -133,7 +143,7 @@ class Kernel:
 
 
 class Pool:
-    """A text's greatest values over its words, raised above FLOOR; words are remembered."""
+    """A text's greatest values over its words, those under FLOOR as 0; words are remembered."""
 
     def __init__(self, kernel: Kernel):
         self.kernel, self.rows, self.values = kernel, {}, np.zeros((1, len(kernel.landmarks)), np.float32)
@@ -142,20 +152,20 @@ class Pool:
         cleaned: dict[str, list[str]] = {}
         for w in new:
             cleaned.setdefault(clean(w), []).append(w)
-        parts = [(w, part) for w in cleaned for part in _windows(w) if len(part) >= 3]
-        value = np.maximum(self.kernel([p for _, p in parts]) - FLOOR, 0) / (1 - FLOOR)
-        value **= POWER
-        best: dict[str, np.ndarray] = {}
-        for i in np.flatnonzero(value.max(axis=1, initial=0) > 0).tolist():
-            w = parts[i][0]
-            best[w] = np.maximum(best[w], value[i]) if w in best else value[i]
-        for raw in new:
-            self.rows[raw] = 0
-        for n, w in enumerate(best, len(self.values)):
-            for raw in cleaned[w]:
+        parts = [(n, part) for n, w in enumerate(cleaned) if len(w) >= 3 for part in _windows(w)]
+        value = self.kernel([p for _, p in parts])
+        value[value < FLOOR] = 0
+        self.rows.update(dict.fromkeys(new, 0))
+        found = np.flatnonzero(value.any(axis=1))
+        if not len(found):
+            return
+        of = np.array([n for n, _ in parts])[found]
+        first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+        raws = list(cleaned.values())
+        for n, k in enumerate(of[first].tolist(), len(self.values)):
+            for raw in raws[k]:
                 self.rows[raw] = n
-        if best:
-            self.values = np.concatenate([self.values, np.array(list(best.values()), np.float32)])
+        self.values = np.concatenate([self.values, np.maximum.reduceat(value[found], first)])
 
     def __call__(self, texts: list[set[str]]) -> np.ndarray:
         out = np.zeros((len(texts), self.values.shape[1]), np.float32)
@@ -172,22 +182,18 @@ class Pool:
 
 
 def choose_landmarks(words: list[set[str]], toxic: np.ndarray, n: int = N_LANDMARKS) -> list[str]:
-    """Words that mark label 1 most (difference of document shares), unlike one another;
-    a quarter of them are frequent words of the other texts, for contrast."""
+    """Words that mark label 1 most (count times log ratio of document shares), unlike one another."""
     df = [Counter(), Counter()]
     for w, t in zip(words, toxic.tolist(), strict=True):
         df[t].update({c for c in map(clean, w) if 3 <= len(c) <= WINDOW})
     n1, n0 = max(1, int(toxic.sum())), max(1, int((1 - toxic).sum()))
     # A word in one text says nothing of other texts.
-    lead = sorted((w for w in df[1] if df[1][w] > 1), key=lambda w: (df[0][w] / n0 - df[1][w] / n1, w))[: 8 * n]
-    usual = sorted(df[0], key=lambda w: (-df[0][w], w))[: 2 * n]
+    ratio = {w: (k + 0.5) / (df[0][w] + 0.5) * n0 / n1 for w, k in df[1].items() if k > 1}
+    lead = sorted((w for w in ratio if ratio[w] > 2), key=lambda w: (-df[1][w] * np.log(ratio[w]), w))[: 8 * n]
     chosen: list[str] = []
-    for pool, most in ((lead, n - n // 4), (usual, n)):
-        for w in pool:
-            if len(chosen) >= most:
-                break
-            if w not in chosen and (not chosen or Kernel(chosen)([w]).max() < 0.9):
-                chosen.append(w)
+    for w in lead:
+        if len(chosen) < n and (not chosen or Kernel(chosen)([w]).max() < 0.97):
+            chosen.append(w)
     return chosen
 
 
@@ -245,16 +251,38 @@ class Model:
         self._pool = self._pool or Pool(Kernel(self.landmarks))
         out = np.empty(len(texts))
         for at in range(0, len(texts), _SLICE):
-            x = self._pool([words_of(t) for t in texts[at : at + _SLICE]])
+            x = powers(self._pool([words_of(t) for t in texts[at : at + _SLICE]]))
             margin = x @ self.weights[:-1] + self.weights[-1]
             out[at : at + _SLICE] = 1 / (1 + np.exp(-np.clip(self.curve[0] * margin + self.curve[1], -30, 30)))
         return out
 
 
+def powers(pooled: np.ndarray) -> np.ndarray:
+    return np.hstack([pooled.astype(np.float64) ** p for p in POWERS])
+
+
 def nystroem(kernel: Kernel) -> np.ndarray:
-    """Inverse square root of the landmarks' kernel matrix."""
-    values, vectors = np.linalg.eigh(kernel(kernel.landmarks).astype(np.float64))
-    return (vectors / np.sqrt(np.maximum(values, 0.05))) @ vectors.T
+    """Inverse square roots of the landmarks' kernel matrices, one block for each power."""
+    n, own = len(kernel.landmarks), kernel(kernel.landmarks).astype(np.float64)
+    out = np.zeros((len(POWERS) * n, len(POWERS) * n))
+    for k, p in enumerate(POWERS):
+        values, vectors = np.linalg.eigh(own**p)
+        out[k * n : (k + 1) * n, k * n : (k + 1) * n] = (vectors / np.sqrt(np.maximum(values, 0.05))) @ vectors.T
+    return out
+
+
+def disguised(words: list[set[str]], landmarks: set[str], seed: int = 13) -> list[set[str]]:
+    """Copies of texts whose landmark words each got one letter put in."""
+    rng, out = np.random.default_rng(seed), []
+    for w in words:
+        hit = {x for x in w if clean(x) in landmarks}
+        if hit:
+            new = set()
+            for x in sorted(map(clean, hit)):
+                at = int(rng.integers(1, len(x)))
+                new.add(x[:at] + "xzqjkvw"[rng.integers(7)] + x[at:])
+            out.append((w - hit) | new)
+    return out
 
 
 def fit(texts: list[str], toxic: np.ndarray) -> Model:
@@ -266,7 +294,10 @@ def fit(texts: list[str], toxic: np.ndarray) -> Model:
         return Model([], np.zeros(1), (1.0, 0.0), float(toxic.mean()))
     kernel = Kernel(landmarks)
     root = nystroem(kernel)
-    x = Pool(kernel)(words).astype(np.float64) @ root
+    # Words that mark label 1 are also shown with a letter put in, as they may be met.
+    words += disguised([w for w, t in zip(words, toxic.tolist(), strict=True) if t], set(landmarks))
+    toxic = np.r_[toxic, np.ones(len(words) - len(toxic), np.int64)]
+    x = powers(Pool(kernel)(words)) @ root
     # Margins for the curve come from halves that the weights have not seen.
     fold, margin = np.arange(len(x)) % 2, np.empty(len(x))
     for k in (0, 1):
@@ -299,6 +330,7 @@ def _score(model: Model):
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score, predicted of every row."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInPandas(_score(model), "doc_id long, score double").withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
