@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from varve.llm import exact_dedup, mixing, packing, simhash, toxicity, url_filter
+from varve.llm import exact_dedup, mixing, packing, simhash, substring_dedup, toxicity, url_filter
 
 QUERIES = {
+    "op1_substring_dedup": substring_dedup.op1_substring_dedup,
     "op2_mixing": mixing.op2_mixing,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_url_filter": url_filter.op5_url_filter,
@@ -12,4 +13,4 @@ QUERIES = {
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_simhash": simhash.op10_simhash,
 }
-SQL = {"op4_exact_dedup": exact_dedup.SQL, "op5_url_filter": url_filter.SQL}
+SQL = {"op1_substring_dedup": substring_dedup.SQL, "op4_exact_dedup": exact_dedup.SQL, "op5_url_filter": url_filter.SQL}
