@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from varve.llm import exact_dedup, mixing, packing, simhash, substring_dedup, toxicity, url_filter
+from varve.llm import exact_dedup, lm_score, mixing, packing, simhash, substring_dedup, toxicity, url_filter
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
     "op2_mixing": mixing.op2_mixing,
+    "op3_lm_score": lm_score.op3_lm_score,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_url_filter": url_filter.op5_url_filter,
     "op7_packing": packing.op7_packing,
