@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from varve.llm import exact_dedup, lm_score, mixing, packing, simhash, substring_dedup, toxicity, url_filter
+from varve.llm import exact_dedup, html_text, lm_score, mixing, neighbours, packing, simhash, substring_dedup, toxicity, url_filter
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
@@ -10,7 +10,9 @@ QUERIES = {
     "op3_lm_score": lm_score.op3_lm_score,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_url_filter": url_filter.op5_url_filter,
+    "op6_neighbours": neighbours.op6_neighbours,
     "op7_packing": packing.op7_packing,
+    "op8_html_text": html_text.op8_html_text,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_simhash": simhash.op10_simhash,
 }
