@@ -21,11 +21,13 @@ with null label or id are left out; other columns are ignored.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,7 +37,7 @@ MAX_PER_CLASS, N_LANDMARKS = 2500, 128
 SPAN, DECAY, WINDOW, FLOOR = 5, 0.8, 24, 0.45
 #: Powers of the kernel (each a kernel again): one that forgives changed letters, one for close spellings.
 POWERS = (2, 8)
-_MAX_CACHE, _CHUNK, _SLICE, _LETTERS = 400_000, 4096, 256, 40
+_MAX_CACHE, _CHUNK, _SLICE, _LETTERS = 1_000_000, 4096, 256, 40
 _LOOKALIKE = str.maketrans("013457@$", "oieastas")
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 _INNER = re.compile(r"[\W_]+")
@@ -110,7 +112,29 @@ class Kernel:
         self.at[used] = np.arange(len(used))
         self.matrix = np.zeros((len(used), len(landmarks)), np.float32)
         np.add.at(self.matrix, (self.at[sub], row), weight / own[row])
-        self.most = np.append(self.matrix.max(axis=1), np.float32(0))  # at -1: no landmark has it
+        self.most = self._kin()
+
+    def _kin(self, near: float = 0.35, most: int = 24) -> np.ndarray:
+        """Each subsequence's greatest weight in each family of similar landmarks."""
+        own, leaders, family = self.matrix.T @ self.matrix, [], []
+        for i in range(len(self.landmarks)):
+            like = [k for k, j in enumerate(leaders) if own[i, j] >= near]
+            if not like and len(leaders) < most:
+                leaders.append(i)
+                like = [len(leaders) - 1]
+            family.append(like[0] if like else most - 1)
+        out = np.zeros((len(self.matrix), max(family, default=0) + 1), np.float32)
+        for i, k in enumerate(family):
+            out[:, k] = np.maximum(out[:, k], self.matrix[:, i])
+        return out
+
+    @staticmethod
+    def _sums(values: np.ndarray, row: np.ndarray, where: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Weighted sums of values by row (rows come in order), and the rows."""
+        hit = where >= 0
+        row, x = row[hit], values[where[hit]] * weight[hit, None]
+        first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else np.zeros(0, np.int64)
+        return (np.add.reduceat(x, first) if len(row) else x), row[first]
 
     def __call__(self, words: list[str]) -> np.ndarray:
         out = np.zeros((len(words), len(self.landmarks)), np.float32)
@@ -118,20 +142,19 @@ class Kernel:
             part = words[at : at + _CHUNK]
             row, sub, weight = subsequences(part)
             # The sum of squared weights is at most the own kernel, and a subsequence adds
-            # at most its greatest landmark weight: most words fall below FLOOR by these.
+            # at most its family's greatest weight: most words fall below FLOOR by these.
             least = FLOOR * np.sqrt(np.bincount(row, weight**2, len(part)))
             where = self.at[sub]
-            may = np.bincount(row, weight * self.most[where], len(part)) >= np.maximum(least, 1e-9)
-            sel = may[row]
-            row, sub, weight, where = row[sel], sub[sel], weight[sel], where[sel]
             order = np.argsort(row, kind="stable")
             row, sub, weight, where = row[order], sub[order], weight[order], where[order]
-            hit = where >= 0
-            r, x = row[hit], self.matrix[where[hit]] * weight[hit, None]
-            if not len(r):
+            bound, of = self._sums(self.most, row, where, weight)
+            may = np.zeros(len(part), bool)
+            may[of] = bound.max(axis=1, initial=0) >= least[of]
+            sel = may[row]
+            row, sub, weight, where = row[sel], sub[sel], weight[sel], where[sel]
+            raw, of = self._sums(self.matrix, row, where, weight)
+            if not len(of):
                 continue
-            first = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
-            raw, of = np.add.reduceat(x, first), r[first]
             near = raw.max(axis=1) >= least[of]
             raw, of = raw[near], of[near]
             keep = np.zeros(len(part), bool)
@@ -189,7 +212,8 @@ def choose_landmarks(words: list[set[str]], toxic: np.ndarray, n: int = N_LANDMA
     n1, n0 = max(1, int(toxic.sum())), max(1, int((1 - toxic).sum()))
     # A word in one text says nothing of other texts.
     ratio = {w: (k + 0.5) / (df[0][w] + 0.5) * n0 / n1 for w, k in df[1].items() if k > 1}
-    lead = sorted((w for w in ratio if ratio[w] > 2), key=lambda w: (-df[1][w] * np.log(ratio[w]), w))[: 8 * n]
+    gain = {w: df[1][w] * np.log(r) for w, r in ratio.items() if r > 2}
+    lead = sorted((w for w in gain if gain[w] >= max(10.0, 0.01 * n1)), key=lambda w: (-gain[w], w))[: 8 * n]
     chosen: list[str] = []
     for w in lead:
         if len(chosen) < n and (not chosen or Kernel(chosen)([w]).max() < 0.97):
@@ -285,10 +309,24 @@ def disguised(words: list[set[str]], landmarks: set[str], seed: int = 13) -> lis
     return out
 
 
+def distinct(words: list[set[str]], toxic: np.ndarray, sketch: int = 4) -> list[int]:
+    """The first text of each label and sketch (its words of least hash): copies and near
+    copies of one text would otherwise outvote the others."""
+    seen, out = set(), []
+    for i, w in enumerate(words):
+        key = (int(toxic[i]), *sorted(zlib.crc32(x.encode("utf-8", "surrogatepass")) for x in w)[:sketch])
+        if key not in seen:
+            seen.add(key)
+            out.append(i)
+    return out
+
+
 def fit(texts: list[str], toxic: np.ndarray) -> Model:
     if not len(texts) or toxic.min() == toxic.max():
         return Model([], np.zeros(1), (1.0, 0.0), float(toxic.mean()) if len(texts) else 0.0)
     words = [words_of(t) for t in texts]
+    one_each = distinct(words, toxic)
+    words, toxic = [words[i] for i in one_each], toxic[one_each]
     landmarks = choose_landmarks(words, toxic)
     if not landmarks:
         return Model([], np.zeros(1), (1.0, 0.0), float(toxic.mean()))
@@ -335,6 +373,21 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.5, id_col: str = "
     return rows.mapInPandas(_score(model), "doc_id long, score double").withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
+def _keep(model: Model, threshold: float, text_col: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
+            yield batch.filter(pa.array(model.scores(texts) < threshold))
+
+    return run
+
+
+def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, whose text scores below threshold."""
+    small_batches(docs.sparkSession)
+    return docs.mapInArrow(_keep(model, threshold, text_col), docs.schema)
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = learn(docs, table(spark, sf_dir, "labels"))
