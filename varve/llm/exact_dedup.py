@@ -76,6 +76,15 @@ def deduplicate(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", tex
     )
 
 
+def keep_first(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that deduplicate() keeps, with all their columns."""
+    kept = deduplicate(docs, index, id_col, text_col).where("kept").select(F.col("text_sha256").alias("__sha"), F.col("doc_id").alias("__id"))
+    rows = docs.withColumn("__digest", digest(text_col))
+    # Joined by digest and id: of a hot group only the row that stays meets a partner.
+    rows = rows.join(kept, (rows["__digest"] == kept["__sha"]) & rows[id_col].eqNullSafe(kept["__id"]), "left_semi")
+    return rows.dropDuplicates(["__digest", id_col]).select(*docs.columns)
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = DigestIndex(spark, f"varve_digests_{uuid.uuid4().hex}")
     return deduplicate(table(spark, sf_dir, "documents"), index)

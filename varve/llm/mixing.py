@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import heapq
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -95,12 +95,13 @@ def plan(totals: list[tuple], weights: tuple[float, ...] = WEIGHTS, n_blocks: in
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, seed: int = 17, n_shards: int = N_SHARDS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """doc_id, size, source_size, target, taken, shard, source."""
+    """doc_id, size, source_size, target, taken, source, shard, and how the words are taken:
+    whole times the document, then its words from a1 to b1 and from a2 to b2; text_hash."""
     spark = docs.sparkSession
     sized = docs.select(
         F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"),
         F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.xxhash64(F.lit(seed), F.col(id_col)).alias("draw"),
+        F.xxhash64(F.lit(seed), F.col(id_col)).alias("draw"), F.xxhash64(F.col(text_col)).alias("text_hash"),
     ).withColumn("shard", F.pmod("draw", F.lit(n_shards)).cast("int"))
     sized = written(sized, "sizes")
     totals = sized.groupBy("source", "shard").agg(F.sum("size").alias("size"))
@@ -109,7 +110,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, seed: int = 17, n
         raise ValueError(f"over {MAX_SOURCES} sources; group them first")
     rows = plan([tuple(r) for r in totals.collect()], weights)
     quotas = spark.createDataFrame(rows, "q_source string, q_shard int, source_size long, target double, quota long")
-    in_shard = Window.partitionBy("source", "shard").orderBy("draw", "doc_id", "size")
+    in_shard = Window.partitionBy("source", "shard").orderBy("draw", "doc_id", "size", "text_hash")
     x = (
         sized.withColumns({"stop": F.sum("size").over(in_shard.rowsBetween(Window.unboundedPreceding, 0))})
         .join(quotas, F.col("source").eqNullSafe(F.col("q_source")) & (F.col("shard") == F.col("q_shard")))
@@ -121,12 +122,39 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, seed: int = 17, n
     x = x.withColumn("rest", F.col("quota") - F.col("whole") * F.col("shard_size"))
     x = x.withColumn("from", F.when(F.col("shard_size") > 0, F.pmod(F.xxhash64(F.lit(seed), "source", "shard"), F.greatest("shard_size", F.lit(1)))).otherwise(0))
 
-    def overlap(lo, hi):
-        return F.greatest(F.lit(0), F.least("stop", hi) - F.greatest("start", lo))
-
     end = F.col("from") + F.col("rest")
-    run = overlap(F.col("from"), end) + overlap(F.lit(0).cast("long"), end - F.col("shard_size"))
-    return x.select("doc_id", "size", "source_size", "target", (F.col("whole") * F.col("size") + run).cast("long").alias("taken"), "source", "shard")
+    zero = F.lit(0).cast("long")
+    for k, (lo, hi) in enumerate([(F.col("from"), end), (zero, end - F.col("shard_size"))], 1):
+        at = F.greatest("start", lo) - F.col("start")
+        x = x.withColumns({f"a{k}": at, f"b{k}": F.greatest(at, F.least("stop", hi) - F.col("start"))})
+    run = F.expr("b1 - a1 + b2 - a2")
+    return x.select("doc_id", "size", "source_size", "target", (F.col("whole") * F.col("size") + run).cast("long").alias("taken"), "source", "shard", "whole", "a1", "b1", "a2", "b2", "text_hash")
+
+
+def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", chars_col: str = "n_chars") -> DataFrame:
+    """The mix itself, with the columns of docs: a row for each whole time a document is
+    taken, and one for each run of its words that is taken besides (text from the run's
+    first word to its last; chars_col, if there is one, counts that text)."""
+    takes = mix(docs, weights, seed, id_col=id_col, text_col=text_col, source_col=source_col).where("taken > 0")
+    runs = F.filter(F.array(F.struct(F.col("a1").alias("a"), F.col("b1").alias("b")), F.struct(F.col("a2").alias("a"), F.col("b2").alias("b"))), lambda r: r["b"] > r["a"])
+    whole = F.transform(F.array_repeat("size", F.col("whole").cast("int")), lambda s: F.struct(F.lit(0).cast("long").alias("a"), s.alias("b")))
+    # Rows that repeat id, source and text are one row here with the takes of all.
+    takes = takes.groupBy("doc_id", "source", "text_hash").agg(F.flatten(F.collect_list(F.concat(whole, runs))).alias("__takes"), F.first("size").alias("__size"))
+    takes = takes.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("text_hash").alias("__text"), "__takes", "__size")
+    rows = docs.withColumn("__hash", F.xxhash64(text_col))
+    match = (rows["__hash"] == takes["__text"]) & rows[id_col].eqNullSafe(takes["__id"]) & rows[source_col].eqNullSafe(takes["__source"])
+    out = rows.dropDuplicates(["__hash", id_col, source_col]).join(takes, match).withColumn("__take", F.explode("__takes"))
+    text = F.when((F.col("__take.a") == 0) & (F.col("__take.b") == F.col("__size")), F.col(text_col)).otherwise(_run_text(F.col(text_col), F.col("__take.a"), F.col("__take.b")))
+    out = out.withColumn(text_col, text)
+    if chars_col in docs.columns:
+        out = out.withColumn(chars_col, F.length(text_col).cast(docs.schema[chars_col].dataType))
+    return out.select(*docs.columns)
+
+
+def _run_text(text: Column, a: Column, b: Column) -> Column:
+    """Words a to b (b left out) of a text, joined by one space."""
+    words = F.regexp_extract_all(text, F.lit(f"({WORD})"))
+    return F.array_join(F.slice(words, (a + 1).cast("int"), (b - a).cast("int")), " ")
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

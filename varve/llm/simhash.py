@@ -50,13 +50,14 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
 def _fingerprints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         prints = np.array([fingerprint(t) for t in batch["text"]], np.uint64)
-        yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "print": prints.view(np.int64), "ones": np.bitwise_count(prints).astype(np.int32)})
+        yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "text_hash": batch["text_hash"], "print": prints.view(np.int64), "ones": np.bitwise_count(prints).astype(np.int32)})
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, print (the fingerprint's bits as a long), ones (its population count)."""
+    """doc_id, text_hash, print (the fingerprint's bits as a long), ones (its population count)."""
     small_batches(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(_fingerprints, "doc_id long, print long, ones int")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
+    return rows.mapInPandas(_fingerprints, "doc_id long, text_hash long, print long, ones int")
 
 
 def forest(left: np.ndarray, right: np.ndarray, radius: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -141,7 +142,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFr
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, tile: int = TILE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fingerprint, component_id of every row."""
+    """doc_id, fingerprint, component_id, text_hash of every row."""
     prints = written(fingerprints(docs, id_col, text_col), "prints")
     nodes = written(prints.groupBy("print", "ones").agg(F.min("doc_id").alias("least")).withColumn("node", F.col("print")), "nodes")
     of = components(links(nodes, radius, tile).where("a <> b"))
@@ -149,7 +150,18 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, tile: int = TILE, id_
     named = nodes.join(of, "node", "left").select("print", "least", F.coalesce("component", "node").alias("root"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     out = named.join(least, "root").select("print", "component_id")
-    return prints.join(out, "print").select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+    return prints.join(out, "print").select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id", "text_hash")
+
+
+def keep_one(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, with one row of each component: that of its
+    smallest doc_id (of rows that repeat it, the one with the least hash of its text)."""
+    found = near_duplicates(docs, radius, id_col=id_col, text_col=text_col)
+    stay = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("first"))
+    stay = written(stay.select(F.col("first.doc_id").alias("__id"), F.col("first.text_hash").alias("__hash")), "stay")
+    rows = docs.withColumn("__row_hash", F.xxhash64(text_col))
+    rows = rows.join(stay, rows["__row_hash"].eqNullSafe(stay["__hash"]) & rows[id_col].eqNullSafe(stay["__id"]), "left_semi")
+    return rows.dropDuplicates(["__row_hash", id_col]).select(*docs.columns)
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
