@@ -18,7 +18,10 @@ from varve.params import Params
 FINAL = 4
 STEP0, STEP = -70, 100
 MAX_FRI = 5000.0
-_BY_I = Window.partitionBy(*KEY).orderBy("i")
+
+def _by_i():
+    return Window.partitionBy(*KEY).orderBy("i")
+
 
 
 def final(peaks: DataFrame) -> DataFrame:
@@ -29,9 +32,13 @@ def magnitude(thresholds: DataFrame) -> DataFrame:
     """site, run_id, i, peak_mag: at the last row of each run above the final threshold,
     the run's summed excess times (rows spanned + years a row); the last row never is one."""
     over = F.coalesce(F.greatest(F.lit(0.0), F.round(F.col("peak"), 9) - F.round(F.col("pos4"), 9)), F.lit(0.0))
-    x = thresholds.select(*KEY, "i", "yr", F.when(F.col("i") == F.col("n"), 0.0).otherwise(over).alias("over")).where("over > 0")
-    x = x.withColumn("island", F.col("i") - F.row_number().over(_BY_I))
-    runs = x.groupBy(*KEY, "island").agg(F.sum("over").alias("s"), F.min("i").alias("p1"), F.max("i").alias("p2"), F.first("yr").alias("yr"))
+    x = thresholds.select(*KEY, "i", "yr", F.when(F.col("i") == F.col("n"), 0.0).otherwise(over).alias("over"))
+    # Runs are numbered by a window and dropped after the aggregate: a filter on "over"
+    # itself would be pushed below and write the local regression out many times.
+    x = x.withColumn("starts", (F.col("over") > 0) & (F.coalesce(F.lag("over").over(_by_i()), F.lit(0.0)) <= 0))
+    x = x.withColumn("island", F.sum(F.col("starts").cast("int")).over(_by_i()))
+    spot = F.when(F.col("over") > 0, F.col("i"))
+    runs = x.groupBy(*KEY, "island").agg(F.sum("over").alias("s"), F.min(spot).alias("p1"), F.max(spot).alias("p2"), F.first("yr").alias("yr")).where("p2 is not null")
     return runs.select(*KEY, F.col("p2").alias("i"), (F.col("s") * (F.col("p2") - F.col("p1") + F.col("yr"))).alias("peak_mag"))
 
 
@@ -43,9 +50,9 @@ def frequency(one: DataFrame, p: Params) -> DataFrame:
     lo, full = int(half), round(q)
     k = F.when(F.col("is_peak"), 1).otherwise(0)
     free = Window.unboundedPreceding, Window.unboundedFollowing
-    head = F.sum(k).over(_BY_I.rowsBetween(free[0], lo)) * (full / (F.col("i") + lo))
-    tail = F.sum(k).over(_BY_I.rowsBetween(-lo, free[1])) * q / (F.col("n") - F.col("i") + lo + 1)
-    mid = F.coalesce(F.sum(k).over(_BY_I.rowsBetween(1 - int(q / 2), -int(-0.5 * full // 1))), F.lit(0)).cast("double")
+    head = F.sum(k).over(_by_i().rowsBetween(free[0], lo)) * (full / (F.col("i") + lo))
+    tail = F.sum(k).over(_by_i().rowsBetween(-lo, free[1])) * q / (F.col("n") - F.col("i") + lo + 1)
+    mid = F.coalesce(F.sum(k).over(_by_i().rowsBetween(1 - int(q / 2), -int(-0.5 * full // 1))), F.lit(0)).cast("double")
     return one.withColumn("freq", F.when(F.col("i") < half, head).when(F.col("i") > F.col("n") - half, tail).otherwise(mid))
 
 
@@ -73,10 +80,20 @@ def fri_band(moved: DataFrame) -> DataFrame:
     return x.select(*KEY, "step", "step_age", "n", "mean", (F.col("mean") - se).alias("lo"), (F.col("mean") + se).alias("hi"))
 
 
+def _frame(rows: list[tuple], schema: str) -> pd.DataFrame:
+    """Rows as a frame of the schema's types, also without any row."""
+    kinds = {"string": object, "double": np.float64, "long": np.int64, "int": np.int32, "boolean": bool}
+    fields = [f.split() for f in schema.split(", ")]
+    return pd.DataFrame({n: np.array([r[k] if r[k] is not None or t != "double" else np.nan for r in rows], dtype=kinds[t]) for k, (n, t) in enumerate(fields)})
+
+
 def _seed(*parts) -> np.random.Generator:
     return np.random.default_rng(zlib.crc32("|".join(map(str, parts)).encode()))
 
 
+BAND = "site string, run_id string, step long, step_age double, n long, mean double, lo double, hi double"
+
+
 def fri_bootstrap(moved: DataFrame, p: Params, alpha: float = 0.05) -> DataFrame:
     """fri_band() with percentiles of seeded bootstrap means. A step's intervals are as
     many as fit its window: a bounded group."""
@@ -84,15 +101,14 @@ def fri_bootstrap(moved: DataFrame, p: Params, alpha: float = 0.05) -> DataFrame
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         r = pdf.iloc[0]
         x = np.sort(pdf["fri"].to_numpy())
-        cols = {"site": [r["site"]], "run_id": [r["run_id"]], "step": [r["step"]], "step_age": [r["step_age"]]}
         if len(x) < 2:
-            return pd.DataFrame({k: v[:0] for k, v in cols.items()} | {"n": [], "mean": [], "lo": [], "hi": []})
+            return _frame([], BAND)
         rng = _seed(r["site"], r["run_id"], r["step"])
         means = x[rng.integers(0, len(x), (p.n_boot, len(x)))].mean(axis=1)
         lo, hi = np.quantile(means, [alpha / 2, 1 - alpha / 2])
-        return pd.DataFrame(cols | {"n": [len(x)], "mean": [x.mean()], "lo": [lo], "hi": [hi]})
+        return _frame([(r["site"], r["run_id"], r["step"], r["step_age"], len(x), x.mean(), lo, hi)], BAND)
 
-    return moved.groupBy(*KEY, "step").applyInPandas(run, "site string, run_id string, step long, step_age double, n long, mean double, lo double, hi double")
+    return moved.groupBy(*KEY, "step").applyInPandas(run, BAND)
 
 
 def smooth_band(band: DataFrame, p: Params) -> DataFrame:
@@ -163,12 +179,11 @@ def zone_stats(zoned: DataFrame, p: Params) -> DataFrame:
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         r, x = pdf.iloc[0], np.sort(pdf["fri"].to_numpy())
-        none = pd.DataFrame({c.split()[0]: [] for c in ZONE_STATS.split(", ")})
         if len(x) < 2 or x.max() > MAX_FRI:
-            return none
+            return _frame([], ZONE_STATS)
         fit = stats.weibull_mle(_binned(x))
         if fit is None:
-            return none
+            return _frame([], ZONE_STATS)
         b, c = fit
         edge = np.arange(0.0, MAX_FRI + 1, 20.0)
         cdf = 1 - np.exp(-((edge / b) ** c))
@@ -183,7 +198,7 @@ def zone_stats(zoned: DataFrame, p: Params) -> DataFrame:
                 cs.append(f[1])
         lim = lambda v: np.quantile(v, [0.025, 0.975]) if v else (None, None)
         (m0, m1), (b0, b1), (c0, c1) = lim(means), lim(bs), lim(cs)
-        return pd.DataFrame([[r["site"], r["run_id"], r["zone"], len(x), x.mean(), m0, m1, b, b0, b1, c, c0, c1, p_ks]], columns=none.columns)
+        return _frame([(r["site"], r["run_id"], r["zone"], len(x), x.mean(), m0, m1, b, b0, b1, c, c0, c1, p_ks)], ZONE_STATS)
 
     return zoned.groupBy(*KEY, "zone").applyInPandas(run, ZONE_STATS)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -12,7 +13,10 @@ from varve.params import Params
 
 KEY_T = (*KEY, "t")
 SEARCH_YR = 150.0
-_BY_I = Window.partitionBy(*KEY_T).orderBy("i")
+
+def _by_i():
+    return Window.partitionBy(*KEY_T).orderBy("i")
+
 
 
 def flags(df: DataFrame) -> DataFrame:
@@ -25,9 +29,9 @@ def flags(df: DataFrame) -> DataFrame:
 
 def run_ends(flagged: DataFrame) -> DataFrame:
     """Adds is_end: the last row of each run of flags; and thr_peak, the first row's threshold there."""
-    end = F.col("flag") & ~F.coalesce(F.lead("flag").over(_BY_I), F.lit(False))
+    end = F.col("flag") & ~F.coalesce(F.lead("flag").over(_by_i()), F.lit(False))
     x = flagged.withColumn("is_end", end)
-    return x.withColumn("thr_peak", F.when(F.col("is_end"), F.first("thr").over(_BY_I.rowsBetween(Window.unboundedPreceding, 0))).otherwise(0.0))
+    return x.withColumn("thr_peak", F.when(F.col("is_end"), F.first("thr").over(_by_i().rowsBetween(Window.unboundedPreceding, 0))).otherwise(0.0))
 
 
 def search_rows(p: Params) -> int:
@@ -39,7 +43,7 @@ def windows(ends: DataFrame, p: Params) -> DataFrame:
     side, no further than the next peaks; null unless the series has two peaks or more."""
     m = search_rows(p)
     spot = F.when(F.col("is_end"), F.col("i"))
-    before, after = _BY_I.rowsBetween(Window.unboundedPreceding, -1), _BY_I.rowsBetween(1, Window.unboundedFollowing)
+    before, after = _by_i().rowsBetween(Window.unboundedPreceding, -1), _by_i().rowsBetween(1, Window.unboundedFollowing)
     x = ends.withColumns({"prev_i": F.max(spot).over(before), "next_i": F.min(spot).over(after)})
     tested = F.col("is_end") & (F.col("prev_i").isNotNull() | F.col("next_i").isNotNull())
     young = F.greatest(F.lit(1), F.col("i") - m, F.coalesce("prev_i", F.lit(1)))
@@ -51,7 +55,7 @@ def extremes(windowed: DataFrame, p: Params) -> DataFrame:
     """Adds c_max, v_max (greatest rounded count on the young side, the first row that has
     it, and its volume) and c_min, v_min (least on the old side)."""
     m = search_rows(p)
-    near = F.collect_list(F.struct("i", F.bround("cnt").alias("c"), "vol")).over(_BY_I.rowsBetween(-m, m))
+    near = F.collect_list(F.struct("i", F.bround("cnt").alias("c"), "vol")).over(_by_i().rowsBetween(-m, m))
     x = windowed.withColumn("__near", F.when(F.col("young").isNotNull(), near))
     young = F.filter("__near", lambda r: (r["i"] >= F.col("young")) & (r["i"] <= F.col("i")) & r["c"].isNotNull())
     old = F.filter("__near", lambda r: (r["i"] >= F.col("i")) & (r["i"] <= F.col("old")) & r["c"].isNotNull())
@@ -85,14 +89,12 @@ def totals(peaks: DataFrame) -> DataFrame:
 
 def intervals(peaks: DataFrame) -> DataFrame:
     """site, run_id, t, age, prev_age, fri: years between next peaks."""
-    x = peaks.where("is_peak").withColumn("prev_age", F.lag("age").over(_BY_I))
+    x = peaks.where("is_peak").withColumn("prev_age", F.lag("age").over(_by_i()))
     return x.where("prev_age is not null").select(*KEY_T, "i", "age", "prev_age", (F.col("age") - F.col("prev_age")).alias("fri"))
 
 
 def exact_p(x: DataFrame) -> DataFrame:
     """Adds p, the count test's p-value itself."""
-    import pandas as pd
-
     @F.pandas_udf("double")
     def tail(d: pd.Series) -> pd.Series:
         return pd.Series(1 - stats.normal_cdf(d.fillna(0.0).to_numpy())).where(d.notna().reset_index(drop=True))

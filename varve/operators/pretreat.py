@@ -8,8 +8,10 @@ from pyspark.sql.window import Window
 
 from varve.params import Params
 
-_BY_SAMPLE = Window.partitionBy("site").orderBy("sample_no")
-_ALL = Window.partitionBy("site")
+
+def _by_sample():
+    return Window.partitionBy("site").orderBy("sample_no")
+
 
 
 def trim(raw: DataFrame, p: Params) -> DataFrame:
@@ -30,17 +32,17 @@ def missing(trimmed: DataFrame) -> DataFrame:
 
 def gap_runs(trimmed: DataFrame) -> DataFrame:
     """site, gap_no, first_no, last_no, n_rows of each run of missing samples."""
-    x = missing(trimmed).withColumn("pos", F.row_number().over(_BY_SAMPLE)).where("is_missing")
-    x = x.withColumn("island", F.col("pos") - F.row_number().over(_BY_SAMPLE))
+    x = missing(trimmed).withColumn("pos", F.row_number().over(_by_sample())).where("is_missing")
+    x = x.withColumn("island", F.col("pos") - F.row_number().over(_by_sample()))
     runs = x.groupBy("site", "island").agg(F.min("sample_no").alias("first_no"), F.max("sample_no").alias("last_no"), F.count("*").alias("n_rows"))
     return runs.select("site", F.row_number().over(Window.partitionBy("site").orderBy("first_no")).alias("gap_no"), "first_no", "last_no", "n_rows")
 
 
 def _flanked(trimmed: DataFrame) -> DataFrame:
     """Missing samples with their place in the run and the samples on either side."""
-    x = missing(trimmed).withColumn("pos", F.row_number().over(_BY_SAMPLE))
+    x = missing(trimmed).withColumn("pos", F.row_number().over(_by_sample()))
     held = {c: F.when(~F.col("is_missing"), F.col(c)) for c in ("pos", "cm_top", "age_top", "vol", "cnt")}
-    before, after = _BY_SAMPLE.rowsBetween(Window.unboundedPreceding, -1), _BY_SAMPLE.rowsBetween(1, Window.unboundedFollowing)
+    before, after = _by_sample().rowsBetween(Window.unboundedPreceding, -1), _by_sample().rowsBetween(1, Window.unboundedFollowing)
     return x.withColumns({f"{c}_0": F.last(e, ignorenulls=True).over(before) for c, e in held.items()} | {f"{c}_1": F.first(e, ignorenulls=True).over(after) for c, e in held.items()})
 
 
@@ -72,7 +74,7 @@ def fill_gaps(trimmed: DataFrame) -> DataFrame:
 
 def noncontiguous(trimmed: DataFrame) -> DataFrame:
     """site, n_breaks, cm_breaks, yr_breaks where a sample does not begin where the one before ends."""
-    x = trimmed.withColumns({"cm_next": F.lead("cm_top").over(_BY_SAMPLE), "age_next": F.lead("age_top").over(_BY_SAMPLE)})
+    x = trimmed.withColumns({"cm_next": F.lead("cm_top").over(_by_sample()), "age_next": F.lead("age_top").over(_by_sample())})
     broken = F.col("cm_next") != F.col("cm_bot")
     return x.groupBy("site").agg(
         F.count_if(broken).alias("n_breaks"), F.coalesce(F.sum(F.when(broken, F.col("cm_next") - F.col("cm_top"))), F.lit(0.0)).alias("cm_breaks"),
@@ -82,7 +84,7 @@ def noncontiguous(trimmed: DataFrame) -> DataFrame:
 
 def rates(filled: DataFrame) -> DataFrame:
     """Adds con (count by volume), sed (depth by age to the next sample, 0 at the last) and acc."""
-    up, age = F.lead("cm_top").over(_BY_SAMPLE), F.lead("age_top").over(_BY_SAMPLE)
+    up, age = F.lead("cm_top").over(_by_sample()), F.lead("age_top").over(_by_sample())
     sed = F.when(age.isNull(), 0.0).otherwise(F.try_divide(up - F.col("cm_top"), age - F.col("age_top")))
     x = filled.withColumns({"con": F.try_divide("cnt", "vol"), "sed": sed, "age_next": age, "cm_next": up})
     return x.withColumn("acc", F.col("con") * F.col("sed"))
@@ -90,7 +92,7 @@ def rates(filled: DataFrame) -> DataFrame:
 
 def auto_interval(trimmed: DataFrame) -> DataFrame:
     """site, yr: the median step of age_top, rounded half to even."""
-    x = trimmed.withColumn("step", F.lead("age_top").over(_BY_SAMPLE) - F.col("age_top"))
+    x = trimmed.withColumn("step", F.lead("age_top").over(_by_sample()) - F.col("age_top"))
     return x.groupBy("site").agg(F.bround(F.percentile("step", F.lit(0.5))).alias("yr"))
 
 

@@ -70,6 +70,9 @@ def lowess(df: DataFrame, y: str | list[str], out: str | list[str], k: Column, w
         v, z = s[f"y{j}"], s[f"z{j}"]
         line = F.try_divide(v * s["xx"] - s["x"] * z + (s["w"] * z - s["x"] * v) * here, det)
         fits[o] = F.when(F.col(c).isNull() | (s["w"] < EPS), None).when(flat, F.try_divide(v, s["w"])).otherwise(line)
+    # A frame of the row itself: filters on the result stay above it. Pushed below, they
+    # would write the whole regression out once for each time they name it.
+    fits = {o: F.first(e).over(w.rowsBetween(0, 0)) for o, e in fits.items()}
     return df.withColumns(fits).drop("__n", "__k", "__near", "__i0", "__far", "__s")
 
 

@@ -17,6 +17,8 @@ from varve.sources.events import pseudo_cores
 BASE = Params()
 RATIO = replace(BASE, c_peak=2)
 GLOBAL = replace(BASE, thresh_type=1)
+#: Finer cells: intervals fall into the 20-unit bins of the zone statistics.
+FINE = replace(BASE, yr_interp=20.0, smooth_yr=1000.0, peak_freq_yr=2000.0)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 _KINDS = {"s": "{0}", "b": "{0}", "i": "CAST({0} AS BIGINT)", "d": "round({0}, 6) + 0.0", "a": "CAST(round({0} * 60000000) AS BIGINT)"}
@@ -111,7 +113,7 @@ _query("f09_intervals_on_grid", "site:s i:i sm_fri:d", lambda s: history.fri_on_
 _query("f10_zone_intervals", "site:s zone:i age:d fri:d", lambda s: history.zone_intervals(s.final, s.zones), "(SELECT * FROM zfri WHERE t = 4)")
 _query("f10_usable_zones", "site:s zone:i n_fri:i mfri:d", lambda s: history.usable_zones(history.zone_intervals(s.final, s.zones)), "zuse")
 _query("f11_histogram", "site:s zone:i bin:i centre:d freq:i", lambda s: history.histogram(history.zone_intervals(s.final, s.zones)), "hist")
-_query("f12_zone_statistics", "site:s zone:i n_fri:i mfri:d mfri_uci:d mfri_lci:d wbl_b:d wbl_b_uci:d wbl_b_lci:d wbl_c:d wbl_c_uci:d wbl_c_lci:d p_ks:d", lambda s: history.zone_stats(history.zone_intervals(s.final, s.zones), s.p), None)
+_query("f12_zone_statistics", "site:s zone:i n_fri:i mfri:d mfri_uci:d mfri_lci:d wbl_b:d wbl_b_uci:d wbl_b_lci:d wbl_c:d wbl_c_uci:d wbl_c_lci:d p_ks:d", lambda s: history.zone_stats(history.zone_intervals(s.final, s.zones), s.p), None, FINE)
 _query("f16_insignificant", "site:s i:i insig:b", lambda s: s.final, "one")
 _query("f17_results", "site:s i:i " + " ".join(f"{c}:{'i' if c.startswith('peaks') or c == 'n_fri' else 'd'}" for c in history.RESULT), lambda s: s.results, None)
 _query("fig01_raw", "site:s age_top:a acc:d y_cap:d", lambda s: figures.raw_bars(s.rated), "(SELECT *, con * sed AS acc, quantile_cont(con * sed, 0.99) OVER (PARTITION BY site) AS y_cap FROM rated)")
@@ -123,13 +125,13 @@ _query("fig04_sensitivity", "site:s bin:i n_above:i n_ends:i", lambda s: peaks.s
 _query("fig04_zone_means", "site:s t:i zone:i n_fri:i mfri:d", lambda s: figures.zone_threshold_means(s.peaks, s.zones), "(SELECT p.site, p.t, z.zone, count(f.fri) AS n_fri, avg(f.fri) AS mfri FROM peaks p JOIN zones z ON p.site = z.site AND p.age >= z_lo AND p.age < z_hi LEFT JOIN zfri f ON f.site = p.site AND f.t = p.t AND f.zone = z.zone AND f.age = p.age WHERE p.is_peak GROUP BY ALL)")
 _query("fig04_sni_box", "site:s low:d q1:d mid:d q3:d high:d", lambda s: figures.sni_box(s.thresholds), "(SELECT site, min(sni) FILTER (sni >= q1 - 1.5 * (q3 - q1)) AS low, any_value(q1) AS q1, any_value(mid) AS mid, any_value(q3) AS q3, max(sni) FILTER (sni <= q3 + 1.5 * (q3 - q1)) AS high FROM thr JOIN (SELECT site, quantile_cont(sni, 0.25) AS q1, median(sni) AS mid, quantile_cont(sni, 0.75) AS q3 FROM thr GROUP BY site) USING (site) GROUP BY site)")
 _query("fig05_cumulative", "site:s age:d n_peaks:i", lambda s: figures.cumulative(s.peaks), "(SELECT site, age, row_number() OVER (PARTITION BY site ORDER BY age DESC) AS n_peaks FROM one WHERE is_peak)")
-_query("fig06_weibull", "site:s zone:i centre:d density:d passes:b", lambda s: figures.weibull_curve(history.zone_stats(history.zone_intervals(s.final, s.zones), s.p)), None)
+_query("fig06_weibull", "site:s zone:i centre:d density:d passes:b", lambda s: figures.weibull_curve(history.zone_stats(history.zone_intervals(s.final, s.zones), s.p)), None, FINE)
 _query("fig07_history", "site:s i:i age:d peak_mag:d sm_fri:d sm_freq:d", lambda s: figures.history_panel(history.results(s.thresholds, s.peaks, s.sites, s.p, bootstrap=False)), "(SELECT c.site, c.i, c.age, coalesce(peak_mag, 0) AS peak_mag, o.sm_fri, f.sm_freq FROM cells c LEFT JOIN mag m ON m.site = c.site AND m.i = c.i LEFT JOIN onto o ON o.site = c.site AND o.i = c.i JOIN sfreq f ON f.site = c.site AND f.i = c.i)")
 _query("fig08_ecdf", "site:s zone:i fri:d share:d", lambda s: figures.zone_ecdf(history.zone_intervals(s.final, s.zones)), "(SELECT *, cume_dist() OVER (PARTITION BY site, zone ORDER BY fri) AS share FROM zfri WHERE t = 4)")
 _query("fig08_box", "site:s zone:i n_fri:i least:d q1:d mid:d q3:d most:d", lambda s: figures.zone_box(history.zone_intervals(s.final, s.zones)), "(SELECT site, zone, count(*) AS n_fri, min(fri) AS least, quantile_cont(fri, 0.25) AS q1, median(fri) AS mid, quantile_cont(fri, 0.75) AS q3, max(fri) AS most FROM zfri WHERE t = 4 GROUP BY ALL)")
 _query("fig08_tests", "site:s zone_a:i zone_b:i d:d p:d", lambda s: figures.zone_tests(history.zone_intervals(s.final, s.zones)), None)
 _query("fig09_domains", "site:s i:i as_acc:d as_ratio:d as_residual:d", lambda s: figures.threshold_domains(s.thresholds, s.p), "(SELECT site, i, bkg + pos4 AS as_acc, (bkg + pos4) / nullif(bkg, 0) AS as_ratio, bkg + pos4 - bkg AS as_residual FROM thr)")
-_query("f18_window_tests", "site:s step:i ks_p:d rank_p:d ad:d", lambda s: figures.window_tests(history.moving_intervals(s.final, s.p), s.p), None)
+_query("f18_window_tests", "site:s step:i ks_p:d rank_p:d ad:d", lambda s: figures.window_tests(history.moving_intervals(s.final, s.p), s.p), None, FINE)
 _query("q01_window_sweep", "site:s bkg_window:d n1:i n2:i n3:i n4:i sni:d mfri:d sd_fri:d", lambda s: window_sweep(s.raw, s.p, [4800.0, 7200.0, 9600.0]), None)
 _query("q02_compare", "site:s check:s a_value:d b_value:d ok:b", lambda s: compare.compare(s.results, Study(s.raw, replace(s.p, smooth_yr=7200.0)).results), None)
 _query("q03_gap_spans", "site:s gap_no:i young:a old:a", lambda s: pretreat.gap_runs(s.trimmed).join(s.trimmed.select("site", F.col("sample_no").alias("first_no"), F.col("age_top").alias("young")), ["site", "first_no"]).join(s.trimmed.select("site", F.col("sample_no").alias("last_no"), F.col("age_bot").alias("old")), ["site", "last_no"]), "(SELECT site, row_number() OVER (PARTITION BY site ORDER BY pos_0) AS gap_no, min(age_top) AS young, max(age_bot) AS old FROM flanked GROUP BY site, pos_0)")
