@@ -49,9 +49,10 @@ def frequency(one: DataFrame, p: Params) -> DataFrame:
     half = int(q) / 2
     lo, full = int(half), round(q)
     k = F.when(F.col("is_peak"), 1).otherwise(0)
-    free = Window.unboundedPreceding, Window.unboundedFollowing
-    head = F.sum(k).over(_by_i().rowsBetween(free[0], lo)) * (full / (F.col("i") + lo))
-    tail = F.sum(k).over(_by_i().rowsBetween(-lo, free[1])) * q / (F.col("n") - F.col("i") + lo + 1)
+    head = F.sum(k).over(_by_i().rowsBetween(Window.unboundedPreceding, lo)) * (full / (F.col("i") + lo))
+    # All peaks less those before: a frame open at its end would be read anew for every row.
+    left = F.sum(k).over(Window.partitionBy(*KEY)) - F.coalesce(F.sum(k).over(_by_i().rowsBetween(Window.unboundedPreceding, -lo - 1)), F.lit(0))
+    tail = left * q / (F.col("n") - F.col("i") + lo + 1)
     mid = F.coalesce(F.sum(k).over(_by_i().rowsBetween(1 - int(q / 2), -int(-0.5 * full // 1))), F.lit(0)).cast("double")
     return one.withColumn("freq", F.when(F.col("i") < half, head).when(F.col("i") > F.col("n") - half, tail).otherwise(mid))
 

@@ -43,7 +43,8 @@ def windows(ends: DataFrame, p: Params) -> DataFrame:
     side, no further than the next peaks; null unless the series has two peaks or more."""
     m = search_rows(p)
     spot = F.when(F.col("is_end"), F.col("i"))
-    before, after = _by_i().rowsBetween(Window.unboundedPreceding, -1), _by_i().rowsBetween(1, Window.unboundedFollowing)
+    before = _by_i().rowsBetween(Window.unboundedPreceding, -1)
+    after = Window.partitionBy(*KEY_T).orderBy(F.desc("i")).rowsBetween(Window.unboundedPreceding, -1)
     x = ends.withColumns({"prev_i": F.max(spot).over(before), "next_i": F.min(spot).over(after)})
     tested = F.col("is_end") & (F.col("prev_i").isNotNull() | F.col("next_i").isNotNull())
     young = F.greatest(F.lit(1), F.col("i") - m, F.coalesce("prev_i", F.lit(1)))

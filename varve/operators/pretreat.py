@@ -42,8 +42,11 @@ def _flanked(trimmed: DataFrame) -> DataFrame:
     """Missing samples with their place in the run and the samples on either side."""
     x = missing(trimmed).withColumn("pos", F.row_number().over(_by_sample()))
     held = {c: F.when(~F.col("is_missing"), F.col(c)) for c in ("pos", "cm_top", "age_top", "vol", "cnt")}
-    before, after = _by_sample().rowsBetween(Window.unboundedPreceding, -1), _by_sample().rowsBetween(1, Window.unboundedFollowing)
-    return x.withColumns({f"{c}_0": F.last(e, ignorenulls=True).over(before) for c, e in held.items()} | {f"{c}_1": F.first(e, ignorenulls=True).over(after) for c, e in held.items()})
+    # What follows is looked up in descending order: a frame that is open at its end would
+    # be read anew for every row.
+    before = _by_sample().rowsBetween(Window.unboundedPreceding, -1)
+    after = Window.partitionBy("site").orderBy(F.desc("sample_no")).rowsBetween(Window.unboundedPreceding, -1)
+    return x.withColumns({f"{c}_0": F.last(e, ignorenulls=True).over(before) for c, e in held.items()} | {f"{c}_1": F.last(e, ignorenulls=True).over(after) for c, e in held.items()})
 
 
 def gap_totals(trimmed: DataFrame) -> DataFrame:

@@ -96,8 +96,9 @@ def bridge(df: DataFrame, y: str, out: str, key: tuple[str, ...] = KEY) -> DataF
     """Nulls filled linearly by position, and by the nearest value at the ends."""
     w = Window.partitionBy(*key).orderBy("i")
     held = {"v": F.col(y), "p": F.when(F.col(y).isNotNull(), F.col("i"))}
-    before, after = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
-    df = df.withColumns({f"__{c}0": F.last(e, True).over(before) for c, e in held.items()} | {f"__{c}1": F.first(e, True).over(after) for c, e in held.items()})
+    before = w.rowsBetween(Window.unboundedPreceding, 0)
+    after = Window.partitionBy(*key).orderBy(F.desc("i")).rowsBetween(Window.unboundedPreceding, 0)
+    df = df.withColumns({f"__{c}0": F.last(e, True).over(before) for c, e in held.items()} | {f"__{c}1": F.last(e, True).over(after) for c, e in held.items()})
     part = F.try_divide((F.col("i") - F.col("__p0")).cast("double"), (F.col("__p1") - F.col("__p0")).cast("double"))
     mid = F.col("__v0") + (F.col("__v1") - F.col("__v0")) * part
     return df.withColumn(out, F.coalesce(F.col(y), mid, "__v0", "__v1")).drop("__v0", "__v1", "__p0", "__p1")
