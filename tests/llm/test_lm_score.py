@@ -55,6 +55,13 @@ def test_parts_and_joined_counts_give_the_same_scores(spark, sf_small):
     assert a == b and len(a) == 62
 
 
+def test_parts_and_joined_counts_give_the_same_fitted_scores(spark, sf_small):
+    docs = spark.read.parquet(f"{sf_small}/documents.parquet").limit(60)
+    train = ~lm_score.held_out("doc_id")
+    a, b = (sorted((r.doc_id, r.n_known, round(r.score, 6)) for r in lm_score.lm_score(docs, train, **more).collect()) for more in ({}, {"max_tokens": 30, "max_filter_bytes": 2000}))
+    assert a == b and len(a) == 60
+
+
 def test_edges_of_input(spark):
     docs = spark.createDataFrame([(1, None, 1.0), (2, "", 1.0), (None, "a A", 1.0), (3, "a A b", 1.0), (3, "a A b", 1.0)], "doc_id long, text string, score double")
     got = lm_score.lm_score(docs, ~lm_score.held_out("doc_id")).collect()

@@ -46,6 +46,9 @@ MAX_FILTER_BYTES, MAX_TOKENS, SAMPLE_DOCS = 160 << 20, 8_000_000, 1000
 BUCKET_TOKENS = 2_000_000
 _END, _START = np.uint64(0x5EED0E4D5EED0E4D), np.uint64(0x57A7275657A72756)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
+#: Cells of the fit: size classes; steps of the odds in an octave; the step of odds 1; steps, the last for a bigram not seen.
+_CLASSES, _OCTAVE, _MID = 65, 16, 1024
+_ODDS = 2 * _MID + 2
 
 
 def held_out(id_col: str):
@@ -214,28 +217,56 @@ def log_prob(shares: np.ndarray, c_pair: np.ndarray, c_before: np.ndarray, c_tok
     return np.log10(s * np.minimum(c_pair, c_before) / np.maximum(c_before, 1) + (1 - s) * (c_token + 1) / room)
 
 
-def fit_shares(c_pair: np.ndarray, c_before: np.ndarray, c_token: np.ndarray, room: float, rounds: int = 40) -> np.ndarray:
-    """Share of the bigram estimate in each size class, by expectation maximisation, each
-    token counted once less than it was; classes with few tokens lean on the whole."""
-    shares = np.full(65, 0.5)
+def fit_cells(c_pair: np.ndarray, c_before: np.ndarray, c_token: np.ndarray, room: float) -> np.ndarray:
+    """Size class and quantised odds (one-token to bigram estimate) of every token whose
+    history is left when the token itself is counted once less: all that the fit asks."""
     left = c_before - 1
-    x = np.where(left > 0, np.maximum(np.minimum(c_pair, c_before) - 1, 0) / np.maximum(left, 1), 0.0)
-    y = np.maximum(c_token, 1) / room
-    of = size_class(c_before)
     use = left > 0
-    x, y, of = x[use], y[use], of[use]
-    if not len(x):
+    left, of = left[use], size_class(c_before[use])
+    x = np.maximum(np.minimum(c_pair[use], c_before[use]) - 1, 0) / left
+    odds = np.full(len(x), _ODDS - 1, np.int64)
+    seen = x > 0
+    steps = np.rint(_OCTAVE * np.log2(np.maximum(c_token[use][seen], 1) / room / x[seen])).astype(np.int64)
+    odds[seen] = np.clip(steps + _MID, 0, 2 * _MID)
+    return of * _ODDS + odds
+
+
+def fit_shares(n_cell: np.ndarray, rounds: int = 40) -> np.ndarray:
+    """Share of the bigram estimate in each size class, by expectation maximisation over the
+    numbers of tokens in each cell; classes with few tokens lean on the whole."""
+    shares = np.full(_CLASSES, 0.5)
+    cell = np.flatnonzero(n_cell)
+    if not len(cell):
         return shares
-    n = np.bincount(of, minlength=65)
-    whole = 0.5
+    of, odds, n_of = cell // _ODDS, cell % _ODDS, n_cell[cell].astype(np.float64)
+    ratio = np.where(odds < _ODDS - 1, 2.0 ** ((odds - _MID) / _OCTAVE), np.inf)
+    n = np.bincount(of, n_of, _CLASSES)
     for _ in range(rounds):
         s = shares[of]
-        post = s * x / np.maximum(s * x + (1 - s) * y, 1e-300)
-        whole = post.mean()
-        shares = np.clip((np.bincount(of, post, 65) + 50 * whole) / (n + 50), 0.001, 0.95)
+        post = n_of * s / (s + (1 - s) * ratio)
+        whole = post.sum() / n_of.sum()
+        shares = np.clip((np.bincount(of, post, _CLASSES) + 50 * whole) / (n + 50), 0.001, 0.95)
     return shares
 
 
+def _looked_up(texts: list[bytes | None], known: Counts, bloom: PairFilter, direct: bool):
+    """Tokens of each text; then text number, hash, hash before, counts of token, of the one
+    before and of the pair, of the tokens whose pairs the filter covers."""
+    text, h, before = token_stream(texts)
+    n = np.bincount(text, minlength=len(texts))
+    c_token, key = known(h), pair(before, h)
+    c_before = np.r_[np.int64(0), c_token[:-1]]
+    c_before[before == _START] = known.n_docs
+    if direct:
+        return n, text, h, before, c_token, c_before, bloom(key)
+    mine = bloom.covers(key)
+    return n, *(v[mine] for v in (text, h, before, c_token, c_before)), bloom(key[mine])
+
+
+def _given(v: np.ndarray) -> pa.Array:
+    return pa.array(v, pa.int64(), mask=v < 0)
+
+
 def _score(counts, filters, shares: np.ndarray, part: int, n_parts: int):
     """A row for each text (h_token null) and one for each token with a count to be joined."""
     direct = counts.value.complete and n_parts == 1
@@ -243,14 +274,7 @@ def _score(counts, filters, shares: np.ndarray, part: int, n_parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, bloom = counts.value, filters.value
         for ids, texts in chunks(batches, SCORE_BYTES):
-            text, h, before = token_stream(texts)
-            n = np.bincount(text, minlength=len(texts))
-            c_token, key = known(h), pair(before, h)
-            c_before = np.r_[np.int64(0), c_token[:-1]]
-            c_before[before == _START] = known.n_docs
-            mine = np.ones(len(h), bool) if direct else bloom.covers(key)
-            c_pair = bloom(key[mine])
-            text, h, before, c_token, c_before = (v[mine] for v in (text, h, before, c_token, c_before))
+            n, text, h, before, c_token, c_before, c_pair = _looked_up(texts, known, bloom, direct)
             whole = (c_token >= 0) & (c_before >= 0)
             base = np.log10((c_token[whole] + 1) / known.room)
             lp = log_prob(shares, c_pair[whole], c_before[whole], c_token[whole], known.room)
@@ -265,10 +289,9 @@ def _score(counts, filters, shares: np.ndarray, part: int, n_parts: int):
             rest = ~whole
             if rest.any():
                 of, zero = text[rest], np.zeros(int(rest.sum()))
-                given = lambda v: pa.array(v[rest], pa.int64(), mask=v[rest] < 0)
                 yield pa.record_batch({
                     "doc_id": rows["doc_id"].take(pa.array(of)), "tag": tag[of], "n_tokens": n[of].astype(np.int64), "n_known": zero.astype(np.int64), "base_score": zero, "score": zero,
-                    "h_token": h[rest].view(np.int64), "h_before": before[rest].view(np.int64), "c_token": given(c_token), "c_before": given(c_before), "c_pair": c_pair[rest],
+                    "h_token": h[rest].view(np.int64), "h_before": before[rest].view(np.int64), "c_token": _given(c_token[rest]), "c_before": _given(c_before[rest]), "c_pair": c_pair[rest],
                 })
 
     return run
@@ -278,16 +301,21 @@ _ROW = "doc_id long, tag long, n_tokens long, n_known long, base_score double, s
 _MORE = ", h_token long, h_before long, c_token long, c_before long, c_pair double"
 
 
-def _joined(rows: DataFrame, counts: DataFrame, shares: np.ndarray, room: float, n_parts: int) -> DataFrame:
-    """Adds up the parts of each text, with the missing counts joined by key."""
-    rows = written(rows, "parts")
-    whole = rows.where("h_token is null").select("doc_id", "tag", "n_tokens", "n_known", "base_score", "score", F.lit(1).alias("seen"))
-    rest = rows.where("h_token is not null")
+def _filled(rest: DataFrame, counts: DataFrame) -> DataFrame:
+    """rest with the counts that are missing joined by key."""
     for of in ("token", "before"):
         # Only what is missing is joined: frequent tokens are there already.
         found = counts.select(F.col("h").alias(f"h_{of}"), F.col("n").alias(f"n_{of}"))
         missing = rest.where(F.col(f"c_{of}").isNull()).join(found, f"h_{of}", "left").withColumn(f"c_{of}", F.coalesce(f"n_{of}", F.lit(0).cast("long"))).drop(f"n_{of}")
         rest = rest.where(F.col(f"c_{of}").isNotNull()).unionByName(missing)
+    return rest
+
+
+def _joined(rows: DataFrame, counts: DataFrame, shares: np.ndarray, room: float, n_parts: int) -> DataFrame:
+    """Adds up the parts of each text, with the missing counts joined by key."""
+    rows = written(rows, "parts")
+    whole = rows.where("h_token is null").select("doc_id", "tag", "n_tokens", "n_known", "base_score", "score", F.lit(1).alias("seen"))
+    rest = _filled(rows.where("h_token is not null"), counts)
     size = F.when(F.col("c_before") > 0, F.least(1 + F.floor(F.log2("c_before")), F.lit(len(shares) - 1))).otherwise(0).cast("int")
     s = F.when(F.col("c_before") > 0, F.element_at(F.array(*[F.lit(float(v)) for v in shares]), size + 1)).otherwise(F.lit(0.0))
     p1 = (F.col("c_token") + 1) / F.lit(room)
@@ -340,7 +368,7 @@ def lm_score(docs: DataFrame, train, max_tokens: int = MAX_TOKENS, max_filter_by
         got = filters.where(F.col("bucket").between(part[0][0], part[-1][0])) if part else filters.limit(0)
         loaded.append(context.broadcast(PairFilter(n_buckets, part, ((r.bucket, r.bits) for r in got.toLocalIterator()))))
 
-    shares = _shares(training, shared, loaded, sample_docs)
+    shares = _shares(training, counts, shared, loaded, complete, room, sample_docs)
     ask = [rows.mapInArrow(_score(shared, f, shares, k, len(loaded)), _ROW + ("" if complete and len(loaded) == 1 else _MORE)) for k, f in enumerate(loaded)]
     if complete and len(loaded) == 1:
         out = ask[0]
@@ -352,31 +380,58 @@ def lm_score(docs: DataFrame, train, max_tokens: int = MAX_TOKENS, max_filter_by
     return out.select("doc_id", "n_tokens", "n_known", F.lit(n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
-def _shares(training: DataFrame, counts, filters: list, sample_docs: int) -> np.ndarray:
-    """Fits the shares on at most sample_docs training texts, in one task."""
-    draw = training.select("doc_id", F.xxhash64(F.lit(3), "doc_id").alias("draw")).orderBy("draw", "doc_id").limit(sample_docs).select("doc_id").distinct()
-    sample = training.join(F.broadcast(draw), "doc_id", "left_semi").orderBy("doc_id", F.crc32(F.col("text").cast("binary"))).limit(sample_docs)
+def _cells(counts, filters, n_parts: int):
+    """Numbers of tokens by cell, a few rows for each task (h_token null), and one row for
+    each token with a count to be joined."""
+    direct = counts.value.complete and n_parts == 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got: list[list[np.ndarray]] = [[], [], []]
-        known = counts.value
+        known, bloom, n_cell = counts.value, filters.value, np.zeros(_CLASSES * _ODDS, np.int64)
         for _, texts in chunks(batches, SCORE_BYTES):
-            _, h, before = token_stream(texts)
-            key, c_token = pair(before, h), known(h)
-            c_before = np.r_[np.int64(0), c_token[:-1]]
-            c_before[before == _START] = known.n_docs
-            c_pair = np.zeros(len(key))
-            for f in filters:
-                here = f.value.covers(key)
-                c_pair[here] = f.value(key[here])
-            use = (c_token >= 0) & (c_before >= 0)
-            for a, v in zip(got, (c_pair, c_before, c_token), strict=True):
-                a.append(v[use])
-        x = [np.concatenate([np.zeros(0), *a]) for a in got]
-        yield pa.record_batch({"shares": pa.array([fit_shares(*x, known.room).tolist()], pa.list_(pa.float64()))})
-
-    found = sample.coalesce(1).mapInArrow(run, "shares array<double>").first()
-    return np.array(found.shares if found else [0.5] * 65)
+            _, _, h, before, c_token, c_before, c_pair = _looked_up(texts, known, bloom, direct)
+            whole = (c_token >= 0) & (c_before >= 0)
+            n_cell += np.bincount(fit_cells(c_pair[whole], c_before[whole], c_token[whole], known.room), minlength=len(n_cell))
+            rest = ~whole
+            if rest.any():
+                no = pa.nulls(int(rest.sum()), pa.int64())
+                yield pa.record_batch({"cell": no, "n": no, "h_token": h[rest].view(np.int64), "h_before": before[rest].view(np.int64), "c_token": _given(c_token[rest]), "c_before": _given(c_before[rest]), "c_pair": c_pair[rest]})
+        cell = np.flatnonzero(n_cell)
+        no = pa.nulls(len(cell), pa.int64())
+        yield pa.record_batch({"cell": cell, "n": n_cell[cell], "h_token": no, "h_before": no, "c_token": no, "c_before": no, "c_pair": pa.nulls(len(cell), pa.float64())})
+
+    return run
+
+
+def _cells_of(room: float):
+    """Numbers of tokens by cell from rows with all their counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n_cell = np.zeros(_CLASSES * _ODDS, np.int64)
+        for batch in batches:
+            n_cell += np.bincount(fit_cells(*(c.to_numpy(zero_copy_only=False) for c in batch.columns), room), minlength=len(n_cell))
+        cell = np.flatnonzero(n_cell)
+        yield pa.record_batch({"cell": cell, "n": n_cell[cell]})
+
+    return run
+
+
+def _shares(training: DataFrame, counts: DataFrame, known, filters: list, complete: bool, room: float, sample_docs: int) -> np.ndarray:
+    """Fits the shares on at most sample_docs training texts."""
+    draw = training.select("doc_id", F.xxhash64(F.lit(3), "doc_id").alias("draw")).orderBy("draw", "doc_id").limit(sample_docs).select("doc_id").distinct()
+    training = training.join(F.broadcast(draw), "doc_id", "left_semi").orderBy("doc_id", F.crc32(F.col("text").cast("binary"))).limit(sample_docs)
+    asked = [training.mapInArrow(_cells(known, f, len(filters)), "cell long, n long" + _MORE) for f in filters]
+    rows = asked[0]
+    for more in asked[1:]:
+        rows = rows.unionByName(more)
+    if not complete:
+        rows = written(rows, "cells")
+        rest = _filled(rows.where("h_token is not null"), counts).select("c_pair", "c_before", "c_token")
+        rows = rows.select("cell", "n").unionByName(rest.mapInArrow(_cells_of(room), "cell long, n long"))
+    # As many rows as there are cells in use, whatever the input.
+    n_cell = np.zeros(_CLASSES * _ODDS, np.int64)
+    for r in rows.where("cell is not null").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+        n_cell[r.cell] = r.n
+    return fit_shares(n_cell)
 
 
 def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
