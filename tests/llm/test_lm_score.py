@@ -62,6 +62,29 @@ def test_parts_and_joined_counts_give_the_same_fitted_scores(spark, sf_small):
     assert a == b and len(a) == 60
 
 
+def test_shares_are_fitted_on_all_training_texts(spark):
+    # 1500 texts, each with bigrams of its own: what one text says, the others do not.
+    docs = spark.createDataFrame([(i, f"common word{i % 500} next{(i * i) % 7} tail{i % 3}") for i in range(1500)], "doc_id long, text string")
+    every = lm_score.F.lit(True)
+    whole, given, none = (sorted((r.doc_id, round(r.score, 9)) for r in lm_score.lm_score(docs, every, **more).collect()) for more in ({}, {"sample_docs": 1500}, {"sample_docs": 0}))
+    assert whole == given and whole != none
+
+
+def test_fit_on_cells_is_the_fit_on_tokens():
+    rng = np.random.default_rng(3)
+    c_before = rng.integers(1, 2000, 20000)
+    c_pair = np.minimum(lm_score.edge(lm_score.level(rng.integers(1, 300, 20000))), c_before)
+    c_token, room = rng.integers(1, 5000, 20000), 100000.0
+    got = lm_score.fit_shares(np.bincount(lm_score.fit_cells(c_pair, c_before, c_token, room)))
+    use = c_before > 1
+    x, y, of = (np.maximum(c_pair - 1, 0) / np.maximum(c_before - 1, 1))[use], c_token[use] / room, lm_score.size_class(c_before)[use]
+    want, n = np.full(65, 0.5), np.bincount(of, minlength=65)
+    for _ in range(40):
+        post = want[of] * x / (want[of] * x + (1 - want[of]) * y)
+        want = np.clip((np.bincount(of, post, 65) + 50 * post.mean()) / (n + 50), 0.001, 0.95)
+    assert np.abs(got - want).max() < 2e-3
+
+
 def test_edges_of_input(spark):
     docs = spark.createDataFrame([(1, None, 1.0), (2, "", 1.0), (None, "a A", 1.0), (3, "a A b", 1.0), (3, "a A b", 1.0)], "doc_id long, text string, score double")
     got = lm_score.lm_score(docs, ~lm_score.held_out("doc_id")).collect()

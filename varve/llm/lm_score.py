@@ -8,8 +8,9 @@ bucket sums its runs, quantises a count c to level 1 + floor(log c / log BASE) a
 1, 2, ... until one is missing: the last one found gives the count's lower edge.
 
 The probability of w after v is s * count(v w) / count(v) + (1 - s) * (count(w) + 1) /
-(N + V + 1), with s by the size class of count(v), fitted on a bounded sample of training
-texts as if each of their own bigrams had been counted once less.
+(N + V + 1), with s by the size class of count(v), fitted on all training texts as if each
+of their own bigrams had been counted once less. The workers reduce these texts to numbers
+of tokens by size class and quantised odds, a table of bounded size.
 
 Filters are broadcast MAX_FILTER_BYTES at a time: with more, the texts are read once for
 each part and the parts' sums are added, which gives the same scores. Token counts are
@@ -41,7 +42,7 @@ BASE = 2**0.5
 COUNT_BYTES, SCORE_BYTES = 16 << 20, 4 << 20
 #: A level sets PROBES bits of one 64-bit word; the filter has BITS bits a level.
 PROBES, BITS = 4, 10
-MAX_FILTER_BYTES, MAX_TOKENS, SAMPLE_DOCS = 160 << 20, 8_000_000, 1000
+MAX_FILTER_BYTES, MAX_TOKENS = 160 << 20, 8_000_000
 #: Bigrams (before summing) that one bucket takes.
 BUCKET_TOKENS = 2_000_000
 _END, _START = np.uint64(0x5EED0E4D5EED0E4D), np.uint64(0x57A7275657A72756)
@@ -326,9 +327,10 @@ def _joined(rows: DataFrame, counts: DataFrame, shares: np.ndarray, room: float,
     return each.select("doc_id", "tag", "n_tokens", (F.col("n_known") / F.col("copies")).cast("long").alias("n_known"), (F.col("base_score") / F.col("copies")).alias("base_score"), (F.col("score") / F.col("copies")).alias("score"))
 
 
-def lm_score(docs: DataFrame, train, max_tokens: int = MAX_TOKENS, max_filter_bytes: int = MAX_FILTER_BYTES, sample_docs: int = SAMPLE_DOCS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def lm_score(docs: DataFrame, train, max_tokens: int = MAX_TOKENS, max_filter_bytes: int = MAX_FILTER_BYTES, sample_docs: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score of every row; train is
-    the condition on the rows to learn from."""
+    the condition on the rows to learn from; the shares are fitted on all of these rows, or
+    on sample_docs of them if it is given (0: every share is one half)."""
     spark, context = docs.sparkSession, docs.sparkSession.sparkContext
     small_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -415,10 +417,15 @@ def _cells_of(room: float):
     return run
 
 
-def _shares(training: DataFrame, counts: DataFrame, known, filters: list, complete: bool, room: float, sample_docs: int) -> np.ndarray:
-    """Fits the shares on at most sample_docs training texts."""
+def _drawn(training: DataFrame, sample_docs: int) -> DataFrame:
     draw = training.select("doc_id", F.xxhash64(F.lit(3), "doc_id").alias("draw")).orderBy("draw", "doc_id").limit(sample_docs).select("doc_id").distinct()
-    training = training.join(F.broadcast(draw), "doc_id", "left_semi").orderBy("doc_id", F.crc32(F.col("text").cast("binary"))).limit(sample_docs)
+    return training.join(F.broadcast(draw), "doc_id", "left_semi").orderBy("doc_id", F.crc32(F.col("text").cast("binary"))).limit(sample_docs)
+
+
+def _shares(training: DataFrame, counts: DataFrame, known, filters: list, complete: bool, room: float, sample_docs: int | None) -> np.ndarray:
+    """Fits the shares on all training texts, or on at most sample_docs."""
+    if sample_docs is not None:
+        training = _drawn(training, sample_docs)
     asked = [training.mapInArrow(_cells(known, f, len(filters)), "cell long, n long" + _MORE) for f in filters]
     rows = asked[0]
     for more in asked[1:]:
