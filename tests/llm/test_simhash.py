@@ -62,3 +62,11 @@ def test_edges_of_input(spark):
     got = sorted(tuple(r) for r in simhash.near_duplicates(docs, tile=2).select("doc_id", "component_id").collect() if r[0] is not None)
     assert got == [(2, 2), (4, 2), (9, 9), (9, 9)]
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_keep_one_keeps_each_text_without_an_id(spark):
+    rows = [(None, "q r s t u"), (None, "one two three four five six"), (None, "one two three four five six"), (None, None), (7, "alpha beta gamma delta"), (None, "alpha beta gamma delta")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [tuple(r) for r in simhash.keep_one(docs).collect()]
+    want = [(None, "q r s t u"), (None, "one two three four five six"), (None, None), (7, "alpha beta gamma delta")]
+    assert sorted(got, key=str) == sorted(want, key=str)

@@ -141,23 +141,30 @@ def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFr
     return work.repartition(n_tasks).mapInPandas(_compare(radius), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS, tile: int = TILE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fingerprint, component_id, text_hash of every row."""
+def _rooted(docs: DataFrame, radius: int, tile: int, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, print, root (a node of the row's component), component_id, text_hash of every row."""
     prints = written(fingerprints(docs, id_col, text_col), "prints")
     nodes = written(prints.groupBy("print", "ones").agg(F.min("doc_id").alias("least")).withColumn("node", F.col("print")), "nodes")
     of = components(links(nodes, radius, tile).where("a <> b"))
     # A component is named by the smallest doc_id of its prints.
     named = nodes.join(of, "node", "left").select("print", "least", F.coalesce("component", "node").alias("root"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    out = named.join(least, "root").select("print", "component_id")
-    return prints.join(out, "print").select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id", "text_hash")
+    out = named.join(least, "root").select("print", "root", "component_id")
+    return prints.join(out, "print").select("doc_id", "print", "root", "component_id", "text_hash")
+
+
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, tile: int = TILE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, fingerprint, component_id, text_hash of every row."""
+    found = _rooted(docs, radius, tile, id_col, text_col)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id", "text_hash")
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns, with one row of each component: that of its
     smallest doc_id (of rows that repeat it, the one with the least hash of its text)."""
-    found = near_duplicates(docs, radius, id_col=id_col, text_col=text_col)
-    stay = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("first"))
+    # By root: the name is null of every component whose rows all lack an id.
+    found = _rooted(docs, radius, TILE, id_col, text_col)
+    stay = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("first"))
     stay = written(stay.select(F.col("first.doc_id").alias("__id"), F.col("first.text_hash").alias("__hash")), "stay")
     rows = docs.withColumn("__row_hash", F.xxhash64(text_col))
     rows = rows.join(stay, rows["__row_hash"].eqNullSafe(stay["__hash"]) & rows[id_col].eqNullSafe(stay["__id"]), "left_semi")
