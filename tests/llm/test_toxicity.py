@@ -41,6 +41,19 @@ def test_held_out_rows(spark):
     assert got[9003].predicted == got[9004].predicted == 1
 
 
+def test_words_with_two_or_three_letters_put_in():
+    marks, words = ["idiot", "moron", "loser"], ["idxizot", "ixdqiot", "mxorqon", "lozsewr", "ixdqizot", "mxoqrzon"]
+    got = toxicity.Pool(toxicity.Kernel(marks))([{w} for w in words])
+    assert np.allclose(got, [[brute_kernel(w, m) for m in marks] for w in words], atol=1e-4) and (got.max(axis=1) > 0).all()
+    rng = np.random.default_rng(1)
+    plain = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 7)) for _ in range(400)]
+    texts = [" ".join(rng.choice(plain, 20)) + (f" {marks[i // 4 % 3]}" if i % 4 == 0 else "") for i in range(900)]
+    model = toxicity.fit(texts, (np.arange(900) % 4 == 0).astype(np.int64))
+    assert model.scores([None])[0] < 0.5 and np.mean(model.scores([" ".join(rng.choice(plain, 20)) for _ in range(200)]) < 0.5) > 0.9
+    assert (model.scores(["fine " + w for w in words]) > model.scores(["fine"])).all()
+    assert (model.scores(["fine " + w for w in words[:2]]) >= 0.5).all()
+
+
 def test_edges_of_input(spark):
     docs = spark.createDataFrame([(1, "x")], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, toxic int")

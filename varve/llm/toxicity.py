@@ -34,10 +34,12 @@ from pyspark.sql import functions as F
 from varve.llm.common import crc_mod, small_batches, table
 
 MAX_PER_CLASS, N_LANDMARKS = 2500, 128
-SPAN, DECAY, WINDOW, FLOOR = 5, 0.8, 24, 0.45
+SPAN, DECAY, WINDOW = 5, 0.8, 24
+#: Kernel values count from here on: all of them.
+FLOOR = 0.0
 #: Powers of the kernel (each a kernel again): one that forgives changed letters, one for close spellings.
 POWERS = (2, 8)
-_MAX_CACHE, _CHUNK, _SLICE, _LETTERS = 1_000_000, 4096, 256, 40
+_MAX_CACHE, _BLOCK, _CHUNK, _SLICE, _LETTERS = 200_000, 16_384, 4096, 256, 40
 _LOOKALIKE = str.maketrans("013457@$", "oieastas")
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 _INNER = re.compile(r"[\W_]+")
@@ -93,7 +95,7 @@ def subsequences(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def norms(row: np.ndarray, sub: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
     """Square roots of the words' own kernels."""
     key = row * _LETTERS**3 + sub
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     key, weight = key[order], weight[order]
     first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
     sums = np.add.reduceat(weight, first) if len(key) else np.zeros(0)
@@ -107,69 +109,39 @@ class Kernel:
         self.landmarks = landmarks
         row, sub, weight = subsequences(landmarks)
         own = norms(row, sub, weight, len(landmarks))
-        used = np.unique(sub)
-        self.at = np.full(_LETTERS**3, -1, np.int32)
-        self.at[used] = np.arange(len(used))
-        self.matrix = np.zeros((len(used), len(landmarks)), np.float32)
-        np.add.at(self.matrix, (self.at[sub], row), weight / own[row])
-        self.most = self._kin()
-
-    def _kin(self, near: float = 0.35, most: int = 24) -> np.ndarray:
-        """Each subsequence's greatest weight in each family of similar landmarks."""
-        own, leaders, family = self.matrix.T @ self.matrix, [], []
-        for i in range(len(self.landmarks)):
-            like = [k for k, j in enumerate(leaders) if own[i, j] >= near]
-            if not like and len(leaders) < most:
-                leaders.append(i)
-                like = [len(leaders) - 1]
-            family.append(like[0] if like else most - 1)
-        out = np.zeros((len(self.matrix), max(family, default=0) + 1), np.float32)
-        for i, k in enumerate(family):
-            out[:, k] = np.maximum(out[:, k], self.matrix[:, i])
-        return out
-
-    @staticmethod
-    def _sums(values: np.ndarray, row: np.ndarray, where: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Weighted sums of values by row (rows come in order), and the rows."""
-        hit = where >= 0
-        row, x = row[hit], values[where[hit]] * weight[hit, None]
-        first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else np.zeros(0, np.int64)
-        return (np.add.reduceat(x, first) if len(row) else x), row[first]
+        # Each subsequence's landmarks and weights, end to end: few have many.
+        entry, back = np.unique(sub * len(landmarks) + row, return_inverse=True)
+        self.mark, self.value = entry % len(landmarks), np.bincount(back, weight / own[row])
+        self.size = np.bincount(entry // len(landmarks), minlength=_LETTERS**3)
+        self.first = np.cumsum(self.size) - self.size
 
     def __call__(self, words: list[str]) -> np.ndarray:
-        out = np.zeros((len(words), len(self.landmarks)), np.float32)
+        n = len(self.landmarks)
+        out = np.zeros((len(words), n), np.float32)
         for at in range(0, len(words), _CHUNK):
             part = words[at : at + _CHUNK]
             row, sub, weight = subsequences(part)
-            # The sum of squared weights is at most the own kernel, and a subsequence adds
-            # at most its family's greatest weight: most words fall below FLOOR by these.
-            least = FLOOR * np.sqrt(np.bincount(row, weight**2, len(part)))
-            where = self.at[sub]
-            order = np.argsort(row, kind="stable")
-            row, sub, weight, where = row[order], sub[order], weight[order], where[order]
-            bound, of = self._sums(self.most, row, where, weight)
-            may = np.zeros(len(part), bool)
-            may[of] = bound.max(axis=1, initial=0) >= least[of]
-            sel = may[row]
-            row, sub, weight, where = row[sel], sub[sel], weight[sel], where[sel]
-            raw, of = self._sums(self.matrix, row, where, weight)
-            if not len(of):
-                continue
-            near = raw.max(axis=1) >= least[of]
-            raw, of = raw[near], of[near]
-            keep = np.zeros(len(part), bool)
-            keep[of] = True
-            sel = keep[row]
-            own = norms(row[sel], sub[sel], weight[sel], len(part))[of]
-            out[at + of] = raw / own[:, None]
+            own = norms(row, sub, weight, len(part))
+            hit = self.size[sub] > 0
+            row, sub, weight = row[hit], sub[hit], weight[hit]
+            size = self.size[sub]
+            entry = np.repeat(self.first[sub] - np.cumsum(size) + size, size) + np.arange(size.sum())
+            cell = np.repeat(row * n, size) + self.mark[entry]
+            raw = np.bincount(cell, np.repeat(weight, size) * self.value[entry], len(part) * n).reshape(len(part), n)
+            out[at : at + len(part)] = raw / np.maximum(own, 1e-9)[:, None]
         return np.minimum(out, 1.0)
 
 
 class Pool:
-    """A text's greatest values over its words, those under FLOOR as 0; words are remembered."""
+    """A text's greatest values over its words; the values of words are remembered."""
 
     def __init__(self, kernel: Kernel):
-        self.kernel, self.rows, self.values = kernel, {}, np.zeros((1, len(kernel.landmarks)), np.float32)
+        self.kernel = kernel
+        self._forget()
+
+    def _forget(self) -> None:
+        # The first row is that of words without any value.
+        self.rows, self.n, self.values = {}, 1, np.zeros((_BLOCK, len(self.kernel.landmarks)), np.float32)
 
     def _learn(self, new: list[str]) -> None:
         cleaned: dict[str, list[str]] = {}
@@ -177,7 +149,6 @@ class Pool:
             cleaned.setdefault(clean(w), []).append(w)
         parts = [(n, part) for n, w in enumerate(cleaned) if len(w) >= 3 for part in _windows(w)]
         value = self.kernel([p for _, p in parts])
-        value[value < FLOOR] = 0
         self.rows.update(dict.fromkeys(new, 0))
         found = np.flatnonzero(value.any(axis=1))
         if not len(found):
@@ -185,18 +156,24 @@ class Pool:
         of = np.array([n for n, _ in parts])[found]
         first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
         raws = list(cleaned.values())
-        for n, k in enumerate(of[first].tolist(), len(self.values)):
+        for n, k in enumerate(of[first].tolist(), self.n):
             for raw in raws[k]:
                 self.rows[raw] = n
-        self.values = np.concatenate([self.values, np.maximum.reduceat(value[found], first)])
+        stop = self.n + len(first)
+        if stop > len(self.values):
+            self.values = np.concatenate([self.values, np.zeros((stop, self.values.shape[1]), np.float32)])
+        self.values[self.n : stop] = np.maximum.reduceat(value[found], first)
+        self.n = stop
 
     def __call__(self, texts: list[set[str]]) -> np.ndarray:
         out = np.zeros((len(texts), self.values.shape[1]), np.float32)
         for at in range(0, len(texts), _SLICE):
             part = texts[at : at + _SLICE]
             if len(self.rows) > _MAX_CACHE:
-                self.rows, self.values = {}, self.values[:1]
-            self._learn([w for w in set().union(*part) if w not in self.rows])
+                self._forget()
+            new = [w for w in set().union(*part) if w not in self.rows]
+            for k in range(0, len(new), _BLOCK):
+                self._learn(new[k : k + _BLOCK])
             for i, words in enumerate(part, at):
                 rows = {self.rows[w] for w in words}
                 if rows:
@@ -296,15 +273,17 @@ def nystroem(kernel: Kernel) -> np.ndarray:
 
 
 def disguised(words: list[set[str]], landmarks: set[str], seed: int = 13) -> list[set[str]]:
-    """Copies of texts whose landmark words each got one letter put in."""
+    """Copies of texts whose landmark words each got one to three letters put in."""
     rng, out = np.random.default_rng(seed), []
     for w in words:
         hit = {x for x in w if clean(x) in landmarks}
         if hit:
             new = set()
             for x in sorted(map(clean, hit)):
-                at = int(rng.integers(1, len(x)))
-                new.add(x[:at] + "xzqjkvw"[rng.integers(7)] + x[at:])
+                for _ in range(int(rng.integers(1, 4))):
+                    at = int(rng.integers(1, len(x)))
+                    x = x[:at] + "xzqjkvw"[rng.integers(7)] + x[at:]
+                new.add(x)
             out.append((w - hit) | new)
     return out
 
@@ -332,7 +311,7 @@ def fit(texts: list[str], toxic: np.ndarray) -> Model:
         return Model([], np.zeros(1), (1.0, 0.0), float(toxic.mean()))
     kernel = Kernel(landmarks)
     root = nystroem(kernel)
-    # Words that mark label 1 are also shown with a letter put in, as they may be met.
+    # Words that mark label 1 are also shown with letters put in, as they may be met.
     words += disguised([w for w, t in zip(words, toxic.tolist(), strict=True) if t], set(landmarks))
     toxic = np.r_[toxic, np.ones(len(words) - len(toxic), np.int64)]
     x = powers(Pool(kernel)(words)) @ root
