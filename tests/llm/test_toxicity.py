@@ -54,6 +54,13 @@ def test_words_with_two_or_three_letters_put_in():
     assert (model.scores(["fine " + w for w in words[:2]]) >= 0.5).all()
 
 
+def test_a_word_of_few_toxic_texts_is_a_landmark():
+    words = [{"idiot", f"text{i}"} for i in range(1000)] + [{"moron", f"more{i}"} for i in range(3)] + [{"plain", f"rest{i}"} for i in range(1000)]
+    toxic = np.r_[np.ones(1003, np.int64), np.zeros(1000, np.int64)]
+    assert toxicity.choose_landmarks(words, toxic) == ["idiot", "moron"]
+    assert toxicity.choose_landmarks(words[1000:], toxic[1000:]) == ["moron"]
+
+
 def test_edges_of_input(spark):
     docs = spark.createDataFrame([(1, "x")], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, toxic int")

@@ -190,12 +190,14 @@ def choose_landmarks(words: list[set[str]], toxic: np.ndarray, n: int = N_LANDMA
     # A word in one text says nothing of other texts.
     ratio = {w: (k + 0.5) / (df[0][w] + 0.5) * n0 / n1 for w, k in df[1].items() if k > 1}
     gain = {w: df[1][w] * np.log(r) for w, r in ratio.items() if r > 2}
-    lead = sorted((w for w in gain if gain[w] >= max(10.0, 0.01 * n1)), key=lambda w: (-gain[w], w))[: 8 * n]
-    chosen: list[str] = []
-    for w in lead:
-        if len(chosen) < n and (not chosen or Kernel(chosen)([w]).max() < 0.97):
-            chosen.append(w)
-    return chosen
+    lead = sorted(gain, key=lambda w: (-gain[w], w))[: 8 * n]
+    if not lead:
+        return []
+    like, chosen = Kernel(lead)(lead), []
+    for i in range(len(lead)):
+        if len(chosen) < n and like[i, chosen].max(initial=0) < 0.97:
+            chosen.append(i)
+    return [lead[i] for i in chosen]
 
 
 def train_svm(x: np.ndarray, y: np.ndarray, cost: float = 1.0, epochs: int = 30, seed: int = 7) -> np.ndarray:
