@@ -43,3 +43,15 @@ def test_index_keeps_what_earlier_batches_held(spark):
     plan = two.select(exact_dedup.digest("text").alias("digest")).join(at.read().hint("merge"), "digest", "left_anti")._jdf.queryExecution().toString()
     assert "SortMergeJoin" in plan and "Bucketed: true" in plan
     at.drop()
+
+
+def test_query_joins_its_batch_to_the_index(spark, sf_small, monkeypatch):
+    from varve.llm import exact_dedup
+
+    read, kinds = [], []
+    whole, join = exact_dedup.DigestIndex.read, type(spark.range(0)).join
+    monkeypatch.setattr(exact_dedup.DigestIndex, "read", lambda self: read.append(whole(self)) or read[-1])
+    monkeypatch.setattr(type(spark.range(0)), "join", lambda self, other, on=None, how=None: kinds.append(how) or join(self, other, on, how))
+    n = exact_dedup.op4_exact_dedup(spark, sf_small).count()
+    assert n == spark.read.parquet(f"{sf_small}/documents.parquet").count()
+    assert read and read[0] is not None and "left_anti" in kinds

@@ -17,6 +17,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from varve.llm.common import SPACE, table, written
 
@@ -37,6 +38,11 @@ class DigestIndex:
     def read(self) -> DataFrame | None:
         return self.spark.table(self.name) if self.exists() else None
 
+    def create(self, id_type) -> None:
+        """An empty index, where there is none."""
+        if not self.exists():
+            self.append(self.spark.createDataFrame([], StructType([StructField("digest", StringType()), StructField("keep_id", id_type)])))
+
     def append(self, rows: DataFrame) -> None:
         (
             rows.select("digest", "keep_id")
@@ -57,14 +63,11 @@ def deduplicate(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", tex
     """
     rows = written(docs.select(F.col(id_col).alias("doc_id"), digest(text_col).alias("digest")), "digests")
     batch = rows.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("group_size"))
+    index.create(rows.schema["doc_id"].dataType)
     known = index.read()
-    if known is None:
-        found = batch.withColumns({"keep_id": F.col("first_id"), "fresh": F.lit(True)})
-    else:
-        fresh = batch.join(known.hint("merge"), "digest", "left_anti").withColumns({"keep_id": F.col("first_id"), "fresh": F.lit(True)})
-        seen = batch.join(known.hint("merge"), "digest").withColumn("fresh", F.lit(False))
-        found = fresh.unionByName(seen.select(fresh.columns))
-    found = written(found, "groups")
+    fresh = batch.join(known.hint("merge"), "digest", "left_anti").withColumns({"keep_id": F.col("first_id"), "fresh": F.lit(True)})
+    seen = batch.join(known.hint("merge"), "digest").withColumn("fresh", F.lit(False))
+    found = written(fresh.unionByName(seen.select(fresh.columns)), "groups")
     index.append(found.where("fresh"))
     # Both sides are shuffled by digest, so a hot group is split by the skew-join rule.
     copies = rows.groupBy("digest", "doc_id").agg(F.count(F.lit(1)).alias("copies"))
