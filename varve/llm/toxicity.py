@@ -39,7 +39,7 @@ SPAN, DECAY, WINDOW = 5, 0.8, 24
 FLOOR = 0.0
 #: Powers of the kernel (each a kernel again): one that forgives changed letters, one for close spellings.
 POWERS = (2, 8)
-_MAX_CACHE, _BLOCK, _CHUNK, _SLICE, _LETTERS = 200_000, 16_384, 4096, 256, 40
+_MAX_CACHE, _BLOCK, _CHUNK, _SLICE, _LETTERS = 80_000, 8192, 1024, 256, 40
 _LOOKALIKE = str.maketrans("013457@$", "oieastas")
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 _INNER = re.compile(r"[\W_]+")
@@ -161,7 +161,7 @@ class Pool:
                 self.rows[raw] = n
         stop = self.n + len(first)
         if stop > len(self.values):
-            self.values = np.concatenate([self.values, np.zeros((stop, self.values.shape[1]), np.float32)])
+            self.values = np.concatenate([self.values, np.zeros((stop - len(self.values) + _BLOCK, self.values.shape[1]), np.float32)])
         self.values[self.n : stop] = np.maximum.reduceat(value[found], first)
         self.n = stop
 
