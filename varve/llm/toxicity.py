@@ -2,25 +2,36 @@
 
 The kernel of two words is the gap-weighted count of their common three-letter
 subsequences (each within SPAN letters, weighted by DECAY per letter spanned), normalised
-by the words' own kernels; letters inserted into a word, and gaps, lower it gradually. A
-text is its greatest kernel value with each landmark word over all of its words. These
-values go through the Nyström map (inverse square root of the landmarks' kernel matrix)
-to a linear support vector machine, whose margin a logistic curve turns into a score.
+by the words' own kernels; letters inserted into a word, and gaps, lower it gradually. The
+kernel of two sentences is the sum of the word kernels (in each of POWERS) over all pairs
+of their words, a kernel again. A sentence is a run of RUN words, wherever it starts.
+
+Landmarks are one-word sentences that mark label 1. A sentence's kernel values with them
+go through the Nyström map (inverse square root of the landmarks' kernel matrix) to a
+linear support vector machine. It is trained on labelled sentences: the one of greatest
+margin of each labelled text, chosen anew in each of ROUNDS rounds, and copies of the
+toxic ones with letters put into their words. A text has the margin of its most toxic
+sentence, which a logistic curve turns into a score. Because margins are linear in the
+kernel, a word adds one number wherever it stands: workers remember these numbers.
 
 Words are lower-cased, trimmed to letters and digits with look-alike digits read as
-letters, and letters that stand alone in a row are also read as one word; words longer
-than WINDOW are read in overlapping windows, so whole texts count.
-
-Training reads a bounded sample (MAX_PER_CLASS labelled texts of either class, by seeded
-hash of doc_id); scoring covers every text. Defined results: a null or empty text has no
-words and gets the score of the bare offset; without labels of both classes the score is
-the share of label 1, or 0 without any; repeated rows are scored alike; rows of labels
-with null label or id are left out; other columns are ignored.
+letters; letters that stand alone in a row are also read as one word, a sentence of its
+own; a word longer than WINDOW counts as the overlapping windows that it is cut into.
+
+Training reads a bounded sample (MAX_PER_CLASS labelled texts of either class by seeded
+hash of doc_id, of at most MAX_TRAIN_BYTES a class); scoring covers every word of every
+text. Defined results: a null or empty text has no words and gets the score of the bare
+offset; without labels of both classes the score is the share of label 1, or 0 without
+any; rows that repeat an id train as one (its least text, label 1 if any says so);
+repeated rows are scored alike, a row each; a null id is carried through and never
+trains; rows of labels with null label or id are left out; an empty table gives an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+import sys
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -30,16 +41,17 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from varve.llm.common import crc_mod, small_batches, table
 
-MAX_PER_CLASS, N_LANDMARKS = 2500, 128
+MAX_PER_CLASS, MAX_TRAIN_BYTES, N_LANDMARKS = 2500, 32 << 20, 128
 SPAN, DECAY, WINDOW = 5, 0.8, 24
-#: Kernel values count from here on: all of them.
-FLOOR = 0.0
+#: Words of a sentence; rounds of choosing sentences and training; disguised copies of a landmark.
+RUN, ROUNDS, COPIES = 4, 3, 1
 #: Powers of the kernel (each a kernel again): one that forgives changed letters, one for close spellings.
 POWERS = (2, 8)
-_MAX_CACHE, _BLOCK, _CHUNK, _SLICE, _LETTERS = 80_000, 8192, 1024, 256, 40
+_MAX_CACHE, _BLOCK, _CHUNK, _SLICE, _LETTERS = 200_000, 4096, 256, 64, 40
 _LOOKALIKE = str.maketrans("013457@$", "oieastas")
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 _INNER = re.compile(r"[\W_]+")
@@ -55,15 +67,12 @@ def clean(word: str) -> str:
     return _INNER.sub("", _EDGE.sub("", word).translate(_LOOKALIKE))
 
 
-def words_of(text: str | None) -> set[str]:
-    """The distinct raw words of a lower-cased text, letters in a row joined as well."""
+def words_of(text: str | None) -> tuple[list[str], list[str]]:
+    """The words of a lower-cased text in order; and its letters in a row, joined."""
     if not text:
-        return set()
+        return [], []
     text = text.lower()
-    found = set(text.split())
-    for m in _SPACED.finditer(text):
-        found.add("".join(m.group().split()))
-    return found
+    return text.split(), ["".join(m.group().split()) for m in _SPACED.finditer(text)]
 
 
 def _windows(word: str) -> list[str]:
@@ -132,60 +141,60 @@ class Kernel:
         return np.minimum(out, 1.0)
 
 
-class Pool:
-    """A text's greatest values over its words; the values of words are remembered."""
+def powers(values: np.ndarray) -> np.ndarray:
+    """A block of columns for each power."""
+    return np.hstack([values.astype(np.float32) ** p for p in POWERS])
 
-    def __init__(self, kernel: Kernel):
-        self.kernel = kernel
-        self._forget()
 
-    def _forget(self) -> None:
-        # The first row is that of words without any value.
-        self.rows, self.n, self.values = {}, 1, np.zeros((_BLOCK, len(self.kernel.landmarks)), np.float32)
+def steepest(own: np.ndarray, run: int = RUN) -> tuple[float, int]:
+    """Greatest sum over run next words, and where that run starts; shorter texts are one run."""
+    if len(own) <= run:
+        return float(own.sum()), 0
+    total = np.cumsum(np.r_[0.0, own])
+    sums = total[run:] - total[:-run]
+    at = int(sums.argmax())
+    return float(sums[at]), at
+
+
+class Words:
+    """What each word adds to a margin; remembered, up to a bound."""
+
+    def __init__(self, kernel: Kernel, weights: np.ndarray):
+        self.kernel, self.weights = kernel, weights
+        self.known: dict[str, float] = {}
 
     def _learn(self, new: list[str]) -> None:
-        cleaned: dict[str, list[str]] = {}
-        for w in new:
-            cleaned.setdefault(clean(w), []).append(w)
-        parts = [(n, part) for n, w in enumerate(cleaned) if len(w) >= 3 for part in _windows(w)]
-        value = self.kernel([p for _, p in parts])
-        self.rows.update(dict.fromkeys(new, 0))
-        found = np.flatnonzero(value.any(axis=1))
-        if not len(found):
-            return
-        of = np.array([n for n, _ in parts])[found]
-        first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
-        raws = list(cleaned.values())
-        for n, k in enumerate(of[first].tolist(), self.n):
-            for raw in raws[k]:
-                self.rows[raw] = n
-        stop = self.n + len(first)
-        if stop > len(self.values):
-            self.values = np.concatenate([self.values, np.zeros((stop - len(self.values) + _BLOCK, self.values.shape[1]), np.float32)])
-        self.values[self.n : stop] = np.maximum.reduceat(value[found], first)
-        self.n = stop
-
-    def __call__(self, texts: list[set[str]]) -> np.ndarray:
-        out = np.zeros((len(texts), self.values.shape[1]), np.float32)
-        for at in range(0, len(texts), _SLICE):
-            part = texts[at : at + _SLICE]
-            if len(self.rows) > _MAX_CACHE:
-                self._forget()
-            new = [w for w in set().union(*part) if w not in self.rows]
-            for k in range(0, len(new), _BLOCK):
-                self._learn(new[k : k + _BLOCK])
-            for i, words in enumerate(part, at):
-                rows = {self.rows[w] for w in words}
-                if rows:
-                    out[i] = self.values[list(rows)].max(axis=0)
-        return out
+        parts = [(n, part) for n, w in enumerate(map(clean, new)) if len(w) >= 3 for part in _windows(w)]
+        value = powers(self.kernel([p for _, p in parts])) @ self.weights
+        self.known.update(zip(new, np.bincount([n for n, _ in parts], value, len(new)).tolist(), strict=True))
+
+    def __call__(self, texts: list[list[str]]) -> list[np.ndarray]:
+        if len(self.known) > _MAX_CACHE:
+            self.known.clear()
+        new = [w for w in set().union(*texts) if w not in self.known]
+        for at in range(0, len(new), _BLOCK):
+            self._learn(new[at : at + _BLOCK])
+        return [np.fromiter(map(self.known.__getitem__, words), np.float64, len(words)) for words in texts]
+
+
+def text_counts(words: list, toxic: np.ndarray) -> tuple[Counter, Counter]:
+    """Texts of label 0 and of label 1 that hold each word."""
+    df = (Counter(), Counter())
+    for w, t in zip(words, toxic.tolist(), strict=True):
+        df[t].update({c for c in map(clean, set(w)) if 3 <= len(c) <= WINDOW})
+    return df
+
 
+def sure(word: str, df: tuple[Counter, Counter], toxic: np.ndarray) -> bool:
+    """The word's share of label 1 is no chance at one in a thousand (likelihood ratio)."""
+    k, m, share = df[1][word], df[0][word], min(max(toxic.mean(), 1e-9), 1 - 1e-9)
+    part = (k + 1e-12) / (k + m + 1e-12)
+    return part > share and 2 * (k * np.log(part / share) + m * np.log(max(1 - part, 1e-12) / (1 - share))) > 10.83
 
-def choose_landmarks(words: list[set[str]], toxic: np.ndarray, n: int = N_LANDMARKS) -> list[str]:
+
+def choose_landmarks(words: list, toxic: np.ndarray, n: int = N_LANDMARKS) -> list[str]:
     """Words that mark label 1 most (count times log ratio of document shares), unlike one another."""
-    df = [Counter(), Counter()]
-    for w, t in zip(words, toxic.tolist(), strict=True):
-        df[t].update({c for c in map(clean, w) if 3 <= len(c) <= WINDOW})
+    df = text_counts(words, toxic)
     n1, n0 = max(1, int(toxic.sum())), max(1, int((1 - toxic).sum()))
     # A word in one text says nothing of other texts.
     ratio = {w: (k + 0.5) / (df[0][w] + 0.5) * n0 / n1 for w, k in df[1].items() if k > 1}
@@ -224,44 +233,53 @@ def train_svm(x: np.ndarray, y: np.ndarray, cost: float = 1.0, epochs: int = 30,
 
 
 def fit_curve(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of a logistic curve through the margins, by Newton's method."""
-    a, b, ridge = 1.0, 0.0, 1e-3
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a * margin + b, -30, 30)))
-        g = np.array([((p - y) * margin).sum() + ridge * a, (p - y).sum() + ridge * b])
-        r = p * (1 - p)
-        h = np.array([[(r * margin**2).sum() + ridge, (r * margin).sum()], [(r * margin).sum(), r.sum() + ridge]])
-        step = np.linalg.solve(h, g)
-        a, b = a - step[0], b - step[1]
+    """Slope and offset of a logistic curve through the margins, by Newton's method with
+    halved steps; targets are a little inside 0 and 1, so that separable margins have a fit."""
+    n1 = y.sum()
+    goal = np.where(y > 0, (n1 + 1) / (n1 + 2), 1 / (len(y) - n1 + 2))
+
+    def loss(at):
+        z = at[0] * margin + at[1]
+        return (np.logaddexp(0, z) - goal * z).sum()
+
+    at = np.array([0.0, np.log((n1 + 1) / (len(y) - n1 + 1))])
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(at[0] * margin + at[1], -30, 30)))
+        g, r = np.array([((p - goal) * margin).sum(), (p - goal).sum()]), p * (1 - p)
+        h = np.array([[(r * margin**2).sum(), (r * margin).sum()], [(r * margin).sum(), r.sum()]]) + 1e-9 * np.eye(2)
+        step, now = np.linalg.solve(h, g), loss(at)
+        while loss(at - step) > now and np.abs(step).max() > 1e-9:
+            step /= 2
+        at = at - step
         if np.abs(step).max() < 1e-8:
             break
-    return float(a), float(b)
+    return float(at[0]), float(at[1])
 
 
 class Model:
-    """What the workers get: landmarks, Nyström map, weights, curve. A few kilobytes."""
+    """What the workers get: landmarks, weights of their kernel values, offset, curve. A few kilobytes."""
 
-    def __init__(self, landmarks: list[str], weights: np.ndarray, curve: tuple[float, float], constant: float | None = None):
-        self.landmarks, self.weights, self.curve, self.constant = landmarks, weights, curve, constant
-        self._pool: Pool | None = None
+    def __init__(self, landmarks: list[str], weights: np.ndarray, offset: float, curve: tuple[float, float], constant: float | None = None):
+        self.landmarks, self.weights, self.offset, self.curve, self.constant = landmarks, weights, offset, curve, constant
+        self._words: Words | None = None
 
     def __getstate__(self):
-        return self.__dict__ | {"_pool": None}
+        return self.__dict__ | {"_words": None}
+
+    def margins(self, texts: list[str | None]) -> list[float]:
+        split = [words_of(t) for t in texts]
+        out = []
+        for (words, _), own in zip(split, self._words([words + joined for words, joined in split]), strict=True):
+            best = max(steepest(own[: len(words)])[0], own[len(words) :].max(initial=-np.inf)) if words else 0.0
+            out.append(self.offset + best)
+        return out
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         if self.constant is not None:
             return np.full(len(texts), self.constant)
-        self._pool = self._pool or Pool(Kernel(self.landmarks))
-        out = np.empty(len(texts))
-        for at in range(0, len(texts), _SLICE):
-            x = powers(self._pool([words_of(t) for t in texts[at : at + _SLICE]]))
-            margin = x @ self.weights[:-1] + self.weights[-1]
-            out[at : at + _SLICE] = 1 / (1 + np.exp(-np.clip(self.curve[0] * margin + self.curve[1], -30, 30)))
-        return out
-
-
-def powers(pooled: np.ndarray) -> np.ndarray:
-    return np.hstack([pooled.astype(np.float64) ** p for p in POWERS])
+        self._words = self._words or Words(Kernel(self.landmarks), self.weights)
+        margin = [m for at in range(0, len(texts), _SLICE) for m in self.margins(texts[at : at + _SLICE])]
+        return 1 / (1 + np.exp(-np.clip(self.curve[0] * np.array(margin, np.float64) + self.curve[1], -30, 30)))
 
 
 def nystroem(kernel: Kernel) -> np.ndarray:
@@ -274,68 +292,125 @@ def nystroem(kernel: Kernel) -> np.ndarray:
     return out
 
 
-def disguised(words: list[set[str]], landmarks: set[str], seed: int = 13) -> list[set[str]]:
-    """Copies of texts whose landmark words each got one to three letters put in."""
-    rng, out = np.random.default_rng(seed), []
-    for w in words:
-        hit = {x for x in w if clean(x) in landmarks}
-        if hit:
-            new = set()
-            for x in sorted(map(clean, hit)):
-                for _ in range(int(rng.integers(1, 4))):
-                    at = int(rng.integers(1, len(x)))
-                    x = x[:at] + "xzqjkvw"[rng.integers(7)] + x[at:]
-                new.add(x)
-            out.append((w - hit) | new)
-    return out
+def disguise(word: str, rng: np.random.Generator) -> str:
+    """The word with one to three letters put in."""
+    for _ in range(int(rng.integers(1, 4))):
+        at = int(rng.integers(1, len(word)))
+        word = word[:at] + "xzqjkvw"[rng.integers(7)] + word[at:]
+    return word
 
 
-def distinct(words: list[set[str]], toxic: np.ndarray, sketch: int = 4) -> list[int]:
+def distinct(words: list, toxic: np.ndarray, sketch: int = 4) -> list[int]:
     """The first text of each label and sketch (its words of least hash): copies and near
     copies of one text would otherwise outvote the others."""
     seen, out = set(), []
     for i, w in enumerate(words):
-        key = (int(toxic[i]), *sorted(zlib.crc32(x.encode("utf-8", "surrogatepass")) for x in w)[:sketch])
+        key = (int(toxic[i]), *sorted(zlib.crc32(x.encode("utf-8", "surrogatepass")) for x in set(w))[:sketch])
         if key not in seen:
             seen.add(key)
             out.append(i)
     return out
 
 
-def fit(texts: list[str], toxic: np.ndarray) -> Model:
+class Sample:
+    """The labelled texts of the fit: their words by number, and each word's kernel values."""
+
+    def __init__(self, words: list[list[str]], kernel: Kernel):
+        self.kernel, number, self.texts = kernel, {}, []
+        for text in words:
+            parts = [part for w in map(clean, text) if len(w) >= 3 for part in _windows(w)]
+            self.texts.append(np.fromiter((number.setdefault(p, len(number)) for p in parts), np.int64, len(parts)))
+        self.words = list(number)
+        self.values = np.empty((len(number), len(kernel.landmarks)), np.float16)
+        for at in range(0, len(number), _BLOCK):
+            self.values[at : at + _BLOCK] = kernel(self.words[at : at + _BLOCK])
+
+    def own(self, weights: np.ndarray) -> np.ndarray:
+        """What each word adds to a margin."""
+        return np.concatenate([powers(self.values[at : at + _BLOCK]) @ weights for at in range(0, len(self.values), _BLOCK)]) if len(self.values) else np.zeros(0)
+
+    def steepest(self, own: np.ndarray) -> tuple[np.ndarray, list[tuple[int, ...]]]:
+        """Greatest sentence sum of each text and that sentence's words."""
+        best = [steepest(own[t]) for t in self.texts]
+        return np.array([b for b, _ in best]), [tuple(t[at : at + RUN].tolist()) for t, (_, at) in zip(self.texts, best, strict=True)]
+
+    def features(self, sentences: list[tuple[int, ...]]) -> np.ndarray:
+        """Sums of the words' kernel values, by power."""
+        out = np.zeros((len(sentences), len(POWERS) * len(self.kernel.landmarks)))
+        for i, s in enumerate(sentences):
+            if s:
+                out[i] = powers(self.values[list(s)]).sum(axis=0)
+        return out
+
+    def disguised(self, sentences: list[tuple[int, ...]], landmarks: set[str], seed: int = 13) -> np.ndarray:
+        """Features of a sentence for each landmark word in the given ones: without the other
+        landmarks, once as it is and COPIES times with letters put into it."""
+        rng, rest, own, new = np.random.default_rng(seed), [], [], []
+        for s in sentences:
+            hit = [w for w in s if self.words[w] in landmarks]
+            for w in dict.fromkeys(hit):
+                rest.append(tuple(x for x in s if x not in hit))
+                own.append((w,))
+                new += [disguise(self.words[w], rng)[:WINDOW] for _ in range(COPIES)]
+        base = self.features(rest)
+        return np.vstack([base + self.features(own), np.repeat(base, COPIES, axis=0) + (powers(self.kernel(new)) if new else 0.0)])
+
+
+def fit(texts: list[str | None], toxic: np.ndarray) -> Model:
     if not len(texts) or toxic.min() == toxic.max():
-        return Model([], np.zeros(1), (1.0, 0.0), float(toxic.mean()) if len(texts) else 0.0)
-    words = [words_of(t) for t in texts]
+        return Model([], np.zeros(1), 0.0, (1.0, 0.0), float(toxic.mean()) if len(texts) else 0.0)
+    # One string a distinct word: the sample's words are held several times over.
+    words = [list(map(sys.intern, sum(words_of(t), []))) for t in texts]
     one_each = distinct(words, toxic)
     words, toxic = [words[i] for i in one_each], toxic[one_each]
     landmarks = choose_landmarks(words, toxic)
     if not landmarks:
-        return Model([], np.zeros(1), (1.0, 0.0), float(toxic.mean()))
-    kernel = Kernel(landmarks)
-    root = nystroem(kernel)
-    # Words that mark label 1 are also shown with letters put in, as they may be met.
-    words += disguised([w for w, t in zip(words, toxic.tolist(), strict=True) if t], set(landmarks))
-    toxic = np.r_[toxic, np.ones(len(words) - len(toxic), np.int64)]
-    x = powers(Pool(kernel)(words)) @ root
+        return Model([], np.zeros(1), 0.0, (1.0, 0.0), float(toxic.mean()))
+    kernel, df = Kernel(landmarks), text_counts(words, toxic)
+    root, sample, marks = nystroem(kernel), Sample(words, kernel), {w for w in landmarks if sure(w, df, toxic)}
+    # At first a sentence is as toxic as its closest spellings of landmarks.
+    own = np.concatenate([sample.values[at : at + _BLOCK].astype(np.float32).max(axis=1) ** POWERS[-1] for at in range(0, len(sample.values), _BLOCK)] or [np.zeros(0)])
+    clean_seen: dict[tuple[int, tuple[int, ...]], None] = {}
+    fold = np.empty(len(words), np.int64)
+    for y in (0, 1):
+        fold[toxic == y] = np.arange((toxic == y).sum()) % 2
+
+    def train(rows: list[tuple[int, tuple[int, ...], int]]) -> tuple[np.ndarray, float]:
+        x = sample.features([s for _, s, _ in rows])
+        more = sample.disguised([s for _, s, y in rows if y], marks)
+        x, y = np.vstack([x, more]) @ root, np.r_[[y for _, _, y in rows], np.ones(len(more))]
+        w = train_svm(x, y)
+        return root @ w[:-1], float(w[-1])
+
+    for _ in range(ROUNDS):
+        _, chosen = sample.steepest(own)
+        clean_seen |= {(i, s): None for i, s in enumerate(chosen) if not toxic[i]}
+        rows = [(i, s, 1) for i, s in enumerate(chosen) if toxic[i]] + [(i, s, 0) for i, s in clean_seen]
+        weights, offset = train(rows)
+        own = sample.own(weights)
     # Margins for the curve come from halves that the weights have not seen.
-    fold, margin = np.arange(len(x)) % 2, np.empty(len(x))
+    margin, more = np.empty(len(words)), []
     for k in (0, 1):
-        w = train_svm(x[fold != k], toxic[fold != k])
-        margin[fold == k] = x[fold == k] @ w[:-1] + w[-1]
-    curve, w = fit_curve(margin, toxic), train_svm(x, toxic)
-    return Model(landmarks, np.r_[root @ w[:-1], w[-1]].astype(np.float64), curve)
+        w, b = train([r for r in rows if fold[r[0]] != k])
+        margin[fold == k] = sample.steepest(sample.own(w))[0][fold == k] + b
+        more.append(sample.disguised([s for i, s, y in rows if y and fold[i] == k], marks) @ w + b)
+    more = np.concatenate(more)
+    return Model(landmarks, weights.astype(np.float64), offset, fit_curve(np.r_[margin, more], np.r_[toxic, np.ones(len(more))]))
 
 
-def learn(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, max_per_class: int = MAX_PER_CLASS, seed: int = 11, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """Fits on labelled rows outside the held-out fold, at most max_per_class of either label."""
+def learn(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, max_per_class: int = MAX_PER_CLASS, max_bytes: int = MAX_TRAIN_BYTES, seed: int = 11, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+    """Fits on labelled rows outside the held-out fold: of either label at most max_per_class
+    texts, the first in seeded order that make up at most max_bytes."""
     known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)")
     known = known.where(crc_mod("doc_id", folds) != held_out).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     draw = known.withColumn("draw", F.xxhash64(F.lit(seed), "doc_id"))
     sample = [draw.where(f"toxic = {k}").orderBy("draw", "doc_id").limit(max_per_class) for k in (0, 1)]
     # At most 2 x max_per_class ids: small whatever the tables' size.
-    sample = F.broadcast(sample[0].unionByName(sample[1]).select("doc_id", "toxic"))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(sample, "doc_id").select("doc_id", "text", "toxic").collect()
-    rows = sorted(rows, key=lambda r: (r.doc_id, r.text or ""))
+    sample = F.broadcast(sample[0].unionByName(sample[1]))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(sample, "doc_id")
+    rows = rows.groupBy("doc_id", "toxic", "draw").agg(F.min("text").alias("text"))
+    held = F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(Window.partitionBy("toxic").orderBy("draw", "doc_id"))
+    rows = rows.withColumn("held", held).where(F.col("held") <= max_bytes).orderBy("doc_id").select("text", "toxic").collect()
     return fit([r.text for r in rows], np.array([r.toxic for r in rows], np.int64))
 
 
