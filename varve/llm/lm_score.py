@@ -12,9 +12,11 @@ The probability of w after v is s * count(v w) / count(v) + (1 - s) * (count(w)
 of their own bigrams had been counted once less. The workers reduce these texts to numbers
 of tokens by size class and quantised odds, a table of bounded size.
 
-Filters are broadcast MAX_FILTER_BYTES at a time: with more, the texts are read once for
-each part and the parts' sums are added, which gives the same scores. Token counts are
-broadcast for the MAX_TOKENS most frequent tokens; the others are joined by key.
+Filters of up to MAX_FILTER_BYTES in all, and counts of up to MAX_TOKENS distinct tokens,
+are broadcast. Beyond either bound nothing is: the distinct tokens and bigrams of each
+chunk of text are sent, packed, to their buckets, where that bucket's filter and counts
+answer them, and the answers meet the chunk again. Work is in proportion to the text, no
+task holds more than a bucket's questions or a chunk, and the scores are the same.
 
 Defined results: a null text counts as empty and is the end token alone; a null doc_id
 hashes as empty text (a training row); repeated rows are scored alike, a row each, and
@@ -24,13 +26,13 @@ token has probability 1; other columns are ignored.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,10 +41,10 @@ from varve.llm.words import chunks, hashed_words, mix
 
 FOLDS, HELD_OUT = 7, 2
 BASE = 2**0.5
-COUNT_BYTES, SCORE_BYTES = 16 << 20, 4 << 20
+COUNT_BYTES, SCORE_BYTES = 4 << 20, 1 << 20
 #: A level sets PROBES bits of one 64-bit word; the filter has BITS bits a level.
 PROBES, BITS = 4, 10
-MAX_FILTER_BYTES, MAX_TOKENS = 160 << 20, 8_000_000
+MAX_FILTER_BYTES, MAX_TOKENS = 128 << 20, 4_000_000
 #: Bigrams (before summing) that one bucket takes.
 BUCKET_TOKENS = 2_000_000
 _END, _START = np.uint64(0x5EED0E4D5EED0E4D), np.uint64(0x57A7275657A72756)
@@ -96,6 +98,11 @@ def unpack_counts(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(delta, dtype=np.uint64), np.ascontiguousarray(bytes_[8 * n :].reshape(4, n).T).view("<u4").ravel()
 
 
+def _bucket(key: np.ndarray, n_buckets: int) -> np.ndarray:
+    # As pmod() of the same bits read as a signed number, which tables of counts use.
+    return key.view(np.int64) % np.int64(n_buckets)
+
+
 def _tally(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(x, return_counts=True)
 
@@ -111,7 +118,7 @@ def _count_pairs(n_buckets: int):
         for _, texts in chunks(batches, COUNT_BYTES):
             _, h, before = token_stream(texts)
             key, n = _tally(pair(before, h))
-            bucket = (key % np.uint64(n_buckets)).astype(np.int64)
+            bucket = _bucket(key, n_buckets)
             order = np.argsort(bucket, kind="stable")
             key, n, bucket = key[order], n[order], bucket[order]
             first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
@@ -154,8 +161,21 @@ def _bucket_filter(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"bucket": [int(pdf["bucket"].iloc[0])], "bits": [words.tobytes()]})
 
 
+def probe(words: np.ndarray, key: np.ndarray, base: np.ndarray, n_words: np.ndarray) -> np.ndarray:
+    """Levels found of each key in its filter, n_words from base on."""
+    out, alive, j = np.zeros(len(key), np.uint8), np.flatnonzero(n_words > 0), 0
+    key, base, n_words = key[alive], base[alive], n_words[alive]
+    while len(alive):
+        j += 1
+        at, mask = _place(key + _level_step(j), n_words)
+        hit = words[base + at] & mask == mask
+        alive, key, base, n_words = alive[hit], key[hit], base[hit], n_words[hit]
+        out[alive] = j
+    return out
+
+
 class PairFilter:
-    """The filters of some buckets, end to end."""
+    """The filters of all buckets, end to end."""
 
     def __init__(self, n_buckets: int, sizes: list[tuple[int, int]], parts: Iterator[tuple[int, bytes]]):
         """sizes: bucket, bytes. parts come one by one, each written to its place."""
@@ -164,49 +184,58 @@ class PairFilter:
         for bucket, size in sizes:
             self.n_words[bucket], self.base[bucket] = size // 8, at
             at += size // 8
-        self.here = self.n_words > 0
         self.words = np.zeros(max(at, 1), np.uint64)
         for bucket, bits in parts:
             start = self.base[bucket]
             self.words[start : start + len(bits) // 8] = np.frombuffer(bits, np.uint64)
-        self.n_buckets = np.uint64(n_buckets)
-
-    def covers(self, key: np.ndarray) -> np.ndarray:
-        return self.here[(key % self.n_buckets).astype(np.int64)]
+        self.n_buckets = n_buckets
 
     def __call__(self, key: np.ndarray) -> np.ndarray:
-        """Least counts of the levels found."""
-        bucket = (key % self.n_buckets).astype(np.int64)
-        out, alive, j = np.zeros(len(key), np.int64), np.flatnonzero(self.here[bucket]), 0
-        key, base, n_words = key[alive], self.base[bucket[alive]], self.n_words[bucket[alive]]
-        while len(alive):
-            j += 1
-            at, mask = _place(key + _level_step(j), n_words)
-            hit = self.words[base + at] & mask == mask
-            alive, key, base, n_words = alive[hit], key[hit], base[hit], n_words[hit]
-            out[alive] = j
-        return edge(out)
+        """Levels found."""
+        bucket = _bucket(key, self.n_buckets)
+        return probe(self.words, key, self.base[bucket], self.n_words[bucket])
 
 
 class Counts:
-    """Counts of the most frequent tokens. complete: no other token was seen in training."""
+    """Counts of tokens; 0 of any other."""
 
-    def __init__(self, h: np.ndarray, n: np.ndarray, n_tokens: int, n_distinct: int, n_docs: int):
+    def __init__(self, h: np.ndarray, n: np.ndarray):
         order = np.argsort(h)
         self.h, self.n = h[order], n[order] if n.max(initial=0) >= 1 << 32 else n[order].astype(np.uint32)
-        self.n_tokens, self.n_distinct, self.n_docs = n_tokens, n_distinct, n_docs
-        self.complete = len(h) >= n_distinct
-        self.room = float(n_tokens + n_distinct + 1)
 
     def __call__(self, key: np.ndarray) -> np.ndarray:
-        """Counts; -1 where a token is not among them and may still have been seen."""
-        each, back = np.unique(key, return_inverse=True)  # in order, so the search stays in cache
-        out = np.full(len(each), 0 if self.complete else -1, np.int64)
+        out = np.zeros(len(key), np.int64)
         if len(self.h):
-            at = np.minimum(np.searchsorted(self.h, each), len(self.h) - 1)
-            hit = self.h[at] == each
+            at = np.minimum(np.searchsorted(self.h, key), len(self.h) - 1)
+            hit = self.h[at] == key
             out[hit] = self.n[at[hit]]
-        return out[back]
+        return out
+
+
+class Totals:
+    """Training tokens, distinct ones, and texts."""
+
+    def __init__(self, n_tokens: int, n_distinct: int, n_docs: int):
+        self.n_tokens, self.n_distinct, self.n_docs = n_tokens, n_distinct, n_docs
+        self.room = float(n_tokens + n_distinct + 1)
+
+
+class Chunk:
+    """Some texts' distinct tokens and bigrams, in order, and where they stand."""
+
+    def __init__(self, texts: list[bytes | None]):
+        self.n_texts = len(texts)
+        self.text, h, before = token_stream(texts)
+        self.first = before == _START
+        self.tokens, self.token_at = np.unique(h, return_inverse=True)
+        self.pairs, self.pair_at = np.unique(pair(before, h), return_inverse=True)
+
+    def counts(self, c_tokens: np.ndarray, levels: np.ndarray, n_docs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of every token: counts of the bigram (a level's least), of the token before, of the token."""
+        c_token = c_tokens[self.token_at]
+        c_before = np.r_[np.int64(0), c_token[:-1]]
+        c_before[self.first] = n_docs
+        return edge(levels[self.pair_at].astype(np.int64)), c_before, c_token
 
 
 def size_class(count: np.ndarray) -> np.ndarray:
@@ -250,195 +279,172 @@ def fit_shares(n_cell: np.ndarray, rounds: int = 40) -> np.ndarray:
     return shares
 
 
-def _looked_up(texts: list[bytes | None], known: Counts, bloom: PairFilter, direct: bool):
-    """Tokens of each text; then text number, hash, hash before, counts of token, of the one
-    before and of the pair, of the tokens whose pairs the filter covers."""
-    text, h, before = token_stream(texts)
-    n = np.bincount(text, minlength=len(texts))
-    c_token, key = known(h), pair(before, h)
-    c_before = np.r_[np.int64(0), c_token[:-1]]
-    c_before[before == _START] = known.n_docs
-    if direct:
-        return n, text, h, before, c_token, c_before, bloom(key)
-    mine = bloom.covers(key)
-    return n, *(v[mine] for v in (text, h, before, c_token, c_before)), bloom(key[mine])
+def _rows(ids: list[int | None], chunk: Chunk, c_pair, c_before, c_token, shares: np.ndarray, room: float) -> pa.RecordBatch:
+    add = lambda v: np.bincount(chunk.text, v, chunk.n_texts)
+    return pa.record_batch({
+        "doc_id": pa.array(ids, pa.int64()), "n_tokens": np.bincount(chunk.text, minlength=chunk.n_texts).astype(np.int64), "n_known": add(c_token > 0).astype(np.int64),
+        "base_score": add(np.log10((c_token + 1) / room)), "score": add(log_prob(shares, c_pair, c_before, c_token, room)),
+    })
 
 
-def _given(v: np.ndarray) -> pa.Array:
-    return pa.array(v, pa.int64(), mask=v < 0)
+_ROW = "doc_id long, n_tokens long, n_known long, base_score double, score double"
+_CELL = "cell long, n long"
 
 
-def _score(counts, filters, shares: np.ndarray, part: int, n_parts: int):
-    """A row for each text (h_token null) and one for each token with a count to be joined."""
-    direct = counts.value.complete and n_parts == 1
+def _cell_rows(n_cell: np.ndarray) -> pa.RecordBatch:
+    cell = np.flatnonzero(n_cell)
+    return pa.record_batch({"cell": cell, "n": n_cell[cell]})
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, bloom = counts.value, filters.value
+
+class Broadcast:
+    """Counts and filters that every worker holds."""
+
+    def __init__(self, counts, filters, totals: Totals):
+        self.counts, self.filters, self.totals = counts, filters, totals
+
+    def chunks(self, batches: Iterator[pa.RecordBatch]):
         for ids, texts in chunks(batches, SCORE_BYTES):
-            n, text, h, before, c_token, c_before, c_pair = _looked_up(texts, known, bloom, direct)
-            whole = (c_token >= 0) & (c_before >= 0)
-            base = np.log10((c_token[whole] + 1) / known.room)
-            lp = log_prob(shares, c_pair[whole], c_before[whole], c_token[whole], known.room)
-            add = lambda v: np.bincount(text[whole], v, len(texts))
-            tag = np.array([zlib.crc32(t or b"") for t in texts], np.int64)
-            rows = {"doc_id": pa.array(ids, pa.int64()), "tag": tag, "n_tokens": n.astype(np.int64), "n_known": add(c_token[whole] > 0).astype(np.int64), "base_score": add(base), "score": add(lp)}
-            if direct:
-                yield pa.record_batch(rows)
-                continue
-            no = pa.nulls(len(texts), pa.int64())
-            yield pa.record_batch(rows | {"h_token": no, "h_before": no, "c_token": no, "c_before": no, "c_pair": pa.nulls(len(texts), pa.float64())})
-            rest = ~whole
-            if rest.any():
-                of, zero = text[rest], np.zeros(int(rest.sum()))
-                yield pa.record_batch({
-                    "doc_id": rows["doc_id"].take(pa.array(of)), "tag": tag[of], "n_tokens": n[of].astype(np.int64), "n_known": zero.astype(np.int64), "base_score": zero, "score": zero,
-                    "h_token": h[rest].view(np.int64), "h_before": before[rest].view(np.int64), "c_token": _given(c_token[rest]), "c_before": _given(c_before[rest]), "c_pair": c_pair[rest],
-                })
+            chunk = Chunk(texts)
+            yield ids, chunk, chunk.counts(self.counts.value(chunk.tokens), self.filters.value(chunk.pairs), self.totals.n_docs)
 
-    return run
+    def over(self, texts: DataFrame) -> DataFrame:
+        return texts
 
 
-_ROW = "doc_id long, tag long, n_tokens long, n_known long, base_score double, score double"
-_MORE = ", h_token long, h_before long, c_token long, c_before long, c_pair double"
+class Keyed:
+    """Counts and filters that stay with their buckets: each chunk's questions go there."""
 
+    def __init__(self, counts: DataFrame, filters: DataFrame, n_buckets: int, totals: Totals):
+        self.n_buckets, self.totals = n_buckets, totals
+        packed = counts.withColumn("bucket", F.pmod("h", F.lit(n_buckets))).groupBy("bucket").applyInPandas(_packed, "bucket long, data binary")
+        self.sides = written(filters.select("bucket", F.lit(1).alias("kind"), F.col("bits").alias("data")).unionByName(packed.select("bucket", F.lit(0).alias("kind"), "data")), "sides")
 
-def _filled(rest: DataFrame, counts: DataFrame) -> DataFrame:
-    """rest with the counts that are missing joined by key."""
-    for of in ("token", "before"):
-        # Only what is missing is joined: frequent tokens are there already.
-        found = counts.select(F.col("h").alias(f"h_{of}"), F.col("n").alias(f"n_{of}"))
-        missing = rest.where(F.col(f"c_{of}").isNull()).join(found, f"h_{of}", "left").withColumn(f"c_{of}", F.coalesce(f"n_{of}", F.lit(0).cast("long"))).drop(f"n_{of}")
-        rest = rest.where(F.col(f"c_{of}").isNotNull()).unionByName(missing)
-    return rest
+    def over(self, texts: DataFrame) -> DataFrame:
+        """chunk, texts, and the answers to its questions: a row a chunk."""
+        held = written(texts.mapInArrow(_held, "chunk long, texts binary"), "chunks")
+        asked = held.mapInArrow(_ask(self.n_buckets), "bucket long, chunk long, kind int, keys binary")
+        told = asked.groupBy("bucket").cogroup(self.sides.groupBy("bucket")).applyInPandas(_answer, "chunk long, kind int, bucket long, found binary")
+        return held.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInPandas(_meet, "texts binary, c_tokens binary, levels binary")
 
+    def chunks(self, batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            for texts, c_tokens, levels in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                ids, texts = _unheld(texts)
+                chunk = Chunk(texts)
+                order = [np.argsort(_bucket(k, self.n_buckets), kind="stable") for k in (chunk.tokens, chunk.pairs)]
+                found = np.empty(len(chunk.tokens), np.int64), np.empty(len(chunk.pairs), np.uint8)
+                found[0][order[0]], found[1][order[1]] = np.frombuffer(c_tokens, np.int64), np.frombuffer(levels, np.uint8)
+                yield ids, chunk, chunk.counts(*found, self.totals.n_docs)
 
-def _joined(rows: DataFrame, counts: DataFrame, shares: np.ndarray, room: float, n_parts: int) -> DataFrame:
-    """Adds up the parts of each text, with the missing counts joined by key."""
-    rows = written(rows, "parts")
-    whole = rows.where("h_token is null").select("doc_id", "tag", "n_tokens", "n_known", "base_score", "score", F.lit(1).alias("seen"))
-    rest = _filled(rows.where("h_token is not null"), counts)
-    size = F.when(F.col("c_before") > 0, F.least(1 + F.floor(F.log2("c_before")), F.lit(len(shares) - 1))).otherwise(0).cast("int")
-    s = F.when(F.col("c_before") > 0, F.element_at(F.array(*[F.lit(float(v)) for v in shares]), size + 1)).otherwise(F.lit(0.0))
-    p1 = (F.col("c_token") + 1) / F.lit(room)
-    p = s * F.least(F.col("c_pair"), F.col("c_before").cast("double")) / F.greatest("c_before", F.lit(1)) + (1 - s) * p1
-    rest = rest.select("doc_id", "tag", "n_tokens", (F.col("c_token") > 0).cast("long").alias("n_known"), F.log10(p1).alias("base_score"), F.log10(p).alias("score"), F.lit(0).alias("seen"))
-    total = whole.unionByName(rest).groupBy("doc_id", "tag", "n_tokens").agg(*[F.sum(c).alias(c) for c in ("n_known", "base_score", "score")], (F.sum("seen") / n_parts).cast("long").alias("copies"))
-    each = total.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-    return each.select("doc_id", "tag", "n_tokens", (F.col("n_known") / F.col("copies")).cast("long").alias("n_known"), (F.col("base_score") / F.col("copies")).alias("base_score"), (F.col("score") / F.col("copies")).alias("score"))
+    def __getstate__(self):
+        return {"n_buckets": self.n_buckets, "totals": self.totals}
 
 
-def lm_score(docs: DataFrame, train, max_tokens: int = MAX_TOKENS, max_filter_bytes: int = MAX_FILTER_BYTES, sample_docs: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, n_known, train_tokens, base_score, score of every row; train is
-    the condition on the rows to learn from; the shares are fitted on all of these rows, or
-    on sample_docs of them if it is given (0: every share is one half)."""
-    spark, context = docs.sparkSession, docs.sparkSession.sparkContext
-    small_batches(spark)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    training = docs.where(train).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    counts = written(training.mapInArrow(_count_tokens, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "tokens")
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.coalesce(F.max(F.when(F.col("h") == int(np.array(_END).view(np.int64)), F.col("n"))), F.lit(0))).first()
-    n_tokens, n_distinct, n_docs = (int(v) for v in total)
-    # The least count that the frequent tokens have: how many have each count is a small table.
-    least = 1
-    if n_distinct > max_tokens:
-        held = 0
-        for r in counts.groupBy("n").agg(F.count("*").alias("k")).orderBy(F.desc("n")).toLocalIterator():
-            if held + r.k > max_tokens:
-                break
-            held, least = held + r.k, r.n
-    frequent = counts.where(F.col("n") >= least) if n_distinct <= max_tokens or least > 1 else counts.limit(0)
-    hot = frequent.toArrow()
-    known = Counts(hot["h"].to_numpy().view(np.uint64), hot["n"].to_numpy(), n_tokens, n_distinct, n_docs)
-    del hot
-    complete, room, shared = known.complete, known.room, context.broadcast(known)
-    del known
-
-    n_buckets = max(8, n_tokens // BUCKET_TOKENS)
-    runs = training.mapInArrow(_count_pairs(n_buckets), "bucket long, counts binary")
-    filters = written(runs.groupBy("bucket").applyInPandas(_bucket_filter, "bucket long, bits binary"), "filters")
-    sizes = sorted((r.bucket, r.size) for r in filters.select("bucket", F.length("bits").alias("size")).collect())
-    parts: list[list[tuple[int, int]]] = [[]]
-    held = 0
-    for bucket, size in sizes:
-        if held + size > max_filter_bytes and parts[-1]:
-            parts.append([])
-            held = 0
-        parts[-1].append((bucket, size))
-        held += size
-    loaded = []
-    for part in parts:
-        got = filters.where(F.col("bucket").between(part[0][0], part[-1][0])) if part else filters.limit(0)
-        loaded.append(context.broadcast(PairFilter(n_buckets, part, ((r.bucket, r.bits) for r in got.toLocalIterator()))))
-
-    shares = _shares(training, counts, shared, loaded, complete, room, sample_docs)
-    ask = [rows.mapInArrow(_score(shared, f, shares, k, len(loaded)), _ROW + ("" if complete and len(loaded) == 1 else _MORE)) for k, f in enumerate(loaded)]
-    if complete and len(loaded) == 1:
-        out = ask[0]
-    else:
-        all_ = ask[0]
-        for more in ask[1:]:
-            all_ = all_.unionByName(more)
-        out = _joined(all_, counts, shares, room, len(loaded))
-    return out.select("doc_id", "n_tokens", "n_known", F.lit(n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
+def _packed(pdf: pd.DataFrame) -> pd.DataFrame:
+    key, n = pdf["h"].to_numpy(np.int64).view(np.uint64), pdf["n"].to_numpy(np.int64)
+    order = np.argsort(key)
+    return pd.DataFrame({"bucket": [int(pdf["bucket"].iloc[0])], "data": [key[order].tobytes() + n[order].tobytes()]})
+
+
+def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    part = TaskContext.get().partitionId()
+    for n, (ids, texts) in enumerate(chunks(batches, SCORE_BYTES)):
+        sink = pa.BufferOutputStream()
+        data = pa.record_batch({"id": pa.array(ids, pa.int64()), "text": pa.array(texts, pa.binary())})
+        with pa.ipc.new_stream(sink, data.schema) as out:
+            out.write_batch(data)
+        yield pa.record_batch({"chunk": pa.array([(part << 32) + n], pa.int64()), "texts": pa.array([zstandard.compress(sink.getvalue().to_pybytes(), 1)], pa.binary())})
 
 
-def _cells(counts, filters, n_parts: int):
-    """Numbers of tokens by cell, a few rows for each task (h_token null), and one row for
-    each token with a count to be joined."""
-    direct = counts.value.complete and n_parts == 1
+def _unheld(blob: bytes) -> tuple[list[int | None], list[bytes | None]]:
+    data = pa.ipc.open_stream(zstandard.decompress(blob)).read_all()
+    return data["id"].to_pylist(), data["text"].to_pylist()
 
+
+def _ask(n_buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, bloom, n_cell = counts.value, filters.value, np.zeros(_CLASSES * _ODDS, np.int64)
-        for _, texts in chunks(batches, SCORE_BYTES):
-            _, _, h, before, c_token, c_before, c_pair = _looked_up(texts, known, bloom, direct)
-            whole = (c_token >= 0) & (c_before >= 0)
-            n_cell += np.bincount(fit_cells(c_pair[whole], c_before[whole], c_token[whole], known.room), minlength=len(n_cell))
-            rest = ~whole
-            if rest.any():
-                no = pa.nulls(int(rest.sum()), pa.int64())
-                yield pa.record_batch({"cell": no, "n": no, "h_token": h[rest].view(np.int64), "h_before": before[rest].view(np.int64), "c_token": _given(c_token[rest]), "c_before": _given(c_before[rest]), "c_pair": c_pair[rest]})
-        cell = np.flatnonzero(n_cell)
-        no = pa.nulls(len(cell), pa.int64())
-        yield pa.record_batch({"cell": cell, "n": n_cell[cell], "h_token": no, "h_before": no, "c_token": no, "c_before": no, "c_pair": pa.nulls(len(cell), pa.float64())})
+        for batch in batches:
+            for chunk_id, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                chunk = Chunk(_unheld(blob)[1])
+                for kind, key in enumerate((chunk.tokens, chunk.pairs)):
+                    bucket = _bucket(key, n_buckets)
+                    order = np.argsort(bucket, kind="stable")
+                    key, bucket = key[order], bucket[order]
+                    first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+                    stop = np.r_[first[1:], len(key)]
+                    yield pa.record_batch({"bucket": bucket[first], "chunk": np.full(len(first), chunk_id), "kind": np.full(len(first), kind, np.int32), "keys": pa.array([key[i:j].tobytes() for i, j in zip(first.tolist(), stop.tolist(), strict=True)], pa.binary())})
 
     return run
 
 
-def _cells_of(room: float):
-    """Numbers of tokens by cell from rows with all their counts."""
+def _answer(asked: pd.DataFrame, side: pd.DataFrame) -> pd.DataFrame:
+    counts, words = Counts(np.zeros(0, np.uint64), np.zeros(0, np.int64)), np.zeros(0, np.uint64)
+    for kind, data in zip(side["kind"], side["data"], strict=True):
+        if kind:
+            words = np.frombuffer(data, np.uint64)
+        else:
+            counts = Counts(np.frombuffer(data, np.uint64, len(data) // 16), np.frombuffer(data, np.int64, offset=len(data) // 2))
+    found = []
+    for kind, keys in zip(asked["kind"], asked["keys"], strict=True):
+        key = np.frombuffer(keys, np.uint64)
+        found.append(probe(words, key, np.zeros(len(key), np.int64), np.full(len(key), len(words), np.uint64)).tobytes() if kind else counts(key).tobytes())
+    return pd.DataFrame({"chunk": asked["chunk"], "kind": asked["kind"], "bucket": asked["bucket"], "found": found})
+
+
+def _meet(held: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+    told = told.sort_values("bucket")
+    return pd.DataFrame({"texts": held["texts"], "c_tokens": [b"".join(told.loc[told["kind"] == 0, "found"])], "levels": [b"".join(told.loc[told["kind"] == 1, "found"])]})
+
+
+def _cells(lookup):
+    """Numbers of tokens by cell, a few rows for each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n_cell = np.zeros(_CLASSES * _ODDS, np.int64)
-        for batch in batches:
-            n_cell += np.bincount(fit_cells(*(c.to_numpy(zero_copy_only=False) for c in batch.columns), room), minlength=len(n_cell))
-        cell = np.flatnonzero(n_cell)
-        yield pa.record_batch({"cell": cell, "n": n_cell[cell]})
+        for _, _, counts in lookup.chunks(batches):
+            n_cell += np.bincount(fit_cells(*counts, lookup.totals.room), minlength=len(n_cell))
+        yield _cell_rows(n_cell)
 
     return run
 
 
-def _drawn(training: DataFrame, sample_docs: int) -> DataFrame:
-    draw = training.select("doc_id", F.xxhash64(F.lit(3), "doc_id").alias("draw")).orderBy("draw", "doc_id").limit(sample_docs).select("doc_id").distinct()
-    return training.join(F.broadcast(draw), "doc_id", "left_semi").orderBy("doc_id", F.crc32(F.col("text").cast("binary"))).limit(sample_docs)
+def _score(lookup, shares: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, chunk, counts in lookup.chunks(batches):
+            yield _rows(ids, chunk, *counts, shares, lookup.totals.room)
+
+    return run
 
 
-def _shares(training: DataFrame, counts: DataFrame, known, filters: list, complete: bool, room: float, sample_docs: int | None) -> np.ndarray:
-    """Fits the shares on all training texts, or on at most sample_docs."""
-    if sample_docs is not None:
-        training = _drawn(training, sample_docs)
-    asked = [training.mapInArrow(_cells(known, f, len(filters)), "cell long, n long" + _MORE) for f in filters]
-    rows = asked[0]
-    for more in asked[1:]:
-        rows = rows.unionByName(more)
-    if not complete:
-        rows = written(rows, "cells")
-        rest = _filled(rows.where("h_token is not null"), counts).select("c_pair", "c_before", "c_token")
-        rows = rows.select("cell", "n").unionByName(rest.mapInArrow(_cells_of(room), "cell long, n long"))
+def lm_score(docs: DataFrame, train, max_tokens: int = MAX_TOKENS, max_filter_bytes: int = MAX_FILTER_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_tokens, n_known, train_tokens, base_score, score of every row; train is
+    the condition on the rows to learn from; the shares are fitted on all of these rows."""
+    spark, context = docs.sparkSession, docs.sparkSession.sparkContext
+    small_batches(spark)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    training = docs.where(train).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    counts = written(training.mapInArrow(_count_tokens, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "tokens")
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.coalesce(F.max(F.when(F.col("h") == int(np.array(_END).view(np.int64)), F.col("n"))), F.lit(0))).first()
+    totals = Totals(*(int(v) for v in total))
+    n_buckets = max(8, totals.n_tokens // BUCKET_TOKENS)
+    runs = training.mapInArrow(_count_pairs(n_buckets), "bucket long, counts binary")
+    filters = written(runs.groupBy("bucket").applyInPandas(_bucket_filter, "bucket long, bits binary"), "filters")
+    size = filters.agg(F.coalesce(F.sum(F.length("bits")), F.lit(0))).first()[0]
+    if totals.n_distinct > max_tokens or size > max_filter_bytes:
+        lookup = Keyed(counts, filters, n_buckets, totals)
+    else:
+        # Both are of a checked size, and so is the number of buckets: each holds millions of bigrams.
+        sizes = sorted((r.bucket, r.size) for r in filters.select("bucket", F.length("bits").alias("size")).collect())
+        hot = counts.toArrow()
+        known = context.broadcast(Counts(hot["h"].to_numpy().view(np.uint64), hot["n"].to_numpy()))
+        del hot
+        lookup = Broadcast(known, context.broadcast(PairFilter(n_buckets, sizes, ((r.bucket, r.bits) for r in filters.toLocalIterator()))), totals)
     # As many rows as there are cells in use, whatever the input.
     n_cell = np.zeros(_CLASSES * _ODDS, np.int64)
-    for r in rows.where("cell is not null").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+    for r in lookup.over(training).mapInArrow(_cells(lookup), _CELL).groupBy("cell").agg(F.sum("n").alias("n")).collect():
         n_cell[r.cell] = r.n
-    return fit_shares(n_cell)
+    out = lookup.over(rows).mapInArrow(_score(lookup, fit_shares(n_cell)), _ROW)
+    return out.select("doc_id", "n_tokens", "n_known", F.lit(totals.n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
