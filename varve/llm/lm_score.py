@@ -46,7 +46,7 @@ COUNT_BYTES, SCORE_BYTES = 4 << 20, 1 << 20
 PROBES, BITS = 4, 10
 MAX_FILTER_BYTES, MAX_TOKENS = 128 << 20, 4_000_000
 #: Bigrams (before summing) that one bucket takes.
-BUCKET_TOKENS = 2_000_000
+BUCKET_TOKENS = 500_000
 _END, _START = np.uint64(0x5EED0E4D5EED0E4D), np.uint64(0x57A7275657A72756)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 #: Cells of the fit: size classes; steps of the odds in an octave; the step of odds 1; steps, the last for a bigram not seen.
