@@ -45,13 +45,30 @@ def test_index_keeps_what_earlier_batches_held(spark):
     at.drop()
 
 
-def test_query_joins_its_batch_to_the_index(spark, sf_small, monkeypatch):
-    from varve.llm import exact_dedup
+def test_a_batch_that_is_run_again_gets_the_same_result(spark):
+    at = index(spark)
+    one = spark.createDataFrame([(7, "x y"), (8, "z")], "doc_id long, text string")
+    two = spark.createDataFrame([(1, "x  y"), (2, "new"), (3, "new")], "doc_id long, text string")
+    run = lambda df, name: sorted(map(tuple, exact_dedup.deduplicate(df, at, name).collect()))
+    first, second = run(one, "one"), run(two, "two")
+    assert run(two, "two") == second and run(one, "one") == first and at.read().count() == 3
+    assert sorted(r.doc_id for r in exact_dedup.keep_first(two, at, "two").collect()) == [2]
+    at.drop()
 
-    read, kinds = [], []
-    whole, join = exact_dedup.DigestIndex.read, type(spark.range(0)).join
-    monkeypatch.setattr(exact_dedup.DigestIndex, "read", lambda self: read.append(whole(self)) or read[-1])
-    monkeypatch.setattr(type(spark.range(0)), "join", lambda self, other, on=None, how=None: kinds.append(how) or join(self, other, on, how))
+
+def test_query_joins_its_batch_to_the_index_and_drops_it(spark, sf_small, monkeypatch):
+    seen, unseen = [], exact_dedup.unseen
+    monkeypatch.setattr(exact_dedup, "unseen", lambda batch, known: seen.append(unseen(batch, known)) or seen[-1])
+    before = {t.name for t in spark.catalog.listTables()}
+    plans = []
+    drop = exact_dedup.DigestIndex.drop
+    monkeypatch.setattr(exact_dedup.DigestIndex, "drop", lambda self: (plans.append(seen[-1]._jdf.queryExecution().executedPlan().toString()), drop(self)))
     n = exact_dedup.op4_exact_dedup(spark, sf_small).count()
     assert n == spark.read.parquet(f"{sf_small}/documents.parquet").count()
-    assert read and read[0] is not None and "left_anti" in kinds
+    assert "SortMergeJoin" in plans[0] and "LeftAnti" in plans[0] and "Bucketed: true" in plans[0]
+    assert {t.name for t in spark.catalog.listTables()} == before
+
+
+def test_a_very_long_text(spark):
+    docs = spark.createDataFrame([(1, "w  " * 400_000), (2, "w " * 400_000)], "doc_id long, text string")
+    assert {r.doc_id: r.kept for r in exact_dedup.deduplicate(docs, index(spark)).collect()} == {1: True, 2: False}

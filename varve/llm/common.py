@@ -20,9 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is set."""
+    """The folder that driver and executors share. Where none is set, a local one serves a
+    session whose driver is its only executor; any other session is told to set one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"/tmp/checkpoints/varve-{spark.sparkContext.applicationId}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -32,11 +35,15 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back.
 
     This cuts the lineage: a lost executor costs a reread of the files, not a rerun of
-    what made them. Files live until the session ends.
+    what made them. Files live until clear() or the end of the session.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/varve/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    return written_at(df, f"{shared_dir(spark)}/varve/{tag}-{uuid.uuid4().hex}")
+
+
+def written_at(df: DataFrame, path: str) -> DataFrame:
+    spark = df.sparkSession
+    df.write.mode("overwrite").parquet(path)
     _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
@@ -55,9 +62,15 @@ def _delete(path: str, spark: SparkSession) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def clear(spark: SparkSession) -> None:
+def finished(spark: SparkSession, path: str) -> bool:
+    """A write to path has ended well."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
+def clear(spark: SparkSession, but: tuple[str, ...] = ()) -> None:
     """Deletes what written() has left in the shared folder."""
-    for owner, path in [x for x in _written if x[0] is spark]:
+    for owner, path in [x for x in _written if x[0] is spark and x[1] not in but]:
         _delete(path, owner)
         _written.remove((owner, path))
 

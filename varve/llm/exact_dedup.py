@@ -3,7 +3,9 @@
 The index is a table bucketed and sorted by digest. A batch is reduced to its distinct
 digests (partial aggregation first, so a text that a third of the rows share is one row
 per task before the shuffle), anti-joined to the index by a sort-merge join that reads
-the index by bucket without a shuffle, and its new digests are appended.
+the index by bucket without a shuffle, and its new digests are appended under the batch's
+name. A batch that is run again is judged by the digests of the other batches and appends
+nothing, so it gets the same result.
 
 Defined results: a null text counts as empty; texts that differ only in runs of the six
 ASCII white-space characters are equal; rows that repeat both doc_id and text are one
@@ -27,7 +29,7 @@ def digest(text: str):
 
 
 class DigestIndex:
-    """Digests seen so far: digest, keep_id, n_seen at their first batch."""
+    """Digests seen so far: digest, keep_id, and the batch that brought each."""
 
     def __init__(self, spark: SparkSession, name: str, n_buckets: int = 32):
         self.spark, self.name, self.n_buckets = spark, name, n_buckets
@@ -35,40 +37,53 @@ class DigestIndex:
     def exists(self) -> bool:
         return self.spark.catalog.tableExists(self.name)
 
-    def read(self) -> DataFrame | None:
-        return self.spark.table(self.name) if self.exists() else None
+    def read(self) -> DataFrame:
+        return self.spark.table(self.name)
 
     def create(self, id_type) -> None:
         """An empty index, where there is none."""
         if not self.exists():
-            self.append(self.spark.createDataFrame([], StructType([StructField("digest", StringType()), StructField("keep_id", id_type)])))
+            schema = StructType([StructField("digest", StringType()), StructField("keep_id", id_type), StructField("batch", StringType())])
+            self._write(self.spark.createDataFrame([], schema))
 
-    def append(self, rows: DataFrame) -> None:
+    def _write(self, rows: DataFrame) -> None:
         (
-            rows.select("digest", "keep_id")
+            rows.select("digest", "keep_id", "batch")
             .repartition(self.n_buckets, "digest")
             .write.bucketBy(self.n_buckets, "digest").sortBy("digest")
             .mode("append").format("parquet").saveAsTable(self.name)
         )
 
+    def append(self, rows: DataFrame, batch: str) -> None:
+        """rows: digest, keep_id. A batch that has been appended is not appended again."""
+        if self.read().where(F.col("batch") == batch).limit(1).count() == 0:
+            self._write(rows.withColumn("batch", F.lit(batch)))
+
     def drop(self) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
 
 
-def deduplicate(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def unseen(batch: DataFrame, known: DataFrame) -> DataFrame:
+    """Digests of the batch that the index does not hold: a sort-merge anti-join."""
+    return batch.join(known.hint("merge"), "digest", "left_anti")
+
+
+def deduplicate(docs: DataFrame, index: DigestIndex, batch: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
 
-    A digest that the index already holds keeps the row it was first seen with, and no
-    row of this batch is kept for it. group_size counts the rows of this batch.
+    A digest that the index already holds from another batch keeps the row it was first
+    seen with, and no row of this batch is kept for it. group_size counts the rows of this
+    batch. The result does not read the index any more.
     """
+    name = batch or uuid.uuid4().hex
     rows = written(docs.select(F.col(id_col).alias("doc_id"), digest(text_col).alias("digest")), "digests")
-    batch = rows.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("group_size"))
+    groups = rows.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("group_size"))
     index.create(rows.schema["doc_id"].dataType)
-    known = index.read()
-    fresh = batch.join(known.hint("merge"), "digest", "left_anti").withColumns({"keep_id": F.col("first_id"), "fresh": F.lit(True)})
-    seen = batch.join(known.hint("merge"), "digest").withColumn("fresh", F.lit(False))
+    known = index.read().where(F.col("batch") != name).select("digest", "keep_id")
+    fresh = unseen(groups, known).withColumns({"keep_id": F.col("first_id"), "fresh": F.lit(True)})
+    seen = groups.join(known.hint("merge"), "digest").withColumn("fresh", F.lit(False))
     found = written(fresh.unionByName(seen.select(fresh.columns)), "groups")
-    index.append(found.where("fresh"))
+    index.append(found.where("fresh"), name)
     # Both sides are shuffled by digest, so a hot group is split by the skew-join rule.
     copies = rows.groupBy("digest", "doc_id").agg(F.count(F.lit(1)).alias("copies"))
     out = copies.join(found, "digest").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
@@ -79,18 +94,26 @@ def deduplicate(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", tex
     )
 
 
-def keep_first(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_first(docs: DataFrame, index: DigestIndex, batch: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that deduplicate() keeps, with all their columns."""
-    kept = deduplicate(docs, index, id_col, text_col).where("kept").select(F.col("text_sha256").alias("__sha"), F.col("doc_id").alias("__id"))
+    kept = deduplicate(docs, index, batch, id_col, text_col).where("kept").select(F.col("text_sha256").alias("__sha"), F.col("doc_id").alias("__id"))
     rows = docs.withColumn("__digest", digest(text_col))
     # Joined by digest and id: of a hot group only the row that stays meets a partner.
     rows = rows.join(kept, (rows["__digest"] == kept["__sha"]) & rows[id_col].eqNullSafe(kept["__id"]), "left_semi")
     return rows.dropDuplicates(["__digest", id_col]).select(*docs.columns)
 
 
+def own_index(spark: SparkSession) -> DigestIndex:
+    """An index for one run, empty; its owner drops it."""
+    return DigestIndex(spark, f"varve_digests_{uuid.uuid4().hex}")
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = DigestIndex(spark, f"varve_digests_{uuid.uuid4().hex}")
-    return deduplicate(table(spark, sf_dir, "documents"), index)
+    index = own_index(spark)
+    try:
+        return deduplicate(table(spark, sf_dir, "documents"), index)
+    finally:
+        index.drop()
 
 
 SQL = r"""
