@@ -39,6 +39,16 @@ def test_long_list_and_edges(spark):
     assert {r.verdict for r in url_filter.judge(pages, rules.limit(0)).collect()} == {"allow"}
 
 
+def test_more_than_a_thousand_path_lengths(spark):
+    listed = [("a.org", "/" + "x" * n, "block") for n in range(0, 2400, 2)] + [("a.org", "/xx", "allow")]
+    rules = spark.createDataFrame(listed, "host string, path string, verdict string")
+    urls = ["http://a.org/" + "x" * n for n in (0, 1, 2, 3, 1001, 2397, 2400, 50_000)] + ["http://b.org/xx"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.judge(pages, rules).collect()}
+    # Listed with both verdicts, /xx is blocked.
+    assert got == {i: brute(u, listed[:-1])[2:] for i, u in enumerate(urls)}
+
+
 def test_filter_has_no_false_negatives(spark):
     keys = spark.range(2000).selectExpr("concat('k', id) AS key")
     blocks = url_filter.build_filter(keys, 80)

@@ -9,7 +9,8 @@ block go to an exact hash join with the rules, which removes the false positives
 Defined results: a null url, or one without ``://``, has an empty host and path and the
 default verdict; repeated rows are judged alike, a row each; an empty rule list gives
 the default verdict to all; other columns are ignored; of fitting rules the longest
-(host and path together) wins, then the one with the longer host.
+(host and path together) wins, then the one with the longer host; a rule that is listed
+with two verdicts takes the greater name of them (block before allow).
 """
 
 from __future__ import annotations
@@ -61,14 +62,12 @@ def build_filter(keys: DataFrame, n_blocks: int) -> DataFrame:
 
 def judge(urls: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = "allow") -> DataFrame:
     """rules: host, path, verdict. Returns id, host, path, rule, verdict of each row of urls."""
-    rules = rules.select(F.concat("host", "path").alias("rule"), F.length("host").alias("host_len"), F.length("path").alias("path_len"), "verdict").dropDuplicates(["rule"])
+    rules = rules.where("host is not null and path is not null").groupBy("host", "path").agg(F.max("verdict").alias("verdict"))
+    rules = rules.select(F.concat("host", "path").alias("rule"), F.length("host").alias("host_len"), F.length("path").alias("path_len"), "verdict")
     n_rules = rules.count()
-    lengths = [r[0] for r in rules.select("path_len").distinct().orderBy("path_len").limit(1000).collect()]
     pages = urls.select(F.col(id_col).alias(id_col), host_of(url_col).alias("host"), path_of(url_col).alias("path"))
     if not n_rules:
         return pages.select(id_col, "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
-    if len(lengths) == 1000:
-        raise ValueError("rules have 1,000 or more path lengths; split the list")
     n_blocks = max(1, -(-n_rules * 10 // 256))
     blocks = build_filter(rules.select(F.col("rule").alias("key")), n_blocks)
     if n_blocks <= MAX_BROADCAST_BLOCKS:
@@ -77,11 +76,14 @@ def judge(urls: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: s
     sites = pages.select("host", "path").distinct()
     labels = F.split("host", r"\.", -1)
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    prefixes = F.array(*[F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in lengths])
+    # The lengths that rules' paths have: k of them take at least k * k / 2 characters of the list.
+    lengths = rules.agg(F.sort_array(F.collect_set("path_len")).alias("lengths")).scalar()
+    prefixes = F.transform(F.filter("lengths", lambda n: n <= F.length("path")), lambda n: F.substring(F.col("path"), F.lit(1), n))
     keys = (
         sites.where("host <> ''")
+        .withColumn("lengths", lengths)
         .withColumn("suffix", F.explode(suffixes))
-        .withColumn("prefix", F.explode(F.array_compact(prefixes)))
+        .withColumn("prefix", F.explode(prefixes))
         .withColumns({"key": F.concat("suffix", "prefix"), "suffix_len": F.length("suffix")})
     )
     keys = keys.withColumn("block", _block(F.col("key"), n_blocks)).join(blocks, "block")
@@ -97,7 +99,8 @@ def judge(urls: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: s
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
+    values = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in RULES)
+    rules = spark.sql(f"SELECT * FROM VALUES {values} AS rules(host, path, verdict)")
     return judge(table(spark, sf_dir, "pages"), rules)
 
 
