@@ -53,6 +53,43 @@ def test_query(spark, sf_small):
         assert abs(target[s] - t) < 1e-6 and abs(taken[s] - t) <= max(2, 0.01 * t)
 
 
+def test_blocks_against_brute_force(spark, sf_small):
+    docs = spark.read.parquet(f"{sf_small}/documents.parquet")
+    got = mixing.mix(docs, shard_docs=4).collect()
+    shards = {}
+    for g in got:
+        shards.setdefault((g.source, g.shard), []).append(g)
+    assert len(shards) > len({s for s, _ in shards})
+    totals = [(s, k, sum(g.size for g in rows)) for (s, k), rows in shards.items()]
+    for source, shard, _, _, quota, held, block, n, step in mixing.plan(totals):
+        rows = shards[source, shard]
+        assert sum(g.taken for g in rows) == quota and len({step * j % n for j in range(n)}) == n
+        whole, rest = divmod(quota, held) if held else (0, 0)
+        assert {g.whole for g in rows} == {whole}
+        # Laid end to end in the seeded order, the runs are whole blocks, but for one.
+        seed = {r.doc_id: r.draw for r in docs.select("doc_id", mixing.F.xxhash64(mixing.F.lit(17), "doc_id", "text").alias("draw")).collect()}
+        at, words = 0, []
+        for g in sorted(rows, key=lambda g: (seed[g.doc_id], g.doc_id)):
+            words += [at + w for a, b in g.runs for w in range(a, b)]
+            at += g.size
+        assert len(set(words)) == len(words) == rest
+        per = [sum(w // block == j for w in words) for j in range(n)]
+        assert sum(v == block for v in per) == min(rest // block, n) and sum(0 < v < block for v in per) <= 1
+
+
+def test_more_sources_than_fifty_thousand(spark):
+    docs = spark.range(52_000).selectExpr("id AS doc_id", "'a b c' AS text", "cast(id AS string) AS source")
+    got = mixing.mix(docs).agg({"taken": "sum", "*": "count"}).first()
+    assert got[0] == 156_000 and got[1] == 52_000
+
+
+def test_a_very_long_text(spark):
+    docs = spark.createDataFrame([(1, "w " * 300_000, "a"), (2, "x y", "b")], "doc_id long, text string, source string")
+    got = {r.doc_id: r for r in mixing.mix(docs).collect()}
+    assert got[1].size == 300_000 and abs(got[1].taken - got[1].target) <= 1 and got[2].taken == 6
+    assert sum(size(r.text) for r in mixing.mixed(docs).collect()) == got[1].taken + 6
+
+
 def test_mixed_takes_what_the_plan_says(spark, sf_small):
     docs = spark.read.parquet(f"{sf_small}/documents.parquet")
     plan = {r.doc_id: r.taken for r in mixing.mix(docs).collect()}
