@@ -1,4 +1,5 @@
 import re
+import time
 from html import unescape
 
 from varve.llm import html_text
@@ -32,3 +33,22 @@ def test_query_against_plain_reading(spark, sf_small):
         article = re.search(r"<article>(.*?)</article>", r.html, re.S)[1]
         parts = (re.sub(r"\s+", " ", unescape(re.sub(r"<[^>]+>", "", b.replace("<br>", " ")))).strip() for b in re.split(r"</?(?:p|h1)>", article))
         assert r.text == "\n".join(p for p in parts if p) and r.n_chars == len(r.text)
+
+
+def test_names_that_an_article_may_use_itself():
+    body = "<p>First paragraph of a story that goes on for quite some time, as stories do.</p>" * 3
+    for part in ('<section id="discussion"><p>What follows from it, at some length.</p></section>', '<p class="share-price">The share price rose to twelve.</p>', '<p>So <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds.</p>', "<object>Drawn by hand.</object>", '<div class="popular related">Often read, and by many.</div>', '<p id="side">A side of a cube.</p>'):
+        got = html_text.main_text(f"<body><nav>menu</nav><article><h1>Head</h1>{body}{part}</article><footer>foot</footer></body>")
+        assert got.count("\n") >= 3 and got.endswith(re.sub(r"<[^>]+>", "", part)), part
+    for part in ('<div class="ad">Buy this thing now, while it is cheap.</div>', '<ul class="related-links"><li><a href=x>Another story of ours</a></li></ul>', '<div id="commentList"><p>A reader says so at length.</p></div>'):
+        assert html_text.main_text(f"<body><article><h1>Head</h1>{body}{part}</article></body>").endswith("as stories do."), part
+
+
+def test_time_is_linear_whatever_the_markup():
+    n = 40_000
+    pages = ["<i>" * n + "</b>" * n, "<a '" * n, '<a b="' * n, "<div>" * n + "<li>" * n, "<b>" * n + "<div>" + "</b>" * n, "<script" * n, "<a b='>' " * n, "<script>" + "</script" * n, "<!--" * n, "<" * n, "<p><i>" * n, "<table><tr><td>" * n, "<noscript>" * n + "x", "&" * n, "<div class='" + "a " * n + "'>x"]
+    for page in pages:
+        began = time.perf_counter()
+        html_text.main_text(page)
+        assert time.perf_counter() - began < 5, page[:30]
+    assert html_text.main_text("<article><p>" + "word " * 300_000 + "</p></article>").count("word") == 300_000

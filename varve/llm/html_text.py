@@ -8,7 +8,11 @@ adds its children's densities. The node with the greatest sum is the core; the l
 density on the path from it to the body is the threshold, and the highest node of that
 path which is at least as dense as the threshold, and adds text as dense to the core, is
 taken. Menus, headers and footers of the page, asides, forms, adverts, notices and reader
-comments are cut out before by element, role or class words, wherever they stand.
+comments are cut out before by element, by role, or by a class or id that says nothing
+else; where the name may also be an article's own ("related", "share"), link density decides.
+
+Reading is linear in the page's length (but for a logarithm), whatever its markup: open
+elements are kept by name, so an end tag without a start costs nothing.
 
 Output: character references decoded, white space inside a block turned to one space,
 blocks trimmed and joined in page order by one line feed. Defined results: a null, empty
@@ -20,6 +24,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from html import unescape
 
@@ -29,13 +34,15 @@ from pyspark.sql import functions as F
 
 from varve.llm.common import small_batches, table
 
-_MARKUP = re.compile(r"<!--(?:.*?-->|.*\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>?", re.S)
+#: What may follow a "<"; where a tag ends, quoted values apart.
+_TAG = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+_TAG_END = re.compile(r"""=\s*(["'])|>""")
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))|([^\s=/"'>]+)""")
 _SPACE = re.compile(r"\s+")
 
 #: HTML's element kinds.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg math object canvas".split())
+RAW = frozenset("script style template textarea title iframe svg".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form"
     " h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td"
@@ -50,105 +57,184 @@ CLOSES = {
 }
 CUT_TAGS = frozenset("nav aside form footer head button select input dialog menu audio video".split()) | RAW
 CUT_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar tablist".split())
-#: Words of class and id that name what is no part of an article.
+#: A class or id made of these words (and of FILLERS) names what is no part of an article.
 CUT_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising advertorial adsense adslot sponsor sponsored sponsors promo promos promotion"
-    " banner banners cookie cookies consent gdpr ccpa notice notices notification popup modal overlay newsletter subscribe subscription"
-    " signup paywall nav navbar navigation menu menus breadcrumb breadcrumbs crumbs sidebar sidebars side rail aside widget widgets"
-    " related recommended recommendations trending popular share sharing social footer footnav masthead topbar"
-    " comment comments disqus respond replies reply discussion pagination pager login search skip outbrain taboola".split()
+    "ad ads adv advert adverts advertisement advertising advertorial adsense adslot sponsor sponsored sponsors promo promos"
+    " banner banners cookie cookies consent gdpr ccpa notice notices popup modal overlay newsletter subscribe signup paywall"
+    " nav navbar navigation menu menus breadcrumb breadcrumbs crumbs sidebar sidebars aside widget widgets footer footnav"
+    " masthead topbar comment comments disqus respond pagination pager login outbrain taboola".split()
 )
+#: These name links besides an article, or a part of it: cut if most of the text is in links.
+LINK_WORDS = frozenset("related recommended recommendations trending popular share sharing social search side rail skip reply replies discussion notification subscription promotion".split())
+FILLERS = frozenset("area bar block box container content inner items left links list main outer panel right section site slot text top bottom unit wrap wrapper".split())
 _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
-_CLASS_WORD = re.compile(r"[a-z0-9]+")
+_CLASS_WORD = re.compile(r"[a-z]+")
 
 
 class Node:
-    __slots__ = ("tag", "kids", "parent", "cut", "chars", "tags", "link_chars", "link_tags", "density", "sum")
+    __slots__ = ("tag", "kids", "parent", "cut", "links", "chars", "tags", "link_chars", "link_tags", "density", "sum")
 
-    def __init__(self, tag: str, parent: Node | None, cut: bool):
-        self.tag, self.parent, self.cut = tag, parent, cut
+    def __init__(self, tag: str, parent: Node | None, cut: bool, links: bool = False):
+        self.tag, self.parent, self.cut, self.links = tag, parent, cut, links
         self.kids: list[Node | str] = []
 
 
-def _is_noise(tag: str, attributes: str, in_article: bool) -> bool:
+def _named(value: str, words: frozenset[str]) -> bool:
+    """One of the names is made of these words, fillers apart."""
+    for name in value.split():
+        found = set(_CLASS_WORD.findall(_CAMEL.sub(" ", name).lower()))
+        if found - FILLERS and found <= words | FILLERS:
+            return True
+    return False
+
+
+def _is_noise(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
+    """No part of an article; and: none if it is mostly links."""
     if tag in CUT_TAGS or (tag == "header" and not in_article):
-        return True
+        return True, False
+    links = False
     if not attributes or tag in ("html", "body", "article", "main"):
-        return False
+        return False, False
     for m in _ATTRIBUTE.finditer(attributes):
         name = (m.group(1) or m.group(5) or "").lower()
         value = m.group(2) or m.group(3) or m.group(4) or ""
         if name == "role" and value.lower() in CUT_ROLES:
-            return True
+            return True, False
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
-            return True
+            return True, False
         if name == "style" and "display:none" in value.replace(" ", "").lower():
-            return True
-        if name in ("class", "id") and not CUT_WORDS.isdisjoint(_CLASS_WORD.findall(_CAMEL.sub(" ", value).lower())):
-            return True
-    return False
+            return True, False
+        if name in ("class", "id"):
+            if _named(value, CUT_WORDS):
+                return True, False
+            links = links or _named(value, CUT_WORDS | LINK_WORDS)
+    return False, links
+
+
+class Reader:
+    """Open elements as a stack, and by name the places in it (0 is the root)."""
+
+    def __init__(self):
+        self.root = Node("#root", None, False)
+        self.stack: list[Node] = [self.root]
+        self.open: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+        self.articles = 0
+
+    def last(self, tag: str) -> int:
+        at = self.open.get(tag)
+        return at[-1] if at else 0
+
+    def cut_to(self, at: int) -> None:
+        """Closes the element at a place and all above it."""
+        while len(self.stack) > at:
+            tag = self.stack.pop().tag
+            self.open[tag].pop()
+            if tag in BLOCK:
+                self.blocks.pop()
+            self.articles -= tag in ("article", "main")
+
+    def end(self, tag: str) -> None:
+        at = self.last(tag)
+        # An inline end tag does not close a block around it.
+        if at and (tag in BLOCK or not self.blocks or at > self.blocks[-1]):
+            self.cut_to(at)
+
+    def start(self, tag: str, attributes: str) -> bool:
+        """Adds the element; True if it stays open."""
+        if tag in BLOCK and self.blocks and self.stack[self.blocks[-1]].tag == "p":
+            self.cut_to(self.blocks[-1])  # a block closes an open paragraph
+        if tag in CLOSES:
+            what, limit = CLOSES[tag]
+            floor, close = max(map(self.last, limit)), []
+            for w in what:
+                places = self.open.get(w, [])
+                k = bisect_right(places, floor)
+                close += places[k : k + 1]
+            if close:
+                self.cut_to(min(close))
+        child = Node(tag, self.stack[-1], *_is_noise(tag, attributes, self.articles > 0))
+        self.stack[-1].kids.append(child)
+        if tag in VOID or tag in RAW or (attributes.endswith("/") and tag not in BLOCK):
+            return False
+        self.open.setdefault(tag, []).append(len(self.stack))
+        if tag in BLOCK:
+            self.blocks.append(len(self.stack))
+        self.stack.append(child)
+        self.articles += tag in ("article", "main")
+        return True
+
+
+class Finder:
+    """str.find() that does not look again for what no later place has."""
+
+    def __init__(self, text: str):
+        self.text, self.gone = text, set()
+
+    def __call__(self, what: str, at: int) -> int:
+        if what in self.gone:
+            return -1
+        found = self.text.find(what, at)
+        if found < 0:
+            self.gone.add(what)
+        return found
+
+
+def _tag_end(html: str, at: int, find: Finder) -> int:
+    """The place of the tag's ">": quoted values may hold others. Once no tag of the rest
+    ends that way, the next one will do. -1 without any."""
+    plain = find(">", at)
+    while plain >= 0 and _TAG_END not in find.gone:
+        m = _TAG_END.search(html, at)
+        if m is None:
+            find.gone.add(_TAG_END)
+            break
+        if m.group(1) is None:
+            return m.start()
+        close = find(m.group(1), m.end())
+        # A quote that never ends is no quote.
+        at = close + 1 if close >= 0 else m.end()
+    return plain
 
 
 def parse(html: str) -> Node:
-    root = Node("#root", None, False)
-    at, node, articles, n = 0, root, 0, len(html)
-    find = _MARKUP.search
+    reader, at, n = Reader(), 0, len(html)
+    find, ends = Finder(html), Finder(html.lower())
+    if len(ends.text) != n:  # a letter that is two in lower case: places would differ
+        ends = Finder(html)
     while at < n:
-        m = find(html, at)
-        if m is None:
-            node.kids.append(html[at:])
+        start = find("<", at)
+        if start < 0:
+            reader.stack[-1].kids.append(html[at:])
             break
-        if m.start() > at:
-            node.kids.append(html[at : m.start()])
-        at = m.end()
-        tag = m.group(2)
-        if tag is None:
-            continue
-        tag = tag.lower()
-        if m.group(1):
-            if tag == "p" or tag in BLOCK or tag not in VOID:
-                up = node
-                while up is not root and up.tag != tag:
-                    # An inline end tag does not close a block around it.
-                    if tag not in BLOCK and up.tag in BLOCK:
-                        up = root
-                        break
-                    up = up.parent
-                if up is not root:
-                    while node is not up:
-                        articles -= node.tag in ("article", "main")
-                        node = node.parent
-                    articles -= node.tag in ("article", "main")
-                    node = up.parent
-            continue
-        attributes = m.group(3)
-        if tag in BLOCK:
-            # A block closes an open paragraph.
-            up = node
-            while up is not root and up.tag != "p" and up.tag not in BLOCK:
-                up = up.parent
-            if up.tag == "p":
-                node = up.parent
-        if tag in CLOSES:
-            what, limit = CLOSES[tag]
-            up = node
-            while up is not root and up.tag not in limit:
-                if up.tag in what:
-                    node = up.parent
-                up = up.parent
-        child = Node(tag, node, _is_noise(tag, attributes, articles > 0))
-        node.kids.append(child)
-        if tag in VOID or (attributes.endswith("/") and tag not in BLOCK):
-            continue
-        if tag in RAW:
-            stop = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(html, at)
-            if stop is None and tag in ("noscript", "object", "canvas"):
+        m = None
+        if html.startswith("<!--", start):
+            stop = find("-->", start + 4)
+            end = stop + 3 if stop >= 0 else n
+        elif html.startswith(("<!", "<?"), start):
+            stop = find(">", start)
+            end = stop + 1 if stop >= 0 else n
+        else:
+            m = _TAG.match(html, start + 1) if find(">", start) >= 0 else None
+            stop = _tag_end(html, m.end(), find) if m else -1
+            if stop < 0:  # a bare "<", or a tag that does not end, is text
+                reader.stack[-1].kids.append(html[at : start + 1])
+                at = start + 1
                 continue
-            at = stop.end() if stop else n
+            end = stop + 1
+        if start > at:
+            reader.stack[-1].kids.append(html[at:start])
+        at = end
+        if m is None:
             continue
-        articles += tag in ("article", "main")
-        node = child
-    return root
+        tag = m.group(2).lower()
+        if m.group(1):
+            reader.end(tag)
+        elif not reader.start(tag, html[m.end() : stop]) and tag in RAW:
+            close = ends(f"</{tag}", at)
+            stop = find(">", close) if close >= 0 else -1
+            at = stop + 1 if stop >= 0 else n
+    return reader.root
 
 
 def measure(root: Node) -> None:
@@ -169,9 +255,11 @@ def measure(root: Node) -> None:
         if node.tag == "a":
             link_chars, link_tags = chars, tags + 1
         node.chars, node.tags, node.link_chars, node.link_tags = chars, tags, link_chars, link_tags
+        node.cut = node.links and link_chars * 2 > chars
     body = next((n for n in order if n.tag == "body"), root)
     share = body.link_chars / max(body.chars, 1)
     for node in reversed(order):
+        # A node is in the order if it was not cut when it was read.
         c, t, lc, lt = node.chars, max(node.tags, 1), node.link_chars, max(node.link_tags, 1)
         if not c:
             node.density = node.sum = 0.0
