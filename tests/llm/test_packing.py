@@ -71,3 +71,23 @@ def test_edges_of_input(spark):
     twice = spark.createDataFrame([(3, "one two"), (3, "one two"), (None, "x")], "doc_id long, text string")
     assert packing.pack(twice, PATH).count() == 3
     assert packing.pack(docs.limit(0), PATH).count() == 0
+
+
+def test_tokenizers_alone_where_the_two_differ():
+    import tiktoken
+
+    lib = Tokenizer.from_file(PATH)
+    ours = packing.Tokens(PATH)
+    assert ours.fast is not None
+    ours.fast = tiktoken.Encoding("bytes", pat_str="(?s).", mergeable_ranks={bytes([i]): i for i in range(256)}, special_tokens={})
+    for text in ("some words here", "and some more"):
+        assert ours(text).tolist() == lib.encode(text, add_special_tokens=False).ids
+    assert ours.fast is None
+    other = packing.Tokens(public_tokenizers.path("word_bpe_49k.json"))
+    assert other.fast is None and other("Some words").tolist() == Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")).encode("Some words", add_special_tokens=False).ids
+
+
+def test_equal_rows_are_dealt_to_all_groups(spark):
+    docs = spark.range(4000).selectExpr("cast(null as bigint) AS doc_id", "'the same few words' AS text")
+    rows = packing.pack(docs, PATH, group_docs=500).collect()
+    assert len(rows) == 4000 and len({r.sequence_id >> 32 for r in rows}) == 8

@@ -1,10 +1,11 @@
 import re
 
+import pytest
 from test_exact_dedup import norm
 from test_simhash import brute_components, brute_print
 
 import corpus_pipeline as cp
-from varve.llm import toxicity
+from varve.llm import pipeline, toxicity
 from varve.llm.common import table, written
 
 
@@ -26,14 +27,14 @@ def test_stages_against_brute_force(spark, sf_small):
         docs = written(stage(spark, docs, sf_small), "t")
         rows = docs.collect()
         assert sorted(r.doc_id for r in rows) == sorted(keep) and all(r == held[r.doc_id] for r in rows)
-    mixed = written(cp.mix_sources(spark, docs, sf_small), "t")
+    mixed = written(pipeline.mix_sources(spark, docs, sf_small), "t")
     assert mixed.columns == docs.columns
     texts = {}
     for r in mixed.collect():
         # A run of words of the document, or all of it.
         assert f" {' '.join(re.findall(r'[^ \t-\r]+', r.text))} " in f" {' '.join(re.findall(r'[^ \t-\r]+', held[r.doc_id].text))} "
         texts.setdefault(r.doc_id, []).append(r.text)
-    packed = cp.pack_sequences(spark, mixed, sf_small).collect()
+    packed = pipeline.pack_sequences(spark, mixed, sf_small).collect()
     assert sum(r.start == 0 for r in packed) == sum(map(len, texts.values()))
     once = {i: t[0] for i, t in texts.items() if len(t) == 1}
     room = {}
@@ -52,8 +53,51 @@ def test_stages_against_brute_force(spark, sf_small):
     assert all(sizes[r.doc_id] == r.doc_tokens for r in single_rows)
 
 
-def test_run_is_the_stages_in_turn(spark, sf_small):
-    assert cp.run(spark, sf_small).columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+def test_run_is_the_stages_in_turn(spark, sf_small, monkeypatch):
+    pieces = lambda df: sorted((r.doc_id, r.start, r.length, r.ids_crc32) for r in df.collect())
+    docs = table(spark, sf_small, "documents")
+    for _, stage in cp.STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_small), "t")
+    want = pieces(pipeline.pack_sequences(spark, docs, sf_small))
+    got = cp.run(spark, sf_small)
+    assert got.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    assert pieces(got) == want
+
+
+def test_a_run_goes_on_behind_its_last_stage(spark, sf_small, monkeypatch):
+    ran = []
+
+    def watched(name, stage, fails):
+        def run(spark, docs, sf_dir):
+            ran.append(name)
+            if fails:
+                raise RuntimeError("lost")
+            return stage(spark, docs, sf_dir)
+
+        return name, run
+
+    monkeypatch.setattr(pipeline, "STAGES", [watched(n, f, n == "mixing") for n, f in cp.STAGES])
+    with pytest.raises(RuntimeError):
+        pipeline.run(spark, sf_small, "again")
+    monkeypatch.setattr(pipeline, "STAGES", [watched(n, f, False) for n, f in cp.STAGES])
+    ran.clear()
+    rows = pipeline.run(spark, sf_small, "again").count()
+    assert ran == ["mixing", "packing"] and rows > 0
+
+
+def test_edges_of_input(spark, sf_small):
+    docs = table(spark, sf_small, "documents").select("doc_id", "text", "lang", "source", "n_chars")
+    odd = spark.createDataFrame([(None, None, None, None, None), (None, "a few words alone", "en", None, 17), (None, "quite another text of ours", "en", "s", 26), (900_001, "", "en", "s", 0), (900_002, "x " * 100_000, "en", "s", 5), (900_002, "x " * 100_000, "en", "s", 5)], docs.schema)
+    docs = docs.limit(30).unionByName(odd).selectExpr("*", "doc_id AS fingerprint", "1 AS kept", "'z' AS score", "7L AS digest")
+    for name, stage in cp.STAGES:
+        before, docs = docs, written(stage(spark, docs, sf_small), "t")
+        if name != "packing":
+            assert docs.columns == before.columns
+        if name in ("exact dedup", "near-dedup"):
+            texts = [r.text for r in docs.where("doc_id is null").collect()]
+            assert {"a few words alone", "quite another text of ours"} <= set(texts)
+            assert docs.where("doc_id = 900002").count() == 1
+    assert docs.count() > 0
 
 
 def test_empty_table(spark, sf_small):

@@ -68,9 +68,14 @@ def finished(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
 
 
-def clear(spark: SparkSession, but: tuple[str, ...] = ()) -> None:
-    """Deletes what written() has left in the shared folder."""
-    for owner, path in [x for x in _written if x[0] is spark and x[1] not in but]:
+def marked() -> int:
+    """A place in the list of what written() has left, for clear()."""
+    return len(_written)
+
+
+def clear(spark: SparkSession, since: int = 0, but: str = "") -> None:
+    """Deletes what written() has left in the shared folder (since a place), but for one path."""
+    for owner, path in [x for x in _written[since:] if x[0] is spark and x[1] != but]:
         _delete(path, owner)
         _written.remove((owner, path))
 

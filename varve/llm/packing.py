@@ -6,12 +6,17 @@ their own and its last piece is packed. Documents are dealt to groups of about
 GROUP_DOCS at random (seeded by doc_id), and each group is packed on its own, so a task
 holds one group's lengths whatever the input's size.
 
-The ids are those of the ``tokenizers`` file. Its vocabulary is run by ``tiktoken``,
-several times as fast; each worker compares both on the first texts it meets, and texts
-that hold a special token's string, or that fail there, go through ``tokenizers``.
+The ids are those of the ``tokenizers`` file. Where the file says that its ids follow the
+order of its merges and that it splits by the byte-level pattern and nothing else, its
+vocabulary is run by ``tiktoken``, several times as fast, with the same result; each
+worker compares both on the first texts it meets all the same, and goes on with
+``tokenizers`` alone if they differ. So it does with any other file, and with texts that
+hold a special token's string, that fail there, or that hold letters of the later planes
+(the two libraries may know different versions of Unicode).
 
 Defined results: a null or empty text is the single end id; repeated rows are documents
-of their own, in an order fixed by their content; an empty table gives an empty result;
+of their own, in an order fixed by their content, and dealt to groups by their number, so
+a row that repeats without end fills no group; an empty table gives an empty result;
 other columns are ignored; a null doc_id is packed like any other.
 """
 
@@ -29,6 +34,8 @@ from pyspark.sql import functions as F
 from varve.llm.common import small_batches, table
 
 LENGTH, END_ID, GROUP_DOCS, SEED = 1024, 0, 8192, 29
+#: Rows of a task whose repeats are numbered, before the count starts anew.
+_MAX_SEEN = 200_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -49,17 +56,29 @@ class Tokens:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.special = [x["content"] for x in spec["added_tokens"]]
-        rest = [b for b in range(256) if b not in set(self.KEPT)]
-        byte = {chr(b): b for b in self.KEPT} | {chr(256 + i): b for i, b in enumerate(rest)}
-        ranks = {bytes(byte[c] for c in tok): i for tok, i in spec["model"]["vocab"].items() if tok not in set(self.special)}
-        self.fast = tiktoken.Encoding("file", pat_str=self.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.checks = 8
+        self.fast, self.checks = None, 8
+        if self.same_by_design(spec):
+            rest = [b for b in range(256) if b not in set(self.KEPT)]
+            byte = {chr(b): b for b in self.KEPT} | {chr(256 + i): b for i, b in enumerate(rest)}
+            ranks = {bytes(byte[c] for c in tok): i for tok, i in spec["model"]["vocab"].items() if tok not in set(self.special)}
+            self.fast = tiktoken.Encoding("file", pat_str=self.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def same_by_design(self, spec: dict) -> bool:
+        """Byte-level splitting alone, and ids in the order of the merges."""
+        model, split = spec["model"], spec.get("pre_tokenizer") or {}
+        if model.get("type") != "BPE" or spec.get("normalizer") or model.get("continuing_subword_prefix") or model.get("end_of_word_suffix") or model.get("dropout"):
+            return False
+        if split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True):
+            return False
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        made = [model["vocab"].get("".join(m), -1) for m in pairs]
+        return len(set(made)) == len(made) and all(x < y for x, y in zip(made, made[1:])) and len(made) + 256 == len(set(model["vocab"]) - set(self.special))
 
     def _slowly(self, text: str) -> np.ndarray:
         return np.array(self.slow.encode(text, add_special_tokens=False).ids, "<u4")
 
     def __call__(self, text: str) -> np.ndarray:
-        if any(s in text for s in self.special):
+        if self.fast is None or any(s in text for s in self.special) or (not text.isascii() and max(text) >= "\U00010000"):
             return self._slowly(text)
         try:
             ids = self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False)
@@ -69,8 +88,10 @@ class Tokens:
             return self._slowly(text)
         if self.checks and text:
             self.checks -= 1
-            if not np.array_equal(ids, self._slowly(text)):
-                raise ValueError("the two tokenizers disagree")
+            other = self._slowly(text)
+            if not np.array_equal(ids, other):
+                self.fast = None
+                return other
         return ids
 
 
@@ -85,15 +106,20 @@ def tokens(path: str) -> Tokens:
 
 def _measure(path: str, length: int, end_id: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode, end = tokens(path), np.array([end_id], "<u4")
+        encode, end, seen = tokens(path), np.array([end_id], "<u4"), {}
         for batch in batches:
-            sizes, crcs = [], []
+            sizes, crcs, copies = [], [], []
+            if len(seen) > _MAX_SEEN:
+                seen.clear()
+            for key in zip(batch["doc_id"].fillna(-1).tolist(), (zlib.crc32(t.encode("utf-8", "surrogatepass")) if t else 0 for t in batch["text"]), strict=True):
+                seen[key] = seen.get(key, -1) + 1
+                copies.append(seen[key])
             for text in batch["text"]:
                 ids = np.concatenate([encode(text), end]) if text else end
                 data = memoryview(ids.tobytes())
                 sizes.append(len(ids))
                 crcs.append([zlib.crc32(data[4 * i : 4 * (i + length)]) for i in range(0, len(ids), length)])
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "doc_tokens": sizes, "crcs": crcs})
+            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "doc_tokens": sizes, "crcs": crcs, "copy": copies})
 
     return run
 
@@ -158,8 +184,8 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int = EN
     small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     n_groups = max(1, round(docs.count() / group_docs))
-    sized = docs.mapInPandas(_measure(tokenizer, length, end_id), "doc_id long, doc_tokens long, crcs array<long>")
-    dealt = sized.withColumn("part", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "doc_tokens", "crcs"), F.lit(n_groups)))
+    sized = docs.mapInPandas(_measure(tokenizer, length, end_id), "doc_id long, doc_tokens long, crcs array<long>, copy long")
+    dealt = sized.withColumn("part", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "doc_tokens", "crcs", "copy"), F.lit(n_groups)))
     return dealt.groupBy("part").applyInPandas(lambda pdf: pack_group(pdf, length), PIECES)
 
 
