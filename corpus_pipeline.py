@@ -1,61 +1,7 @@
-"""A training-corpus pipeline of five stages over documents.
-
-Toxic documents go, equal texts and near-duplicates are reduced to one document, sources
-are mixed to their weights, and what is left is packed into sequences. Each stage works
-on all that its predecessor kept and returns the columns of documents; the last returns
-the packed pieces.
-"""
+"""The corpus pipeline, as the driver looks for it: the stages are in varve.llm.pipeline."""
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-from varve.llm import exact_dedup, mixing, packing, simhash, toxicity
-from varve.llm.common import table, written
-
-
-def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go; the model learns from the labels of the training folds."""
-    model = toxicity.learn(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return toxicity.keep_clean(docs, model)
-
-
-def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the smallest doc_id stays."""
-    return exact_dedup.keep_first(docs, exact_dedup.DigestIndex(spark, f"varve_digests_{uuid.uuid4().hex}"))
-
-
-def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked fingerprints stays."""
-    return simhash.keep_one(docs)
-
-
-def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them, and the runs of words it takes besides."""
-    return mixing.mixed(docs)
-
-
-def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    import public_tokenizers
-
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
-
-
-STAGES = [
-    ("toxicity", drop_toxic),
-    ("exact dedup", drop_copies),
-    ("near-dedup", drop_near_copies),
-    ("mixing", mix_sources),
-    ("packing", pack_sequences),
-]
-#: Scores, fingerprints and token ids have no SQL; tests hold the stages against brute force.
-ORACLE_SQL = None
-
+from varve.llm.pipeline import ORACLE_SQL, STAGES, run
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-    return STAGES[-1][1](spark, docs, sf_dir)
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
