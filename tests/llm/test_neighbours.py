@@ -15,12 +15,38 @@ def brute(ids, x, k=10, every=100):
 
 def test_probing_retrieves_every_code_in_the_radius():
     rng = np.random.default_rng(4)
-    codes = rng.integers(0, 2**64, 3000, dtype=np.uint64)
-    codes[:200] ^= codes[200:400] & rng.integers(0, 2**64, 200, dtype=np.uint64)
+    codes = rng.integers(0, 2**64, (3000, neighbours.BITS // 64), dtype=np.uint64)
+    for k in range(200):
+        at = rng.choice(neighbours.BITS, rng.integers(0, 60), replace=False)
+        flip = np.zeros(neighbours.BITS, np.uint8)
+        flip[at] = 1
+        codes[k] = codes[5] ^ np.packbits(flip, bitorder="little").view("<u8")
     index = neighbours.Index(codes)
-    for r in (0, 1, 3, 7, 20, 27, 64):
-        got = index.within(codes[5], r)
-        assert got.tolist() == np.flatnonzero(np.bitwise_count(codes ^ codes[5]) <= r).tolist()
+    far = neighbours.apart(codes, codes[5])
+    for r in (0, 1, 3, 7, 15, 16, 20, 27, 47, 64, 100, 256):
+        assert index.within(codes[5], r).tolist() == np.flatnonzero(far <= r).tolist()
+    # Close codes are found among few rows.
+    assert len(index.probed(codes[5], 15)) < 300
+
+
+def test_flips_and_values_give_the_same_rows(monkeypatch):
+    rng = np.random.default_rng(6)
+    index = neighbours.Index(rng.integers(0, 2**64, (2000, neighbours.BITS // 64), dtype=np.uint64))
+    by_flips = [index.probed(index.codes[i], r).tolist() for i in (0, 9) for r in (5, 20, 33)]
+    monkeypatch.setattr(neighbours, "n_flips", lambda r: 1 << 30)
+    assert by_flips == [index.probed(index.codes[i], r).tolist() for i in (0, 9) for r in (5, 20, 33)]
+
+
+def test_recall_beyond_the_sample(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    held = rows.collect()
+    ids, x = np.array([r.vec_id for r in held]), np.array([r.embedding for r in held], float)
+    want = brute(ids, x, every=20)
+    got = {}
+    for r in neighbours.nearest(rows, F.col("vec_id") % 20 == 0, sample_size=400, query_block=30).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = sum(len(got[q] & {v for v, _ in want[q]}) for q in want)
+    assert hits >= 0.9 * 10 * len(want)
 
 
 def test_recall_of_query(spark):

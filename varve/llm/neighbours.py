@@ -1,18 +1,22 @@
 """Approximate nearest neighbours by multi-index hashing of learned binary codes.
 
-Codes are 64 bits: vectors are centred, projected on their principal directions and
-turned by a rotation that brings them nearest to the corners of a cube (iterative
-quantisation), all learned on at most SAMPLE vectors. A code is cut into four
-substrings; each block of the index has a directory of the values of each substring with
-the rows that have them. By the pigeonhole principle a code within radius r of a query
-has a substring within r div 4 (or one less) of the query's: probing the directories
-retrieves every code within the radius, a full comparison keeps these, and their
-original vectors are measured in double precision.
+Codes are BITS bits: vectors are centred, projected on their principal directions and
+turned by rotations (as many as the bits ask for) that bring them near to the corners of
+a cube (iterative quantisation), all learned on at most SAMPLE vectors. A code is cut into
+PARTS substrings; each block of the index has a directory of the values of each substring
+with the rows that have them. By the pigeonhole principle a code within radius r of a
+query has a substring within r div PARTS (or one less) of the query's: probing the
+directories retrieves every code within the radius, a full comparison keeps these, and
+their original vectors are measured in double precision. A directory is probed by flipping
+bits of the query's value, or, where it holds fewer values than there are flips, by
+testing its values.
 
 The radius is learned on the sample too: it holds RECALL of its true neighbours. All
 rows are indexed. Blocks of queries meet blocks of the index, a task a pair, and each
-pair returns its k nearest for each query, so no group of rows meets in one task.
-Queries with fewer than k found are searched again without a radius.
+pair returns its k nearest for each query, so no group of rows meets in one task. Blocks
+grow with the table up to a bound, so that the index travels once for every
+MAX_QUERY_BLOCK queries. Queries with fewer than k found are searched again without a
+radius.
 
 Defined results: vectors that are null, zero, of another length than most, or hold null
 or non-finite components take no part, nor do rows with a null id; repeated vectors are
@@ -23,6 +27,8 @@ with its own id; an empty table gives an empty result; other columns are ignored
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -32,30 +38,32 @@ from pyspark.sql.window import Window
 
 from varve.llm.common import table, written
 
-BITS, PARTS, SAMPLE, SAMPLE_QUERIES, RECALL = 64, 4, 20_000, 256, 0.99
-INDEX_BLOCK, QUERY_BLOCK, K = 8192, 1024, 10
+BITS, PARTS, SAMPLE, SAMPLE_QUERIES, RECALL = 256, 16, 20_000, 256, 0.98
+MIN_BLOCK, MAX_INDEX_BLOCK, MAX_QUERY_BLOCK, K = 2048, 32_768, 16_384, 10
 FOUND = "query_id long, vec_id long, score double"
 
 
 class Codes:
-    """Projection, rotation and radius learned on a sample."""
+    """Projection, rotations and radius learned on a sample. A code is a row of 64-bit words."""
 
-    def __init__(self, sample: np.ndarray, k: int, rounds: int = 40, seed: int = 5):
+    def __init__(self, sample: np.ndarray, k: int, rounds: int = 25, seed: int = 5):
         rng = np.random.default_rng(seed)
         self.mean = sample.mean(axis=0)
         x, d = sample - self.mean, sample.shape[1]
         _, axes = np.linalg.eigh(x.T @ x)
-        wide = axes[:, ::-1][:, :BITS] if d >= BITS else axes @ rng.normal(size=(d, BITS))
-        z, turn = x @ wide, np.linalg.qr(rng.normal(size=(BITS, BITS)))[0]
-        for _ in range(rounds):
-            u, _, v = np.linalg.svd(np.where(z @ turn > 0, 1.0, -1.0).T @ z)
-            turn = (u @ v).T
-        self.map = wide @ turn
+        maps, width = [], min(d, BITS)
+        for at in range(0, BITS, width):
+            z, turn = x @ axes[:, ::-1][:, :width], np.linalg.qr(rng.normal(size=(width, width)))[0]
+            for _ in range(rounds):
+                u, _, v = np.linalg.svd(np.where(z @ turn > 0, 1.0, -1.0).T @ z)
+                turn = (u @ v).T
+            maps.append((axes[:, ::-1][:, :width] @ turn)[:, : BITS - at])
+        self.map = np.hstack(maps)
         self.radius = self._radius(sample, k, rng)
 
     def __call__(self, vectors: np.ndarray) -> np.ndarray:
         bits = (vectors - self.mean) @ self.map > 0
-        return np.packbits(bits, axis=1, bitorder="little").view("<u8").ravel()
+        return np.packbits(bits, axis=1, bitorder="little").view("<u8")
 
     def _radius(self, x: np.ndarray, k: int, rng) -> int:
         code, gaps = self(x), []
@@ -63,38 +71,73 @@ class Codes:
             far = ((x - x[i]) ** 2).sum(axis=1)
             far[i] = np.inf
             near = np.argsort(far, kind="stable")[: min(k, len(x) - 1)]
-            gaps.append(np.bitwise_count(code[near] ^ code[i]))
+            gaps.append(apart(code[near], code[i]))
         gaps = np.concatenate(gaps) if gaps else np.zeros(0)
         return int(np.quantile(gaps, RECALL, method="higher")) if len(gaps) else BITS
 
 
+def apart(codes: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """Bits that differ."""
+    return np.bitwise_count(codes ^ code).sum(axis=1, dtype=np.int64)
+
+
 def part_radii(radius: int) -> list[int]:
     """How far each substring may be: one of them is that near for any code in radius."""
     each, more = divmod(radius, PARTS)
     return [each if i <= more else each - 1 for i in range(PARTS)]
 
 
+WIDTH = BITS // PARTS
+
+
+def flips(radius: int) -> np.ndarray:
+    """The masks of up to radius bits of a substring."""
+    return np.array([sum(1 << b for b in c) for r in range(radius + 1) for c in combinations(range(WIDTH), r)], np.uint16)
+
+
+def n_flips(radius: int) -> int:
+    return sum(comb(WIDTH, r) for r in range(radius + 1))
+
+
 class Index:
     """A block of codes: for each substring, its values and the rows that have them."""
 
     def __init__(self, codes: np.ndarray):
-        self.codes, self.parts = codes, []
+        self.codes, self.parts, self.flips = codes, [], {}
         for p in codes.view("<u2").reshape(-1, PARTS).T:
             order = np.argsort(p, kind="stable")
             values, first = np.unique(p[order], return_index=True)
             self.parts.append((values, order, np.r_[first, len(p)]))
 
-    def within(self, code: np.ndarray, radius: int) -> np.ndarray:
-        """Rows within radius of a code."""
+    def _near(self, values: np.ndarray, q: np.uint16, r: int) -> np.ndarray:
+        """Places of the values within r bits of q."""
+        if n_flips(r) >= len(values):
+            return np.flatnonzero(np.bitwise_count(values ^ q) <= r)
+        if r not in self.flips:
+            self.flips[r] = flips(r)
+        asked = self.flips[r] ^ q
+        at = np.searchsorted(values, asked)
+        at[at == len(values)] = 0
+        return at[values[at] == asked]
+
+    def probed(self, code: np.ndarray, radius: int) -> np.ndarray:
+        """Rows that have a substring as near as the pigeonhole principle asks."""
         hit = np.zeros(len(self.codes), bool)
-        mine = np.array([code], "<u8").view("<u2")
+        mine = np.ascontiguousarray(code).view("<u2")
         for q, r, (values, order, first) in zip(mine, part_radii(radius), self.parts, strict=True):
-            if r < 0:
-                continue
-            near = np.bitwise_count(values ^ q) <= r
-            hit[order[np.repeat(near, np.diff(first))]] = True
-        rows = np.flatnonzero(hit)
-        return rows[np.bitwise_count(self.codes[rows] ^ code) <= radius]
+            if r >= 0:
+                near = self._near(values, q, r)
+                size = first[near + 1] - first[near]
+                stop = np.cumsum(size)
+                hit[order[np.repeat(first[near] - stop + size, size) + np.arange(stop[-1] if len(stop) else 0)]] = True
+        return np.flatnonzero(hit)
+
+    def within(self, code: np.ndarray, radius: int) -> np.ndarray:
+        """Rows within radius of a code."""
+        if radius >= BITS:
+            return np.arange(len(self.codes))
+        rows = self.probed(code, radius)
+        return rows[apart(self.codes[rows], code) <= radius]
 
 
 def _usable(rows: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -108,8 +151,11 @@ def _block(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"block": [int(pdf["block"].iloc[0])], "ids": [pdf["vec_id"].to_numpy(np.int64).tobytes()], "vectors": [np.stack(pdf["vec"].to_numpy()).astype(np.float64).tobytes()]})
 
 
-def _blocks(rows: DataFrame, size: int) -> tuple[DataFrame, int]:
-    n = max(1, -(-rows.count() // size))
+def _blocks(rows: DataFrame, size: int | None) -> tuple[DataFrame, int]:
+    count = rows.count()
+    # Small tables are cut finer, so that every core gets some blocks.
+    size = size or min(MAX_INDEX_BLOCK, max(MIN_BLOCK, count // (4 * rows.sparkSession.sparkContext.defaultParallelism)))
+    n = max(1, -(-count // size))
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("vec_id", "vec"), F.lit(n)).cast("int"))
     return written(dealt.groupBy("block").applyInPandas(_block, "block int, ids binary, vectors binary"), "blocks"), n
 
@@ -136,7 +182,7 @@ def _search(codes, radius: int, k: int, dim: int):
     return run
 
 
-def nearest(rows: DataFrame, queries, k: int = K, index_block: int = INDEX_BLOCK, query_block: int = QUERY_BLOCK, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def nearest(rows: DataFrame, queries, k: int = K, sample_size: int = SAMPLE, index_block: int | None = None, query_block: int = MAX_QUERY_BLOCK, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """queries: a condition on vec_id. Returns query_id, rank, vec_id, score."""
     spark = rows.sparkSession
     usable = written(_usable(rows, id_col, vec_col), "vectors")
@@ -145,7 +191,7 @@ def nearest(rows: DataFrame, queries, k: int = K, index_block: int = INDEX_BLOCK
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dim = lengths.d
     usable = usable.where(F.size("vec") == dim)
-    sample = usable.orderBy(F.xxhash64(F.lit(1), "vec_id"), "vec_id").limit(SAMPLE).collect()
+    sample = usable.orderBy(F.xxhash64(F.lit(1), "vec_id"), "vec_id").limit(sample_size).collect()
     codes = Codes(np.array([r.vec for r in sample]), k)
     shared = spark.sparkContext.broadcast(codes)
     index, n_index = _blocks(usable, index_block)
