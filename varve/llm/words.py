@@ -19,8 +19,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def hashed_words(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Number and hash of the text of each word, in order. Whole texts, any length."""
+def placed_words(texts: list[bytes | None], second: bool = False) -> tuple[np.ndarray, ...]:
+    """Number of the text, hash, start and stop (in the texts joined by a line feed) of each
+    word, in order; with second also another hash. Whole texts, any length."""
     texts = [t or b"" for t in texts]
     # One break after each text, and eight bytes more so that every load stays inside.
     data = np.frombuffer(b"\n".join(texts) + b"\n" + b"\n" * 8, np.uint8)
@@ -37,13 +38,21 @@ def hashed_words(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         n = np.minimum(n, 8)
         return eight[at] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - np.uint64(8) * n.astype(np.uint64)))
 
-    h = mix(load(start, size) + size.astype(np.uint64) * _A)
+    first = load(start, size)
+    hashes = [mix(first + size.astype(np.uint64) * _A)] + ([mix((first ^ _C) * _B + size.astype(np.uint64))] if second else [])
     more, done = np.flatnonzero(size > 8), 8
     while len(more):
-        h[more] = mix(h[more] * _A + load(start[more] + done, size[more] - done))
+        next_ = load(start[more] + done, size[more] - done)
+        for h, by in zip(hashes, (_A, _C)):
+            h[more] = mix(h[more] * by + next_)
         done += 8
         more = more[size[more] > done]
-    return text, h
+    return text, hashes[0], start, start + size, *hashes[1:]
+
+
+def hashed_words(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Number of the text and hash of each word, in order."""
+    return placed_words(texts)[:2]
 
 
 def grams(h: np.ndarray, n: int) -> np.ndarray:
