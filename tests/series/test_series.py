@@ -3,7 +3,7 @@ from dataclasses import replace
 import pytest
 from pyspark.sql import functions as F
 
-from varve.operators import peaks, pretreat, smooth, validate
+from varve.operators import history, peaks, pretreat, smooth, threshold, validate
 from varve.params import Params
 from varve.plans.study import Study, sweep_windows
 from varve.sources import files
@@ -73,3 +73,43 @@ def test_files_round_trip(spark, tmp_path):
         for c in ("age_top_i", "acc_i", "bkg", "thresh_pos", "peaks_final"):
             a, b = r[c], back[r.i][c]
             assert (a is None) == (b is None) and (a is None or abs(a - b) <= 1e-6 * max(1, abs(a)))
+
+
+def test_own_intervals_give_what_given_ones_do(spark):
+    one, two = series(spark, 121, 10.0, cnt=lambda i: float(i * i % 23)), series(spark, 121, 15.0, cnt=lambda i: float(i * i % 19)).withColumn("site", F.lit("u"))
+    p = replace(P, zone_div=(0.0, 1200.0, 1800.0), smooth_yr=300.0, peak_freq_yr=200.0)
+    shape = lambda df: sorted(tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in df.collect())
+    keep = lambda df: df.select("site", "i", "age", "bkg", "pos4", "neg4", "sni", "gof", "t", "is_peak", "insig")
+
+    def all_of(raw, p):
+        s = Study(raw, p)
+        at = s.peaks.join(s.thresholds.select("site", "run_id", "i", "bkg", "pos4", "neg4", "sni", "gof"), ["site", "run_id", "i"])
+        freq = history.smooth_frequency(history.frequency(s.final, p), p)
+        return keep(at), freq.select("site", "i", "freq", "sm_freq"), s.results.select("site", "i", "peaks_final", "peak_mag", "sm_peak_freq")
+
+    got = [shape(df) for df in all_of(one.unionByName(two), replace(p, yr_interp=0.0))]
+    want = [shape(a) + shape(b) for a, b in zip(all_of(one, p), all_of(two, replace(p, yr_interp=15.0)))]
+    assert got == [sorted(w) for w in want]
+
+
+def test_windows_with_few_values_off_neutral_are_not_tested(spark):
+    peak = [0.0] * 30
+    peak[10:13] = [2.0, -1.0, 3.0]
+    df = spark.createDataFrame([("s", "r", i, v) for i, v in enumerate(peak, 1)], "site string, run_id string, i int, peak double")
+    got = {r.i: r.gof for r in threshold.local_gof(threshold.with_thresholds(threshold.local_noise(df, P, 8), P), P, 8).collect()}
+    assert set(got.values()) == {None}
+    peak[13] = -2.0
+    df = spark.createDataFrame([("s", "r", i, v) for i, v in enumerate(peak, 1)], "site string, run_id string, i int, peak double")
+    got = {r.i: r.gof for r in threshold.local_gof(threshold.with_thresholds(threshold.local_noise(df, P, 8), P), P, 8).collect()}
+    assert got[12] is not None and got[30] is None
+
+
+def test_a_row_without_sni_keeps_its_thresholds(spark):
+    rows = [("s", "r", i, 10.0, 30, None if i == 15 else 1.0 + i % 3, 9.0 if i == 15 else 1.0) for i in range(1, 31)]
+    df = spark.createDataFrame(rows, "site string, run_id string, i int, yr double, n int, sni double, pos1 double")
+    for c in ("pos2", "pos3", "pos4", "neg1", "neg2", "neg3", "neg4"):
+        df = df.withColumn(c, F.col("pos1"))
+    got = {r.i: r for r in threshold.smooth_thresholds(df, P).collect()}
+    alone = {r.i: r.f for r in smooth.lowess(df, "pos1", "f", F.lit(10), 10).collect()}
+    assert got[15].sni is None and all(abs(got[i].pos1 - alone[i]) < 1e-9 and got[i].pos1 == got[i].neg4 for i in got)
+    assert got[15].pos1 > 1.2

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from varve.functions import stats
-from varve.operators import history
+from varve.operators import history, threshold
 from varve.operators.smooth import KEY
 from varve.params import Params
 
@@ -36,7 +36,7 @@ def noise_histogram(peaks: DataFrame, bins: DataFrame) -> DataFrame:
 
 def diagnostics(thresholded: DataFrame, p: Params, most: int = 25) -> DataFrame:
     """Figure 2, local: at most 25 evenly spaced windows with their model."""
-    hw = round(0.5 * p.smooth_yr / p.yr_interp)
+    hw = threshold.half_window(p)
     step = F.greatest(F.lit(1), F.bround(F.col("n") / most).cast("int"))
     x = thresholded.where((F.col("i") >= 2 * hw) & ((F.col("i") - 2 * hw) % step == 0))
     x = x.withColumn("no", F.row_number().over(Window.partitionBy(*KEY).orderBy("i"))).where(F.col("no") <= most)

@@ -6,13 +6,13 @@ import zlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from varve.functions import stats
 from varve.operators.peaks import KEY_T, intervals
-from varve.operators.smooth import KEY, lowess, span_points
+from varve.operators.smooth import KEY, lowess, span_points, widest_of
 from varve.params import Params
 
 FINAL = 4
@@ -45,6 +45,8 @@ def magnitude(thresholds: DataFrame) -> DataFrame:
 def frequency(one: DataFrame, p: Params) -> DataFrame:
     """Adds freq: peaks in a window of peak_freq_yr about each row, scaled up where the
     series' ends cut it off. All frames are literals."""
+    if p.yr_interp <= 0:
+        return _frequency_by_series(one, p)
     q = p.peak_freq_yr / p.yr_interp
     half = int(q) / 2
     lo, full = int(half), round(q)
@@ -57,9 +59,33 @@ def frequency(one: DataFrame, p: Params) -> DataFrame:
     return one.withColumn("freq", F.when(F.col("i") < half, head).when(F.col("i") > F.col("n") - half, tail).otherwise(mid))
 
 
+def _frequency_by_series(one: DataFrame, p: Params) -> DataFrame:
+    """frequency() where each series has its own interval: the row numbers are scaled, so
+    that the frames stay literals."""
+    q = F.lit(p.peak_freq_yr) / F.col("yr")
+    half = F.floor(q) / 2
+    lo, full, ahead, behind = F.floor(half), F.bround(q), F.ceil(F.bround(q) / 2), F.floor(q / 2)
+    k = F.when(F.col("is_peak"), 1).otherwise(0)
+    whole = Window.partitionBy(*KEY)
+
+    def up_to(rows: Column) -> Column:
+        """Peaks at most so many rows ahead."""
+        return F.sum(k).over(whole.orderBy(F.col("i") / (rows + 0.5)).rangeBetween(Window.unboundedPreceding, 1))
+
+    def before(rows: Column) -> Column:
+        """Peaks at least so many rows (one or more) behind."""
+        return F.coalesce(F.sum(k).over(whole.orderBy(F.col("i") / (rows - 0.5)).rangeBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    head = up_to(lo) * (full / (F.col("i") + lo))
+    tail = (F.sum(k).over(whole) - before(lo + 1)) * q / (F.col("n") - F.col("i") + lo + 1)
+    gone = F.when(behind >= 1, before(F.greatest(behind, F.lit(1)))).otherwise(up_to(F.lit(0)))
+    mid = (up_to(ahead) - gone).cast("double")
+    return one.withColumn("freq", F.when(F.col("i") < half, head).when(F.col("i") > F.col("n") - half, tail).otherwise(mid))
+
+
 def smooth_frequency(freq: DataFrame, p: Params) -> DataFrame:
-    q = p.peak_freq_yr / p.yr_interp
-    return lowess(freq, "freq", "sm_freq", span_points(F.lit(q), F.col("n")), max(3, round(q)))
+    k = span_points(F.lit(p.peak_freq_yr) / F.col("yr"), F.col("n"))
+    return lowess(freq, "freq", "sm_freq", k, widest_of(p, p.peak_freq_yr, freq, k))
 
 
 def moving_intervals(one: DataFrame, p: Params) -> DataFrame:

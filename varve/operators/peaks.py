@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from varve.functions import stats
-from varve.operators.smooth import KEY
+from varve.operators.smooth import KEY, rows_of, within
 from varve.params import Params
 
 KEY_T = (*KEY, "t")
@@ -34,8 +34,8 @@ def run_ends(flagged: DataFrame) -> DataFrame:
     return x.withColumn("thr_peak", F.when(F.col("is_end"), F.first("thr").over(_by_i().rowsBetween(Window.unboundedPreceding, 0))).otherwise(0.0))
 
 
-def search_rows(p: Params) -> int:
-    return round(SEARCH_YR / p.yr_interp)
+def search_rows(p: Params) -> int | Column:
+    return rows_of(SEARCH_YR, p)
 
 
 def windows(ends: DataFrame, p: Params) -> DataFrame:
@@ -56,7 +56,7 @@ def extremes(windowed: DataFrame, p: Params) -> DataFrame:
     """Adds c_max, v_max (greatest rounded count on the young side, the first row that has
     it, and its volume) and c_min, v_min (least on the old side)."""
     m = search_rows(p)
-    near = F.collect_list(F.struct("i", F.bround("cnt").alias("c"), "vol")).over(_by_i().rowsBetween(-m, m))
+    near = F.collect_list(F.struct("i", F.bround("cnt").alias("c"), "vol")).over(within(KEY_T, m))
     x = windowed.withColumn("__near", F.when(F.col("young").isNotNull(), near))
     young = F.filter("__near", lambda r: (r["i"] >= F.col("young")) & (r["i"] <= F.col("i")) & r["c"].isNotNull())
     old = F.filter("__near", lambda r: (r["i"] >= F.col("i")) & (r["i"] <= F.col("old")) & r["c"].isNotNull())

@@ -22,13 +22,28 @@ def span_points(span: Column, n: Column) -> Column:
     return F.least(F.greatest(F.lit(3), F.bround(F.when(span < 1, span * n).otherwise(span)).cast("int")), n)
 
 
+def rows_of(years: float, p: Params) -> int | Column:
+    """Rows that make up so many years, rounded half to even: a number where all series
+    have one interval, else of each series' own."""
+    return round(years / p.yr_interp) if p.yr_interp > 0 else F.bround(F.lit(float(years)) / F.col("yr")).cast("int")
+
+
+def within(key: tuple[str, ...], rows: int | Column):
+    """The frame of so many rows to either side. Frames are literals, so where the number
+    differs between series it is the row numbers that are scaled."""
+    w = Window.partitionBy(*key)
+    if isinstance(rows, int):
+        return w.orderBy("i").rowsBetween(-rows, rows)
+    return w.orderBy(F.col("i") / (rows + 0.5)).rangeBetween(-1, 1)
+
+
 def most_points(df: DataFrame, k: Column) -> int:
     """The widest window: one small job, only where it is not known from parameters."""
     return int(df.agg(F.max(k)).first()[0] or 3)
 
 
-def _widest(p: Params, yr: float, df: DataFrame, k: Column) -> int:
-    return max(3, round(yr / p.yr_interp)) if p.yr_interp > 0 else most_points(df, k)
+def widest_of(p: Params, yr: float, df: DataFrame, k: Column) -> int:
+    return max(3, rows_of(yr, p)) if p.yr_interp > 0 else most_points(df, k)
 
 
 def lowess(df: DataFrame, y: str | list[str], out: str | list[str], k: Column, widest: int, weight: str | None = None, x: str = "i", key: tuple[str, ...] = KEY) -> DataFrame:
@@ -152,7 +167,7 @@ def background(grid: DataFrame, p: Params, methods: tuple[int, ...] | None = Non
     methods = methods or (p.method,)
     s = F.lit(p.smooth_yr) / F.col("yr")
     k = span_points(s, F.col("n"))
-    widest = _widest(p, p.smooth_yr, grid, k)
+    widest = widest_of(p, p.smooth_yr, grid, k)
     df = grid
     if set(methods) & {3, 4, 5}:
         df = bridge(df, "acc", "__clean")

@@ -8,10 +8,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from varve.functions import stats
-from varve.operators.smooth import KEY, lowess, span_points
+from varve.operators.smooth import KEY, lowess, rows_of, span_points, widest_of, within
 from varve.params import Params
 
 N_BINS = 250
@@ -108,12 +107,12 @@ def global_sni(peaks: DataFrame, thresholds: DataFrame) -> DataFrame:
     return x.select(*KEY, F.when((F.col("ns") > 0) & (F.col("nn") > 2), sni).otherwise(0.0).alias("sni"))
 
 
-def half_window(p: Params) -> int:
-    return round(0.5 * p.smooth_yr / p.yr_interp)
+def half_window(p: Params) -> int | Column:
+    return rows_of(0.5 * p.smooth_yr, p)
 
 
-def _frame(hw: int):
-    return Window.partitionBy(*KEY).orderBy("i").rowsBetween(-hw, hw)
+def _frame(hw: int | Column):
+    return within(KEY, hw)
 
 
 def local_noise(peaks: DataFrame, p: Params, hw: int | None = None) -> DataFrame:
@@ -177,9 +176,12 @@ def local_sni(df: DataFrame, p: Params, hw: int | None = None) -> DataFrame:
 
 
 def local_gof(df: DataFrame, p: Params, hw: int | None = None) -> DataFrame:
-    """Adds gof: p-value of the window's noise against its normal model (over 3 values)."""
+    """Adds gof: p-value of the window's noise against its normal model (over 3 values);
+    null in a window with under four values off neutral, which is not tested."""
     hw = half_window(p) if hw is None else hw
-    noise = F.filter(F.collect_list("x").over(_frame(hw)), lambda v: v <= F.col("pos4"))
+    win = F.collect_list("x").over(_frame(hw))
+    off = F.size(F.filter(win, lambda v: v != p.neutral))
+    noise = F.when(off >= 4, F.filter(win, lambda v: v <= F.col("pos4")))
 
     @F.pandas_udf("double")
     def fit(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -190,10 +192,12 @@ def local_gof(df: DataFrame, p: Params, hw: int | None = None) -> DataFrame:
 
 
 def smooth_thresholds(df: DataFrame, p: Params) -> DataFrame:
-    """sni and the eight thresholds run through the local line, in one pass; sni at least 0."""
-    cols = ["sni"] + [f"{a}{j}" for a in ("pos", "neg") for j in (1, 2, 3, 4)]
-    span = F.lit(p.smooth_yr) / F.col("yr")
-    df = lowess(df, cols, cols, span_points(span, F.col("n")), max(3, round(p.smooth_yr / p.yr_interp)))
+    """sni and the eight thresholds run through the local line; sni at least 0. The thresholds
+    of a row are null together and share a pass; sni is null by itself and has its own."""
+    cols = [f"{a}{j}" for a in ("pos", "neg") for j in (1, 2, 3, 4)]
+    k = span_points(F.lit(p.smooth_yr) / F.col("yr"), F.col("n"))
+    widest = widest_of(p, p.smooth_yr, df, k)
+    df = lowess(lowess(df, cols, cols, k, widest), "sni", "sni", k, widest)
     return df.withColumn("sni", F.when(F.col("sni") < 0, 0.0).otherwise(F.col("sni")))
 
 

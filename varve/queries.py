@@ -8,6 +8,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from varve.functions import stats
 from varve.operators import compare, figures, history, peaks, pretreat, smooth, threshold, validate
 from varve.params import Params
 from varve.plans import oracle
@@ -82,6 +83,10 @@ _query("t11_global_gof", "site:s i:i gof:d", lambda s: s.thresholds, "(SELECT si
 _query("t12_local_window", "site:s i:i win_n:i", lambda s: threshold.local_noise(s.peaked, s.p), "lnoise")
 _query("t13_neutral_fill", "site:s i:i x:d", lambda s: threshold.local_noise(s.peaked, s.p), "xs")
 _query("t14_small_window", "site:s i:i sigma:d", lambda s: threshold.local_noise(s.peaked, s.p, 1), "(SELECT site, a.i, CASE WHEN count(*) FILTER (b.x <= 0) > 0 THEN sqrt(2 * sum(b.x * b.x) FILTER (b.x <= 0) / (2 * count(*) FILTER (b.x <= 0) - 1)) ELSE stddev_samp(b.x) END AS sigma FROM xs a JOIN xs b USING (site) WHERE b.i BETWEEN a.i - 1 AND a.i + 1 GROUP BY site, a.i)")
+_Z4 = f"(mu + {stats.z_of(BASE.thresh_values[3])!r} * sigma)"
+_query("t14_untested_windows", "site:s i:i off:i tested:b", lambda s: threshold.local_gof(threshold.with_thresholds(threshold.local_noise(s.peaked, s.p, 3), s.p), s.p, 3).withColumn("off", F.size(F.filter(F.collect_list("x").over(smooth.within(smooth.KEY, 3)), lambda v: v != 0))).withColumn("tested", F.col("gof").isNotNull()), f"""(SELECT site, i, off, off >= 4 AND sigma > 0 AND len(list_filter(win, lambda v: v <= {_Z4})) > 3 AS tested FROM (
+  SELECT site, a.i, 0 AS mu, count(*) FILTER (b.x <> 0) AS off, list(b.x) AS win, CASE WHEN count(*) FILTER (b.x <= 0) > 0 THEN sqrt(2 * sum(b.x * b.x) FILTER (b.x <= 0) / (2 * count(*) FILTER (b.x <= 0) - 1)) ELSE stddev_samp(b.x) END AS sigma
+  FROM xs a JOIN xs b USING (site) WHERE b.i BETWEEN a.i - 3 AND a.i + 3 GROUP BY site, a.i))""")
 _query("t15_local_noise", "site:s i:i mu:d sigma:d", lambda s: threshold.local_noise(s.peaked, s.p), "lnoise")
 _query("t15_local_noise_ratio", "site:s i:i mu:d sigma:d", lambda s: threshold.local_noise(s.peaked, s.p), "lnoise", RATIO)
 _query("t16_local_mixture", "site:s i:i mu:d sigma:d fitted:b", lambda s: threshold.local_mixture(s.peaked, s.p), None)
