@@ -102,7 +102,7 @@ def test_edges_of_input(spark):
 
 
 def test_query_on_held_out_rows(spark):
-    sf = "/root/testdata/sf0.01"
+    sf = "/root/testdata/sf0.1"  # enough held-out labels for shares to mean something
     got = {r.doc_id: r for r in toxicity.op9_toxicity(spark, sf).collect()}
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     assert got.keys() == docs.keys()
@@ -110,7 +110,7 @@ def test_query_on_held_out_rows(spark):
     held = [(got[r.doc_id].predicted, r.toxic) for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if r.doc_id in got and got[r.doc_id].held_out and r.toxic is not None]
     caught, clean = [p for p, y in held if y], [p for p, y in held if not y]
     # Some labels are noise, so not all can be met.
-    assert np.mean(clean) < 0.05 and np.mean(caught) > 0.7, (len(caught), np.mean(caught), np.mean(clean))
+    assert len(caught) > 90 and np.mean(clean) < 0.02 and np.mean(caught) > 0.8, (len(caught), np.mean(caught), np.mean(clean))
     # By brute force: every score is that of the text's worst run of words.
     model = toxicity.learn(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"))
     for i in sorted(docs)[:40]:

@@ -49,6 +49,8 @@ MAX_PER_CLASS, MAX_TRAIN_BYTES, N_LANDMARKS = 2500, 32 << 20, 128
 SPAN, DECAY, WINDOW = 5, 0.8, 24
 #: Words of a sentence; rounds of choosing sentences and training; disguised copies of a landmark.
 RUN, ROUNDS, COPIES = 4, 3, 1
+#: What a copy weighs in the curve beside a labelled text, of which most are clean.
+COPY_WEIGHT = 0.05
 #: Powers of the kernel (each a kernel again): one that forgives changed letters, one for close spellings.
 POWERS = (2, 8)
 _MAX_CACHE, _BLOCK, _CHUNK, _SLICE, _LETTERS = 200_000, 4096, 256, 64, 40
@@ -232,20 +234,21 @@ def train_svm(x: np.ndarray, y: np.ndarray, cost: float = 1.0, epochs: int = 30,
     return w
 
 
-def fit_curve(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+def fit_curve(margin: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
     """Slope and offset of a logistic curve through the margins, by Newton's method with
     halved steps; targets are a little inside 0 and 1, so that separable margins have a fit."""
-    n1 = y.sum()
-    goal = np.where(y > 0, (n1 + 1) / (n1 + 2), 1 / (len(y) - n1 + 2))
+    n1, n0 = weight[y > 0].sum(), weight[y <= 0].sum()
+    goal = np.where(y > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
 
     def loss(at):
         z = at[0] * margin + at[1]
-        return (np.logaddexp(0, z) - goal * z).sum()
+        return (weight * (np.logaddexp(0, z) - goal * z)).sum()
 
-    at = np.array([0.0, np.log((n1 + 1) / (len(y) - n1 + 1))])
+    at = np.array([0.0, np.log((n1 + 1) / (n0 + 1))])
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(at[0] * margin + at[1], -30, 30)))
-        g, r = np.array([((p - goal) * margin).sum(), (p - goal).sum()]), p * (1 - p)
+        off, r = weight * (p - goal), weight * p * (1 - p)
+        g = np.array([(off * margin).sum(), off.sum()])
         h = np.array([[(r * margin**2).sum(), (r * margin).sum()], [(r * margin).sum(), r.sum()]]) + 1e-9 * np.eye(2)
         step, now = np.linalg.solve(h, g), loss(at)
         while loss(at - step) > now and np.abs(step).max() > 1e-9:
@@ -395,7 +398,7 @@ def fit(texts: list[str | None], toxic: np.ndarray) -> Model:
         margin[fold == k] = sample.steepest(sample.own(w))[0][fold == k] + b
         more.append(sample.disguised([s for i, s, y in rows if y and fold[i] == k], marks) @ w + b)
     more = np.concatenate(more)
-    return Model(landmarks, weights.astype(np.float64), offset, fit_curve(np.r_[margin, more], np.r_[toxic, np.ones(len(more))]))
+    return Model(landmarks, weights.astype(np.float64), offset, fit_curve(np.r_[margin, more], np.r_[toxic, np.ones(len(more))], np.r_[np.ones(len(margin)), np.full(len(more), COPY_WEIGHT)]))
 
 
 def learn(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, max_per_class: int = MAX_PER_CLASS, max_bytes: int = MAX_TRAIN_BYTES, seed: int = 11, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
