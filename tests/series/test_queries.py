@@ -9,8 +9,8 @@ from varve import queries
 FOLDER = "/root/testdata/sf0.001"
 #: A spread over all stages; each runs the stages before it too.
 NAMES = [
-    "p05_gap_totals", "p06_gap_fill", "p10_auto_interval", "p12_overlap", "p14_depth", "b02_bridge", "b04_robust_lowess", "b06_moving_median", "b07_moving_mode",
-    "t08_global_thresholds", "t10_global_sni", "t14_untested_windows", "t21_smoothed_thresholds", "i10_screened", "f02_magnitude", "f04_smoothed_frequency", "f09_intervals_on_grid", "fig04_sensitivity", "v01_violations",
+    "p05_gap_totals", "p06_gap_fill", "p07_noncontiguous", "p10_auto_interval", "p12_overlap", "p14_depth", "b02_bridge", "b04_robust_lowess", "b06_moving_median", "b07_moving_mode",
+    "t08_global_thresholds", "t10_global_sni", "t14_untested_windows", "t21_smoothed_thresholds", "i09_count_p", "i10_screened", "f02_magnitude", "f04_smoothed_frequency", "f09_intervals_on_grid", "fig04_sensitivity", "fig08_tests", "v01_violations", "v02_rules",
 ]
 
 

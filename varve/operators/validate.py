@@ -16,6 +16,8 @@ RULES = {
     21: "smoothing window under 5 % of the record", 22: "local window under 30 samples",
 }
 WARNINGS = {16, 21, 22}
+#: The input columns; cm_bot has no rule of its own.
+INPUT = {"cm_top", "cm_bot", "age_top", "age_bot", "vol", "cnt"}
 
 
 def parameter_violations(p: Params) -> list[int]:
@@ -45,7 +47,7 @@ def sample_violations(raw: DataFrame) -> DataFrame:
 
 def violations(spark: SparkSession, raw: DataFrame, p: Params) -> DataFrame:
     """site (null: of the parameters), rule_no, n_rows, message, severity."""
-    found = parameter_violations(p) + ([1] if len(raw.columns) < 7 else [])
+    found = parameter_violations(p) + ([] if INPUT <= set(raw.columns) else [1])
     fixed = spark.createDataFrame([(None, k, 1) for k in found], "site string, rule_no int, n_rows long")
     names = F.create_map(*[F.lit(x) for k, v in RULES.items() for x in (k, v)])
     x = fixed.unionByName(sample_violations(raw))

@@ -43,14 +43,27 @@ def _query(name: str, columns: str, of: Callable[[Study], DataFrame], source: st
         SQL[name] = oracle.sql(p, "SELECT " + ", ".join(f"{_KINDS[k].format(n)} AS {n}" for n, k in pairs) + f" FROM {source}")
 
 
-_query("a00_samples", "site:s sample_no:i cm_top:d cm_bot:d age_top:a age_bot:a vol:d cnt:d", lambda s: s.raw, "samples")
+def _upper_tail(d: str) -> str:
+    """SQL of the standard normal's upper tail: the series of its integral by odd double factorials."""
+    series = f"list_sum(list_transform(range(0, 200), lambda k: exp((2 * k + 1) * ln(greatest(abs({d}), 1e-300)) - (k + 1) * ln(2) - lgamma(k + 1.5) + 0.5 * ln(pi()))))"
+    return f"CASE WHEN {d} > 12 THEN 0.0 WHEN {d} < -12 THEN 1.0 ELSE 0.5 - sign({d}) * exp(-0.5 * {d} * {d}) / sqrt(2 * pi()) * {series} END"
+
+
+def _ks_tail(x: str) -> str:
+    """SQL of Kolmogorov's limit distribution beyond x, by the series that converges there."""
+    low = f"1 - sqrt(2 * pi()) / {x} * list_sum(list_transform(range(1, 30), lambda k: exp(-power(2 * k - 1, 2) * pi() * pi() / (8 * {x} * {x}))))"
+    high = f"2 * list_sum(list_transform(range(1, 101), lambda k: CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END * exp(-2 * k * k * {x} * {x})))"
+    return f"CASE WHEN {x} <= 0 THEN 1.0 ELSE least(1, greatest(0, CASE WHEN {x} < 1 THEN {low} ELSE {high} END)) END"
+
+
+_query("a00_samples","site:s sample_no:i cm_top:d cm_bot:d age_top:a age_bot:a vol:d cnt:d", lambda s: s.raw, "samples")
 _query("p01_trim", "site:s sample_no:i age_top:a age_bot:a", lambda s: pretreat.trim(s.raw, replace(s.p, zone_div=(1000.0, 30000.0))), "(SELECT * FROM samples WHERE age_top >= 1000 AND age_bot <= 30000)")
 _query("p02_zone_end", "site:s zone_end:a", lambda s: pretreat.zone_end(s.trimmed, s.p), "sites")
 _query("p03_missing", "site:s sample_no:i is_missing:b", lambda s: pretreat.missing(s.trimmed), "trimmed")
 _query("p04_gap_runs", "site:s gap_no:i first_no:i last_no:i n_rows:i", lambda s: pretreat.gap_runs(s.trimmed), "(SELECT site, row_number() OVER (PARTITION BY site ORDER BY pos_0) AS gap_no, min(sample_no) AS first_no, max(sample_no) AS last_no, count(*) AS n_rows FROM flanked GROUP BY site, pos_0)")
 _query("p05_gap_totals", "site:s n_missing:i n_gaps:i cm_gaps:d yr_gaps:d", lambda s: pretreat.gap_totals(s.trimmed), "(SELECT site, sum(n) AS n_missing, count(*) AS n_gaps, sum(cm) AS cm_gaps, sum(yr) AS yr_gaps FROM (SELECT site, pos_0, count(*) AS n, max(cm_1 - cm_0) AS cm, max(age_1 - age_0) AS yr FROM flanked GROUP BY ALL) GROUP BY site)")
 _query("p06_gap_fill", "site:s sample_no:i vol:d cnt:d is_missing:b", lambda s: pretreat.fill_gaps(s.trimmed), "filled")
-_query("p07_noncontiguous", "site:s n_breaks:i cm_breaks:d yr_breaks:d", lambda s: pretreat.noncontiguous(s.trimmed.where("sample_no % 50 <> 7")), "(SELECT a.site, count(*) FILTER (b.cm_top <> a.cm_bot) AS n_breaks, coalesce(sum(b.cm_top - a.cm_top) FILTER (b.cm_top <> a.cm_bot), 0) AS cm_breaks, coalesce(sum(b.age_top - a.age_top) FILTER (b.cm_top <> a.cm_bot), 0) AS yr_breaks FROM (SELECT * FROM trimmed WHERE sample_no % 50 <> 7) a ASOF LEFT JOIN (SELECT * FROM trimmed WHERE sample_no % 50 <> 7) b ON a.site = b.site AND a.sample_no < b.sample_no GROUP BY a.site)")
+_query("p07_noncontiguous", "site:s n_breaks:i cm_breaks:d yr_breaks:d", lambda s: pretreat.noncontiguous(s.trimmed.withColumn("cm_bot", F.col("cm_bot") - F.when(F.col("sample_no") % 50 == 7, 0.25).otherwise(0.0))), "(SELECT a.site, count(*) FILTER (b.cm_top <> a.bottom) AS n_breaks, coalesce(sum(b.cm_top - a.cm_top) FILTER (b.cm_top <> a.bottom), 0) AS cm_breaks, coalesce(sum(b.age_top - a.age_top) FILTER (b.cm_top <> a.bottom), 0) AS yr_breaks FROM (SELECT *, cm_bot - CASE WHEN sample_no % 50 = 7 THEN 0.25 ELSE 0 END AS bottom FROM trimmed) a ASOF LEFT JOIN trimmed b ON a.site = b.site AND a.sample_no < b.sample_no GROUP BY a.site)")
 _query("p08_concentration", "site:s sample_no:i con:d", lambda s: s.rated, "rated")
 _query("p09_sed_rate", "site:s sample_no:i sed:d", lambda s: s.rated, "rated")
 _query("p10_auto_interval", "site:s yr:d", lambda s: pretreat.auto_interval(s.trimmed), "(SELECT site, round_even(median(d), 0) AS yr FROM (SELECT site, lead(age_top) OVER (PARTITION BY site ORDER BY sample_no) - age_top AS d FROM trimmed) GROUP BY site)")
@@ -66,7 +79,7 @@ _query("b01_span", "site:s k:i half:i", lambda s: s.sites.select("site", smooth.
 _query("b02_bridge", "site:s i:i clean:d", lambda s: smooth.bridge(s.grid, "acc", "clean"), "clean")
 for _m, _n in ((1, "lowess"), (2, "robust_lowess"), (3, "moving_mean"), (4, "moving_median"), (5, "moving_mode")):
     _query(f"b0{_m + 2}_{_n}", f"site:s i:i bkg{_m}:d", lambda s, m=_m: smooth.background(s.grid, replace(s.p, method=m)), f"sm{_m}")
-_query("b08_restored_nulls", "site:s i:i bkg3:d", lambda s: smooth.background(s.grid, replace(s.p, method=3)).where("acc is null or i % 10 = 0"), "(SELECT * FROM sm3 WHERE acc IS NULL OR i % 10 = 0)")
+_query("b08_restored_nulls", "site:s i:i bkg3:d", lambda s: smooth.background(s.grid, replace(s.p, method=3)), "sm3")
 _query("b09_selected", "site:s i:i bkg:d", lambda s: smooth.background(s.grid, s.p, (1, 3)), "(SELECT site, i, bkg1 AS bkg FROM sm1)")
 _query("t01_residual", "site:s i:i peak:d", lambda s: s.peaked, "peaked")
 _query("t01_ratio", "site:s i:i peak:d", lambda s: s.peaked, "peaked", RATIO)
@@ -102,7 +115,7 @@ _query("i04_peak_thresholds", "site:s i:i t:i thr_peak:d", lambda s: peaks.run_e
 _query("i06_search_window", "site:s i:i t:i young:i old:i", lambda s: peaks.windows(peaks.run_ends(peaks.flags(s.thresholds)), s.p).where("is_end"), "(SELECT * FROM ranged WHERE is_end)")
 _query("i07_extremes", "site:s i:i t:i c_max:d v_max:d c_min:d v_min:d", lambda s: s.peaks.where("young is not null"), "(SELECT * FROM peaks WHERE young IS NOT NULL)")
 _query("i08_count_statistic", "site:s i:i t:i d:d", lambda s: s.peaks.where("young is not null"), "(SELECT * FROM peaks WHERE young IS NOT NULL)")
-_query("i09_count_p", "site:s i:i t:i p:d", lambda s: peaks.exact_p(s.peaks.where("young is not null")), None)
+_query("i09_count_p", "site:s i:i t:i p:d", lambda s: peaks.exact_p(s.peaks.where("young is not null")), f"(SELECT site, i, t, CASE WHEN c_min + c_max = 0 THEN 1.0 ELSE {_upper_tail('d')} END AS p FROM peaks WHERE young IS NOT NULL)")
 _query("i10_screened", "site:s i:i t:i is_peak:b insig:b", lambda s: s.peaks, "peaks")
 _query("i11_totals", "site:s t:i n_peaks:i", lambda s: peaks.totals(s.peaks), "(SELECT site, t, count(*) FILTER (is_peak) AS n_peaks FROM peaks GROUP BY site, t)")
 _query("i12_intervals", "site:s t:i age:d fri:d", lambda s: peaks.intervals(s.peaks), "fri")
@@ -121,7 +134,16 @@ _query("f11_histogram", "site:s zone:i bin:i centre:d freq:i", lambda s: history
 _query("f12_zone_statistics", "site:s zone:i n_fri:i mfri:d mfri_uci:d mfri_lci:d wbl_b:d wbl_b_uci:d wbl_b_lci:d wbl_c:d wbl_c_uci:d wbl_c_lci:d p_ks:d", lambda s: history.zone_stats(history.zone_intervals(s.final, s.zones), s.p), None, FINE)
 _query("f16_insignificant", "site:s i:i insig:b", lambda s: s.final, "one")
 _query("f17_results", "site:s i:i " + " ".join(f"{c}:{'i' if c.startswith('peaks') or c == 'n_fri' else 'd'}" for c in history.RESULT), lambda s: s.results, None)
-_query("fig01_raw", "site:s age_top:a acc:d y_cap:d", lambda s: figures.raw_bars(s.rated), "(SELECT *, con * sed AS acc, quantile_cont(con * sed, 0.99) OVER (PARTITION BY site) AS y_cap FROM rated)")
+#: The result table as SQL, without the columns of bootstraps, exact tests and Weibull fits.
+_PLAIN = [c for c in history.RESULT if c != "gof" and not c.startswith(("n_fri", "mfri", "wbl"))]
+_TABLE = (
+    "SELECT t.site, t.i, cm AS cm_top_i, t.age AS age_top_i, cnt AS count_i, vol AS vol_i, con AS con_i, acc AS acc_i, bkg, peak, pos1 AS thresh1, pos2 AS thresh2, pos3 AS thresh3, pos4 AS thresh_pos, neg4 AS thresh_neg, sni, "
+    "pk1 AS peaks1, pk2 AS peaks2, pk3 AS peaks3, pk4 AS peaks_final, pk_insig AS peaks_insig, coalesce(peak_mag, 0) AS peak_mag, sm_freq AS sm_peak_freq, sm_fri FROM thr t "
+    "JOIN (SELECT site, i, " + ", ".join(f"max(is_peak::INT) FILTER (t = {j}) AS pk{j}" for j in (1, 2, 3, 4)) + ", max(insig::INT) FILTER (t = 4) AS pk_insig FROM peaks GROUP BY site, i) k ON k.site = t.site AND k.i = t.i "
+    "LEFT JOIN mag ON mag.site = t.site AND mag.i = t.i LEFT JOIN sfreq ON sfreq.site = t.site AND sfreq.i = t.i LEFT JOIN onto ON onto.site = t.site AND onto.i = t.i"
+)
+_query("f17_plain_columns", "site:s i:i " + " ".join(f"{c}:{'i' if c.startswith('peaks') else 'd'}" for c in _PLAIN), lambda s: history.results(s.thresholds, s.peaks, s.sites, s.p, bootstrap=False), f"({_TABLE})")
+_query("fig01_raw","site:s age_top:a acc:d y_cap:d", lambda s: figures.raw_bars(s.rated), "(SELECT *, con * sed AS acc, quantile_cont(con * sed, 0.99) OVER (PARTITION BY site) AS y_cap FROM rated)")
 _CURVES = " UNION ALL ".join(f"SELECT site, age - 0.5 * yr AS age, {m} AS method, bkg{m} AS value FROM sm{m}" for m in range(1, 6))
 _query("fig01_curves", "site:s age:d method:i value:d", lambda s: figures.smoother_curves(smooth.background(s.grid, s.p, (1, 2, 3, 4, 5))), f"({_CURVES})")
 _query("fig02_histogram", "site:s bin:i n_rows:i", lambda s: figures.noise_histogram(s.peaked, threshold.bins(s.peaked)), "(SELECT p.site, least(249, CAST(floor(round((peak - lo) / ((hi - lo) / 250), 9)) AS BIGINT)) AS bin, count(*) AS n_rows FROM peaked p JOIN ends USING (site) WHERE peak IS NOT NULL GROUP BY ALL)", GLOBAL)
@@ -131,26 +153,64 @@ _query("fig04_zone_means", "site:s t:i zone:i n_fri:i mfri:d", lambda s: figures
 _query("fig04_sni_box", "site:s low:d q1:d mid:d q3:d high:d", lambda s: figures.sni_box(s.thresholds), "(SELECT site, min(sni) FILTER (sni >= q1 - 1.5 * (q3 - q1)) AS low, any_value(q1) AS q1, any_value(mid) AS mid, any_value(q3) AS q3, max(sni) FILTER (sni <= q3 + 1.5 * (q3 - q1)) AS high FROM thr JOIN (SELECT site, quantile_cont(sni, 0.25) AS q1, median(sni) AS mid, quantile_cont(sni, 0.75) AS q3 FROM thr GROUP BY site) USING (site) GROUP BY site)")
 _query("fig05_cumulative", "site:s age:d n_peaks:i", lambda s: figures.cumulative(s.peaks), "(SELECT site, age, row_number() OVER (PARTITION BY site ORDER BY age DESC) AS n_peaks FROM one WHERE is_peak)")
 _query("fig06_weibull", "site:s zone:i centre:d density:d passes:b", lambda s: figures.weibull_curve(history.zone_stats(history.zone_intervals(s.final, s.zones), s.p)), None, FINE)
-_query("fig07_history", "site:s i:i age:d peak_mag:d sm_fri:d sm_freq:d", lambda s: figures.history_panel(history.results(s.thresholds, s.peaks, s.sites, s.p, bootstrap=False)), "(SELECT c.site, c.i, c.age, coalesce(peak_mag, 0) AS peak_mag, o.sm_fri, f.sm_freq FROM cells c LEFT JOIN mag m ON m.site = c.site AND m.i = c.i LEFT JOIN onto o ON o.site = c.site AND o.i = c.i JOIN sfreq f ON f.site = c.site AND f.i = c.i)")
+_query("fig06_given_curve", "site:s zone:i centre:d density:d passes:b", lambda s: figures.weibull_curve(history.usable_zones(history.zone_intervals(s.final, s.zones)).withColumns({"wbl_b": F.col("mfri"), "wbl_c": F.lit(1.5), "p_ks": F.lit(0.07)})), "(SELECT site, zone, centre, 1.5 / mfri * power(centre / mfri, 0.5) * exp(-power(centre / mfri, 1.5)) * 20 AS density, n_fri > 4 AND 0.07 > CASE WHEN n_fri < 30 THEN 0.10 ELSE 0.05 END AS passes FROM (SELECT *, unnest(range(30, 991, 20))::DOUBLE AS centre FROM zuse))", FINE)
+_query("fig07_history","site:s i:i age:d peak_mag:d sm_fri:d sm_freq:d", lambda s: figures.history_panel(history.results(s.thresholds, s.peaks, s.sites, s.p, bootstrap=False)), "(SELECT c.site, c.i, c.age, coalesce(peak_mag, 0) AS peak_mag, o.sm_fri, f.sm_freq FROM cells c LEFT JOIN mag m ON m.site = c.site AND m.i = c.i LEFT JOIN onto o ON o.site = c.site AND o.i = c.i JOIN sfreq f ON f.site = c.site AND f.i = c.i)")
 _query("fig08_ecdf", "site:s zone:i fri:d share:d", lambda s: figures.zone_ecdf(history.zone_intervals(s.final, s.zones)), "(SELECT *, cume_dist() OVER (PARTITION BY site, zone ORDER BY fri) AS share FROM zfri WHERE t = 4)")
 _query("fig08_box", "site:s zone:i n_fri:i least:d q1:d mid:d q3:d most:d", lambda s: figures.zone_box(history.zone_intervals(s.final, s.zones)), "(SELECT site, zone, count(*) AS n_fri, min(fri) AS least, quantile_cont(fri, 0.25) AS q1, median(fri) AS mid, quantile_cont(fri, 0.75) AS q3, max(fri) AS most FROM zfri WHERE t = 4 GROUP BY ALL)")
-_query("fig08_tests", "site:s zone_a:i zone_b:i d:d p:d", lambda s: figures.zone_tests(history.zone_intervals(s.final, s.zones)), None)
+_query("fig08_tests", "site:s zone_a:i zone_b:i d:d p:d", lambda s: figures.zone_tests(history.zone_intervals(s.final, s.zones)), f"""(WITH z AS (SELECT site, zone, fri FROM zfri WHERE t = 4), q AS (SELECT DISTINCT a.site, a.zone AS zone_a, b.zone AS zone_b FROM z a JOIN z b ON a.site = b.site AND a.zone < b.zone),
+  c AS (SELECT q.*, v.fri, count(*) FILTER (w.zone = zone_a AND w.fri <= v.fri) AS ca, count(*) FILTER (w.zone = zone_a) AS na, count(*) FILTER (w.zone = zone_b AND w.fri <= v.fri) AS cb, count(*) FILTER (w.zone = zone_b) AS nb FROM q JOIN (SELECT DISTINCT site, fri FROM z) v ON v.site = q.site JOIN z w ON w.site = q.site GROUP BY ALL),
+  e AS (SELECT site, zone_a, zone_b, max(abs(ca / na - cb / nb)) AS d, any_value(na * nb / (na + nb)) AS n FROM c GROUP BY ALL)
+  SELECT site, zone_a, zone_b, d, {_ks_tail('(sqrt(n) * d)')} AS p FROM e)""")
 _query("fig09_domains", "site:s i:i as_acc:d as_ratio:d as_residual:d", lambda s: figures.threshold_domains(s.thresholds, s.p), "(SELECT site, i, bkg + pos4 AS as_acc, (bkg + pos4) / nullif(bkg, 0) AS as_ratio, bkg + pos4 - bkg AS as_residual FROM thr)")
-_query("f18_window_tests", "site:s step:i ks_p:d rank_p:d ad:d", lambda s: figures.window_tests(history.moving_intervals(s.final, s.p), s.p), None, FINE)
+_query("f18_window_tests", "site:s step:i ks_p:d rank_p:d ad:d", lambda s: figures.window_tests(history.moving_intervals(s.final, s.p), s.p), f"""(WITH two AS (SELECT site, step, fri AS v, 0 AS g FROM moved UNION ALL SELECT site, step + 19, fri, 1 FROM moved),
+  sized AS (SELECT *, count(*) FILTER (g = 0) OVER (PARTITION BY site, step) AS n, count(*) FILTER (g = 1) OVER (PARTITION BY site, step) AS m FROM two),
+  ranked AS (SELECT *, row_number() OVER (PARTITION BY site, step ORDER BY v) AS j, count(*) FILTER (g = 0) OVER (PARTITION BY site, step ORDER BY v RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cx, count(*) FILTER (g = 1) OVER (PARTITION BY site, step ORDER BY v RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cy, count(*) OVER (PARTITION BY site, step, v) AS alike FROM sized WHERE n > 1 AND m > 1),
+  stat AS (SELECT site, step, n, m, n + m AS nm, max(abs(cx / n - cy / m)) * sqrt(n * m / (n + m)) AS x, sum(cx + cy - (alike - 1) / 2) FILTER (g = 0) - n * (n + m + 1) / 2 AS off, n * m / 12 * (n + m + 1 - sum(alike * alike - 1) / ((n + m) * (n + m - 1))) AS var, sum(CASE WHEN j < n + m THEN (power((n + m) * cx - j * n, 2) / n + power((n + m) * cy - j * m, 2) / m) / (j * (n + m - j)) END) / (n + m) AS ad FROM ranked GROUP BY site, step, n, m),
+  scaled AS (SELECT *, CASE WHEN var > 0 THEN abs(off) / sqrt(var) ELSE 0 END AS z FROM stat)
+  SELECT site, step, {_ks_tail('x')} AS ks_p, 2 * ({_upper_tail('z')}) AS rank_p, ad FROM scaled)""", FINE)
 _query("q01_window_sweep", "site:s bkg_window:d n1:i n2:i n3:i n4:i sni:d mfri:d sd_fri:d", lambda s: window_sweep(s.raw, s.p, [4800.0, 7200.0, 9600.0]), None)
 _query("q02_compare", "site:s check:s a_value:d b_value:d ok:b", lambda s: compare.compare(s.results, Study(s.raw, replace(s.p, smooth_yr=7200.0)).results), None)
-_query("q03_gap_spans", "site:s gap_no:i young:a old:a", lambda s: pretreat.gap_runs(s.trimmed).join(s.trimmed.select("site", F.col("sample_no").alias("first_no"), F.col("age_top").alias("young")), ["site", "first_no"]).join(s.trimmed.select("site", F.col("sample_no").alias("last_no"), F.col("age_bot").alias("old")), ["site", "last_no"]), "(SELECT site, row_number() OVER (PARTITION BY site ORDER BY pos_0) AS gap_no, min(age_top) AS young, max(age_bot) AS old FROM flanked GROUP BY site, pos_0)")
+_SUMS, _MEANS = ["peaks1", "peaks2", "peaks3", "peaks_final", "peak_mag"], ["thresh1", "thresh2", "thresh3", "thresh_pos"]
+_CHECKS = [f"('{c}', {c}_a, {c}_b, abs({c}_a - {c}_b) <= {lim})" for c, lim in [(c, "0.01 * abs(peak_mag_a)" if c == "peak_mag" else "0") for c in _SUMS] + [(c, "0.001") for c in _MEANS]] + ["('sm_peak_freq', freq_gap, 0, freq_gap <= 0.01)", "('nulls', null_gap, 0, null_gap = 0)"]
+SQL["q02_compare"] = (
+    f"WITH a AS ({oracle.sql(BASE, _TABLE)}), b AS ({oracle.sql(replace(BASE, smooth_yr=7200.0), _TABLE)}), x AS (SELECT site, "
+    + ", ".join(f"{f}({s}.{c})::DOUBLE AS {c}_{s}" for f, cols in (("sum", _SUMS), ("avg", _MEANS)) for c in cols for s in "ab")
+    + ", avg(abs(a.sm_peak_freq - b.sm_peak_freq)) AS freq_gap, count(*) FILTER ((a.peak IS NULL) <> (b.peak IS NULL))::DOUBLE AS null_gap FROM a JOIN b USING (site, i) GROUP BY site) "
+    + f'SELECT site, c AS "check", round(u, 6) + 0.0 AS a_value, round(v, 6) + 0.0 AS b_value, coalesce(ok, false) AS ok FROM x, LATERAL (VALUES {", ".join(_CHECKS)}) r(c, u, v, ok)'
+)
+_query("q03_gap_spans","site:s gap_no:i young:a old:a", lambda s: pretreat.gap_runs(s.trimmed).join(s.trimmed.select("site", F.col("sample_no").alias("first_no"), F.col("age_top").alias("young")), ["site", "first_no"]).join(s.trimmed.select("site", F.col("sample_no").alias("last_no"), F.col("age_bot").alias("old")), ["site", "last_no"]), "(SELECT site, row_number() OVER (PARTITION BY site ORDER BY pos_0) AS gap_no, min(age_top) AS young, max(age_bot) AS old FROM flanked GROUP BY site, pos_0)")
 _query("s11_summary", "site:s n_rows:i n_peaks:i youngest:d oldest:d", lambda s: figures.summary(s.results), "(SELECT site, count(*) AS n_rows, count(*) FILTER (is_peak) AS n_peaks, min(age) AS youngest, max(age) AS oldest FROM one GROUP BY site)")
 
 
 def _violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = study(spark, sf_dir).raw.where("sample_no % 97 <> 1")
-    raw = raw.withColumns({"age_top": F.when(F.col("sample_no") % 101 == 50, F.col("age_top") - 40000).otherwise(F.col("age_top")), "vol": F.when(F.col("sample_no") == 2, 0.0).otherwise(F.col("vol"))})
+    raw = study(spark, sf_dir).raw
+    raw = raw.withColumns({"age_top": F.when(F.col("sample_no") % 101 == 50, F.col("age_top") - 40000).otherwise(F.col("age_top")), "vol": F.when(F.col("sample_no") == 1, 0.0).otherwise(F.col("vol"))})
     return validate.violations(spark, raw, replace(BASE, thresh_values=(0.95, 0.99, 1.0, 0.99), zone_div=(0.0, 0.0))).selectExpr("site", "CAST(rule_no AS BIGINT) AS rule_no", "CAST(n_rows AS BIGINT) AS n_rows", "severity")
 
 
 QUERIES["v01_violations"] = _violations
 SQL["v01_violations"] = oracle.sql(
     BASE,
-    "SELECT site, CAST(r AS BIGINT) AS rule_no, CAST(k AS BIGINT) AS n_rows, s AS severity FROM (SELECT site, count(*) FILTER (age < before) AS dec, count(*) FILTER (v <= 0 AND (before IS NULL OR last)) AS edge FROM (SELECT site, age, v, lag(age) OVER w AS before, lead(age) OVER w IS NULL AS last FROM (SELECT site, sample_no, CASE WHEN sample_no % 101 = 50 THEN age_top - 40000 ELSE age_top END AS age, CASE WHEN sample_no = 2 THEN 0.0 ELSE vol END AS v FROM samples WHERE sample_no % 97 <> 1) WINDOW w AS (PARTITION BY site ORDER BY sample_no)) GROUP BY site) x, LATERAL (VALUES (3, dec, 'error'), (17, edge, 'error')) y(r, k, s) WHERE k > 0 UNION ALL SELECT NULL, r, 1, 'error' FROM (VALUES (5), (7), (12)) f(r)",
+    "SELECT site, CAST(r AS BIGINT) AS rule_no, CAST(k AS BIGINT) AS n_rows, s AS severity FROM (SELECT site, count(*) FILTER (age < before) AS dec, count(*) FILTER (v <= 0 AND (before IS NULL OR last)) AS edge FROM (SELECT site, age, v, lag(age) OVER w AS before, lead(age) OVER w IS NULL AS last FROM (SELECT site, sample_no, CASE WHEN sample_no % 101 = 50 THEN age_top - 40000 ELSE age_top END AS age, CASE WHEN sample_no = 1 THEN 0.0 ELSE vol END AS v FROM samples) WINDOW w AS (PARTITION BY site ORDER BY sample_no)) GROUP BY site) x, LATERAL (VALUES (3, dec, 'error'), (17, edge, 'error')) y(r, k, s) WHERE k > 0 UNION ALL SELECT NULL, r, 1, 'error' FROM (VALUES (5), (7), (12)) f(r)",
+)
+
+
+def _rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Case 1: parameters out of their ranges, a column and ages missing, equal ages. Case 2: a short window."""
+    raw, age = study(spark, sf_dir).raw, F.floor(F.col("age_top") / 60).cast("double") * 60
+    holes = raw.drop("cnt").withColumn("age_top", F.when(F.col("sample_no") % 101 != 50, age))
+    wrong = replace(BASE, zone_div=(0.0,), yr_interp=-1.0, method=6, thresh_type=3, thresh_method=4, c_peak=3, min_count_p=1.5, peak_freq_yr=0.0)
+    cases = [validate.violations(spark, x, p).selectExpr(f"CAST({k} AS BIGINT) AS case_no", "site", "CAST(rule_no AS BIGINT) AS rule_no", "CAST(n_rows AS BIGINT) AS n_rows", "severity") for k, x, p in ((1, holes, wrong), (2, raw, replace(BASE, thresh_method=1, smooth_yr=100.0)))]
+    return cases[0].unionByName(cases[1])
+
+
+QUERIES["v02_rules"] = _rules
+SQL["v02_rules"] = oracle.sql(
+    BASE,
+    "SELECT case_no::BIGINT AS case_no, site, r::BIGINT AS rule_no, k::BIGINT AS n_rows, CASE WHEN r IN (16, 21, 22) THEN 'warning' ELSE 'error' END AS severity FROM ("
+    "SELECT case_no, NULL::VARCHAR AS site, unnest(broken) AS r, 1 AS k FROM (VALUES (1, [1, 4, 6, 8, 9, 10, 13, 14, 15]), (2, [11, 21, 22])) f(case_no, broken) UNION ALL "
+    "SELECT case_no, site, r, k FROM (SELECT case_no, site, count(*) FILTER (age IS NULL) AS r2, count(*) FILTER (age < before) AS r3, count(*) FILTER (age = before) AS r16, count(*) FILTER (vol <= 0 AND (sample_no = low OR sample_no = high)) AS r17 FROM ("
+    "SELECT *, lag(age) OVER (PARTITION BY case_no, site ORDER BY sample_no) AS before, min(sample_no) OVER (PARTITION BY case_no, site) AS low, max(sample_no) OVER (PARTITION BY case_no, site) AS high FROM ("
+    "SELECT site, sample_no, vol, 1 AS case_no, CASE WHEN sample_no % 101 <> 50 THEN floor(age_top / 60) * 60 END AS age FROM samples UNION ALL SELECT site, sample_no, vol, 2, age_top FROM samples)) GROUP BY case_no, site), "
+    "LATERAL (VALUES (2, r2), (3, r3), (16, r16), (17, r17)) y(r, k) WHERE k > 0)",
 )
