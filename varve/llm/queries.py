@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from varve.llm import exact_dedup, html_text, lm_score, mixing, neighbours, packing, simhash, substring_dedup, toxicity, url_filter
+from varve.llm import bpe, exact_dedup, filter_audit, hard_negatives, html_text, lm_score, mixing, neighbours, packing, simhash, substring_dedup, toxicity, url_filter
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
@@ -15,5 +15,8 @@ QUERIES = {
     "op8_html_text": html_text.op8_html_text,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_simhash": simhash.op10_simhash,
+    "op11_filter_audit": filter_audit.op11_filter_audit,
+    "op12_bpe": bpe.op12_bpe,
+    "op13_hard_negatives": hard_negatives.op13_hard_negatives,
 }
-SQL = {"op1_substring_dedup": substring_dedup.SQL, "op4_exact_dedup": exact_dedup.SQL, "op5_url_filter": url_filter.SQL}
+SQL = {"op1_substring_dedup": substring_dedup.SQL, "op4_exact_dedup": exact_dedup.SQL, "op5_url_filter": url_filter.SQL, "op11_filter_audit": filter_audit.SQL, "op13_hard_negatives": hard_negatives.SQL}
