@@ -165,7 +165,8 @@ def _negatives(k: int, low: int, high: int, width: int):
             s = score[i, apart]
             for p in range(int(marks[i, 0])):
                 p_id, p_score = marks[i, 1 + 2 * p : 3 + 2 * p].tolist()
-                where = apart[(s * 100 >= low * p_score) & (s * 100 <= high * p_score)]
+                # Bounds in whole numbers: the scores themselves are not multiplied again.
+                where = apart[(s >= -(-low * p_score // 100)) & (s <= high * p_score // 100)]
                 out += [(number, id_, p, p_id, p_score, b["numbers"][j], b["ids"][j], score[i, j]) for j in _first(score[i], where, b, k).tolist()]
         return _frame(out)
 
