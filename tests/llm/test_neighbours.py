@@ -70,3 +70,20 @@ def test_edges_of_input(spark):
     got = sorted(tuple(r) for r in neighbours.nearest(df, F.col("vec_id") == 0).collect())
     assert [(q, k, v) for q, k, v, _ in got] == [(0, 1, 1), (0, 2, 9), (0, 3, 2)]
     assert neighbours.nearest(df.limit(0), F.col("vec_id") == 0).count() == 0
+
+
+def test_repeated_queries_and_two_vectors_under_one_id(spark):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(60, 8)).round(3)
+    rows = [(k, x[k].tolist()) for k in range(60)]
+    more = [rows[0], rows[0], rows[0], rows[20], (20, x[3].tolist())]
+    df = spark.createDataFrame(rows + more, "vec_id long, embedding array<double>")
+    got = [tuple(r) for r in neighbours.nearest(df, F.col("vec_id") % 20 == 0, sample_size=50, index_block=16).collect()]
+    held = [(i, np.array(v)) for i, v in rows + more]
+
+    def brute_list(q, v):
+        far = sorted((float(np.sqrt(((w - v) ** 2).sum())), i) for i, w in held if i != q)[:10]
+        return [(q, k, i, d) for k, (d, i) in enumerate(far, 1)]
+
+    want = sum((brute_list(q, v) for q, v in [(0, x[0]), (20, x[20]), (20, x[3]), (40, x[40])]), [])
+    assert [r[:3] for r in sorted(got)] == [r[:3] for r in sorted(want)] and np.allclose([r[3] for r in sorted(got)], [r[3] for r in sorted(want)])

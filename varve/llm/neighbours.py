@@ -21,7 +21,8 @@ radius.
 Defined results: vectors that are null, zero, of another length than most, or hold null
 or non-finite components take no part, nor do rows with a null id; repeated vectors are
 candidates each, ties go to the smaller id; a query's candidates leave out every row
-with its own id; an empty table gives an empty result; other columns are ignored.
+with its own id; a query row that is repeated is one query, and an id with several
+different vectors has a list for each of them; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ from varve.llm.common import table, written
 
 BITS, PARTS, SAMPLE, SAMPLE_QUERIES, RECALL = 256, 16, 20_000, 256, 0.98
 MIN_BLOCK, MAX_INDEX_BLOCK, MAX_QUERY_BLOCK, K = 2048, 32_768, 16_384, 10
-FOUND = "query_id long, vec_id long, score double"
+FOUND = "number long, query_id long, vec_id long, score double"
 
 
 class Codes:
@@ -147,8 +148,8 @@ def _usable(rows: DataFrame, id_col: str, vec_col: str) -> DataFrame:
 
 
 def _block(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("vec_id", kind="stable")
-    return pd.DataFrame({"block": [int(pdf["block"].iloc[0])], "ids": [pdf["vec_id"].to_numpy(np.int64).tobytes()], "vectors": [np.stack(pdf["vec"].to_numpy()).astype(np.float64).tobytes()]})
+    pdf = pdf.sort_values(["vec_id", "number"], kind="stable")
+    return pd.DataFrame({"block": [int(pdf["block"].iloc[0])], "numbers": [pdf["number"].to_numpy(np.int64).tobytes()], "ids": [pdf["vec_id"].to_numpy(np.int64).tobytes()], "vectors": [np.stack(pdf["vec"].to_numpy()).astype(np.float64).tobytes()]})
 
 
 def _blocks(rows: DataFrame, size: int | None) -> tuple[DataFrame, int]:
@@ -156,8 +157,8 @@ def _blocks(rows: DataFrame, size: int | None) -> tuple[DataFrame, int]:
     # Small tables are cut finer, so that every core gets some blocks.
     size = size or min(MAX_INDEX_BLOCK, max(MIN_BLOCK, count // (4 * rows.sparkSession.sparkContext.defaultParallelism)))
     n = max(1, -(-count // size))
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("vec_id", "vec"), F.lit(n)).cast("int"))
-    return written(dealt.groupBy("block").applyInPandas(_block, "block int, ids binary, vectors binary"), "blocks"), n
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("number"), F.lit(n)).cast("int"))
+    return written(dealt.groupBy("block").applyInPandas(_block, "block int, numbers binary, ids binary, vectors binary"), "blocks"), n
 
 
 def _search(codes, radius: int, k: int, dim: int):
@@ -166,9 +167,9 @@ def _search(codes, radius: int, k: int, dim: int):
         for batch in batches:
             for r in batch.itertuples(index=False):
                 ids, vectors = np.frombuffer(r.ids, np.int64), np.frombuffer(r.vectors).reshape(-1, dim)
-                q_ids, q_vectors = np.frombuffer(r.q_ids, np.int64), np.frombuffer(r.q_vectors).reshape(-1, dim)
+                q_numbers, q_ids, q_vectors = np.frombuffer(r.q_numbers, np.int64), np.frombuffer(r.q_ids, np.int64), np.frombuffer(r.q_vectors).reshape(-1, dim)
                 index, out = Index(make(vectors)), []
-                for q, v, code in zip(q_ids.tolist(), q_vectors, make(q_vectors), strict=True):
+                for number, q, v, code in zip(q_numbers.tolist(), q_ids.tolist(), q_vectors, make(q_vectors), strict=True):
                     rows = index.within(code, radius)
                     rows = rows[ids[rows] != q]
                     far = np.sqrt(((vectors[rows] - v) ** 2).sum(axis=1))
@@ -176,8 +177,8 @@ def _search(codes, radius: int, k: int, dim: int):
                         cut = far <= np.partition(far, k - 1)[k - 1]
                         rows, far = rows[cut], far[cut]
                     best = np.lexsort((ids[rows], far))[:k]
-                    out.append(pd.DataFrame({"query_id": q, "vec_id": ids[rows[best]], "score": far[best]}))
-                yield pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+                    out.append(pd.DataFrame({"number": number, "query_id": q, "vec_id": ids[rows[best]], "score": far[best]}))
+                yield pd.concat(out) if out else pd.DataFrame({"number": [], "query_id": [], "vec_id": [], "score": []})
 
     return run
 
@@ -185,7 +186,7 @@ def _search(codes, radius: int, k: int, dim: int):
 def nearest(rows: DataFrame, queries, k: int = K, sample_size: int = SAMPLE, index_block: int | None = None, query_block: int = MAX_QUERY_BLOCK, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """queries: a condition on vec_id. Returns query_id, rank, vec_id, score."""
     spark = rows.sparkSession
-    usable = written(_usable(rows, id_col, vec_col), "vectors")
+    usable = written(_usable(rows, id_col, vec_col).withColumn("number", F.monotonically_increasing_id()), "vectors")
     lengths = usable.groupBy(F.size("vec").alias("d")).count().orderBy(F.desc("count"), "d").first()
     if lengths is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -195,25 +196,26 @@ def nearest(rows: DataFrame, queries, k: int = K, sample_size: int = SAMPLE, ind
     codes = Codes(np.array([r.vec for r in sample]), k)
     shared = spark.sparkContext.broadcast(codes)
     index, n_index = _blocks(usable, index_block)
-    wanted = written(usable.where(queries), "queries")
+    # A query that stands twice is asked once; another vector under its id is another query.
+    wanted = written(usable.where(queries).dropDuplicates(["vec_id", "vec"]), "queries")
 
     def search(these: DataFrame, radius: int) -> DataFrame:
         asked, n_asked = _blocks(these, query_block)
-        asked = asked.select(F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
+        asked = asked.select(F.col("block").alias("q_block"), F.col("numbers").alias("q_numbers"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
         # Pairs of block numbers, joined to either side by key.
         pairs = spark.range(n_index * n_asked).select((F.col("id") % n_index).cast("int").alias("block"), F.floor(F.col("id") / n_index).cast("int").alias("q_block"))
-        work = pairs.join(index, "block").join(asked, "q_block").select("ids", "vectors", "q_ids", "q_vectors")
+        work = pairs.join(index, "block").join(asked, "q_block").select("ids", "vectors", "q_numbers", "q_ids", "q_vectors")
         found = work.repartition(max(1, min(4096, n_index * n_asked))).mapInPandas(_search(shared, radius, k, dim), FOUND)
-        rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-        return written(found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "found")
+        rank = F.row_number().over(Window.partitionBy("number").orderBy("score", "vec_id"))
+        return written(found.withColumn("rank", rank).where(F.col("rank") <= k).select("number", "query_id", "rank", "vec_id", "score"), "found")
 
     first = search(wanted, codes.radius)
-    enough = first.where(F.col("rank") == k).select("query_id")
-    short = written(wanted.join(enough, wanted["vec_id"] == enough["query_id"], "left_anti"), "short")
+    enough = first.where(F.col("rank") == k).select("number")
+    short = written(wanted.join(enough, "number", "left_anti"), "short")
     if short.limit(1).count() == 0:
-        return first
+        return first.drop("number")
     again = search(short, BITS)
-    return first.join(enough, "query_id", "left_semi").unionByName(again)
+    return first.join(enough, "number", "left_semi").unionByName(again).drop("number")
 
 
 def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
