@@ -52,3 +52,15 @@ def test_time_is_linear_whatever_the_markup():
         html_text.main_text(page)
         assert time.perf_counter() - began < 5, page[:30]
     assert html_text.main_text("<article><p>" + "word " * 300_000 + "</p></article>").count("word") == 300_000
+
+
+def test_form_around_a_page_is_no_form():
+    story = "<p>A paragraph of a story that goes on for quite some time, as stories do.</p>" * 4
+    fields = '<input type="hidden" name="state"><div class="search"><input><button>Go</button></div>'
+    for page in (f'<body><form id="aspnet" action=x>{fields}<nav>menu</nav><div><h1>Head</h1>{story}</div></form></body>', f"<body><form><article><h1>Head</h1>{story}</article></form></body>", f"<body><nav>menu</nav><form>{fields}<main><h1>Head</h1>{story}</main></form><footer>foot</footer></body>"):
+        assert html_text.main_text(page).split("\n")[-4:] == ["A paragraph of a story that goes on for quite some time, as stories do."] * 4
+    ask = '<form action=x><p>Write to us</p><label>Name</label><input><textarea></textarea><button>Send</button></form>'
+    assert html_text.main_text(f"<body><article><h1>Head</h1>{story}{ask}</article></body>").endswith("as stories do.")
+    assert html_text.main_text(f"<body><article><h1>Head</h1>{story}</article>{ask}</body>").endswith("as stories do.")
+    # An aside is a sidebar, also within an article.
+    assert html_text.main_text(f"<body><article><h1>Head</h1>{story}<aside>Said aside.</aside></article></body>").endswith("as stories do.")

@@ -8,7 +8,8 @@ adds its children's densities. The node with the greatest sum is the core; the l
 density on the path from it to the body is the threshold, and the highest node of that
 path which is at least as dense as the threshold, and adds text as dense to the core, is
 taken. Menus, headers and footers of the page, asides, forms, adverts, notices and reader
-comments are cut out before by element, by role, or by a class or id that says nothing
+comments are cut out before by element (a form if it has fields, and is not wrapped
+around the page's own paragraphs), by role, or by a class or id that says nothing
 else; where the name may also be an article's own ("related", "share"), link density decides.
 
 Reading is linear in the page's length (but for a logarithm), whatever its markup: open
@@ -55,7 +56,9 @@ CLOSES = {
     "tbody": ({"tbody", "thead", "tr", "td", "th"}, {"table"}), "tfoot": ({"tbody", "tr", "td", "th"}, {"table"}),
     "option": ({"option"}, {"select"}),
 }
-CUT_TAGS = frozenset("nav aside form footer head button select input dialog menu audio video".split()) | RAW
+CUT_TAGS = frozenset("nav aside footer head button select input dialog menu audio video".split()) | RAW
+#: A form that holds one of these is cut, unless it is wrapped around the page's paragraphs.
+FIELDS, PARAGRAPHS = frozenset("input select textarea button".split()), frozenset("p article main".split())
 CUT_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar tablist".split())
 #: A class or id made of these words (and of FILLERS) names what is no part of an article.
 CUT_WORDS = frozenset(
@@ -72,7 +75,7 @@ _CLASS_WORD = re.compile(r"[a-z]+")
 
 
 class Node:
-    __slots__ = ("tag", "kids", "parent", "cut", "links", "chars", "tags", "link_chars", "link_tags", "density", "sum")
+    __slots__ = ("tag", "kids", "parent", "cut", "links", "chars", "tags", "link_chars", "link_tags", "density", "sum", "fields", "paragraphs")
 
     def __init__(self, tag: str, parent: Node | None, cut: bool, links: bool = False):
         self.tag, self.parent, self.cut, self.links = tag, parent, cut, links
@@ -237,26 +240,41 @@ def parse(html: str) -> Node:
     return reader.root
 
 
-def measure(root: Node) -> None:
-    """Densities of all nodes, from the leaves up; no recursion, so depth has no limit."""
-    order, stack = [], [root]
-    while stack:
-        node = stack.pop()
-        order.append(node)
-        stack += [k for k in node.kids if isinstance(k, Node) and not k.cut]
+def _add_up(order: list[Node]) -> None:
+    """Characters, tags, links, fields and paragraphs below each node; what is mostly links is cut."""
     for node in reversed(order):
-        chars = tags = link_chars = link_tags = 0
+        chars = tags = link_chars = link_tags = fields = paragraphs = 0
         for k in node.kids:
             if isinstance(k, str):
                 chars += len(_SPACE.sub(" ", k).strip()) if "&" not in k else len(_SPACE.sub(" ", unescape(k)).strip())
-            elif not k.cut:
+                continue
+            fields += k.tag in FIELDS
+            if not k.cut:
                 chars, tags = chars + k.chars, tags + k.tags + (k.tag != "br")
                 link_chars, link_tags = link_chars + k.link_chars, link_tags + k.link_tags
+                fields, paragraphs = fields + k.fields, paragraphs + k.paragraphs + (k.tag in PARAGRAPHS)
         if node.tag == "a":
             link_chars, link_tags = chars, tags + 1
         node.chars, node.tags, node.link_chars, node.link_tags = chars, tags, link_chars, link_tags
-        node.cut = node.links and link_chars * 2 > chars
+        node.fields, node.paragraphs = fields, paragraphs
+        node.cut = node.cut or node.links and link_chars * 2 > chars
+
+
+def measure(root: Node) -> None:
+    """Densities of all nodes, from the leaves up; no recursion, so depth has no limit."""
+    order, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        order.append(node)
+        stack += [k for k in node.kids if isinstance(k, Node) and not k.cut]
+    _add_up(order)
     body = next((n for n in order if n.tag == "body"), root)
+    # Some pages stand in a form as a whole: that holds half of the text, and paragraphs.
+    forms = [n for n in order if n.tag == "form" and n.fields and not (n.paragraphs and n.chars * 2 >= body.chars)]
+    if forms:
+        for form in forms:
+            form.cut = True
+        _add_up(order)
     share = body.link_chars / max(body.chars, 1)
     for node in reversed(order):
         # A node is in the order if it was not cut when it was read.
