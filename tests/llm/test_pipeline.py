@@ -5,7 +5,7 @@ from test_exact_dedup import norm
 from test_simhash import brute_components, brute_print
 
 import corpus_pipeline as cp
-from varve.llm import pipeline, toxicity
+from varve.llm import common, pipeline, toxicity
 from varve.llm.common import table, written
 
 
@@ -83,6 +83,23 @@ def test_a_run_goes_on_behind_its_last_stage(spark, sf_small, monkeypatch):
     ran.clear()
     rows = pipeline.run(spark, sf_small, "again").count()
     assert ran == ["mixing", "packing"] and rows > 0
+    # What it left outlives the session's own files, until it is forgotten.
+    assert not any(path.startswith(pipeline.home_of(spark, sf_small, "again")) for _, path in common._written)
+    pipeline.forget(spark, sf_small, "again")
+    ran.clear()
+    pipeline.run(spark, sf_small, "again")
+    assert len(ran) == 5
+    pipeline.forget(spark, sf_small, "again")
+
+
+def test_one_name_and_other_input(spark, sf_small, tmp_path, monkeypatch):
+    monkeypatch.setattr(pipeline, "STAGES", [("first", lambda spark, docs, sf_dir: docs), ("last", lambda spark, docs, sf_dir: docs)])
+    for name in ("documents", "labels"):
+        table(spark, sf_small, name).limit(7).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert pipeline.run(spark, sf_small, "x").count() == table(spark, sf_small, "documents").count()
+    assert pipeline.run(spark, str(tmp_path), "x").count() == 7
+    table(spark, sf_small, "documents").limit(5).write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+    assert pipeline.run(spark, str(tmp_path), "x").count() == 5
 
 
 def test_edges_of_input(spark, sf_small):

@@ -41,10 +41,12 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return written_at(df, f"{shared_dir(spark)}/varve/{tag}-{uuid.uuid4().hex}")
 
 
-def written_at(df: DataFrame, path: str) -> DataFrame:
+def written_at(df: DataFrame, path: str, keep: bool = False) -> DataFrame:
+    """written() at a given path; keep: its owner deletes it."""
     spark = df.sparkSession
     df.write.mode("overwrite").parquet(path)
-    _written.append((spark, path))
+    if not keep:
+        _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -56,7 +58,7 @@ def small_batches(spark: SparkSession, rows: int = 256) -> None:
         spark.conf.set(key, str(rows))
 
 
-def _delete(path: str, spark: SparkSession) -> None:
+def delete(path: str, spark: SparkSession) -> None:
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
@@ -76,7 +78,7 @@ def marked() -> int:
 def clear(spark: SparkSession, since: int = 0, but: str = "") -> None:
     """Deletes what written() has left in the shared folder (since a place), but for one path."""
     for owner, path in [x for x in _written[since:] if x[0] is spark and x[1] != but]:
-        _delete(path, owner)
+        delete(path, owner)
         _written.remove((owner, path))
 
 
@@ -84,7 +86,7 @@ def clear(spark: SparkSession, since: int = 0, but: str = "") -> None:
 def _at_exit() -> None:
     for spark, path in _written:
         try:
-            _delete(path, spark)
+            delete(path, spark)
         except Exception:  # noqa: BLE001  the session may be gone already
             return
 

@@ -14,13 +14,16 @@ names, up to packing, which ignores them; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import hashlib
+import inspect
+import sys
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from varve.llm import exact_dedup, mixing, packing, simhash, toxicity
-from varve.llm.common import clear, finished, marked, shared_dir, table, written_at
+from varve.llm.common import clear, delete, finished, marked, shared_dir, table, written_at
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -70,18 +73,48 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 ORACLE_SQL = None
 
 
+def _fingerprint(spark: SparkSession, sf_dir: str) -> str:
+    """Of what a run depends on: paths, sizes and times of its input files, and the code."""
+    seen = hashlib.sha256()
+    for name in ("documents", "labels"):
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+        found, files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(at, True), []
+        while found.hasNext():
+            f = found.next()
+            files.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+        seen.update(repr(sorted(files)).encode())
+    for module in (exact_dedup, mixing, packing, simhash, toxicity, sys.modules[__name__]):
+        seen.update(inspect.getsource(module).encode())
+    return seen.hexdigest()[:24]
+
+
+def home_of(spark: SparkSession, sf_dir: str, name: str) -> str:
+    """The folder of the stages of a named run: another for other input or other code."""
+    return f"{shared_dir(spark)}/varve/pipeline-{name}-{_fingerprint(spark, sf_dir)}"
+
+
+def forget(spark: SparkSession, sf_dir: str, name: str) -> None:
+    """Deletes what a named run has left."""
+    delete(home_of(spark, sf_dir, name), spark)
+
+
 def run(spark: SparkSession, sf_dir: str, name: str | None = None) -> DataFrame:
     """The stages in turn. A stage is written to the shared folder and its predecessor, with
-    all that it left there, deleted. A run that ended early goes on, under the same name,
-    behind its last finished stage; without a name every run starts anew."""
-    home = f"{shared_dir(spark)}/varve/pipeline-{name or uuid.uuid4().hex}"
+    all that it left there, deleted.
+
+    A run that ended early, be it with its process, goes on under the same name behind its
+    last finished stage, if its input and the code are still the same; its last stage stays
+    until forget(). Without a name every run starts anew, and its stages go with the session."""
+    home = home_of(spark, sf_dir, name) if name else f"{shared_dir(spark)}/varve/pipeline-{uuid.uuid4().hex}"
     paths = [f"{home}/{k}-{stage.replace(' ', '-')}" for k, (stage, _) in enumerate(STAGES[:-1])]
     done = max((k for k, path in enumerate(paths) if name and finished(spark, path)), default=-1)
     documents = table(spark, sf_dir, "documents")
     docs = spark.read.schema(documents.schema).parquet(paths[done]) if done >= 0 else documents
     before = marked()
     for k in range(done + 1, len(paths)):
-        docs = written_at(STAGES[k][1](spark, docs, sf_dir), paths[k])
+        docs = written_at(STAGES[k][1](spark, docs, sf_dir), paths[k], keep=name is not None)
         # What the stage wrote on its way, and its predecessor: nothing reads them any more.
         clear(spark, before, but=paths[k])
+        if name and k:
+            delete(paths[k - 1], spark)
     return STAGES[-1][1](spark, docs, sf_dir)
