@@ -45,7 +45,7 @@ def magnitude(thresholds: DataFrame) -> DataFrame:
 def frequency(one: DataFrame, p: Params) -> DataFrame:
     """Adds freq: peaks in a window of peak_freq_yr about each row, scaled up where the
     series' ends cut it off. All frames are literals."""
-    if p.yr_interp <= 0:
+    if not p.fixed:
         return _frequency_by_series(one, p)
     q = p.peak_freq_yr / p.yr_interp
     half = int(q) / 2
@@ -62,7 +62,7 @@ def frequency(one: DataFrame, p: Params) -> DataFrame:
 def _frequency_by_series(one: DataFrame, p: Params) -> DataFrame:
     """frequency() where each series has its own interval: the row numbers are scaled, so
     that the frames stay literals."""
-    q = F.lit(p.peak_freq_yr) / F.col("yr")
+    q = p.freq / F.col("yr")
     half = F.floor(q) / 2
     lo, full, ahead, behind = F.floor(half), F.bround(q), F.ceil(F.bround(q) / 2), F.floor(q / 2)
     k = F.when(F.col("is_peak"), 1).otherwise(0)
@@ -84,27 +84,27 @@ def _frequency_by_series(one: DataFrame, p: Params) -> DataFrame:
 
 
 def smooth_frequency(freq: DataFrame, p: Params) -> DataFrame:
-    k = span_points(F.lit(p.peak_freq_yr) / F.col("yr"), F.col("n"))
-    return lowess(freq, "freq", "sm_freq", k, widest_of(p, p.peak_freq_yr, freq, k))
+    k = span_points(p.freq / F.col("yr"), F.col("n"))
+    return lowess(freq, "freq", "sm_freq", k, widest_of(p, p.peak_freq_yr) if p.fixed else None)
 
 
 def moving_intervals(one: DataFrame, p: Params) -> DataFrame:
     """site, run_id, step, step_age, fri: return intervals with both peaks inside the
     window of peak_freq_yr about each step. An interval is sent to its steps by arithmetic."""
-    w = p.peak_freq_yr
-    last = one.groupBy(*KEY).agg(F.max("age").alias("end"))
+    w = p.freq
+    last = one.groupBy(*KEY).agg(F.max("age").alias("end"), *_kept(one))
     x = intervals(one).join(last, list(KEY))
     lo = F.greatest(F.lit(0).cast("long"), F.floor((F.col("age") - w / 2 - STEP0) / STEP) + 1)
     hi = F.least(F.floor((F.col("prev_age") + w / 2 - STEP0) / STEP), F.floor((F.col("end") - STEP0) / STEP + 1e-10))
     x = x.withColumns({"lo": lo, "hi": hi}).where("lo <= hi").withColumn("step", F.explode(F.sequence("lo", "hi")))
-    return x.select(*KEY, "step", (STEP0 + STEP * F.col("step")).cast("double").alias("step_age"), "fri")
+    return x.select(*KEY, "step", (STEP0 + STEP * F.col("step")).cast("double").alias("step_age"), "fri", *[c for c in x.columns if c == "par"])
 
 
 def fri_band(moved: DataFrame) -> DataFrame:
     """site, run_id, step, step_age, n, mean, lo, hi: mean with its standard error, from two intervals on."""
-    x = moved.groupBy(*KEY, "step", "step_age").agg(F.count("*").alias("n"), F.avg("fri").alias("mean"), F.stddev_samp("fri").alias("sd")).where("n > 1")
+    x = moved.groupBy(*KEY, "step", "step_age").agg(F.count("*").alias("n"), F.avg("fri").alias("mean"), F.stddev_samp("fri").alias("sd"), *_kept(moved)).where("n > 1")
     se = F.col("sd") / F.sqrt("n")
-    return x.select(*KEY, "step", "step_age", "n", "mean", (F.col("mean") - se).alias("lo"), (F.col("mean") + se).alias("hi"))
+    return x.select(*KEY, "step", "step_age", "n", "mean", (F.col("mean") - se).alias("lo"), (F.col("mean") + se).alias("hi"), *[c for c in x.columns if c == "par"])
 
 
 def _frame(rows: list[tuple], schema: str) -> pd.DataFrame:
@@ -141,8 +141,8 @@ def fri_bootstrap(moved: DataFrame, p: Params, alpha: float = 0.05) -> DataFrame
 def smooth_band(band: DataFrame, p: Params) -> DataFrame:
     """Adds sm_fri, sm_lo, sm_hi: local lines over the steps in order, from three steps on."""
     x = band.withColumns({"i": F.row_number().over(Window.partitionBy(*KEY).orderBy("step")), "m": F.count("*").over(Window.partitionBy(*KEY)).cast("int")}).where("m > 2")
-    span = F.lit(p.peak_freq_yr / STEP) / F.col("m")
-    x = lowess(x, ["mean", "lo", "hi"], ["sm_fri", "sm_lo", "sm_hi"], span_points(span, F.col("m")), max(3, round(p.peak_freq_yr / STEP)))
+    span = p.freq / STEP / F.col("m")
+    x = lowess(x, ["mean", "lo", "hi"], ["sm_fri", "sm_lo", "sm_hi"], span_points(span, F.col("m")), max(3, round(p.peak_freq_yr / STEP)) if p.fixed else None)
     return x.drop("i", "m")
 
 
@@ -161,14 +161,22 @@ def fri_on_grid(smoothed: DataFrame, grid: DataFrame, p: Params) -> DataFrame:
 
 def zones(ends: DataFrame, p: Params) -> DataFrame:
     """site, zone, z_lo, z_hi: the parameter's zones, the last cut at the site's end."""
-    limits = [float(v) for v in p.zone_div]
-    rows = F.array(*[F.struct(F.lit(k + 1).alias("zone"), F.lit(limits[k]).alias("z_lo"), (F.lit(limits[k + 1]) if k + 2 < len(limits) else F.col("zone_end")).alias("z_hi")) for k in range(len(limits) - 1)])
-    return ends.select("site", F.explode(rows).alias("r")).select("site", "r.*")
+    end = F.when(F.col("k") == F.size("d") - 2, F.col("zone_end")).otherwise(F.col("d")[F.col("k") + 1])
+    x = ends.select(*_series(ends), "zone_end", p.limits.alias("d")).withColumn("k", F.explode(F.sequence(F.lit(0), F.size("d") - 2)))
+    return x.select(*_series(ends), (F.col("k") + 1).alias("zone"), F.col("d")[F.col("k")].alias("z_lo"), end.alias("z_hi"))
+
+
+def _series(df: DataFrame) -> list[str]:
+    return [c for c in KEY if c in df.columns]
+
+
+def _kept(df: DataFrame) -> list[Column]:
+    return [F.first("par").alias("par")] if "par" in df.columns else []
 
 
 def zone_intervals(one: DataFrame, zone_table: DataFrame) -> DataFrame:
     """site, run_id, zone, age, fri: intervals between peaks of one zone [z_lo, z_hi)."""
-    x = one.where("is_peak").join(zone_table, "site").where("age >= z_lo and age < z_hi")
+    x = one.where("is_peak").join(zone_table, _series(zone_table)).where("age >= z_lo and age < z_hi")
     w = Window.partitionBy(*KEY, "zone").orderBy("age")
     x = x.withColumn("fri", F.col("age") - F.lag("age").over(w))
     return x.where("fri is not null").select(*KEY, "zone", "age", "fri")

@@ -19,10 +19,10 @@ def _by_i():
 
 
 
-def flags(df: DataFrame) -> DataFrame:
-    """One row for each grid row and threshold t (1..4): thr, flag (peak above it). Both
-    sides are compared at 9 decimals, so that equal values do not differ by rounding."""
-    cols = ["i", "age", "yr", "n", "cnt", "vol", "peak"]
+def flags(df: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each grid row and threshold t (1..4): thr, flag (peak above it), and more
+    columns if asked for. Both sides are compared at 9 decimals, so that equal values do not differ by rounding."""
+    cols = ["i", "age", "yr", "n", "cnt", "vol", "peak", *[c for c in df.columns if c == "par"], *more]
     x = df.select(*KEY, *cols, F.posexplode(F.array(*[F.col(f"pos{j}") for j in (1, 2, 3, 4)])).alias("t", "thr"))
     return x.withColumns({"t": F.col("t") + 1, "flag": F.coalesce(F.round("peak", 9) > F.round("thr", 9), F.lit(False))})
 
@@ -74,13 +74,13 @@ def count_test(x: DataFrame, p: Params) -> DataFrame:
     v = F.try_divide("v_min", F.col("v_min") + F.col("v_max"))
     d = F.try_divide(F.abs(F.col("c_min") - both * v) - 0.5, F.sqrt(both * v * (1 - v)))
     x = x.withColumns({"d": F.when(both > 0, d), "__both": both})
-    insig = F.when(F.col("__both") == 0, True).otherwise(F.round("d", 9) < round(stats.z_of(1 - p.min_count_p), 9))
+    insig = F.when(F.col("__both") == 0, True).otherwise(F.round("d", 9) < F.round(p.z_count, 9))
     return x.withColumn("insig", F.coalesce(insig & F.col("is_end"), F.lit(False))).drop("__both")
 
 
-def identify(thresholds: DataFrame, p: Params) -> DataFrame:
-    """All of the above; adds is_peak: run ends that the count test leaves."""
-    x = count_test(extremes(windows(run_ends(flags(thresholds)), p), p), p)
+def identify(thresholds: DataFrame, p: Params, more: tuple[str, ...] = ()) -> DataFrame:
+    """All of the above (with more of the columns of thresholds); adds is_peak: run ends that the count test leaves."""
+    x = count_test(extremes(windows(run_ends(flags(thresholds, more)), p), p), p)
     return x.withColumn("is_peak", F.col("is_end") & ~F.col("insig"))
 
 

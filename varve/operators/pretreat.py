@@ -9,21 +9,34 @@ from pyspark.sql.window import Window
 from varve.params import Params
 
 
-def _by_sample():
-    return Window.partitionBy("site").orderBy("sample_no")
+def _key(df: DataFrame) -> list[str]:
+    """Series are told apart by site, and where each brings its parameters, by run."""
+    return [c for c in ("site", "run_id") if c in df.columns]
 
 
+def _also(df: DataFrame) -> list[str]:
+    return [c for c in ("run_id", "par") if c in df.columns]
+
+
+def _by_sample(df: DataFrame):
+    return Window.partitionBy(*_key(df)).orderBy("sample_no")
+
+
+def _kept(df: DataFrame) -> list:
+    """The series' parameters, in an aggregate by series."""
+    return [F.first("par").alias("par")] if "par" in df.columns else []
+
 
 def trim(raw: DataFrame, p: Params) -> DataFrame:
     """Samples inside the outer zone limits; NaN becomes null."""
     for c in ("cm_top", "cm_bot", "age_top", "age_bot", "vol", "cnt"):
         raw = raw.withColumn(c, F.nanvl(F.col(c), F.lit(None).cast("double")))
-    return raw.where((F.col("age_top") >= p.zone_div[0]) & (F.col("age_bot") <= p.zone_div[-1]))
+    return raw.where((F.col("age_top") >= p.start) & (F.col("age_bot") <= p.end))
 
 
 def zone_end(trimmed: DataFrame, p: Params) -> DataFrame:
     """site, zone_end: the last limit, or the last sample's bottom age if that is less."""
-    return trimmed.groupBy("site").agg(F.least(F.lit(p.zone_div[-1]), F.max_by("age_bot", "sample_no")).alias("zone_end"))
+    return trimmed.groupBy(*_key(trimmed)).agg(F.least(F.max(p.end), F.max_by("age_bot", "sample_no")).alias("zone_end"), F.max(p.start).alias("z0"), *_kept(trimmed))
 
 
 def missing(trimmed: DataFrame) -> DataFrame:
@@ -32,20 +45,21 @@ def missing(trimmed: DataFrame) -> DataFrame:
 
 def gap_runs(trimmed: DataFrame) -> DataFrame:
     """site, gap_no, first_no, last_no, n_rows of each run of missing samples."""
-    x = missing(trimmed).withColumn("pos", F.row_number().over(_by_sample())).where("is_missing")
-    x = x.withColumn("island", F.col("pos") - F.row_number().over(_by_sample()))
-    runs = x.groupBy("site", "island").agg(F.min("sample_no").alias("first_no"), F.max("sample_no").alias("last_no"), F.count("*").alias("n_rows"))
-    return runs.select("site", F.row_number().over(Window.partitionBy("site").orderBy("first_no")).alias("gap_no"), "first_no", "last_no", "n_rows")
+    key = _key(trimmed)
+    x = missing(trimmed).withColumn("pos", F.row_number().over(_by_sample(trimmed))).where("is_missing")
+    x = x.withColumn("island", F.col("pos") - F.row_number().over(_by_sample(trimmed)))
+    runs = x.groupBy(*key, "island").agg(F.min("sample_no").alias("first_no"), F.max("sample_no").alias("last_no"), F.count("*").alias("n_rows"))
+    return runs.select(*key, F.row_number().over(Window.partitionBy(*key).orderBy("first_no")).alias("gap_no"), "first_no", "last_no", "n_rows")
 
 
 def _flanked(trimmed: DataFrame) -> DataFrame:
     """Missing samples with their place in the run and the samples on either side."""
-    x = missing(trimmed).withColumn("pos", F.row_number().over(_by_sample()))
+    x = missing(trimmed).withColumn("pos", F.row_number().over(_by_sample(trimmed)))
     held = {c: F.when(~F.col("is_missing"), F.col(c)) for c in ("pos", "cm_top", "age_top", "vol", "cnt")}
     # What follows is looked up in descending order: a frame that is open at its end would
     # be read anew for every row.
-    before = _by_sample().rowsBetween(Window.unboundedPreceding, -1)
-    after = Window.partitionBy("site").orderBy(F.desc("sample_no")).rowsBetween(Window.unboundedPreceding, -1)
+    before = _by_sample(trimmed).rowsBetween(Window.unboundedPreceding, -1)
+    after = Window.partitionBy(*_key(trimmed)).orderBy(F.desc("sample_no")).rowsBetween(Window.unboundedPreceding, -1)
     return x.withColumns({f"{c}_0": F.last(e, ignorenulls=True).over(before) for c, e in held.items()} | {f"{c}_1": F.last(e, ignorenulls=True).over(after) for c, e in held.items()})
 
 
@@ -53,7 +67,7 @@ def gap_totals(trimmed: DataFrame) -> DataFrame:
     """site, n_missing, n_gaps, cm_gaps, yr_gaps: between the samples that flank each gap."""
     x = _flanked(trimmed).where("is_missing")
     first = F.col("pos") == F.col("pos_0") + 1
-    return x.groupBy("site").agg(
+    return x.groupBy(*_key(trimmed)).agg(
         F.count("*").alias("n_missing"), F.count_if(first).alias("n_gaps"),
         F.sum(F.when(first, F.col("cm_top_1") - F.col("cm_top_0"))).alias("cm_gaps"),
         F.sum(F.when(first, F.col("age_top_1") - F.col("age_top_0"))).alias("yr_gaps"),
@@ -65,21 +79,21 @@ def fill_gaps(trimmed: DataFrame) -> DataFrame:
     steps of the first missing sample's thickness. With a point too many inside the gap
     the second one is left out. A gap at either end has no flank and stays null."""
     x = _flanked(trimmed)
-    run = Window.partitionBy("site", "is_missing", "pos_0").orderBy("pos")
+    run = Window.partitionBy(*_key(trimmed), "is_missing", "pos_0").orderBy("pos")
     x = x.withColumn("step", F.first(F.col("cm_bot") - F.col("cm_top")).over(run))
     inside = F.floor((F.col("cm_top_1") - F.col("cm_top_0")) / F.col("step") + 1e-10) - 1
     j, length = F.col("pos") - F.col("pos_0"), F.col("pos_1") - F.col("pos_0") - 1
     at = F.when((inside == length) | (j == 1), j).otherwise(j + 1)
     part = at * F.col("step") / (F.col("cm_top_1") - F.col("cm_top_0"))
     out = {c: F.when(F.col("is_missing"), F.col(f"{c}_0") + (F.col(f"{c}_1") - F.col(f"{c}_0")) * part).otherwise(F.col(c)) for c in ("vol", "cnt")}
-    return x.select("site", "sample_no", "cm_top", "cm_bot", "age_top", "age_bot", out["vol"].alias("vol"), out["cnt"].alias("cnt"), "is_missing")
+    return x.select("site", "sample_no", "cm_top", "cm_bot", "age_top", "age_bot", out["vol"].alias("vol"), out["cnt"].alias("cnt"), "is_missing", *_also(trimmed))
 
 
 def noncontiguous(trimmed: DataFrame) -> DataFrame:
     """site, n_breaks, cm_breaks, yr_breaks where a sample does not begin where the one before ends."""
-    x = trimmed.withColumns({"cm_next": F.lead("cm_top").over(_by_sample()), "age_next": F.lead("age_top").over(_by_sample())})
+    x = trimmed.withColumns({"cm_next": F.lead("cm_top").over(_by_sample(trimmed)), "age_next": F.lead("age_top").over(_by_sample(trimmed))})
     broken = F.col("cm_next") != F.col("cm_bot")
-    return x.groupBy("site").agg(
+    return x.groupBy(*_key(trimmed)).agg(
         F.count_if(broken).alias("n_breaks"), F.coalesce(F.sum(F.when(broken, F.col("cm_next") - F.col("cm_top"))), F.lit(0.0)).alias("cm_breaks"),
         F.coalesce(F.sum(F.when(broken, F.col("age_next") - F.col("age_top"))), F.lit(0.0)).alias("yr_breaks"),
     )
@@ -87,7 +101,7 @@ def noncontiguous(trimmed: DataFrame) -> DataFrame:
 
 def rates(filled: DataFrame) -> DataFrame:
     """Adds con (count by volume), sed (depth by age to the next sample, 0 at the last) and acc."""
-    up, age = F.lead("cm_top").over(_by_sample()), F.lead("age_top").over(_by_sample())
+    up, age = F.lead("cm_top").over(_by_sample(filled)), F.lead("age_top").over(_by_sample(filled))
     sed = F.when(age.isNull(), 0.0).otherwise(F.try_divide(up - F.col("cm_top"), age - F.col("age_top")))
     x = filled.withColumns({"con": F.try_divide("cnt", "vol"), "sed": sed, "age_next": age, "cm_next": up})
     return x.withColumn("acc", F.col("con") * F.col("sed"))
@@ -95,24 +109,26 @@ def rates(filled: DataFrame) -> DataFrame:
 
 def auto_interval(trimmed: DataFrame) -> DataFrame:
     """site, yr: the median step of age_top, rounded half to even."""
-    x = trimmed.withColumn("step", F.lead("age_top").over(_by_sample()) - F.col("age_top"))
-    return x.groupBy("site").agg(F.bround(F.percentile("step", F.lit(0.5))).alias("yr"))
+    x = trimmed.withColumn("step", F.lead("age_top").over(_by_sample(trimmed)) - F.col("age_top"))
+    return x.groupBy(*_key(trimmed)).agg(F.bround(F.percentile("step", F.lit(0.5))).alias("yr"))
 
 
 def layout(trimmed: DataFrame, p: Params) -> DataFrame:
-    """site, zone_end, yr, n: what the grid of each site is made from."""
+    """site, zone_end, z0, yr, n: what the grid of each site is made from."""
     ends = zone_end(trimmed, p)
-    if p.yr_interp > 0:
-        ends = ends.withColumn("yr", F.lit(p.yr_interp))
+    if p.fixed:
+        ends = ends.withColumn("yr", p.interval)
     else:
-        ends = ends.join(auto_interval(trimmed), "site")
-    return ends.withColumn("n", (F.floor((F.col("zone_end") - p.zone_div[0]) / F.col("yr") + 1e-10) + 1).cast("int"))
+        # Only the series that ask for it have their own interval worked out.
+        own = auto_interval(trimmed.where(p.interval <= 0)).withColumnRenamed("yr", "own")
+        ends = ends.join(own, _key(trimmed), "left").withColumn("yr", F.coalesce(F.when(p.interval > 0, p.interval), "own")).drop("own")
+    return ends.withColumn("n", (F.floor((F.col("zone_end") - F.col("z0")) / F.col("yr") + 1e-10) + 1).cast("int"))
 
 
 def grid(sites: DataFrame, p: Params) -> DataFrame:
     """site, i, age, yr, n."""
     x = sites.withColumn("i", F.explode(F.sequence(F.lit(1), F.col("n"))))
-    return x.select("site", "i", (p.zone_div[0] + (F.col("i") - 1) * F.col("yr")).alias("age"), "yr", "n")
+    return x.select("site", "i", (F.col("z0") + (F.col("i") - 1) * F.col("yr")).alias("age"), "yr", "n", *_also(sites))
 
 
 def overlaps(rated: DataFrame, sites: DataFrame, p: Params) -> DataFrame:
@@ -121,8 +137,8 @@ def overlaps(rated: DataFrame, sites: DataFrame, p: Params) -> DataFrame:
     A sample is sent to its cells by arithmetic, so this is a generator and not a join
     over a range: rows out are rows that overlap.
     """
-    z = F.lit(p.zone_div[0])
-    x = rated.join(sites, "site")
+    z = F.col("z0")
+    x = rated.drop("par").join(sites, _key(rated))
     lo = F.greatest(F.lit(0).cast("long"), F.floor((F.col("age_top") - z) / F.col("yr")))
     hi = F.least(F.col("n").cast("long") - 1, F.ceil((F.col("age_bot") - z) / F.col("yr")) - 1)
     x = x.withColumns({"lo": lo, "hi": hi}).where("lo <= hi").withColumn("c", F.explode(F.sequence("lo", "hi")))
@@ -133,33 +149,35 @@ def overlaps(rated: DataFrame, sites: DataFrame, p: Params) -> DataFrame:
 
 def depths(rated: DataFrame, sites: DataFrame, p: Params) -> DataFrame:
     """site, i, cm: depth at the grid's ages, linear between samples, none outside them."""
-    z, eps = F.lit(p.zone_div[0]), 1e-9
-    x = rated.join(sites, "site")
+    z, eps = F.col("z0"), 1e-9
+    x = rated.drop("par").join(sites, _key(rated))
     lo = F.greatest(F.lit(0).cast("long"), F.ceil((F.col("age_top") - z) / F.col("yr") - eps))
     hi = F.when(F.col("age_next").isNull(), F.floor((F.col("age_top") - z) / F.col("yr") + eps)).otherwise(F.ceil((F.col("age_next") - z) / F.col("yr") - eps) - 1)
     x = x.withColumns({"lo": lo, "hi": F.least(F.col("n").cast("long") - 1, hi)}).where("lo <= hi").withColumn("c", F.explode(F.sequence("lo", "hi")))
     age = z + F.col("c") * F.col("yr")
     part = F.coalesce(F.try_divide(age - F.col("age_top"), F.col("age_next") - F.col("age_top")), F.lit(0.0))
-    return x.select("site", (F.col("c") + 1).cast("int").alias("i"), (F.col("cm_top") + F.coalesce(F.col("cm_next") - F.col("cm_top"), F.lit(0.0)) * part).alias("cm"))
+    return x.select(*_key(rated), (F.col("c") + 1).cast("int").alias("i"), (F.col("cm_top") + F.coalesce(F.col("cm_next") - F.col("cm_top"), F.lit(0.0)) * part).alias("cm"))
 
 
 def resample(rated: DataFrame, sites: DataFrame, p: Params) -> DataFrame:
     """site, run_id, i, age, yr, n, cm, cnt, vol, con, sed, acc on the grid; null where no
     sample reaches. Partly covered cells are not scaled up."""
-    parts = overlaps(rated, sites, p).select("site", "i", *[(F.col(c) * F.col("share")).alias(c) for c in ("cnt", "vol", "con", "sed")], F.lit(None).cast("double").alias("cm"))
+    key = _key(rated)
+    parts = overlaps(rated, sites, p).select(*key, "i", *[(F.col(c) * F.col("share")).alias(c) for c in ("cnt", "vol", "con", "sed")], F.lit(None).cast("double").alias("cm"))
     none = {c: F.lit(None).cast("double") for c in ("cnt", "vol", "con", "sed")}
     points = depths(rated, sites, p).withColumns(none).select(*parts.columns)
     cells = grid(sites, p).withColumns(none | {"cm": F.lit(None).cast("double")})
     empty = cells.select(*parts.columns)
     # Cells, parts and points meet in one aggregate: no join, one exchange.
-    sums = parts.unionByName(points).unionByName(empty).groupBy("site", "i").agg(*[F.sum(c).alias(c) for c in ("cnt", "vol", "con", "sed")], F.max("cm").alias("cm"))
-    x = sums.join(sites.select("site", "yr", "n"), "site").withColumn("age", p.zone_div[0] + (F.col("i") - 1) * F.col("yr"))
+    sums = parts.unionByName(points).unionByName(empty).groupBy(*key, "i").agg(*[F.sum(c).alias(c) for c in ("cnt", "vol", "con", "sed")], F.max("cm").alias("cm"))
+    x = sums.join(sites.drop("zone_end"), key).withColumn("age", F.col("z0") + (F.col("i") - 1) * F.col("yr"))
+    run = F.col("run_id") if "run_id" in key else F.lit(p.run_id).alias("run_id")
     acc = F.col("con") * F.col("sed")
     if p.transform == 1:
         acc = F.log10(acc + 1)
     elif p.transform == 2:
         acc = F.log1p(acc)
-    return x.select("site", F.lit(p.run_id).alias("run_id"), "i", "age", "yr", "n", "cm", "cnt", "vol", "con", "sed", acc.alias("acc"))
+    return x.select("site", run, "i", "age", "yr", "n", "cm", "cnt", "vol", "con", "sed", acc.alias("acc"), *[c for c in _also(x) if c == "par"])
 
 
 def pretreat(raw: DataFrame, p: Params) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from varve.params import Params
+from varve.params import ByRun, Params
 
 KEY = ("site", "run_id")
 EPS = 2.220446049250313e-16
@@ -22,10 +22,10 @@ def span_points(span: Column, n: Column) -> Column:
     return F.least(F.greatest(F.lit(3), F.bround(F.when(span < 1, span * n).otherwise(span)).cast("int")), n)
 
 
-def rows_of(years: float, p: Params) -> int | Column:
+def rows_of(years: float | Column, p: Params | ByRun) -> int | Column:
     """Rows that make up so many years, rounded half to even: a number where all series
     have one interval, else of each series' own."""
-    return round(years / p.yr_interp) if p.yr_interp > 0 else F.bround(F.lit(float(years)) / F.col("yr")).cast("int")
+    return round(years / p.yr_interp) if p.fixed else F.bround((years if isinstance(years, Column) else F.lit(float(years))) / F.col("yr")).cast("int")
 
 
 def within(key: tuple[str, ...], rows: int | Column):
@@ -37,16 +37,18 @@ def within(key: tuple[str, ...], rows: int | Column):
     return w.orderBy(F.col("i") / (rows + 0.5)).rangeBetween(-1, 1)
 
 
-def most_points(df: DataFrame, k: Column) -> int:
-    """The widest window: one small job, only where it is not known from parameters."""
-    return int(df.agg(F.max(k)).first()[0] or 3)
+def widest_of(p: Params | ByRun, yr: float | None = None) -> int | None:
+    """Rows of the widest window where the plan knows it; else each series has its own frame."""
+    return max(3, rows_of(yr, p)) if p.fixed else None
 
 
-def widest_of(p: Params, yr: float, df: DataFrame, k: Column) -> int:
-    return max(3, rows_of(yr, p)) if p.yr_interp > 0 else most_points(df, k)
+def near(key: tuple[str, ...], rows: Column, widest: int | None, x: str = "i"):
+    """A frame that holds so many rows to either side, at least."""
+    w = Window.partitionBy(*key)
+    return w.orderBy(x).rowsBetween(-widest, widest) if widest else w.orderBy(F.col(x) / (rows + 0.5)).rangeBetween(-1, 1)
 
 
-def lowess(df: DataFrame, y: str | list[str], out: str | list[str], k: Column, widest: int, weight: str | None = None, x: str = "i", key: tuple[str, ...] = KEY) -> DataFrame:
+def lowess(df: DataFrame, y: str | list[str], out: str | list[str], k: Column, widest: int | None, weight: str | None = None, x: str = "i", key: tuple[str, ...] = KEY) -> DataFrame:
     """Local line with tricube weights over the k nearest rows in order of x (1..n within
     a key, no gaps). Null values weigh nothing and stay null. weight: robustness weights.
     Several columns share one pass; a row then counts where none of them is null."""
@@ -60,7 +62,7 @@ def lowess(df: DataFrame, y: str | list[str], out: str | list[str], k: Column, w
         held = held & F.col(c).isNotNull()
     row = F.when(held, F.struct(F.col(x).cast("double").alias("x"), (F.col(weight) if weight else F.lit(1.0)).alias("r"), *[F.col(c).alias(f"y{j}") for j, c in enumerate(ys)]))
     i0 = F.greatest(F.lit(1), F.least(F.col(x) - F.floor(F.col("__k") / 2), F.col("__n") - F.col("__k") + 1))
-    df = df.withColumns({"__near": F.collect_list(row).over(w.rowsBetween(-widest, widest)), "__i0": i0.cast("double")})
+    df = df.withColumns({"__near": F.collect_list(row).over(near(key, F.col("__k"), widest, x)), "__i0": i0.cast("double")})
     df = df.withColumn("__near", F.filter("__near", lambda r: (r["x"] >= F.col("__i0")) & (r["x"] <= F.col("__i0") + F.col("__k") - 1)))
     here = F.col(x).cast("double")
     far = F.greatest(here - F.try_element_at("__near", F.lit(1))["x"], F.try_element_at("__near", F.lit(-1))["x"] - here) + EPS
@@ -91,7 +93,7 @@ def lowess(df: DataFrame, y: str | list[str], out: str | list[str], k: Column, w
     return df.withColumns(fits).drop("__n", "__k", "__near", "__i0", "__far", "__s")
 
 
-def robust_lowess(df: DataFrame, y: str, out: str, k: Column, widest: int, passes: int = 5, key: tuple[str, ...] = KEY) -> DataFrame:
+def robust_lowess(df: DataFrame, y: str, out: str, k: Column, widest: int | None, passes: int = 5, key: tuple[str, ...] = KEY) -> DataFrame:
     """lowess() repeated with bisquare weights of the residuals against six times their
     median size; a series whose residuals vanish keeps its fit."""
     df = lowess(df.withColumn("__rw", F.lit(1.0)), y, out, k, widest, "__rw", key=key)
@@ -119,21 +121,28 @@ def bridge(df: DataFrame, y: str, out: str, key: tuple[str, ...] = KEY) -> DataF
     return df.withColumn(out, F.coalesce(F.col(y), mid, "__v0", "__v1")).drop("__v0", "__v1", "__p0", "__p1")
 
 
-def moving_mean(df: DataFrame, y: str, out: str, k: int, key: tuple[str, ...] = KEY) -> DataFrame:
+def moving_mean(df: DataFrame, y: str, out: str, k: int | Column, key: tuple[str, ...] = KEY) -> DataFrame:
     """Centred mean of k rows, fewer at the ends; of an even k the longer side is ahead."""
-    w = Window.partitionBy(*key).orderBy("i").rowsBetween(-((k - 1) // 2), k // 2)
-    return df.withColumn(out, F.avg(y).over(w))
+    if isinstance(k, int):
+        w = Window.partitionBy(*key).orderBy("i").rowsBetween(-((k - 1) // 2), k // 2)
+        return df.withColumn(out, F.avg(y).over(w))
+    # A window of each series' own length: what lies behind, and what lies ahead, of the row.
+    w = Window.partitionBy(*key)
+    behind = w.orderBy(F.col("i") / (F.floor((k - 1) / 2) + 0.5)).rangeBetween(-1, Window.currentRow)
+    ahead = w.orderBy(F.col("i") / (F.floor(k / 2) + 0.5)).rangeBetween(Window.currentRow, 1)
+    total = sum((F.coalesce(F.sum(y).over(x), F.lit(0.0)) for x in (behind, ahead)), -F.coalesce(F.col(y), F.lit(0.0)))
+    held = F.count(y).over(behind) + F.count(y).over(ahead) - F.col(y).isNotNull().cast("long")
+    return df.withColumn(out, F.try_divide(total, held.cast("double")))
 
 
-def _shifted(df: DataFrame, y: str, s: Column, widest: int, key: tuple[str, ...]) -> DataFrame:
+def _shifted(df: DataFrame, y: str, s: Column, widest: int | None, key: tuple[str, ...]) -> DataFrame:
     """__win: values of the row's window: the first or last k rows near the ends, else the
     rows from round(i - s/2) to round(i + s/2)."""
-    w = Window.partitionBy(*key).orderBy("i")
     n, i = F.col("n"), F.col("i")
     k, half = F.least(F.greatest(F.lit(3), F.bround(s).cast("int")), n), F.bround(s / 2)
     lo = F.when(i <= half, 1).when(i >= n - half, F.greatest(F.lit(1), n - k + 1)).otherwise(F.bround(i - 0.5 * s))
     hi = F.when(i <= half, k).when(i >= n - half, n).otherwise(F.bround(i + 0.5 * s))
-    df = df.withColumns({"__near": F.collect_list(F.struct(F.col("i").alias("x"), F.col(y).alias("y"))).over(w.rowsBetween(-widest - 1, widest + 1)), "__lo": lo.cast("int"), "__hi": hi.cast("int")})
+    df = df.withColumns({"__near": F.collect_list(F.struct(F.col("i").alias("x"), F.col(y).alias("y"))).over(near(key, k + 1, widest and widest + 1)), "__lo": lo.cast("int"), "__hi": hi.cast("int")})
     return df.withColumn("__win", F.transform(F.filter("__near", lambda r: (r["x"] >= F.col("__lo")) & (r["x"] <= F.col("__hi"))), lambda r: r["y"])).drop("__near", "__lo", "__hi")
 
 
@@ -142,11 +151,11 @@ def median_of(a: Column) -> Column:
     return F.when(n > 0, (F.element_at(s, F.floor((n + 1) / 2).cast("int")) + F.element_at(s, F.floor((n + 2) / 2).cast("int"))) / 2)
 
 
-def moving_median(df: DataFrame, y: str, out: str, s: Column, widest: int, key: tuple[str, ...] = KEY) -> DataFrame:
+def moving_median(df: DataFrame, y: str, out: str, s: Column, widest: int | None, key: tuple[str, ...] = KEY) -> DataFrame:
     return _shifted(df, y, s, widest, key).withColumn(out, median_of(F.col("__win"))).drop("__win")
 
 
-def moving_mode(df: DataFrame, y: str, out: str, s: Column, widest: int, bins: int = 100, key: tuple[str, ...] = KEY) -> DataFrame:
+def moving_mode(df: DataFrame, y: str, out: str, s: Column, widest: int | None, bins: int = 100, key: tuple[str, ...] = KEY) -> DataFrame:
     """Median of the centres of the fullest of 100 equal bins over each window."""
     df = _shifted(df, y, s, widest, key)
     lo, hi = F.array_min("__win"), F.array_max("__win")
@@ -162,12 +171,12 @@ def moving_mode(df: DataFrame, y: str, out: str, s: Column, widest: int, bins: i
     return df.withColumn(out, F.when(F.col("__width") == 0, F.col("__min")).otherwise(median_of(F.col("__centres")))).drop("__win", "__min", "__width", "__bins", "__spots", "__centres")
 
 
-def background(grid: DataFrame, p: Params, methods: tuple[int, ...] | None = None) -> DataFrame:
+def background(grid: DataFrame, p: Params | ByRun, methods: tuple[int, ...] | None = None) -> DataFrame:
     """Adds bkg1..bkg5 (those asked for; the run's own by default) and bkg, the run's own."""
     methods = methods or (p.method,)
-    s = F.lit(p.smooth_yr) / F.col("yr")
+    s = p.smooth / F.col("yr")
     k = span_points(s, F.col("n"))
-    widest = widest_of(p, p.smooth_yr, grid, k)
+    widest = widest_of(p, p.smooth_yr) if p.fixed else None
     df = grid
     if set(methods) & {3, 4, 5}:
         df = bridge(df, "acc", "__clean")
@@ -178,7 +187,7 @@ def background(grid: DataFrame, p: Params, methods: tuple[int, ...] | None = Non
         elif m == 2:
             df = robust_lowess(df, "acc", out, k, widest)
         elif m == 3:
-            df = moving_mean(df, "__clean", out, widest)
+            df = moving_mean(df, "__clean", out, widest or F.greatest(F.lit(3), F.bround(s).cast("int")))
         elif m == 4:
             df = lowess(moving_median(df, "__clean", "__raw", s, widest), "__raw", out, k, widest).drop("__raw")
         else:

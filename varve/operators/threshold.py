@@ -87,14 +87,15 @@ def noise_pdf(peaks: DataFrame, p: Params) -> DataFrame:
 
 def global_thresholds(peaks: DataFrame, p: Params) -> DataFrame:
     """site, run_id, mu, sigma, pos (4 values snapped to bins), neg."""
-    ends = peaks.groupBy(*KEY).agg(F.min("peak").alias("lo"), F.max("peak").alias("hi"))
+    par = [F.first("par").alias("par")] if "par" in peaks.columns else []
+    ends = peaks.groupBy(*KEY).agg(F.min("peak").alias("lo"), F.max("peak").alias("hi"), *par)
     lo, hi = F.col("lo"), F.col("hi")
     if p.thresh_method == 1:
-        pos = [snap(F.lit(float(v)), lo, hi) for v in p.thresh_values]
+        pos = [snap(p.value(j), lo, hi) for j in range(4)]
         return ends.select(*KEY, F.lit(None).cast("double").alias("mu"), F.lit(None).cast("double").alias("sigma"), F.array(*pos).alias("pos"), F.lit(-99.0).alias("neg"))
     x = ends.join(global_noise(peaks, p), list(KEY))
-    pos = [snap(F.col("mu") + stats.z_of(v) * F.col("sigma"), lo, hi) for v in p.thresh_values]
-    return x.select(*KEY, "mu", "sigma", F.array(*pos).alias("pos"), (F.col("mu") + stats.z_of(1 - p.thresh_values[2]) * F.col("sigma")).alias("neg"))
+    pos = [snap(F.col("mu") + p.z(j) * F.col("sigma"), lo, hi) for j in range(4)]
+    return x.select(*KEY, "mu", "sigma", F.array(*pos).alias("pos"), (F.col("mu") + p.z_low(2) * F.col("sigma")).alias("neg"))
 
 
 def global_sni(peaks: DataFrame, thresholds: DataFrame) -> DataFrame:
@@ -108,7 +109,7 @@ def global_sni(peaks: DataFrame, thresholds: DataFrame) -> DataFrame:
 
 
 def half_window(p: Params) -> int | Column:
-    return rows_of(0.5 * p.smooth_yr, p)
+    return rows_of(0.5 * (p.smooth_yr if p.fixed else p.smooth), p)
 
 
 def _frame(hw: int | Column):
@@ -149,8 +150,8 @@ def local_mixture(peaks: DataFrame, p: Params, hw: int | None = None) -> DataFra
 
 def with_thresholds(noise: DataFrame, p: Params) -> DataFrame:
     """Adds pos1..pos4 and neg1..neg4 from mu and sigma."""
-    at = lambda q: F.col("mu") + stats.z_of(q) * F.col("sigma")
-    return noise.withColumns({f"pos{j}": at(q) for j, q in enumerate(p.thresh_values, 1)} | {f"neg{j}": at(1 - q) for j, q in enumerate(p.thresh_values, 1)})
+    at = lambda z: F.col("mu") + z * F.col("sigma")
+    return noise.withColumns({f"pos{j + 1}": at(p.z(j)) for j in range(4)} | {f"neg{j + 1}": at(p.z_low(j)) for j in range(4)})
 
 
 def local_sni(df: DataFrame, p: Params, hw: int | None = None) -> DataFrame:
@@ -195,8 +196,8 @@ def smooth_thresholds(df: DataFrame, p: Params) -> DataFrame:
     """sni and the eight thresholds run through the local line; sni at least 0. The thresholds
     of a row are null together and share a pass; sni is null by itself and has its own."""
     cols = [f"{a}{j}" for a in ("pos", "neg") for j in (1, 2, 3, 4)]
-    k = span_points(F.lit(p.smooth_yr) / F.col("yr"), F.col("n"))
-    widest = widest_of(p, p.smooth_yr, df, k)
+    k = span_points(p.smooth / F.col("yr"), F.col("n"))
+    widest = widest_of(p, p.smooth_yr) if p.fixed else None
     df = lowess(lowess(df, cols, cols, k, widest), "sni", "sni", k, widest)
     return df.withColumn("sni", F.when(F.col("sni") < 0, 0.0).otherwise(F.col("sni")))
 

@@ -65,13 +65,13 @@ def stages(p: Params) -> dict[str, str]:
     c["near"] = "SELECT a.site, a.i, b.clean AS v FROM win a JOIN win b ON a.site = b.site AND b.i BETWEEN a.lo AND a.hi"
     c["med"] = "SELECT w.*, m.raw FROM win w JOIN (SELECT site, i, median(v) AS raw FROM near GROUP BY ALL) m USING (site, i)"
     c |= lowess("med", "sm4r", "raw", "fit", kk)
-    c["sm4"] = "SELECT *, CASE WHEN acc IS NOT NULL THEN fit END AS bkg4 FROM sm4r"
+    c["sm4"] = "SELECT * EXCLUDE (fit), CASE WHEN acc IS NOT NULL THEN fit END AS bkg4 FROM sm4r"
     c["lim"] = "SELECT site, i, min(v) AS mn, (max(v) - min(v)) / 100 AS width FROM near GROUP BY ALL"
     c["binned"] = "SELECT n.site, n.i, mn, width, CASE WHEN width = 0 THEN 1 ELSE least(100, CAST(floor((v - mn) / width) AS BIGINT) + 1) END AS b, count(*) AS k FROM near n JOIN lim USING (site, i) GROUP BY ALL"
     c["mode"] = "SELECT site, i, median(CASE WHEN width = 0 THEN mn ELSE mn + (b - 0.5) * width END) AS raw FROM (SELECT *, max(k) OVER (PARTITION BY site, i) AS top FROM binned) WHERE k = top GROUP BY ALL"
     c["mod"] = "SELECT w.*, m.raw FROM win w JOIN mode m USING (site, i)"
     c |= lowess("mod", "sm5r", "raw", "fit", kk)
-    c["sm5"] = "SELECT *, CASE WHEN acc IS NOT NULL THEN fit END AS bkg5 FROM sm5r"
+    c["sm5"] = "SELECT * EXCLUDE (fit), CASE WHEN acc IS NOT NULL THEN fit END AS bkg5 FROM sm5r"
     c["peaked"] = f"SELECT * EXCLUDE (bkg{p.method}), bkg{p.method} AS bkg, " + (f"acc - bkg{p.method}" if p.c_peak == 1 else f"acc / nullif(bkg{p.method}, 0)") + f" AS peak FROM sm{p.method}"
     # Global model.
     c["ends"] = "SELECT site, min(peak) AS lo, max(peak) AS hi FROM peaked GROUP BY site"
@@ -134,11 +134,15 @@ def stages(p: Params) -> dict[str, str]:
     return c
 
 
-def sql(p: Params, select: str) -> str:
-    """A statement with those CTEs that it needs."""
+#: Flags at every positive bin, in place of those at four thresholds.
+ALL_BINS = {"flagged": "SELECT p.site, i, age, p.yr, p.n, cnt, vol, peak, bin AS t, possible AS thr, coalesce(round(peak, 9) > round(possible, 9), false) AS flag FROM peaked p JOIN bins ON p.site = bins.site WHERE possible > 0"}
+
+
+def sql(p: Params, select: str, instead: dict[str, str] | None = None) -> str:
+    """A statement with those CTEs that it needs; instead: other texts for some of them."""
     import re
 
-    all_ = stages(p)
+    all_ = stages(p) | (instead or {})
     need, todo = set(), [select]
     while todo:
         for name in set(re.findall(r"[a-z_0-9]+", todo.pop())) & all_.keys() - need:

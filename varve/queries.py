@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from varve.functions import stats
-from varve.operators import compare, figures, history, peaks, pretreat, smooth, threshold, validate
-from varve.params import Params
+from varve.operators import compare, figures, history, levels, peaks, pretreat, smooth, threshold, validate
+from varve.params import Params, as_table
 from varve.plans import oracle
-from varve.plans.study import Study, window_sweep
+from varve.plans.study import Runs, Study, sweep_windows, window_sweep
 from varve.sources.events import pseudo_cores
 
 BASE = Params()
@@ -29,7 +29,7 @@ def study(spark: SparkSession, sf_dir: str, p: Params = BASE) -> Study:
     return Study(pseudo_cores(spark.read.parquet(f"{sf_dir}/events.parquet")), p)
 
 
-def _query(name: str, columns: str, of: Callable[[Study], DataFrame], source: str | None, p: Params = BASE) -> None:
+def _query(name: str, columns: str, of: Callable[[Study], DataFrame], source: str | None, p: Params = BASE, instead: dict[str, str] | None = None) -> None:
     """columns: names with their kinds, as in ``site:s i:i age:d``; both sides shape them
     alike: whole numbers as long, ages (a) in their own
     microseconds, others at six decimals without a negative zero."""
@@ -40,7 +40,7 @@ def _query(name: str, columns: str, of: Callable[[Study], DataFrame], source: st
 
     QUERIES[name] = run
     if source:
-        SQL[name] = oracle.sql(p, "SELECT " + ", ".join(f"{_KINDS[k].format(n)} AS {n}" for n, k in pairs) + f" FROM {source}")
+        SQL[name] = oracle.sql(p, "SELECT " + ", ".join(f"{_KINDS[k].format(n)} AS {n}" for n, k in pairs) + f" FROM {source}", instead)
 
 
 def _upper_tail(d: str) -> str:
@@ -119,6 +119,8 @@ _query("i09_count_p", "site:s i:i t:i p:d", lambda s: peaks.exact_p(s.peaks.wher
 _query("i10_screened", "site:s i:i t:i is_peak:b insig:b", lambda s: s.peaks, "peaks")
 _query("i11_totals", "site:s t:i n_peaks:i", lambda s: peaks.totals(s.peaks), "(SELECT site, t, count(*) FILTER (is_peak) AS n_peaks FROM peaks GROUP BY site, t)")
 _query("i12_intervals", "site:s t:i age:d fri:d", lambda s: peaks.intervals(s.peaks), "fri")
+_query("i11_all_thresholds", "site:s bin:i possible:d n_ends:i n_peaks:i", lambda s: levels.totals(levels.identify(s.peaked, s.p), threshold.bins(s.peaked)), "(SELECT site, t AS bin, max(thr) AS possible, count(*) FILTER (is_end) AS n_ends, count(*) FILTER (is_peak) AS n_peaks FROM peaks GROUP BY site, t)", GLOBAL, oracle.ALL_BINS)
+_query("i12_all_intervals", "site:s bin:i age:d fri:d", lambda s: levels.intervals(levels.identify(s.peaked, s.p)), "(SELECT site, t AS bin, age, fri FROM fri)", GLOBAL, oracle.ALL_BINS)
 _query("f01_global_columns", "site:s i:i pos1:d pos2:d pos3:d pos4:d", lambda s: s.thresholds, "(SELECT p.site, i, g1 AS pos1, g2 AS pos2, g3 AS pos3, g4 AS pos4 FROM peaked p JOIN gthr USING (site))", GLOBAL)
 _query("f02_magnitude", "site:s i:i peak_mag:d", lambda s: history.magnitude(s.thresholds), "mag")
 _query("f03_frequency", "site:s i:i freq:d", lambda s: history.frequency(s.final, s.p), "freq")
@@ -142,7 +144,7 @@ _TABLE = (
     "JOIN (SELECT site, i, " + ", ".join(f"max(is_peak::INT) FILTER (t = {j}) AS pk{j}" for j in (1, 2, 3, 4)) + ", max(insig::INT) FILTER (t = 4) AS pk_insig FROM peaks GROUP BY site, i) k ON k.site = t.site AND k.i = t.i "
     "LEFT JOIN mag ON mag.site = t.site AND mag.i = t.i LEFT JOIN sfreq ON sfreq.site = t.site AND sfreq.i = t.i LEFT JOIN onto ON onto.site = t.site AND onto.i = t.i"
 )
-_query("f17_plain_columns", "site:s i:i " + " ".join(f"{c}:{'i' if c.startswith('peaks') else 'd'}" for c in _PLAIN), lambda s: history.results(s.thresholds, s.peaks, s.sites, s.p, bootstrap=False), f"({_TABLE})")
+_query("f17_plain_columns", "site:s i:i " + " ".join(f"{c}:{'i' if c.startswith('peaks') else 'd'}" for c in _PLAIN), lambda s: s.table(bootstrap=False), f"({_TABLE})")
 _query("fig01_raw","site:s age_top:a acc:d y_cap:d", lambda s: figures.raw_bars(s.rated), "(SELECT *, con * sed AS acc, quantile_cont(con * sed, 0.99) OVER (PARTITION BY site) AS y_cap FROM rated)")
 _CURVES = " UNION ALL ".join(f"SELECT site, age - 0.5 * yr AS age, {m} AS method, bkg{m} AS value FROM sm{m}" for m in range(1, 6))
 _query("fig01_curves", "site:s age:d method:i value:d", lambda s: figures.smoother_curves(smooth.background(s.grid, s.p, (1, 2, 3, 4, 5))), f"({_CURVES})")
@@ -154,7 +156,7 @@ _query("fig04_sni_box", "site:s low:d q1:d mid:d q3:d high:d", lambda s: figures
 _query("fig05_cumulative", "site:s age:d n_peaks:i", lambda s: figures.cumulative(s.peaks), "(SELECT site, age, row_number() OVER (PARTITION BY site ORDER BY age DESC) AS n_peaks FROM one WHERE is_peak)")
 _query("fig06_weibull", "site:s zone:i centre:d density:d passes:b", lambda s: figures.weibull_curve(history.zone_stats(history.zone_intervals(s.final, s.zones), s.p)), None, FINE)
 _query("fig06_given_curve", "site:s zone:i centre:d density:d passes:b", lambda s: figures.weibull_curve(history.usable_zones(history.zone_intervals(s.final, s.zones)).withColumns({"wbl_b": F.col("mfri"), "wbl_c": F.lit(1.5), "p_ks": F.lit(0.07)})), "(SELECT site, zone, centre, 1.5 / mfri * power(centre / mfri, 0.5) * exp(-power(centre / mfri, 1.5)) * 20 AS density, n_fri > 4 AND 0.07 > CASE WHEN n_fri < 30 THEN 0.10 ELSE 0.05 END AS passes FROM (SELECT *, unnest(range(30, 991, 20))::DOUBLE AS centre FROM zuse))", FINE)
-_query("fig07_history","site:s i:i age:d peak_mag:d sm_fri:d sm_freq:d", lambda s: figures.history_panel(history.results(s.thresholds, s.peaks, s.sites, s.p, bootstrap=False)), "(SELECT c.site, c.i, c.age, coalesce(peak_mag, 0) AS peak_mag, o.sm_fri, f.sm_freq FROM cells c LEFT JOIN mag m ON m.site = c.site AND m.i = c.i LEFT JOIN onto o ON o.site = c.site AND o.i = c.i JOIN sfreq f ON f.site = c.site AND f.i = c.i)")
+_query("fig07_history","site:s i:i age:d peak_mag:d sm_fri:d sm_freq:d", lambda s: figures.history_panel(s.table(bootstrap=False)), "(SELECT c.site, c.i, c.age, coalesce(peak_mag, 0) AS peak_mag, o.sm_fri, f.sm_freq FROM cells c LEFT JOIN mag m ON m.site = c.site AND m.i = c.i LEFT JOIN onto o ON o.site = c.site AND o.i = c.i JOIN sfreq f ON f.site = c.site AND f.i = c.i)")
 _query("fig08_ecdf", "site:s zone:i fri:d share:d", lambda s: figures.zone_ecdf(history.zone_intervals(s.final, s.zones)), "(SELECT *, cume_dist() OVER (PARTITION BY site, zone ORDER BY fri) AS share FROM zfri WHERE t = 4)")
 _query("fig08_box", "site:s zone:i n_fri:i least:d q1:d mid:d q3:d most:d", lambda s: figures.zone_box(history.zone_intervals(s.final, s.zones)), "(SELECT site, zone, count(*) AS n_fri, min(fri) AS least, quantile_cont(fri, 0.25) AS q1, median(fri) AS mid, quantile_cont(fri, 0.75) AS q3, max(fri) AS most FROM zfri WHERE t = 4 GROUP BY ALL)")
 _query("fig08_tests", "site:s zone_a:i zone_b:i d:d p:d", lambda s: figures.zone_tests(history.zone_intervals(s.final, s.zones)), f"""(WITH z AS (SELECT site, zone, fri FROM zfri WHERE t = 4), q AS (SELECT DISTINCT a.site, a.zone AS zone_a, b.zone AS zone_b FROM z a JOIN z b ON a.site = b.site AND a.zone < b.zone),
@@ -168,7 +170,36 @@ _query("f18_window_tests", "site:s step:i ks_p:d rank_p:d ad:d", lambda s: figur
   stat AS (SELECT site, step, n, m, n + m AS nm, max(abs(cx / n - cy / m)) * sqrt(n * m / (n + m)) AS x, sum(cx + cy - (alike - 1) / 2) FILTER (g = 0) - n * (n + m + 1) / 2 AS off, n * m / 12 * (n + m + 1 - sum(alike * alike - 1) / ((n + m) * (n + m - 1))) AS var, sum(CASE WHEN j < n + m THEN (power((n + m) * cx - j * n, 2) / n + power((n + m) * cy - j * m, 2) / m) / (j * (n + m - j)) END) / (n + m) AS ad FROM ranked GROUP BY site, step, n, m),
   scaled AS (SELECT *, CASE WHEN var > 0 THEN abs(off) / sqrt(var) ELSE 0 END AS z FROM stat)
   SELECT site, step, {_ks_tail('x')} AS ks_p, 2 * ({_upper_tail('z')}) AS rank_p, ad FROM scaled)""", FINE)
-_query("q01_window_sweep", "site:s bkg_window:d n1:i n2:i n3:i n4:i sni:d mfri:d sd_fri:d", lambda s: window_sweep(s.raw, s.p, [4800.0, 7200.0, 9600.0]), None)
+#: The pseudo-cores' ages are minutes, so the sweep goes by twenty hours.
+_WINDOWS = sweep_windows(BASE, step=1200.0, most=12000.0)
+_query("q01_window_sweep", "site:s bkg_window:d n1:i n2:i n3:i n4:i sni:d mfri:d sd_fri:d", lambda s: window_sweep(s.raw, s.p, _WINDOWS, gof=False), None)
+SQL["q01_window_sweep"] = " UNION ALL ".join(
+    f"SELECT * FROM ({oracle.sql(replace(BASE, smooth_yr=w), f"""SELECT n.site, {w}::DOUBLE AS bkg_window, n1, n2, n3, n4, round(sni, 6) + 0.0 AS sni, round(mfri, 6) + 0.0 AS mfri, round(sd_fri, 6) + 0.0 AS sd_fri FROM
+      (SELECT site, {", ".join(f"count(*) FILTER (is_peak AND t = {j}) AS n{j}" for j in (1, 2, 3, 4))} FROM peaks GROUP BY site) n
+      JOIN (SELECT site, avg(sni) AS sni FROM thr GROUP BY site) a ON a.site = n.site
+      LEFT JOIN (SELECT site, avg(fri) AS mfri, stddev_samp(fri) AS sd_fri FROM fri WHERE t = 4 GROUP BY site) f ON f.site = n.site""")})"
+    for w in _WINDOWS
+)
+_query("q01_sweep_fit", "site:s bkg_window:d gof:d", lambda s: window_sweep(s.raw, s.p, _WINDOWS), None)
+#: Two parameter files' worth of runs: sites differ in every number, and one site has both.
+_OTHER = replace(BASE, zone_div=(-600.0, 9000.0, 20000.0, 40000.0), yr_interp=180.0, smooth_yr=7200.0, thresh_values=(0.9, 0.97, 0.995, 0.98), min_count_p=0.1, peak_freq_yr=5400.0, run_id="other")
+_BOTH = [("click", BASE), ("click", _OTHER), ("view", BASE), ("purchase", _OTHER), ("error", replace(_OTHER, method=3, run_id="other")), ("signup", replace(_OTHER, method=4, run_id="other")), ("nowhere", BASE)]
+_RUN_COLUMNS = "site:s run_id:s i:i age_top_i:d acc_i:d bkg:d peak:d thresh_pos:d thresh_neg:d sni:d peaks1:i peaks_final:i peaks_insig:i peak_mag:d sm_peak_freq:d sm_fri:d"
+
+
+def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = study(spark, sf_dir).raw
+    runs = Runs(raw, as_table(spark, _BOTH))
+    out = runs.union(lambda s: s.table(bootstrap=False))
+    return out.selectExpr(*[f"{_KINDS[k].format(n)} AS {n}" for n, k in (c.split(":") for c in _RUN_COLUMNS.split())])
+
+
+QUERIES["s04_runs_by_site"] = _runs
+SQL["s04_runs_by_site"] = " UNION ALL ".join(
+    "SELECT " + ", ".join(f"'{p.run_id}' AS run_id" if n == "run_id" else f"{_KINDS[k].format(n)} AS {n}" for n, k in (c.split(":") for c in _RUN_COLUMNS.split()))
+    + f" FROM ({oracle.sql(p, _TABLE)}) WHERE site = '{site}'"
+    for site, p in _BOTH
+)
 _query("q02_compare", "site:s check:s a_value:d b_value:d ok:b", lambda s: compare.compare(s.results, Study(s.raw, replace(s.p, smooth_yr=7200.0)).results), None)
 _SUMS, _MEANS = ["peaks1", "peaks2", "peaks3", "peaks_final", "peak_mag"], ["thresh1", "thresh2", "thresh3", "thresh_pos"]
 _CHECKS = [f"('{c}', {c}_a, {c}_b, abs({c}_a - {c}_b) <= {lim})" for c, lim in [(c, "0.01 * abs(peak_mag_a)" if c == "peak_mag" else "0") for c in _SUMS] + [(c, "0.001") for c in _MEANS]] + ["('sm_peak_freq', freq_gap, 0, freq_gap <= 0.01)", "('nulls', null_gap, 0, null_gap = 0)"]
