@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from varve.functions import stats
-from varve.operators import history, threshold
+from varve.operators import history, resample, threshold
 from varve.operators.smooth import KEY
 from varve.params import Params
 
@@ -56,6 +56,17 @@ def zone_threshold_means(peaks: DataFrame, zone_table: DataFrame) -> DataFrame:
     return x.groupBy(*KEY, "t", "zone").agg(F.count("fri").alias("n_fri"), F.avg("fri").alias("mfri"))
 
 
+def zone_threshold_limits(peaks: DataFrame, zone_table: DataFrame, times: int = 1000) -> DataFrame:
+    """Figure 4, local: mean return interval by zone and threshold with bootstrap limits, of
+    the zones and thresholds with two intervals or more."""
+    key = [*KEY, "t", "zone"]
+    x = peaks.where("is_peak").join(zone_table, [c for c in KEY if c in zone_table.columns]).where("age >= z_lo and age < z_hi")
+    x = x.withColumn("fri", F.col("age") - F.lag("age").over(Window.partitionBy(*key).orderBy("age"))).where("fri is not null")
+    groups = resample.gathered(x.select(*key, "fri"), key, "fri").where("n > 1")
+    draws = resample.resamples(groups, key, times).withColumn("m", resample.mean_of("picks"))
+    return groups.join(resample.limits(draws, key, ["m"]), key).select(*key, F.col("n").alias("n_fri"), F.col("mean").alias("mfri"), F.col("m_lo").alias("lo"), F.col("m_hi").alias("hi"))
+
+
 def sni_box(thresholded: DataFrame) -> DataFrame:
     """Figure 4: five-number summary of the signal-to-noise index, whiskers at 1.5 IQR."""
     q = thresholded.groupBy(*KEY).agg(*[F.percentile("sni", F.lit(v)).alias(c) for c, v in (("q1", 0.25), ("mid", 0.5), ("q3", 0.75))])

@@ -2,18 +2,14 @@
 
 from __future__ import annotations
 
-import zlib
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from varve.functions import stats
+from varve.operators import resample
 from varve.operators.peaks import KEY_T, intervals
 from varve.operators.smooth import KEY, lowess, span_points, widest_of
-from varve.params import Params
+from varve.params import ByRun, Params
 
 FINAL = 4
 STEP0, STEP = -70, 100
@@ -107,35 +103,13 @@ def fri_band(moved: DataFrame) -> DataFrame:
     return x.select(*KEY, "step", "step_age", "n", "mean", (F.col("mean") - se).alias("lo"), (F.col("mean") + se).alias("hi"), *[c for c in x.columns if c == "par"])
 
 
-def _frame(rows: list[tuple], schema: str) -> pd.DataFrame:
-    """Rows as a frame of the schema's types, also without any row."""
-    kinds = {"string": object, "double": np.float64, "long": np.int64, "int": np.int32, "boolean": bool}
-    fields = [f.split() for f in schema.split(", ")]
-    return pd.DataFrame({n: np.array([r[k] if r[k] is not None or t != "double" else np.nan for r in rows], dtype=kinds[t]) for k, (n, t) in enumerate(fields)})
-
-
-def _seed(*parts) -> np.random.Generator:
-    return np.random.default_rng(zlib.crc32("|".join(map(str, parts)).encode()))
-
-
-BAND = "site string, run_id string, step long, step_age double, n long, mean double, lo double, hi double"
-
-
-def fri_bootstrap(moved: DataFrame, p: Params, alpha: float = 0.05) -> DataFrame:
-    """fri_band() with percentiles of seeded bootstrap means. A step's intervals are as
-    many as fit its window: a bounded group."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        r = pdf.iloc[0]
-        x = np.sort(pdf["fri"].to_numpy())
-        if len(x) < 2:
-            return _frame([], BAND)
-        rng = _seed(r["site"], r["run_id"], r["step"])
-        means = x[rng.integers(0, len(x), (p.n_boot, len(x)))].mean(axis=1)
-        lo, hi = np.quantile(means, [alpha / 2, 1 - alpha / 2])
-        return _frame([(r["site"], r["run_id"], r["step"], r["step_age"], len(x), x.mean(), lo, hi)], BAND)
-
-    return moved.groupBy(*KEY, "step").applyInPandas(run, BAND)
+def fri_bootstrap(moved: DataFrame, p: Params | ByRun) -> DataFrame:
+    """fri_band() with percentiles of seeded bootstrap means."""
+    key = [*KEY, "step", "step_age"]
+    groups = resample.gathered(moved, key, "fri").where("n > 1")
+    draws = resample.resamples(groups, [*KEY, "step"], p.n_boot).withColumn("m", resample.mean_of("picks"))
+    cut = resample.limits(draws, [*KEY, "step"], ["m"]).withColumnsRenamed({"m_lo": "lo", "m_hi": "hi"})
+    return groups.drop("values").join(cut, [*KEY, "step"])
 
 
 def smooth_band(band: DataFrame, p: Params) -> DataFrame:
@@ -199,43 +173,24 @@ def histogram(zoned: DataFrame, width: float = 20.0, top: float = 1000.0) -> Dat
     return out.select(*KEY, "zone", "bin", ((F.col("bin") + 0.5) * width).alias("centre"), "freq", share.alias("share"))
 
 
-def _binned(x: np.ndarray, width: float = 20.0, top: float = 1000.0) -> np.ndarray:
-    x = x[(x >= width) & (x < top)]
-    return (np.floor(x / width) + 0.5) * width
-
-
-ZONE_STATS = "site string, run_id string, zone int, n_fri long, mfri double, mfri_uci double, mfri_lci double, wbl_b double, wbl_b_uci double, wbl_b_lci double, wbl_c double, wbl_c_uci double, wbl_c_lci double, p_ks double"
-
-
-def zone_stats(zoned: DataFrame, p: Params) -> DataFrame:
-    """Weibull fits, their test and bootstrap limits by zone. As in the tables this feeds,
-    *_uci holds the 2.5 % limit and *_lci the 97.5 % limit. A zone's intervals are events
-    of one series: a bounded group."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        r, x = pdf.iloc[0], np.sort(pdf["fri"].to_numpy())
-        if len(x) < 2 or x.max() > MAX_FRI:
-            return _frame([], ZONE_STATS)
-        fit = stats.weibull_mle(_binned(x))
-        if fit is None:
-            return _frame([], ZONE_STATS)
-        b, c = fit
-        edge = np.arange(0.0, MAX_FRI + 1, 20.0)
-        cdf = 1 - np.exp(-((edge / b) ** c))
-        p_ks = stats.ks_one_sample(x, lambda q: np.interp(q, edge, cdf), exact=False)[1]
-        rng, means, bs, cs = _seed(r["site"], r["run_id"], r["zone"]), [], [], []
-        for _ in range(p.n_boot):
-            y = x[rng.integers(0, len(x), len(x))]
-            f = stats.weibull_mle(_binned(y))
-            if f is not None:
-                means.append(y.mean())
-                bs.append(f[0])
-                cs.append(f[1])
-        lim = lambda v: np.quantile(v, [0.025, 0.975]) if v else (None, None)
-        (m0, m1), (b0, b1), (c0, c1) = lim(means), lim(bs), lim(cs)
-        return _frame([(r["site"], r["run_id"], r["zone"], len(x), x.mean(), m0, m1, b, b0, b1, c, c0, c1, p_ks)], ZONE_STATS)
-
-    return zoned.groupBy(*KEY, "zone").applyInPandas(run, ZONE_STATS)
+def zone_stats(zoned: DataFrame, p: Params | ByRun) -> DataFrame:
+    """Weibull fits, their test and bootstrap limits by zone, of the usable zones with two bins
+    in use or more. As in the tables this feeds, *_uci holds the 2.5 % limit and *_lci the
+    97.5 % limit. A resample with fewer than two bins in use counts for none of them."""
+    key = [*KEY, "zone"]
+    groups = resample.gathered(zoned, key, "fri").where((F.col("n") > 1) & (F.element_at("values", -1) <= MAX_FRI))
+    # Rows are left out before the fit: a filter behind it would be pushed below, and write
+    # the whole fit out once for each time that it names it.
+    in_use = F.size(F.filter("freq", lambda f: f > 0)) > 1
+    fitted = resample.with_weibull(groups.withColumn("freq", resample.binned("values")).where(in_use), "freq", "wbl_b", "wbl_c")
+    fitted = fitted.withColumn("p_ks", resample.ks_weibull("values", "n", "wbl_b", "wbl_c"))
+    draws = resample.resamples(groups, key, p.n_boot)
+    draws = resample.with_weibull(draws.withColumn("freq", resample.binned("picks")).withColumn("m", F.when(in_use, resample.mean_of("picks"))), "freq", "b", "c")
+    cut = resample.limits(draws, key, ["m", "b", "c"])
+    x = fitted.join(cut, key)
+    named = {"mfri_uci": "m_lo", "mfri_lci": "m_hi", "wbl_b_uci": "b_lo", "wbl_b_lci": "b_hi", "wbl_c_uci": "c_lo", "wbl_c_lci": "c_hi"}
+    out = ["mfri_uci", "mfri_lci", "wbl_b", "wbl_b_uci", "wbl_b_lci", "wbl_c", "wbl_c_uci", "wbl_c_lci", "p_ks"]
+    return x.select(*key, F.col("n").alias("n_fri"), F.col("mean").alias("mfri"), *[F.col(named.get(c, c)).alias(c) for c in out])
 
 
 RESULT = [

@@ -22,6 +22,33 @@ def lowess(src: str, name: str, y: str, out: str, k: str, r: str = "1.0", x: str
     }
 
 
+def picks(run_id: str, keys: str, n: str = "n") -> str:
+    """The resample of vals: values at places that the hash of keys, draw and place gives."""
+    return f"list_transform(range(1, {n} + 1), lambda k: vals[1 + CAST(floor(('0x' || substr(md5(concat_ws('|', site, '{run_id}', {keys}, draw, k)), 1, 8))::UBIGINT::DOUBLE * {n} / 4294967296.0) AS BIGINT)])"
+
+
+def weibull(src: str, name: str, values: str) -> dict[str, str]:
+    """CTEs that add b and c, the Weibull fit to the bins of a list; rows with two bins or more."""
+    total = lambda e: f"list_sum(list_transform(bins, lambda r: {e}))"
+    w, low = "r.f * exp(c * ln(r.x / top))", "ln(r.x / top)"
+    s0, s1, s2 = total(w), total(f"{w} * {low}"), total(f"{w} * {low} * {low}")
+    new = f"c - ({s1} / {s0} - 1 / c - mean_l) / (({s2} * {s0} - {s1} * {s1}) / ({s0} * {s0}) + 1 / (c * c))"
+    return {
+        f"{name}_f": f"SELECT *, list_filter(list_transform(range(1, 50), lambda k: {{'f': len(list_filter({values}, lambda v: v >= k * 20 AND v < (k + 1) * 20))::DOUBLE, 'x': (k + 0.5::DOUBLE) * 20}}), lambda r: r.f > 0) AS bins FROM {src}",
+        f"{name}_t": f"SELECT *, list_max(list_transform(bins, lambda r: r.x)) AS top, {total('r.f')} AS cnt, {total('r.f * r.x')} / {total('r.f')} AS mean_x FROM {name}_f WHERE len(bins) > 1",
+        f"{name}_m": f"SELECT *, {total('r.f * ln(r.x / top)')} / cnt AS mean_l, sqrt({total('r.f * power(r.x - mean_x, 2)')} / (cnt - 1)) AS sd_x FROM {name}_t",
+        f"{name}_c": f"SELECT *, list_reduce(list_concat([greatest(0.1::DOUBLE, power(mean_x / greatest(sd_x, 1e-6), 1.086))], range(40)::DOUBLE[]), lambda c, k: CASE WHEN {new} > 0 THEN {new} ELSE c / 2 END) AS c FROM {name}_m",
+        name: f"SELECT *, top * power({total(w)} / cnt, 1 / c) AS b FROM {name}_c",
+    }
+
+
+def ks_tail(x: str) -> str:
+    """Kolmogorov's limit distribution beyond x, by the series that converges there."""
+    low = f"1 - sqrt(2 * pi()) / {x} * list_sum(list_transform(range(1, 30), lambda k: exp(-power(2 * k - 1, 2) * pi() * pi() / (8 * {x} * {x}))))"
+    high = f"2 * list_sum(list_transform(range(1, 101), lambda k: CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END * exp(-2 * k * k * {x} * {x})))"
+    return f"CASE WHEN {x} <= 0 THEN 1.0 ELSE least(1, greatest(0, CASE WHEN {x} < 1 THEN {low} ELSE {high} END)) END"
+
+
 def stages(p: Params) -> dict[str, str]:
     """All CTEs in order."""
     z0, z1, yr = p.zone_div[0], p.zone_div[-1], p.yr_interp
@@ -131,6 +158,24 @@ def stages(p: Params) -> dict[str, str]:
     c["zfri"] = "SELECT * FROM (SELECT p.site, p.t, zone, age, age - lag(age) OVER (PARTITION BY p.site, p.t, zone ORDER BY age) AS fri FROM peaks p JOIN zones z ON p.site = z.site AND age >= z_lo AND age < z_hi WHERE is_peak) WHERE fri IS NOT NULL"
     c["zuse"] = "SELECT site, zone, count(*) AS n_fri, avg(fri) AS mfri FROM zfri WHERE t = 4 GROUP BY site, zone HAVING count(*) > 1 AND max(fri) <= 5000"
     c["hist"] = "SELECT u.site, u.zone, CAST(b AS BIGINT) AS bin, (b + 0.5) * 20 AS centre, count(f.fri) AS freq FROM (SELECT *, unnest(range(1, 50)) AS b FROM zuse) u LEFT JOIN zfri f ON f.t = 4 AND f.site = u.site AND f.zone = u.zone AND f.fri >= b * 20 AND f.fri < (b + 1) * 20 GROUP BY ALL"
+    # Bootstraps.
+    cut = lambda v, q, name: f"quantile_cont({v}, {q}) AS {name}"
+    c["bvals"] = "SELECT site, step, step_age, list(fri ORDER BY fri) AS vals, count(*) AS n, avg(fri) AS mean FROM moved GROUP BY ALL HAVING count(*) > 1"
+    c["bdraw"] = f"SELECT site, step, list_sum({picks(p.run_id, 'step')}) / n AS m FROM (SELECT *, unnest(range(1, {p.n_boot} + 1)) AS draw FROM bvals)"
+    c["bband"] = f"SELECT v.site, v.step, v.n, v.mean, q.lo, q.hi FROM bvals v JOIN (SELECT site, step, {cut('m', 0.025, 'lo')}, {cut('m', 0.975, 'hi')} FROM bdraw GROUP BY ALL) q USING (site, step)"
+    c["zvals"] = "SELECT site, zone, list(fri ORDER BY fri) AS vals, count(*) AS n, avg(fri) AS mean FROM zfri WHERE t = 4 GROUP BY ALL HAVING count(*) > 1 AND max(fri) <= 5000"
+    c |= weibull("zvals", "zfit", "vals")
+    c["zpick"] = f"SELECT site, zone, {picks(p.run_id, 'zone')} AS picks FROM (SELECT *, unnest(range(1, {p.n_boot} + 1)) AS draw FROM zvals)"
+    c |= weibull("zpick", "zboot", "picks")
+    c["zcut"] = "SELECT site, zone, " + ", ".join(cut(v, q, f"{name}_{end}") for v, name in (("list_avg(picks)", "m"), ("b", "b"), ("c", "c")) for q, end in ((0.025, "lo"), (0.975, "hi"))) + " FROM zboot GROUP BY ALL"
+    share = lambda e: f"(1 - exp(-power(({e}) / b, c)))"
+    edge = "(floor(vals[k] / 20) * 20)"
+    at = f"({share(edge)} + ({share(edge + ' + 20')} - {share(edge)}) * (vals[k] - {edge}) / 20)"
+    c["zks"] = f"SELECT *, sqrt(n) * list_max(list_transform(range(1, n + 1), lambda k: greatest(k / n - {at}, {at} - (k - 1) / n))) AS x FROM zfit"
+    c["zstat"] = f"SELECT s.site, s.zone, n AS n_fri, mean AS mfri, m_lo AS mfri_uci, m_hi AS mfri_lci, b AS wbl_b, b_lo AS wbl_b_uci, b_hi AS wbl_b_lci, c AS wbl_c, c_lo AS wbl_c_uci, c_hi AS wbl_c_lci, {ks_tail('x')} AS p_ks FROM zks s JOIN zcut q ON s.site = q.site AND s.zone = q.zone"
+    c["tvals"] = "SELECT site, t, zone, list(fri ORDER BY fri) AS vals, count(*) AS n, avg(fri) AS mean FROM zfri GROUP BY ALL HAVING count(*) > 1"
+    c["tdraw"] = f"SELECT site, t, zone, list_sum({picks(p.run_id, 't, zone')}) / n AS m FROM (SELECT *, unnest(range(1, 1001)) AS draw FROM tvals)"
+    c["tband"] = f"SELECT v.site, v.t, v.zone, v.n AS n_fri, v.mean AS mfri, q.lo, q.hi FROM tvals v JOIN (SELECT site, t, zone, {cut('m', 0.025, 'lo')}, {cut('m', 0.975, 'hi')} FROM tdraw GROUP BY ALL) q USING (site, t, zone)"
     return c
 
 

@@ -49,11 +49,7 @@ def _upper_tail(d: str) -> str:
     return f"CASE WHEN {d} > 12 THEN 0.0 WHEN {d} < -12 THEN 1.0 ELSE 0.5 - sign({d}) * exp(-0.5 * {d} * {d}) / sqrt(2 * pi()) * {series} END"
 
 
-def _ks_tail(x: str) -> str:
-    """SQL of Kolmogorov's limit distribution beyond x, by the series that converges there."""
-    low = f"1 - sqrt(2 * pi()) / {x} * list_sum(list_transform(range(1, 30), lambda k: exp(-power(2 * k - 1, 2) * pi() * pi() / (8 * {x} * {x}))))"
-    high = f"2 * list_sum(list_transform(range(1, 101), lambda k: CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END * exp(-2 * k * k * {x} * {x})))"
-    return f"CASE WHEN {x} <= 0 THEN 1.0 ELSE least(1, greatest(0, CASE WHEN {x} < 1 THEN {low} ELSE {high} END)) END"
+_ks_tail = oracle.ks_tail
 
 
 _query("a00_samples","site:s sample_no:i cm_top:d cm_bot:d age_top:a age_bot:a vol:d cnt:d", lambda s: s.raw, "samples")
@@ -127,13 +123,13 @@ _query("f03_frequency", "site:s i:i freq:d", lambda s: history.frequency(s.final
 _query("f04_smoothed_frequency", "site:s i:i sm_freq:d", lambda s: history.smooth_frequency(history.frequency(s.final, s.p), s.p), "sfreq")
 _query("f05_moving_intervals", "site:s step:i step_age:d fri:d", lambda s: history.moving_intervals(s.final, s.p), "moved")
 _query("f06_interval_band", "site:s step:i n:i mean:d lo:d hi:d", lambda s: history.fri_band(history.moving_intervals(s.final, s.p)), "band")
-_query("f07_bootstrap_band", "site:s step:i n:i mean:d lo:d hi:d", lambda s: history.fri_bootstrap(history.moving_intervals(s.final, s.p), s.p), None)
+_query("f07_bootstrap_band", "site:s step:i n:i mean:d lo:d hi:d", lambda s: history.fri_bootstrap(history.moving_intervals(s.final, s.p), s.p), "bband")
 _query("f08_smoothed_band", "site:s step:i sm_fri:d sm_lo:d sm_hi:d", lambda s: history.smooth_band(history.fri_band(history.moving_intervals(s.final, s.p)), s.p), "bands")
 _query("f09_intervals_on_grid", "site:s i:i sm_fri:d", lambda s: history.fri_on_grid(history.smooth_band(history.fri_band(history.moving_intervals(s.final, s.p)), s.p), s.final, s.p), "onto")
 _query("f10_zone_intervals", "site:s zone:i age:d fri:d", lambda s: history.zone_intervals(s.final, s.zones), "(SELECT * FROM zfri WHERE t = 4)")
 _query("f10_usable_zones", "site:s zone:i n_fri:i mfri:d", lambda s: history.usable_zones(history.zone_intervals(s.final, s.zones)), "zuse")
 _query("f11_histogram", "site:s zone:i bin:i centre:d freq:i", lambda s: history.histogram(history.zone_intervals(s.final, s.zones)), "hist")
-_query("f12_zone_statistics", "site:s zone:i n_fri:i mfri:d mfri_uci:d mfri_lci:d wbl_b:d wbl_b_uci:d wbl_b_lci:d wbl_c:d wbl_c_uci:d wbl_c_lci:d p_ks:d", lambda s: history.zone_stats(history.zone_intervals(s.final, s.zones), s.p), None, FINE)
+_query("f12_zone_statistics", "site:s zone:i n_fri:i mfri:d mfri_uci:d mfri_lci:d wbl_b:d wbl_b_uci:d wbl_b_lci:d wbl_c:d wbl_c_uci:d wbl_c_lci:d p_ks:d", lambda s: history.zone_stats(history.zone_intervals(s.final, s.zones), s.p), "zstat", FINE)
 _query("f16_insignificant", "site:s i:i insig:b", lambda s: s.final, "one")
 _query("f17_results", "site:s i:i " + " ".join(f"{c}:{'i' if c.startswith('peaks') or c == 'n_fri' else 'd'}" for c in history.RESULT), lambda s: s.results, None)
 #: The result table as SQL, without the columns of bootstraps, exact tests and Weibull fits.
@@ -152,9 +148,10 @@ _query("fig02_histogram", "site:s bin:i n_rows:i", lambda s: figures.noise_histo
 _query("fig03_peaks", "site:s i:i acc:d bkg:d peak:d pos4:d neg4:d is_peak:b insig:b", lambda s: figures.peak_panel(s.thresholds, s.peaks), "(SELECT t.*, is_peak, insig FROM thr t JOIN one o ON t.site = o.site AND t.i = o.i)")
 _query("fig04_sensitivity", "site:s bin:i n_above:i n_ends:i", lambda s: peaks.sensitivity(s.peaked, threshold.bins(s.peaked)), "(SELECT b.site, bin, count(*) FILTER (round(a.peak, 9) > round(possible, 9)) AS n_above, count(*) FILTER (round(a.peak, 9) > round(possible, 9) AND NOT coalesce(round(c.peak, 9) > round(possible, 9), false)) AS n_ends FROM bins b JOIN peaked a ON a.site = b.site LEFT JOIN peaked c ON c.site = a.site AND c.i = a.i + 1 WHERE possible > 0 GROUP BY b.site, bin)", GLOBAL)
 _query("fig04_zone_means", "site:s t:i zone:i n_fri:i mfri:d", lambda s: figures.zone_threshold_means(s.peaks, s.zones), "(SELECT p.site, p.t, z.zone, count(f.fri) AS n_fri, avg(f.fri) AS mfri FROM peaks p JOIN zones z ON p.site = z.site AND p.age >= z_lo AND p.age < z_hi LEFT JOIN zfri f ON f.site = p.site AND f.t = p.t AND f.zone = z.zone AND f.age = p.age WHERE p.is_peak GROUP BY ALL)")
+_query("fig04_zone_limits", "site:s t:i zone:i n_fri:i mfri:d lo:d hi:d", lambda s: figures.zone_threshold_limits(s.peaks, s.zones), "tband")
 _query("fig04_sni_box", "site:s low:d q1:d mid:d q3:d high:d", lambda s: figures.sni_box(s.thresholds), "(SELECT site, min(sni) FILTER (sni >= q1 - 1.5 * (q3 - q1)) AS low, any_value(q1) AS q1, any_value(mid) AS mid, any_value(q3) AS q3, max(sni) FILTER (sni <= q3 + 1.5 * (q3 - q1)) AS high FROM thr JOIN (SELECT site, quantile_cont(sni, 0.25) AS q1, median(sni) AS mid, quantile_cont(sni, 0.75) AS q3 FROM thr GROUP BY site) USING (site) GROUP BY site)")
 _query("fig05_cumulative", "site:s age:d n_peaks:i", lambda s: figures.cumulative(s.peaks), "(SELECT site, age, row_number() OVER (PARTITION BY site ORDER BY age DESC) AS n_peaks FROM one WHERE is_peak)")
-_query("fig06_weibull", "site:s zone:i centre:d density:d passes:b", lambda s: figures.weibull_curve(history.zone_stats(history.zone_intervals(s.final, s.zones), s.p)), None, FINE)
+_query("fig06_weibull", "site:s zone:i centre:d density:d passes:b", lambda s: figures.weibull_curve(history.zone_stats(history.zone_intervals(s.final, s.zones), s.p)), "(SELECT site, zone, centre, wbl_c / wbl_b * power(centre / wbl_b, wbl_c - 1) * exp(-power(centre / wbl_b, wbl_c)) * 20 AS density, n_fri > 4 AND p_ks > CASE WHEN n_fri < 30 THEN 0.10 ELSE 0.05 END AS passes FROM (SELECT *, unnest(range(30, 991, 20))::DOUBLE AS centre FROM zstat))", FINE)
 _query("fig06_given_curve", "site:s zone:i centre:d density:d passes:b", lambda s: figures.weibull_curve(history.usable_zones(history.zone_intervals(s.final, s.zones)).withColumns({"wbl_b": F.col("mfri"), "wbl_c": F.lit(1.5), "p_ks": F.lit(0.07)})), "(SELECT site, zone, centre, 1.5 / mfri * power(centre / mfri, 0.5) * exp(-power(centre / mfri, 1.5)) * 20 AS density, n_fri > 4 AND 0.07 > CASE WHEN n_fri < 30 THEN 0.10 ELSE 0.05 END AS passes FROM (SELECT *, unnest(range(30, 991, 20))::DOUBLE AS centre FROM zuse))", FINE)
 _query("fig07_history","site:s i:i age:d peak_mag:d sm_fri:d sm_freq:d", lambda s: figures.history_panel(s.table(bootstrap=False)), "(SELECT c.site, c.i, c.age, coalesce(peak_mag, 0) AS peak_mag, o.sm_fri, f.sm_freq FROM cells c LEFT JOIN mag m ON m.site = c.site AND m.i = c.i LEFT JOIN onto o ON o.site = c.site AND o.i = c.i JOIN sfreq f ON f.site = c.site AND f.i = c.i)")
 _query("fig08_ecdf", "site:s zone:i fri:d share:d", lambda s: figures.zone_ecdf(history.zone_intervals(s.final, s.zones)), "(SELECT *, cume_dist() OVER (PARTITION BY site, zone ORDER BY fri) AS share FROM zfri WHERE t = 4)")
