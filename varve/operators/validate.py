@@ -13,6 +13,7 @@ RULES = {
     6: "yr_interp must not be negative", 7: "smoothing window must be shorter than the record", 8: "method must be 1 to 5", 9: "thresh_type must be 1 or 2",
     10: "thresh_method must be 1, 2 or 3", 11: "given thresholds need the global type", 12: "percentile thresholds must lie between 0 and 1", 13: "c_peak must be 1 or 2",
     14: "min_count_p must lie in 0 to 1", 15: "peak_freq_yr must be positive", 16: "equal ages in a row", 17: "missing sample at an end of the series",
+    23: "one row for each site and run", 24: "a parameter file needs its sample file", 25: "a sample file needs its parameter file",
     21: "smoothing window under 5 % of the record", 22: "local window under 30 samples",
 }
 WARNINGS = {16, 21, 22}
@@ -54,6 +55,29 @@ def violations(spark: SparkSession, raw: DataFrame, p: Params) -> DataFrame:
     return x.select("site", "rule_no", "n_rows", names[F.col("rule_no")].alias("message"), F.when(F.col("rule_no").isin(*WARNINGS), "warning").otherwise("error").alias("severity"))
 
 
+def table_violations(table: DataFrame) -> DataFrame:
+    """site, run_id, rule_no, n_rows, message, severity: the rules on parameters for every row of
+    a table of runs, as columns, and rule 23 on the table itself. Nulls break a rule."""
+    z, v, n = F.col("zone_div"), F.col("thresh_values"), F.size("zone_div")
+    span = F.element_at(z, -1) - F.element_at(z, 1)
+    held = F.filter(z, lambda x: x.isNotNull())
+    steps = F.zip_with(F.slice(z, 1, F.greatest(n - 1, F.lit(0))), F.slice(z, 2, F.greatest(n - 1, F.lit(0))), lambda a, b: b > a)
+    two = F.size(held) > 1
+    meets = {
+        4: two, 5: F.forall(steps, lambda ok: ok), 6: F.coalesce(F.col("yr_interp"), F.lit(0.0)) >= 0, 7: ~two | (F.col("smooth_yr") < span), 8: F.col("method").between(1, 5),
+        9: F.col("thresh_type").isin(1, 2), 10: F.col("thresh_method").isin(1, 2, 3), 11: ~((F.col("thresh_method") == 1) & (F.col("thresh_type") == 2)),
+        12: (F.col("thresh_method") <= 1) | (F.forall(v, lambda x: x.isNotNull() & (x > 0) & (x < 1)) & (F.size(v) == 4)), 13: F.col("c_peak").isin(1, 2),
+        14: F.col("min_count_p").between(0, 1), 15: F.col("peak_freq_yr") > 0,
+        21: ~two | (F.col("smooth_yr") >= 0.05 * span), 22: (F.col("thresh_type") != 2) | (F.coalesce(F.col("yr_interp"), F.lit(0.0)) <= 0) | (F.col("smooth_yr") / F.col("yr_interp") >= 30),
+    }
+    names = F.create_map(*[F.lit(x) for k, m in RULES.items() for x in (k, m)])
+    broken = F.array(*[F.when(F.coalesce(ok, F.lit(False)), None).otherwise(F.lit(k)) for k, ok in meets.items()])
+    rows = table.select("site", "run_id", F.explode(F.array_compact(broken)).alias("rule_no"))
+    twice = table.groupBy("site", "run_id").agg(F.count(F.lit(1)).alias("n_rows")).where("n_rows > 1").select("site", "run_id", F.lit(23).alias("rule_no"), "n_rows")
+    x = rows.groupBy("site", "run_id", "rule_no").agg(F.count(F.lit(1)).alias("n_rows")).unionByName(twice)
+    return x.select("site", "run_id", "rule_no", "n_rows", names[F.col("rule_no")].alias("message"), F.when(F.col("rule_no").isin(*WARNINGS), "warning").otherwise("error").alias("severity"))
+
+
 def require_valid(spark: SparkSession, raw: DataFrame, p: Params) -> None:
     """Raises the first error."""
     bad = violations(spark, raw, p).where("severity = 'error'").orderBy("rule_no", "site").first()

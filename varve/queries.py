@@ -75,7 +75,8 @@ _query("b01_span", "site:s k:i half:i", lambda s: s.sites.select("site", smooth.
 _query("b02_bridge", "site:s i:i clean:d", lambda s: smooth.bridge(s.grid, "acc", "clean"), "clean")
 for _m, _n in ((1, "lowess"), (2, "robust_lowess"), (3, "moving_mean"), (4, "moving_median"), (5, "moving_mode")):
     _query(f"b0{_m + 2}_{_n}", f"site:s i:i bkg{_m}:d", lambda s, m=_m: smooth.background(s.grid, replace(s.p, method=m)), f"sm{_m}")
-_query("b08_restored_nulls", "site:s i:i bkg3:d", lambda s: smooth.background(s.grid, replace(s.p, method=3)), "sm3")
+#: Cells before the first sample have no value: a curve over bridged values reaches them, and they are null again in the result.
+_query("b08_restored_nulls", "site:s i:i held:b reached:d bkg3:d", lambda s: smooth.moving_mean(smooth.bridge(smooth.background(s.grid, replace(s.p, method=3)), "acc", "clean"), "clean", "reached", 50).withColumn("held", F.col("acc").isNotNull()), "(SELECT site, i, acc IS NOT NULL AS held, avg(clean) OVER (PARTITION BY site ORDER BY i ROWS BETWEEN 24 PRECEDING AND 25 FOLLOWING) AS reached, bkg3 FROM sm3)", replace(BASE, zone_div=(-1200.0, 14400.0, 43200.0)))
 _query("b09_selected", "site:s i:i bkg:d", lambda s: smooth.background(s.grid, s.p, (1, 3)), "(SELECT site, i, bkg1 AS bkg FROM sm1)")
 _query("t01_residual", "site:s i:i peak:d", lambda s: s.peaked, "peaked")
 _query("t01_ratio", "site:s i:i peak:d", lambda s: s.peaked, "peaked", RATIO)

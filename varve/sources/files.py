@@ -8,7 +8,8 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from varve.operators.history import RESULT
-from varve.params import Params
+from varve.operators.validate import RULES
+from varve.params import TABLE, Params
 
 UNUSED = -9999.0
 #: The header of a results file.
@@ -51,6 +52,30 @@ def read_params(spark: SparkSession, path: str) -> DataFrame:
     return x.select("site", zone.alias("zone_div"), *[at(k).alias(c) for k, c in names.items()], *[at(k).cast("int").alias(c) for k, c in ints.items()], F.coalesce(at(25).cast("int"), F.lit(1)).alias("all_figures"), F.array(*[at(k) for k in (16, 17, 18, 19)]).alias("thresh_values"))
 
 
+def runs(spark: SparkSession, path: str, run_id: str = "base") -> DataFrame:
+    """The parameter files of a path or glob as a table of runs (params.TABLE), one a site."""
+    return read_params(spark, path).withColumn("run_id", F.lit(run_id)).select(*[f.split()[0] for f in TABLE.split(", ")])
+
+
+def discover(spark: SparkSession, folder: str) -> DataFrame:
+    """site, has_params, has_data of every parameter or sample file of a folder, by an outer
+    join of the two listings; only names are read. A lone file is a violation (lone_files())."""
+    def listed(kind: str, flag: str) -> DataFrame:
+        files = spark.read.format("binaryFile").option("pathGlobFilter", f"*_{kind}.csv").load(folder).select("path")
+        return files.select(F.regexp_extract(F.url_decode("path"), f"([^/]*)_{kind}[.]csv$", 1).alias("site"), F.lit(True).alias(flag)).distinct()
+
+    both = listed("charParams", "has_params").join(listed("charData", "has_data"), "site", "full_outer")
+    return both.select("site", *[F.coalesce(c, F.lit(False)).alias(c) for c in ("has_params", "has_data")])
+
+
+def lone_files(found: DataFrame) -> DataFrame:
+    """site, rule_no, n_rows, message, severity: sites of discover() without one of their files."""
+    rule = F.when(~F.col("has_data"), 24).when(~F.col("has_params"), 25)
+    x = found.withColumn("rule_no", rule).where("rule_no is not null")
+    message = F.when(F.col("rule_no") == 24, RULES[24]).otherwise(RULES[25])
+    return x.select("site", "rule_no", F.lit(1).cast("long").alias("n_rows"), message.alias("message"), F.lit("error").alias("severity"))
+
+
 def to_params(row, run_id: str = "base") -> Params:
     """A row of read_params() as Params."""
     d = row.asDict()
@@ -100,7 +125,9 @@ def write_results(results: DataFrame, out_dir: str, digits: int = 7) -> None:
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:
     """Reads written results, or a results file with padded cells, by position."""
-    text = spark.read.option("header", True).option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True).option("basePath", path).csv(path)
+    reader = spark.read.option("header", True).option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True)
+    # Of a folder that was written by site, the site is read from its folders' names.
+    text = reader.csv(path) if path.endswith(".csv") else reader.option("basePath", path).csv(path)
     keyed = "site" in text.columns
     values = [c for c in text.columns if c != "site"]
     x = text.select(*([F.col("site")] if keyed else [F.lit("").alias("site")]), *[F.expr(f"try_cast(`{c}` as double)").alias(n) for c, n in zip(values, RESULT)], F.monotonically_increasing_id().alias("row"))
