@@ -9,10 +9,10 @@ anchor, so two documents that share a window share its anchor at the same offset
    seeds. They become a Bloom filter of bounded size, broadcast. A filter too full for
    its bound lets more through and loses nothing: it only spares work.
 2. Documents are joined on the seeds: each place of a seed goes, with the words around it
-   that its windows reach, to the other places of that seed. There the matches are
-   extended to both sides, word by word compared: every window of a place is looked for
-   among those of smaller documents. Places that are equal as a whole need one look.
-   Within a task equal windows are settled before: a place travels only if one of its
+   that its windows reach, to the other places of that seed. There every window of a place
+   is looked for, by its words, among those of smaller documents: how far a match extends
+   to either side of a seed is the run of windows found, not a walk from the seed. Places that are equal as a whole need one look.
+   Within a task equal windows, told by 128-bit hash, are settled before: a place travels only if one of its
    windows is that of the task's least document. Seeds at HOT places or more, whose places
    may be too many to meet, travel window by window under a 128-bit hash, reduced to the
    least document by aggregation and joined back, so no task sees them all.
