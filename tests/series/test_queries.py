@@ -10,7 +10,7 @@ FOLDER = "/root/testdata/sf0.001"
 #: A spread over all stages; each runs the stages before it too.
 NAMES = [
     "p05_gap_totals", "p06_gap_fill", "p07_noncontiguous", "p10_auto_interval", "p12_overlap", "p14_depth", "b02_bridge", "b04_robust_lowess", "b06_moving_median", "b07_moving_mode",
-    "t08_global_thresholds", "t10_global_sni", "t14_untested_windows", "t21_smoothed_thresholds", "i09_count_p", "i10_screened", "i11_all_thresholds", "f02_magnitude", "f04_smoothed_frequency", "f07_bootstrap_band", "f09_intervals_on_grid", "fig04_sensitivity", "fig08_tests", "v01_violations", "v02_rules",
+    "t08_global_thresholds", "t10_global_sni", "t14_untested_windows", "t06_mixture_global", "t16_local_mixture", "g06_reduced_mixture", "i10_mixture_screened", "t21_smoothed_thresholds", "i09_count_p", "i10_screened", "i11_all_thresholds", "f02_magnitude", "f04_smoothed_frequency", "f07_bootstrap_band", "f09_intervals_on_grid", "fig04_sensitivity", "fig08_tests", "v01_violations", "v02_rules",
 ]
 
 

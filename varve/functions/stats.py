@@ -115,22 +115,23 @@ def weibull_mle(x: np.ndarray) -> tuple[float, float] | None:
     return float(x.max() * np.exp(c * log_x).mean() ** (1 / c)), float(c)
 
 
-def mixture_em(x: np.ndarray, k: int = 2, max_rounds: int = 500) -> dict | None:
+def mixture_em(x: np.ndarray, k: int = 2, max_rounds: int = 500, start: dict | None = None) -> dict | None:
     """Gaussian mixture by expectation maximisation on values in time order.
 
-    Starts from evenly spaced values; stops once the log likelihood gains at most
-    0.03 ln n, or after max_rounds (converged False). None where the values do not vary.
+    Starts from evenly spaced values, or from a model; stops once the log likelihood gains at
+    most 0.03 ln n, or after max_rounds (converged False). None where the values do not vary.
     """
     x = np.asarray(x, float)
     n = len(x)
-    if n < max(2, k):
+    if n < max(2, k) or x.min() == x.max():
         return None
     spread = x.var()
     floor_ = spread / 1e5
-    mean = x[[int((j * (n - 1)) // (k - 1)) if k > 1 else 0 for j in range(k)]].copy()
-    var, share = np.full(k, spread + floor_), np.full(k, 1 / k)
-    if not spread > 0:
-        return None
+    if start is None:
+        mean = x[[int((j * (n - 1)) // (k - 1)) if k > 1 else 0 for j in range(k)]].copy()
+        var, share = np.full(k, spread + floor_), np.full(k, 1 / k)
+    else:
+        mean, var, share = (np.array(v, float) for v in (start["mu"], np.square(start["sigma"]), start["prop"]))
 
     def joint():
         lp = -0.5 * (x[:, None] - mean) ** 2 / var - 0.5 * (math.log(2 * math.pi) + np.log(var))
@@ -157,17 +158,38 @@ def mixture_em(x: np.ndarray, k: int = 2, max_rounds: int = 500) -> dict | None:
     return {"mu": mean[order], "sigma": np.sqrt(var[order]), "prop": share[order], "loglik": now, "converged": converged}
 
 
-def mixture_mdl(x: np.ndarray, k: int = 3, final_k: int = 0) -> dict | None:
-    """Order reduction: from k clusters down, the closest pair merged each time; the order
-    of least description length (Rissanen), or final_k if it is given."""
+def merge_closest(fit: dict) -> dict:
+    """A mixture with its two closest components merged: those that lose the least likelihood."""
+    mu, var, share = fit["mu"], np.square(fit["sigma"]), fit["prop"]
     best = None
-    n = len(x)
+    for a in range(len(mu)):
+        for b in range(a + 1, len(mu)):
+            s = share[a] + share[b]
+            w = share[a] / s
+            m = w * mu[a] + (1 - w) * mu[b]
+            v = w * (var[a] + (m - mu[a]) ** 2) + (1 - w) * (var[b] + (m - mu[b]) ** 2)
+            far = s * np.log(v) - share[a] * np.log(var[a]) - share[b] * np.log(var[b])
+            if best is None or far < best[0]:
+                best = (far, a, b, m, v, s)
+    _, a, b, m, v, s = best
+    out = {"mu": mu.copy(), "sigma": np.sqrt(var), "prop": share.copy()}
+    for name, value in (("mu", m), ("sigma", math.sqrt(v)), ("prop", s)):
+        out[name][a] = value
+        out[name] = np.delete(out[name], b)
+    return out
+
+
+def mixture_mdl(x: np.ndarray, k: int = 3, final_k: int = 0) -> dict | None:
+    """Order reduction: from k components down, the closest pair is merged and the fit goes on
+    from there; the order of least description length (Rissanen), or final_k if it is given."""
+    fit, best, n = mixture_em(x, k), None, len(x)
     for m in range(k, max(final_k, 1) - 1, -1):
-        fit = mixture_em(x, m) if m > 1 else {"mu": np.array([np.mean(x)]), "sigma": np.array([np.std(x)]), "prop": np.ones(1), "loglik": float(-0.5 * n * (math.log(2 * math.pi * max(np.var(x), 1e-300)) + 1)), "converged": True}
+        if fit is not None and m < k:
+            fit = mixture_em(x, m, start=merge_closest(fit))
         if fit is None:
-            continue
+            break
         fit["mdl"] = -fit["loglik"] + 0.5 * (3 * m - 1) * math.log(n)
-        if best is None or fit["mdl"] < best["mdl"] or m == final_k:
+        if final_k in (0, m) and (best is None or fit["mdl"] < best["mdl"]):
             best = fit
     return best
 

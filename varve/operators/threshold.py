@@ -10,8 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from varve.functions import stats
+from varve.operators import mixture
 from varve.operators.smooth import KEY, lowess, rows_of, span_points, widest_of, within
 from varve.params import Params
+from varve.stages import stage
 
 N_BINS = 250
 
@@ -46,18 +48,10 @@ def half_gaussian(peaks: DataFrame, p: Params) -> DataFrame:
     return x.select(*KEY, F.lit(p.neutral).alias("mu"), F.sqrt(F.try_divide(2 * F.col("ss"), (2 * F.col("m") - 1).cast("double"))).alias("sigma"))
 
 
-def _mixture_rows(p: Params):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values("i")["peak"].dropna().to_numpy()
-        mu, sigma, share, ok = noise_of(x, p.neutral)
-        return pd.DataFrame({"site": [pdf["site"].iloc[0]], "run_id": [pdf["run_id"].iloc[0]], "mu": [mu], "sigma": [sigma], "prop": [share], "fitted": [ok]})
-
-    return run
-
-
-def noise_of(x: np.ndarray, neutral: float) -> tuple[float, float, float, bool]:
+def noise_of(x: np.ndarray, neutral: float, merge: bool = False) -> tuple[float, float, float, bool]:
     """Mean, spread and share of the lower component of a mixture; with equal means of the
-    lowest of three; of the half-Gaussian where no mixture can be fitted."""
+    lowest of three (merge: of three merged to two); of the half-Gaussian where no mixture
+    can be fitted."""
     fit = stats.mixture_em(x, 2) if x.sum() != 0 else None
     if fit is None:
         d = x[x <= neutral] - neutral
@@ -65,13 +59,21 @@ def noise_of(x: np.ndarray, neutral: float) -> tuple[float, float, float, bool]:
             return neutral, float(np.sqrt(2 * (d**2).sum() / (2 * len(d) - 1))), 1.0, False
         return neutral, float(x.std(ddof=1)) if len(x) > 1 else float("nan"), 1.0, False
     if fit["mu"][0] == fit["mu"][1]:
-        fit = stats.mixture_em(x, 3) or fit
+        fit = (stats.mixture_mdl(x, 3, 2) if merge else stats.mixture_em(x, 3)) or fit
     return float(fit["mu"][0]), float(fit["sigma"][0]), float(fit["prop"][0]), True
 
 
 def mixture_noise(peaks: DataFrame, p: Params) -> DataFrame:
-    """site, run_id, mu, sigma, prop, fitted: one series a task row, in time order."""
-    return peaks.select(*KEY, "i", "peak").groupBy(*KEY).applyInPandas(_mixture_rows(p), "site string, run_id string, mu double, sigma double, prop double, fitted boolean")
+    """site, run_id, mu, sigma, prop, fitted: noise_of() of whole series, by aggregates over all
+    tasks. Asking for it runs the rounds of the fit."""
+    d = F.when(F.col("peak") <= p.neutral, F.col("peak") - p.neutral)
+    x = stage(peaks.select(*KEY, "i", "peak"), "peak_values")
+    plain = x.groupBy(*KEY).agg(F.sum(d * d).alias("ss"), F.count(d).alias("m"), F.stddev_samp("peak").alias("sd"), F.sum("peak").alias("sum"))
+    half = F.when(F.col("m") > 0, F.sqrt(2 * F.col("ss") / (2 * F.col("m") - 1))).otherwise(F.col("sd"))
+    fit = mixture.lower(mixture.values(x), p.merge).withColumnRenamed("prop", "share")
+    y = plain.join(fit.withColumnRenamed("mu", "m_fit").withColumnRenamed("sigma", "s_fit"), list(KEY), "left")
+    ok = F.col("m_fit").isNotNull() & (F.col("sum") != 0)
+    return y.select(*KEY, F.when(ok, F.col("m_fit")).otherwise(p.neutral).alias("mu"), F.when(ok, F.col("s_fit")).otherwise(half).alias("sigma"), F.when(ok, F.col("share")).otherwise(1.0).alias("prop"), ok.alias("fitted"))
 
 
 def global_noise(peaks: DataFrame, p: Params) -> DataFrame:
@@ -140,7 +142,7 @@ def local_mixture(peaks: DataFrame, p: Params, hw: int | None = None) -> DataFra
         rows = []
         for w in windows:
             w = np.asarray(w, float)
-            rows.append(noise_of(w, p.neutral) if (w != p.neutral).sum() >= 4 else (np.nan, np.nan, np.nan, False))
+            rows.append(noise_of(w, p.neutral, p.merge) if (w != p.neutral).sum() >= 4 else (np.nan, np.nan, np.nan, False))
         return pd.DataFrame(rows, columns=["mu", "sigma", "prop", "fitted"])
 
     x = x.withColumn("__fit", fit("__win"))

@@ -18,6 +18,8 @@ class Params:
     method: 1 lowess, 2 robust lowess, 3 moving mean, 4 moving median, 5 moving mode.
     c_peak: 1 residual, 2 ratio. thresh_type: 1 global, 2 local window.
     thresh_method: 1 given values, 2 half-Gaussian noise, 3 Gaussian mixture.
+    merge: a mixture whose two means are equal is fitted again with three components that are
+    merged to two, and not with three.
     """
 
     zone_div: tuple[float, ...] = (0.0, 14400.0, 43200.0)
@@ -33,6 +35,7 @@ class Params:
     peak_freq_yr: float = 7200.0
     bkg_sens: int = 0
     n_boot: int = 100
+    merge: bool = False
     run_id: str = "base"
 
     @property
@@ -101,6 +104,7 @@ class ByRun:
 
     fixed = False
     run_id = None
+    merge = False
 
     def __init__(self, choices: dict[str, int], n_boot: int = 100):
         for c in CHOICES:

@@ -49,6 +49,41 @@ def ks_tail(x: str) -> str:
     return f"CASE WHEN {x} <= 0 THEN 1.0 ELSE least(1, greatest(0, CASE WHEN {x} < 1 THEN {low} ELSE {high} END)) END"
 
 
+def mixture(src: str, name: str, k: int, begin: str | None = None) -> dict[str, str]:
+    """CTEs that fit a mixture of k normals to x of src (site, i, x): name holds each site's model
+    at rest, with its components as lists in order. The rounds are a recursive statement.
+    begin: site and lists m, v, s to start from, else evenly spaced values."""
+    js = range(1, k + 1)
+    c: dict[str, str] = {}
+    c[f"{name}_z"] = f"SELECT site, count(*) AS nn, var_pop(x) AS spread, list(x ORDER BY i) AS xs FROM {src} GROUP BY site HAVING count(*) >= {max(2, k)} AND min(x) < max(x)"
+    place = lambda j: f"xs[(({j} - 1) * (nn - 1)) // {k - 1} + 1]" if k > 1 else "xs[1]"
+    first = ", ".join(f"{place(j)} AS m{j}, spread * 1.00001 AS v{j}, 1.0::DOUBLE / {k} AS s{j}" for j in js)
+    given = ", ".join(f"m[{j}] AS m{j}, v[{j}] AS v{j}, s[{j}] AS s{j}" for j in js)
+    c[f"{name}_0"] = f"SELECT site, nn, spread, {first} FROM {name}_z" if begin is None else f"SELECT site, nn, spread, {given} FROM {name}_z JOIN {begin} USING (site)"
+    dens = ", ".join(f"s{j} * exp(-0.5 * (x - m{j}) * (x - m{j}) / v{j}) / sqrt(2 * pi() * v{j}) AS f{j}" for j in js)
+    total = " + ".join(f"f{j}" for j in js)
+    sums = ", ".join(f"sum(f{j} / f) AS w{j}, sum(f{j} / f * x) AS a{j}, sum(f{j} / f * x * x) AS b{j}, any_value(m{j}) AS m{j}, any_value(v{j}) AS v{j}, any_value(s{j}) AS s{j}" for j in js)
+    moved = ", ".join(f"CASE WHEN rest THEN m{j} ELSE a{j} / w{j} END AS m{j}, CASE WHEN rest THEN v{j} ELSE b{j} / w{j} - power(a{j} / w{j}, 2) + spread / 1e5 END AS v{j}, CASE WHEN rest THEN s{j} ELSE w{j} / nn END AS s{j}" for j in js)
+    c[f"{name}_r"] = (
+        f"SELECT *, NULL::DOUBLE AS loglik, 0 AS turn, false AS rest FROM {name}_0 UNION ALL SELECT site, nn, spread, {moved}, now AS loglik, turn + 1, rest FROM "
+        f"(SELECT * EXCLUDE (loglik), coalesce(now - loglik <= 0.03 * ln(nn), false) OR turn >= 500 AS rest FROM (SELECT site, any_value(nn) AS nn, any_value(spread) AS spread, any_value(turn) AS turn, any_value(loglik) AS loglik, sum(ln(f)) AS now, {sums} "
+        f"FROM (SELECT *, {total} AS f FROM (SELECT r.*, x, {dens} FROM {name}_r r JOIN {src} USING (site) WHERE NOT rest)) GROUP BY site))"
+    )
+    lists = ", ".join(f"[{', '.join(f'{n}{j}' for j in js)}] AS {n}" for n in "mvs")
+    c[name] = f"SELECT site, nn, {lists}, loglik, turn - 1 AS rounds, -loglik + {0.5 * (3 * k - 1)} * ln(nn) AS description, {k} AS k FROM {name}_r WHERE rest"
+    return c
+
+
+def merged(src: str, name: str, k: int) -> dict[str, str]:
+    """A CTE with src's models of k components, the two closest of each merged into one."""
+    pairs = ", ".join(f"({a}, {b})" for a in range(1, k + 1) for b in range(a + 1, k + 1))
+    one = "SELECT *, s[a] + s[b] AS sh, (s[a] * m[a] + s[b] * m[b]) / (s[a] + s[b]) AS me FROM {0}, (VALUES {1}) AS t(a, b)".format(src, pairs)
+    two = f"SELECT *, (s[a] * (v[a] + power(me - m[a], 2)) + s[b] * (v[b] + power(me - m[b], 2))) / sh AS va FROM ({one})"
+    far = f"SELECT *, row_number() OVER (PARTITION BY site ORDER BY sh * ln(va) - s[a] * ln(v[a]) - s[b] * ln(v[b]), a, b) AS nearest FROM ({two})"
+    new = ", ".join(f"list_transform(list_filter(range(1, {k + 1}), lambda j: j <> b), lambda j: CASE WHEN j = a THEN {e} ELSE {n}[j] END) AS {n}" for n, e in (("m", "me"), ("v", "va"), ("s", "sh")))
+    return {name: f"SELECT site, {new} FROM ({far}) WHERE nearest = 1"}
+
+
 def stages(p: Params) -> dict[str, str]:
     """All CTEs in order."""
     z0, z1, yr = p.zone_div[0], p.zone_div[-1], p.yr_interp
@@ -105,15 +140,31 @@ def stages(p: Params) -> dict[str, str]:
     c["bins"] = "SELECT site, CAST(b AS BIGINT) AS bin, lo + (hi - lo) * b / 250 AS possible FROM (SELECT *, unnest(range(0, 251)) AS b FROM ends)"
     c["mirror"] = f"SELECT site, peak - {p.neutral} AS d FROM peaked WHERE peak <= {p.neutral} UNION ALL SELECT site, -(peak - {p.neutral}) FROM peaked WHERE peak <= {p.neutral}"
     c["gnoise"] = f"SELECT site, {p.neutral}::DOUBLE AS mu, stddev_samp(d) AS sigma FROM mirror GROUP BY site"
+    c["px"] = "SELECT site, i, peak AS x FROM peaked WHERE peak IS NOT NULL"
+    c |= mixture("px", "mix", 2)
+    c["px_same"] = "SELECT px.* FROM px JOIN mix USING (site) WHERE m[1] = m[2]"
+    c |= mixture("px_same", "mix_same", 3)
+    c["mlow"] = "SELECT site, list_min(list_zip(m, v, s)) AS low FROM (SELECT * FROM mix WHERE site NOT IN (SELECT site FROM mix_same) UNION ALL SELECT * FROM mix_same)"
+    c["mnoise"] = f"SELECT site, coalesce(low[1], {p.neutral}) AS mu, coalesce(sqrt(low[2]), g.sigma) AS sigma, coalesce(low[3], 1.0) AS prop, low IS NOT NULL AS fitted FROM gnoise g LEFT JOIN mlow USING (site)"
+    c |= mixture("px", "mixc", 3) | merged("mixc", "mixc_to", 3) | mixture("px", "mixb", 2, "mixc_to") | merged("mixb", "mixb_to", 2) | mixture("px", "mixa", 1, "mixb_to")
+    c["reduced"] = "SELECT * FROM (SELECT * FROM mixc UNION ALL SELECT * FROM mixb UNION ALL SELECT * FROM mixa) QUALIFY row_number() OVER (PARTITION BY site ORDER BY description, k DESC) = 1"
     snap = lambda v: f"(SELECT arg_min(possible, (round(abs(b.possible - ({v})) / ((e.hi - e.lo) / 250), 9), -bin)) FROM bins b WHERE b.site = e.site)"
-    c["gthr"] = "SELECT e.site, mu, sigma, " + ", ".join(f"{snap(f'mu + {v!r} * sigma')} AS g{j}" for j, v in enumerate(z, 1)) + f", mu + {zn[2]!r} * sigma AS neg FROM ends e JOIN gnoise USING (site)"
+    noise = "mnoise" if p.thresh_method == 3 else "gnoise"
+    c["gthr"] = "SELECT e.site, mu, sigma, " + ", ".join(f"{snap(f'mu + {v!r} * sigma')} AS g{j}" for j, v in enumerate(z, 1)) + f", mu + {zn[2]!r} * sigma AS neg FROM ends e JOIN {noise} USING (site)"
     c["gsni"] = "SELECT site, CASE WHEN count(*) FILTER (peak > g4) > 0 AND count(*) FILTER (peak <= g4) > 2 THEN (avg(peak) FILTER (peak > g4) - avg(peak) FILTER (peak <= g4)) / stddev_samp(peak) FILTER (peak <= g4) * (count(*) FILTER (peak <= g4) - 2) / count(*) FILTER (peak <= g4) ELSE 0 END AS sni FROM peaked JOIN gthr USING (site) GROUP BY site"
     # Local model.
     c["xs"] = f"SELECT *, coalesce(peak, {p.neutral}) AS x FROM peaked"
     c["pairs"] = f"SELECT a.site, a.i, b.x FROM xs a JOIN xs b ON a.site = b.site AND b.i BETWEEN a.i - {hw} AND a.i + {hw}"
     c["lstat"] = f"SELECT site, i, count(*) AS win_n, count(*) FILTER (x <= {p.neutral}) AS m, sum(power(x - {p.neutral}, 2)) FILTER (x <= {p.neutral}) AS ss, stddev_samp(x) AS sd FROM pairs GROUP BY ALL"
     c["lnoise"] = f"SELECT xs.*, win_n, {p.neutral}::DOUBLE AS mu, CASE WHEN m > 0 THEN sqrt(2 * ss / (2 * m - 1)) ELSE sd END AS sigma FROM xs JOIN lstat USING (site, i)"
-    c["lthr"] = "SELECT *, " + ", ".join(f"mu + {v!r} * sigma AS pos{j}, mu + {w!r} * sigma AS neg{j}" for j, (v, w) in enumerate(zip(z, zn), 1)) + " FROM lnoise"
+    c["wx"] = f"SELECT site || '|' || i AS site, j AS i, x FROM (SELECT a.site, a.i, b.i AS j, b.x, count(*) FILTER (b.x <> {p.neutral}) OVER w AS off, sum(b.x) OVER w AS total FROM xs a JOIN xs b ON a.site = b.site AND b.i BETWEEN a.i - {hw} AND a.i + {hw} WINDOW w AS (PARTITION BY a.site, a.i)) WHERE off >= 4 AND total <> 0"
+    c |= mixture("wx", "wmix", 2)
+    c["wx_same"] = "SELECT wx.* FROM wx JOIN wmix USING (site) WHERE m[1] = m[2]"
+    c |= mixture("wx_same", "wmix_same", 3)
+    c["wlow"] = "SELECT site, list_min(list_zip(m, v, s)) AS low FROM (SELECT * FROM wmix WHERE site NOT IN (SELECT site FROM wmix_same) UNION ALL SELECT * FROM wmix_same)"
+    c["lmixed"] = "SELECT l.* REPLACE (coalesce(low[1], mu) AS mu, coalesce(sqrt(low[2]), sigma) AS sigma), low IS NOT NULL AS fitted FROM lnoise l LEFT JOIN wlow w ON w.site = l.site || '|' || l.i"
+    lnoise = "lmixed" if p.thresh_method == 3 else "lnoise"
+    c["lthr"] = "SELECT *, " + ", ".join(f"mu + {v!r} * sigma AS pos{j}, mu + {w!r} * sigma AS neg{j}" for j, (v, w) in enumerate(zip(z, zn), 1)) + f" FROM {lnoise}"
     c["lsplit"] = "SELECT p.site, p.i, avg(p.x) FILTER (p.x > pos4) AS s, count(*) FILTER (p.x > pos4) AS ns, avg(p.x) FILTER (p.x <= pos4) AS m, stddev_samp(p.x) FILTER (p.x <= pos4) AS d, count(*) FILTER (p.x <= pos4) AS nn FROM pairs p JOIN lthr t USING (site, i) GROUP BY ALL"
     c["lsni"] = "SELECT t.*, CASE WHEN ns > 0 AND nn > 2 THEN (s - m) / d * (nn - 2) / nn ELSE 0 END AS sni FROM lthr t JOIN lsplit USING (site, i)"
     names = ["sni"] + [f"{a}{j}" for a in ("pos", "neg") for j in (1, 2, 3, 4)]
@@ -194,4 +245,5 @@ def sql(p: Params, select: str, instead: dict[str, str] | None = None) -> str:
             need.add(name)
             todo.append(all_[name])
     body = ",\n".join(f"{n} AS ({t})" for n, t in all_.items() if n in need)
-    return f"WITH {body}\n{select}" if need else select
+    recursive = "RECURSIVE " if any(n.endswith("_r") for n in need) else ""
+    return f"WITH {recursive}{body}\n{select}" if need else select

@@ -9,11 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from varve.functions import stats
-from varve.operators import compare, figures, history, levels, peaks, pretreat, smooth, threshold, validate
+from varve.operators import compare, figures, history, levels, mixture, peaks, pretreat, smooth, threshold, validate
 from varve.params import Params, as_table
 from varve.plans import oracle
 from varve.plans.study import Runs, Study, sweep_windows, window_sweep
 from varve.sources.events import pseudo_cores
+from varve.stages import stage
 
 BASE = Params()
 RATIO = replace(BASE, c_peak=2)
@@ -84,7 +85,37 @@ _query("t02_bins", "site:s bin:i possible:d", lambda s: threshold.bins(s.peaked)
 _query("t03_given_threshold", "site:s thr:d", lambda s: threshold.global_thresholds(s.peaked, replace(s.p, thresh_method=1, thresh_values=(0.05, 0.1, 0.15, 0.1))).select("site", F.col("pos")[1].alias("thr")), "(SELECT e.site, (SELECT arg_min(possible, (round(abs(b.possible - 0.1) / ((e.hi - e.lo) / 250), 9), -bin)) FROM bins b WHERE b.site = e.site) AS thr FROM ends e)")
 _query("t04_noise_residual", "site:s mu:d sigma:d", lambda s: threshold.half_gaussian(s.peaked, s.p), "gnoise")
 _query("t05_noise_ratio", "site:s mu:d sigma:d", lambda s: threshold.half_gaussian(s.peaked, s.p), "gnoise", RATIO)
-_query("t06_mixture_global", "site:s mu:d sigma:d prop:d fitted:b", lambda s: threshold.mixture_noise(s.peaked, s.p), None)
+_query("t06_mixture_global", "site:s mu:d sigma:d prop:d fitted:b", lambda s: threshold.mixture_noise(s.peaked, s.p), "mnoise")
+
+
+def _peak_values(s: Study) -> DataFrame:
+    """The peak series as a stage, for fits that read it many times."""
+    return mixture.values(stage(s.peaked.select(*mixture.KEY, "i", "peak"), "peak_values"))
+
+
+def _components(fits: DataFrame) -> DataFrame:
+    """A row for each component of a fit."""
+    return fits.select("*", F.posexplode(F.arrays_zip("mu", "sigma", "prop")).alias("j", "c")).select("site", (F.col("j") + 1).alias("component"), "c.*", "k", "loglik", "description", "rounds")
+
+
+def _component_rows(src: str) -> str:
+    return f"(SELECT site, k, loglik, description, rounds, generate_subscripts(c, 1) AS component, unnest(c)[1] AS mu, sqrt(unnest(c)[2]) AS sigma, unnest(c)[3] AS prop FROM (SELECT *, list_sort(list_zip(m, v, s)) AS c FROM {src}))"
+
+
+def _mixture_classes(s: Study) -> DataFrame:
+    x = _peak_values(s)
+    return mixture.classes(x, mixture.fit(x))
+
+
+_query("g05_mixture", "site:s component:i mu:d sigma:d prop:d loglik:d rounds:i", lambda s: _components(mixture.fit(_peak_values(s))), _component_rows("mix"))
+_query("g06_reduced_mixture", "site:s component:i k:i mu:d sigma:d prop:d loglik:d description:d rounds:i", lambda s: _components(mixture.reduced(_peak_values(s))), _component_rows("reduced"))
+_query("g06_merged_to_two", "site:s component:i mu:d sigma:d prop:d loglik:d rounds:i", lambda s: _components(mixture.reduced(_peak_values(s), 3, 2)), _component_rows("mixb"), RATIO)
+_query("g07_mixture_classes", "site:s i:i loglik:d class:i", _mixture_classes, "(SELECT site, i, ln(f1 + f2) AS loglik, CASE WHEN f1 >= f2 THEN 1 ELSE 2 END AS class FROM (SELECT site, i, c[1][3] * exp(-0.5 * power(x - c[1][1], 2) / c[1][2]) / sqrt(2 * pi() * c[1][2]) AS f1, c[2][3] * exp(-0.5 * power(x - c[2][1], 2) / c[2][2]) / sqrt(2 * pi() * c[2][2]) AS f2 FROM px JOIN (SELECT site, list_sort(list_zip(m, v, s)) AS c FROM mix) USING (site)))")
+MIXED = replace(GLOBAL, thresh_method=3)
+MIXED_LOCAL = replace(BASE, thresh_method=3)
+_GLOBAL_THR = {"thr": "SELECT p.*, g1 AS pos1, g2 AS pos2, g3 AS pos3, g4 AS pos4, neg AS neg1, sni FROM peaked p JOIN gthr USING (site) JOIN gsni USING (site)"}
+_query("t06_mixture_thresholds", "site:s i:i pos1:d pos4:d neg1:d sni:d", lambda s: s.thresholds, "thr", MIXED, _GLOBAL_THR)
+_query("i10_mixture_screened", "site:s i:i t:i is_peak:b insig:b", lambda s: s.peaks, "peaks", MIXED, _GLOBAL_THR)
 _query("t07_noise_pdf", "site:s bin:i density:d", lambda s: threshold.noise_pdf(s.peaked, s.p), "(SELECT b.site, bin, exp(-0.5 * power((possible - mu) / sigma, 2)) / (sigma * sqrt(2 * pi())) AS density FROM bins b JOIN gnoise USING (site))")
 _query("t08_global_thresholds", "site:s g1:d g2:d g3:d g4:d", lambda s: threshold.global_thresholds(s.peaked, s.p).select("site", *[F.col("pos")[j].alias(f"g{j + 1}") for j in range(4)]), "gthr", GLOBAL)
 _query("t09_negative_threshold", "site:s neg:d", lambda s: threshold.global_thresholds(s.peaked, s.p), "gthr", GLOBAL)
@@ -99,7 +130,9 @@ _query("t14_untested_windows", "site:s i:i off:i tested:b", lambda s: threshold.
   FROM xs a JOIN xs b USING (site) WHERE b.i BETWEEN a.i - 3 AND a.i + 3 GROUP BY site, a.i))""")
 _query("t15_local_noise", "site:s i:i mu:d sigma:d", lambda s: threshold.local_noise(s.peaked, s.p), "lnoise")
 _query("t15_local_noise_ratio", "site:s i:i mu:d sigma:d", lambda s: threshold.local_noise(s.peaked, s.p), "lnoise", RATIO)
-_query("t16_local_mixture", "site:s i:i mu:d sigma:d fitted:b", lambda s: threshold.local_mixture(s.peaked, s.p), None)
+_query("t16_local_mixture", "site:s i:i mu:d sigma:d fitted:b", lambda s: threshold.local_mixture(s.peaked, s.p), "lmixed", MIXED_LOCAL)
+_query("t16_mixture_thresholds", "site:s i:i pos1:d pos4:d neg1:d sni:d", lambda s: s.thresholds, "thr", MIXED_LOCAL)
+_query("i10_local_mixture_screened", "site:s i:i t:i is_peak:b insig:b", lambda s: s.peaks, "peaks", MIXED_LOCAL)
 _query("t17_local_thresholds", "site:s i:i pos1:d pos2:d pos3:d pos4:d neg1:d neg2:d neg3:d neg4:d", lambda s: threshold.with_thresholds(threshold.local_noise(s.peaked, s.p), s.p), "lthr")
 _query("t18_local_sni", "site:s i:i sni:d", lambda s: threshold.local_sni(threshold.with_thresholds(threshold.local_noise(s.peaked, s.p), s.p), s.p), "lsni")
 _query("t19_local_gof", "site:s i:i gof:d", lambda s: threshold.local_gof(threshold.with_thresholds(threshold.local_noise(s.peaked, s.p), s.p), s.p), None)
