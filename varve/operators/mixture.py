@@ -32,17 +32,6 @@ def _names(k: int) -> list[str]:
     return [f"{c}{j}" for c in "mvs" for j in range(1, k + 1)]
 
 
-def _with_parts(x: DataFrame, k: int) -> DataFrame:
-    """Adds top, the logarithm of x's density under its likeliest component, p1.. (densities
-    with shares, by that one's) and p (their sum). Each is a projection of its own, so none
-    is written out again in the next."""
-    js = range(1, k + 1)
-    x = x.withColumns({f"l{j}": -0.5 * (F.col("x") - F.col(f"m{j}")) ** 2 / F.col(f"v{j}") - 0.5 * (math.log(2 * math.pi) + F.ln(f"v{j}")) for j in js})
-    x = x.withColumn("top", F.greatest(*[f"l{j}" for j in js]) if k > 1 else F.col("l1"))
-    x = x.withColumns({f"p{j}": F.exp(F.col(f"l{j}") - F.col("top")) * F.col(f"s{j}") for j in js})
-    return x.withColumn("p", reduce(lambda a, b: a + b, [F.col(f"p{j}") for j in js]))
-
-
 def values(rows: DataFrame, column: str = "peak", keys=KEY) -> DataFrame:
     """keys, i, x: the values to fit. Every round reads rows, so they are a written stage."""
     return rows.select(*keys, "i", F.col(column).cast("double").alias("x")).where("x is not null and not isnan(x)")
@@ -68,28 +57,27 @@ def _moving(models: DataFrame) -> DataFrame:
 def _round(x: DataFrame, models: DataFrame, k: int, keys, max_rounds: int) -> DataFrame:
     """The sums give a model's likelihood and its successor at once. A model whose likelihood
     gained at most 0.03 ln n over its predecessor's stays as it is: it has converged."""
-    js = range(1, k + 1)
-    held = ["n", "least", *_names(k), "loglik", "round", "state"]
-    y = _with_parts(x.join(models, list(keys)), k)
-    y = y.withColumns({f"r{j}": F.col(f"p{j}") / F.col("p") for j in js} | {f"o{j}": F.col("x") - F.col(f"m{j}") for j in js})
-    sums = {"now": F.sum(F.ln("p") + F.col("top"))}
-    for j in js:
-        r, off = F.col(f"r{j}"), F.col(f"o{j}")
-        sums |= {f"w{j}": F.sum(r), f"d{j}": F.sum(r * off), f"q{j}": F.sum(r * off * off)}
-    y = y.groupBy(*keys).agg(*[F.first(c).alias(c) for c in held], *[c.alias(a) for a, c in sums.items()])
-    full = reduce(lambda a, b: a + b, [F.col(f"w{j}") for j in js])
-    moves, lost = F.col("state") == "moves", F.least(*[F.col(f"w{j}") for j in js], F.lit(1.0)) <= 0
-    last = (F.col("now") - F.col("loglik") <= 0.03 * F.ln("n")) | (F.col("round") >= max_rounds)
-    state = F.when(~moves, F.col("state")).when(F.coalesce(last, F.lit(False)), "rests").when(lost, "failed").otherwise("moves")
-    y = y.withColumns({"next": state, "full": full} | {f"d{j}": F.try_divide(F.col(f"d{j}"), F.col(f"w{j}")) for j in js})
-    goes = F.col("next") == "moves"
-    new = {f"m{j}": F.col(f"m{j}") + F.col(f"d{j}") for j in js} | {f"s{j}": F.col(f"w{j}") / F.col("full") for j in js}
-    # About the mean before, so that nothing cancels.
-    new |= {f"v{j}": F.greatest(F.try_divide(F.col(f"q{j}"), F.col(f"w{j}")) - F.col(f"d{j}") * F.col(f"d{j}"), F.lit(0.0)) + F.col("least") for j in js}
-    return y.select(
-        *keys, "n", "least", *[F.when(goes, new[c]).otherwise(F.col(c)).alias(c) for c in _names(k)],
-        F.when(moves, F.col("now")).otherwise(F.col("loglik")).alias("loglik"), (F.col("round") + F.when(goes, 1).otherwise(0)).alias("round"), F.col("next").alias("state"),
-    )
+    each = lambda text: [text.replace("#", str(j)) for j in range(1, k + 1)]
+    y = x.join(models, list(keys))
+    # Each projection is one of its own, so that no expression is written out again in the next.
+    for step in (
+        each("-0.5D * (x - m#) * (x - m#) / v# - 0.5D * (ln(2 * pi()) + ln(v#)) AS l#"),
+        ["greatest(" + ", ".join(each("l#")) + ") AS top" if k > 1 else "l1 AS top"],
+        each("exp(l# - top) * s# AS p#"),
+        [" + ".join(each("p#")) + " AS p"],
+        each("p# / p AS r#") + each("x - m# AS o#"),
+    ):
+        y = y.selectExpr("*", *step)
+    held = [f"first({c}) AS {c}" for c in ("n", "least", *_names(k), "loglik", "round", "state")]
+    sums = ["sum(ln(p) + top) AS now"] + each("sum(r#) AS w#") + each("sum(r# * o#) AS d#") + each("sum(r# * o# * o#) AS q#")
+    y = y.groupBy(*keys).agg(*[F.expr(e) for e in held + sums])
+    rests = f"coalesce(now - loglik <= 0.03D * ln(n), false) OR round >= {max_rounds}"
+    lost = " OR ".join(each("w# <= 0"))
+    y = y.selectExpr("*", f"CASE WHEN state <> 'moves' THEN state WHEN {rests} THEN 'rests' WHEN {lost} THEN 'failed' ELSE 'moves' END AS next", " + ".join(each("w#")) + " AS full", *each("try_divide(d#, w#) AS shift#"))
+    # Variances about the mean before, so that nothing cancels.
+    new = each("m# + shift# AS m#") + each("greatest(try_divide(q#, w#) - shift# * shift#, 0D) + least AS v#") + each("w# / full AS s#")
+    new = ["IF(next = 'moves', {0}, {1}) AS {1}".format(*e.split(" AS ")) for e in new]
+    return y.selectExpr(*keys, "n", "least", *new, "IF(state = 'moves', now, loglik) AS loglik", "round + IF(next = 'moves', 1, 0) AS round", "next AS state")
 
 
 def run(x: DataFrame, models: DataFrame, k: int, keys=KEY, max_rounds: int = MAX_ROUNDS) -> DataFrame:
