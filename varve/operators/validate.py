@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from varve.operators.pretreat import stretched
 from varve.params import Params
 
 RULES = {
@@ -35,13 +36,20 @@ def parameter_violations(p: Params) -> list[int]:
 
 def sample_violations(raw: DataFrame) -> DataFrame:
     """site, rule_no, n_rows of rules 2, 3, 16 and 17 on the samples: one aggregate."""
-    w = Window.partitionBy("site").orderBy("sample_no")
-    x = raw.withColumns({"before": F.lag("age_top").over(w), "after": F.lead("sample_no").over(w), "first": F.lag("sample_no").over(w)})
+    x = stretched(raw)
+    x = x.withColumn("before", F.lag("age_top").over(Window.partitionBy("site", "__at").orderBy("sample_no")))
     no_age = F.col("age_top").isNull() | F.col("age_bot").isNull() | F.isnan("age_top") | F.isnan("age_bot")
-    edge = F.coalesce(F.col("vol") <= 0, F.lit(True)) & (F.col("after").isNull() | F.col("first").isNull())
+    end = F.struct("age_top", F.coalesce(F.col("vol") <= 0, F.lit(True)).alias("gone"))
+    # Within the stretches of a series, then between them: a first sample and the last one before.
+    x = x.groupBy("site", "__at").agg(
+        F.count_if(no_age).alias("r2"), F.count_if(F.col("age_top") < F.col("before")).alias("r3"), F.count_if(F.col("age_top") == F.col("before")).alias("r16"),
+        F.count(F.lit(1)).alias("n"), F.min_by(end, "sample_no").alias("first"), F.max_by(end, "sample_no").alias("last"),
+    )
+    x = x.withColumn("before", F.lag("last").over(Window.partitionBy("site").orderBy("__at"))["age_top"])
     counts = x.groupBy("site").agg(
-        F.count_if(no_age).alias("r2"), F.count_if(F.col("age_top") < F.col("before")).alias("r3"), F.count_if(F.col("age_top") == F.col("before")).alias("r16"), F.count_if(edge).alias("r17")
-    )
+        F.sum("r2").alias("r2"), (F.sum("r3") + F.count_if(F.col("first.age_top") < F.col("before"))).alias("r3"), (F.sum("r16") + F.count_if(F.col("first.age_top") == F.col("before"))).alias("r16"),
+        (F.min_by("first", "__at")["gone"].cast("long") + F.when(F.sum("n") > 1, F.max_by("last", "__at")["gone"].cast("long")).otherwise(0)).alias("r17"),
+    )
     rows = F.array(*[F.struct(F.lit(k).alias("rule_no"), F.col(f"r{k}").alias("n_rows")) for k in (2, 3, 16, 17)])
     return counts.select("site", F.explode(rows).alias("r")).select("site", "r.*").where("n_rows > 0")
 

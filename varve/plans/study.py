@@ -119,7 +119,7 @@ class Runs:
         for c in families(table) if choices is None else choices:
             runs = family(table, c).withColumn("pre", F.to_json(F.struct("par.zone_div", "par.yr_interp")))
             grids = runs.select("site", F.col("pre").alias("run_id"), F.struct("par.zone_div", "par.yr_interp").alias("par")).distinct()
-            self.studies.append(Study(raw.join(grids, "site"), ByRun(c, n_boot), gof, runs))
+            self.studies.append(Study(raw.join(F.broadcast(grids), "site"), ByRun(c, n_boot), gof, runs))
 
     def union(self, of) -> DataFrame:
         """One result of all studies: of is given each."""
