@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from test_runs import P, cores
 
+from varve import queries
 from varve.functions import stats
 from varve.operators import mixture, threshold
 from varve.plans.study import Study
@@ -116,3 +117,9 @@ def test_classes_and_likelihoods(spark):
 def test_a_study_by_mixtures(spark):
     s = Study(cores(spark), replace(P, thresh_type=1, thresh_method=3), gof=False)
     assert s.peaks.where("is_peak").count() > 0
+
+
+def test_thresholds_by_mixtures_read_one_written_series(spark, sf_small):
+    """The rounds write the peak series; nothing behind them works it out anew from the samples."""
+    found = queries.study(spark, sf_small, queries.MIXED).thresholds
+    assert found.inputFiles() and not any("events" in f for f in found.inputFiles())

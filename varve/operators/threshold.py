@@ -207,6 +207,9 @@ def smooth_thresholds(df: DataFrame, p: Params) -> DataFrame:
 def thresholds(peaks: DataFrame, p: Params, gof: bool = True) -> DataFrame:
     """Adds pos1..4, neg1..4, sni, gof by the run's own type and method."""
     if p.thresh_type == 1:
+        if p.thresh_method == 3:
+            # The rounds of a mixture run anyway: the thresholds, the index and the rows read what is written for them.
+            peaks = stage(peaks, "peaked")
         t = global_thresholds(peaks, p)
         t = t.join(global_sni(peaks, t), list(KEY)).select(*KEY, *[F.col("pos")[j - 1].alias(f"pos{j}") for j in (1, 2, 3, 4)], *[F.col("neg").alias(f"neg{j}") for j in (1, 2, 3, 4)], "sni", F.lit(-999.0).alias("gof"))
         return peaks.join(t, list(KEY))
