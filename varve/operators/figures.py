@@ -118,17 +118,19 @@ def zone_tests(zoned: DataFrame) -> DataFrame:
 
 def window_tests(moved: DataFrame, p: Params) -> DataFrame:
     """Tests of each step's intervals against the step round(w/100 - 1) before it:
-    two-sample, rank-sum, and the two-sample Anderson-Darling statistic."""
+    two-sample, rank-sum, and the two-sample Anderson-Darling statistic. An interval goes to
+    both steps that it is tested in, so the intervals are worked out once and meet in one aggregate."""
     back = max(1, round(p.peak_freq_yr / history.STEP - 1))
-    a = moved.groupBy(*KEY, "step").agg(F.sort_array(F.collect_list("fri")).alias("x"))
-    b = a.select(*KEY, (F.col("step") + back).alias("step"), F.col("x").alias("y"))
+    none = F.lit(None).cast("double")
+    sides = F.array(F.struct("step", F.col("fri").alias("x"), none.alias("y")), F.struct((F.col("step") + back).alias("step"), none.alias("x"), F.col("fri").alias("y")))
+    x = moved.select(*KEY, F.explode(sides).alias("s")).select(*KEY, "s.*")
+    x = x.groupBy(*KEY, "step").agg(*[F.sort_array(F.collect_list(c)).alias(c) for c in ("x", "y")]).where("size(x) > 1 and size(y) > 1")
 
     @F.pandas_udf("struct<ks_p:double,rank_p:double,ad:double>")
     def run(x: pd.Series, y: pd.Series) -> pd.DataFrame:
         rows = [(stats.ks_two_sample(u, v)[1], stats.rank_sum_p(np.asarray(u), np.asarray(v)), stats.anderson_darling_k([np.asarray(u), np.asarray(v)])) for u, v in zip(x, y, strict=True)]
         return pd.DataFrame(rows, columns=["ks_p", "rank_p", "ad"])
 
-    x = a.join(b, [*KEY, "step"]).where("size(x) > 1 and size(y) > 1")
     return x.withColumn("r", run("x", "y")).select(*KEY, "step", "r.*")
 
 

@@ -86,14 +86,15 @@ def smooth_frequency(freq: DataFrame, p: Params) -> DataFrame:
 
 def moving_intervals(one: DataFrame, p: Params) -> DataFrame:
     """site, run_id, step, step_age, fri: return intervals with both peaks inside the
-    window of peak_freq_yr about each step. An interval is sent to its steps by arithmetic."""
+    window of peak_freq_yr about each step. An interval is sent to its steps by arithmetic.
+    The end of its series comes with it: a join would work the peaks out twice."""
     w = p.freq
-    last = one.groupBy(*KEY).agg(F.max("age").alias("end"), *_kept(one))
-    x = intervals(one).join(last, list(KEY))
+    par = [c for c in one.columns if c == "par"]
+    x = intervals(one.withColumn("end", F.max("age").over(Window.partitionBy(*KEY))), ("end", *par))
     lo = F.greatest(F.lit(0).cast("long"), F.floor((F.col("age") - w / 2 - STEP0) / STEP) + 1)
     hi = F.least(F.floor((F.col("prev_age") + w / 2 - STEP0) / STEP), F.floor((F.col("end") - STEP0) / STEP + 1e-10))
     x = x.withColumns({"lo": lo, "hi": hi}).where("lo <= hi").withColumn("step", F.explode(F.sequence("lo", "hi")))
-    return x.select(*KEY, "step", (STEP0 + STEP * F.col("step")).cast("double").alias("step_age"), "fri", *[c for c in x.columns if c == "par"])
+    return x.select(*KEY, "step", (STEP0 + STEP * F.col("step")).cast("double").alias("step_age"), "fri", *par)
 
 
 def fri_band(moved: DataFrame) -> DataFrame:

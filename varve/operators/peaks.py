@@ -88,10 +88,10 @@ def totals(peaks: DataFrame) -> DataFrame:
     return peaks.groupBy(*KEY_T).agg(F.count_if("is_peak").alias("n_peaks"))
 
 
-def intervals(peaks: DataFrame) -> DataFrame:
-    """site, run_id, t, age, prev_age, fri: years between next peaks."""
+def intervals(peaks: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
+    """site, run_id, t, age, prev_age, fri: years between next peaks; and more columns if asked for."""
     x = peaks.where("is_peak").withColumn("prev_age", F.lag("age").over(_by_i()))
-    return x.where("prev_age is not null").select(*KEY_T, "i", "age", "prev_age", (F.col("age") - F.col("prev_age")).alias("fri"))
+    return x.where("prev_age is not null").select(*KEY_T, "i", "age", "prev_age", (F.col("age") - F.col("prev_age")).alias("fri"), *more)
 
 
 def exact_p(x: DataFrame) -> DataFrame:

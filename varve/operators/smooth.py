@@ -68,17 +68,24 @@ def lowess(df: DataFrame, y: str | list[str], out: str | list[str], k: Column, w
     far = F.greatest(here - F.try_element_at("__near", F.lit(1))["x"], F.try_element_at("__near", F.lit(-1))["x"] - here) + EPS
     df = df.withColumn("__far", far)
     names = ["w", "x", "xx"] + [f"{a}{j}" for j in range(len(ys)) for a in ("y", "z")]
+    # Distance, kernel and weight of a neighbour are made one after the other, each once: written
+    # out in every sum, they were worked out some hundred times for each.
+    values = ["x", *[f"y{j}" for j in range(len(ys))]]
+
+    def made(rows, keep, name, of):
+        return F.transform(rows, lambda r: F.struct(*[r[c].alias(c) for c in values + keep], of(r).alias(name)))
+
+    weighed = made(F.col("__near"), ["r"], "d", lambda r: F.abs(r["x"] - here) / F.col("__far"))
+    weighed = made(weighed, ["r"], "t", lambda r: 1.0 - r["d"] * r["d"] * r["d"])
+    weighed = made(weighed, [], "v", lambda r: r["t"] * r["t"] * r["t"] * r["r"])
 
     def add(acc, r):
-        d = F.abs(r["x"] - here) / F.col("__far")
-        t = 1.0 - d * d * d
-        v = t * t * t * r["r"]
-        more = {"w": v, "x": v * r["x"], "xx": v * r["x"] * r["x"]}
+        more = {"w": r["v"], "x": r["v"] * r["x"], "xx": r["v"] * r["x"] * r["x"]}
         for j in range(len(ys)):
-            more |= {f"y{j}": v * r[f"y{j}"], f"z{j}": v * r["x"] * r[f"y{j}"]}
+            more |= {f"y{j}": r["v"] * r[f"y{j}"], f"z{j}": r["v"] * r["x"] * r[f"y{j}"]}
         return F.struct(*[(acc[c] + more[c]).alias(c) for c in names])
 
-    df = df.withColumn("__s", F.aggregate("__near", F.struct(*[F.lit(0.0).alias(c) for c in names]), add))
+    df = df.withColumn("__s", F.aggregate(weighed, F.struct(*[F.lit(0.0).alias(c) for c in names]), add))
     s = {c: F.col("__s")[c] for c in names}
     det = s["w"] * s["xx"] - s["x"] * s["x"]
     flat = F.abs(det) < EPS * F.greatest(F.abs(s["w"] * s["xx"]), s["x"] * s["x"])
