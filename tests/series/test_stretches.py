@@ -7,7 +7,8 @@ from test_queries import FOLDER, rows
 
 from varve import queries
 from varve.operators import pretreat, validate
-from varve.params import Params
+from varve.params import Params, as_table
+from varve.plans.study import Runs, Study
 from varve.sources import events
 
 P = Params(zone_div=(0.0, 900.0), yr_interp=10.0)
@@ -66,3 +67,13 @@ def test_events_that_share_a_time(spark, tmp_path, monkeypatch, hour):
         columns = [d[0] for d in want.description]
         got = queries.QUERIES[name](spark, str(tmp_path))
         assert rows(got.columns, [tuple(r) for r in got.collect()]) == rows(columns, want.fetchall()), name
+
+
+def test_the_layout_of_runs_sorts_no_samples(spark):
+    """A row a series is worked out by hash: no task holds samples in order for it."""
+    runs = Runs(series(spark), as_table(spark, [("a", P), ("b", P)]))
+    ends = pretreat.zone_end(runs.studies[0].trimmed, runs.studies[0].p)
+    plan = ends._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "Sort" not in plan
+    got = {(r.site, r.zone_end, r.z0, r.yr, r.n) for r in runs.studies[0].layout.collect()}
+    assert got == {(r.site, r.zone_end, r.z0, r.yr, r.n) for r in Study(series(spark), P).layout.collect()} and len(got) == 2

@@ -48,11 +48,6 @@ def following(df: DataFrame, **columns: str) -> DataFrame:
     return x.select("*", F.coalesce("__next", "__beyond").alias("__row")).select(*df.columns, "__row.*")
 
 
-def _kept(df: DataFrame) -> list:
-    """The series' parameters, in an aggregate by series."""
-    return [F.first("par").alias("par")] if "par" in df.columns else []
-
-
 def trim(raw: DataFrame, p: Params) -> DataFrame:
     """Samples inside the outer zone limits; NaN becomes null."""
     for c in ("cm_top", "cm_bot", "age_top", "age_bot", "vol", "cnt"):
@@ -61,8 +56,11 @@ def trim(raw: DataFrame, p: Params) -> DataFrame:
 
 
 def zone_end(trimmed: DataFrame, p: Params) -> DataFrame:
-    """site, zone_end: the last limit, or the last sample's bottom age if that is less."""
-    return trimmed.groupBy(*_key(trimmed)).agg(F.least(F.max(p.end), F.max_by("age_bot", "sample_no")).alias("zone_end"), F.max(p.start).alias("z0"), *_kept(trimmed))
+    """site, zone_end: the last limit, or the last sample's bottom age if that is less. The series'
+    parameters are in the key: as a first value of it they would have all samples sorted."""
+    par = [c for c in trimmed.columns if c == "par"]
+    x = trimmed.groupBy(*_key(trimmed), *par).agg(F.least(F.max(p.end), F.max_by("age_bot", "sample_no")).alias("zone_end"), F.max(p.start).alias("z0"))
+    return x.select(*_key(trimmed), "zone_end", "z0", *par)
 
 
 def missing(trimmed: DataFrame) -> DataFrame:
