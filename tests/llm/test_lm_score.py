@@ -88,3 +88,24 @@ def test_edges_of_input(spark):
     assert sorted(r.n_tokens for r in got) == [1, 1, 3, 4, 4]
     assert lm_score.lm_score(docs.limit(0), ~lm_score.held_out("doc_id")).count() == 0
     assert all(r.train_tokens == 0 and r.base_score == 0 for r in lm_score.lm_score(docs, lm_score.held_out("doc_id") & lm_score.F.lit(False)).collect())
+
+
+def test_rows_of_questions_do_not_grow_with_the_square_of_the_text():
+    # 6 GB of documents are about 1.6e9 tokens: a chunk asks a bucket many questions even there.
+    chunk = lm_score.KEYED_BYTES // 7
+    for n in (10**8, 16 * 10**8, 8 * 10**9):
+        assert chunk // lm_score.buckets(n) >= 500
+    assert [lm_score.buckets(n) for n in (0, 25 * 10**6)] == [8, 50]
+
+
+def test_keyed_answers_serve_fit_and_scores(spark, monkeypatch):
+    # One pass of questions: the workers read what has met, and not the texts again.
+    docs = spark.createDataFrame([(i if i % 9 else None, None if i == 5 else f"Common word{i % 50} next{(i * i) % 7} \t tail{i % 3}" * (i % 4)) for i in range(600)], "doc_id long, text string")
+    train = lm_score.F.when(lm_score.F.col("doc_id") % 4 > 0, True)  # null for some
+    want, got = (sorted((str(r.doc_id), r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 9), round(r.score, 9)) for r in lm_score.lm_score(docs, train, **more).collect()) for more in ({}, {"max_tokens": 0}))
+    assert got == want and len(got) == 600
+    monkeypatch.setattr(lm_score, "BUCKET_TOKENS", 20)
+    monkeypatch.setattr(lm_score, "MANY_BUCKETS", 70)
+    assert lm_score.buckets(3000) == 70
+    many, some = (sorted((str(r.doc_id), round(r.base_score, 9), round(r.score, 9)) for r in lm_score.lm_score(docs, train, **more).collect()) for more in ({"max_tokens": 0}, {}))
+    assert many == some

@@ -14,9 +14,11 @@ of tokens by size class and quantised odds, a table of bounded size.
 
 Filters of up to MAX_FILTER_BYTES in all, and counts of up to MAX_TOKENS distinct tokens,
 are broadcast. Beyond either bound nothing is: the distinct tokens and bigrams of each
-chunk of text are sent, packed, to their buckets, where that bucket's filter and counts
-answer them, and the answers meet the chunk again. Work is in proportion to the text, no
-task holds more than a bucket's questions or a chunk, and the scores are the same.
+chunk of text go once, packed, with their counts to their buckets, which sum them, make
+their filters and answer; the answers meet the chunk's tokens again and serve both the fit
+and the scores. Chunks and buckets are of a size at which a chunk has hundreds of questions
+for a bucket, so that work is in proportion to the text; no task holds more than a bucket's
+questions or a chunk, and the scores are the same.
 
 Defined results: a null text counts as empty and is the end token alone; a null doc_id
 hashes as empty text (a training row); repeated rows are scored alike, a row each, and
@@ -41,12 +43,12 @@ from varve.llm.words import chunks, hashed_words, mix
 
 FOLDS, HELD_OUT = 7, 2
 BASE = 2**0.5
-COUNT_BYTES, SCORE_BYTES = 4 << 20, 1 << 20
+COUNT_BYTES, SCORE_BYTES, KEYED_BYTES = 4 << 20, 1 << 20, 8 << 20
 #: A level sets PROBES bits of one 64-bit word; the filter has BITS bits a level.
 PROBES, BITS = 4, 10
 MAX_FILTER_BYTES, MAX_TOKENS = 128 << 20, 4_000_000
-#: Bigrams (before summing) that one bucket takes.
-BUCKET_TOKENS = 500_000
+#: Bigrams (before summing) that one bucket takes; up to MAX_BUCKET_TOKENS where there would be more than MANY_BUCKETS.
+BUCKET_TOKENS, MAX_BUCKET_TOKENS, MANY_BUCKETS = 500_000, 4_000_000, 256
 _END, _START = np.uint64(0x5EED0E4D5EED0E4D), np.uint64(0x57A7275657A72756)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 #: Cells of the fit: size classes; steps of the odds in an octave; the step of odds 1; steps, the last for a bigram not seen.
@@ -90,6 +92,11 @@ def pack_counts(key: np.ndarray, count: np.ndarray) -> bytes:
     return zstandard.compress(np.int64(len(key)).tobytes() + delta.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes() + count.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
 
 
+def buckets(n_tokens: int) -> int:
+    """As chunks have a row for each bucket, many small buckets cost chunks times buckets rows."""
+    return max(8, min(n_tokens // BUCKET_TOKENS, max(MANY_BUCKETS, n_tokens // MAX_BUCKET_TOKENS)))
+
+
 def unpack_counts(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     data = zstandard.decompress(blob)
     n = int(np.frombuffer(data, np.int64, 1)[0])
@@ -98,11 +105,26 @@ def unpack_counts(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(delta, dtype=np.uint64), np.ascontiguousarray(bytes_[8 * n :].reshape(4, n).T).view("<u4").ravel()
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """Byte by byte, so that high zero bytes pack well."""
+    return zstandard.compress(x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes(), 1)
+
+
+def _unplanes(blob: bytes, kind) -> np.ndarray:
+    data = np.frombuffer(zstandard.decompress(blob), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(data.T).view(kind).ravel()
+
+
 def _bucket(key: np.ndarray, n_buckets: int) -> np.ndarray:
-    # As pmod() of the same bits read as a signed number, which tables of counts use.
     return key.view(np.int64) % np.int64(n_buckets)
 
 
+def _by_bucket(key: np.ndarray, n_buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket of each key, and the order of buckets (that of the keys within one)."""
+    bucket = _bucket(key, n_buckets)
+    return bucket, np.argsort(bucket.astype(np.uint16) if n_buckets <= 1 << 16 else bucket, kind="stable")
+
+
 def _tally(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(x, return_counts=True)
 
@@ -146,6 +168,18 @@ def _place(key: np.ndarray, n_words: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return (((x >> np.uint64(32)) * n_words) >> np.uint64(32)).astype(np.int64), mask
 
 
+def _filter(key: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The words of a filter of distinct keys."""
+    if not len(key):
+        return np.zeros(0, np.uint64)
+    top = level(count)
+    words = np.zeros(max(1, int(top.sum()) * BITS // 64), np.uint64)
+    for j in range(1, int(top.max()) + 1):
+        at, mask = _place(key[top >= j] + _level_step(j), np.uint64(len(words)))
+        np.bitwise_or.at(words, at, mask)
+    return words
+
+
 def _bucket_filter(pdf: pd.DataFrame) -> pd.DataFrame:
     parts = [unpack_counts(b) for b in pdf["counts"]]
     key, count = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]).astype(np.int64)
@@ -153,12 +187,7 @@ def _bucket_filter(pdf: pd.DataFrame) -> pd.DataFrame:
     key, count = key[order], count[order]
     first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     key, count = key[first], np.add.reduceat(count, first)
-    top = level(count)
-    words = np.zeros(max(1, int(top.sum()) * BITS // 64), np.uint64)
-    for j in range(1, int(top.max()) + 1):
-        at, mask = _place(key[top >= j] + _level_step(j), np.uint64(len(words)))
-        np.bitwise_or.at(words, at, mask)
-    return pd.DataFrame({"bucket": [int(pdf["bucket"].iloc[0])], "bits": [words.tobytes()]})
+    return pd.DataFrame({"bucket": [int(pdf["bucket"].iloc[0])], "bits": [_filter(key, count).tobytes()]})
 
 
 def probe(words: np.ndarray, key: np.ndarray, base: np.ndarray, n_words: np.ndarray) -> np.ndarray:
@@ -232,10 +261,21 @@ class Chunk:
 
     def counts(self, c_tokens: np.ndarray, levels: np.ndarray, n_docs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of every token: counts of the bigram (a level's least), of the token before, of the token."""
-        c_token = c_tokens[self.token_at]
-        c_before = np.r_[np.int64(0), c_token[:-1]]
-        c_before[self.first] = n_docs
-        return edge(levels[self.pair_at].astype(np.int64)), c_before, c_token
+        return _counts(c_tokens[self.token_at], levels[self.pair_at], self.first, n_docs)
+
+
+def _counts(c_token: np.ndarray, levels: np.ndarray, first: np.ndarray, n_docs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    c_before = np.r_[np.int64(0), c_token[:-1]]
+    c_before[first] = n_docs
+    return edge(np.arange(256))[levels], c_before, c_token
+
+
+class Sizes:
+    """Texts of which only the numbers of tokens are known."""
+
+    def __init__(self, sizes: np.ndarray):
+        self.n_texts, self.text = len(sizes), np.repeat(np.arange(len(sizes)), sizes)
+        self.first = np.cumsum(sizes) - sizes
 
 
 def size_class(count: np.ndarray) -> np.ndarray:
@@ -299,101 +339,141 @@ def _cell_rows(n_cell: np.ndarray) -> pa.RecordBatch:
 class Broadcast:
     """Counts and filters that every worker holds."""
 
-    def __init__(self, counts, filters, totals: Totals):
-        self.counts, self.filters, self.totals = counts, filters, totals
+    def __init__(self, counts, filters, training: DataFrame, rows: DataFrame, totals: Totals):
+        self.counts, self.filters, self.training, self.rows, self.totals = counts, filters, training, rows, totals
 
     def chunks(self, batches: Iterator[pa.RecordBatch]):
         for ids, texts in chunks(batches, SCORE_BYTES):
             chunk = Chunk(texts)
             yield ids, chunk, chunk.counts(self.counts.value(chunk.tokens), self.filters.value(chunk.pairs), self.totals.n_docs)
 
-    def over(self, texts: DataFrame) -> DataFrame:
-        return texts
+    def over(self, train: bool) -> DataFrame:
+        return self.training if train else self.rows
+
+    def __getstate__(self):
+        return {"counts": self.counts, "filters": self.filters, "totals": self.totals}
 
 
 class Keyed:
-    """Counts and filters that stay with their buckets: each chunk's questions go there."""
+    """Counts and filters that stay with their buckets: each chunk's questions go there,
+    and the answers, kept by token, serve the fit and the scores."""
 
-    def __init__(self, counts: DataFrame, filters: DataFrame, n_buckets: int, totals: Totals):
-        self.n_buckets, self.totals = n_buckets, totals
-        packed = counts.withColumn("bucket", F.pmod("h", F.lit(n_buckets))).groupBy("bucket").applyInPandas(_packed, "bucket long, data binary")
-        self.sides = written(filters.select("bucket", F.lit(1).alias("kind"), F.col("bits").alias("data")).unionByName(packed.select("bucket", F.lit(0).alias("kind"), "data")), "sides")
+    def __init__(self, training: DataFrame, others: DataFrame, n_buckets: int, totals: Totals):
+        self.totals = totals
+        held = written(training.mapInArrow(_held(True), HELD).union(others.mapInArrow(_held(False), HELD)), "chunks")
+        told = written(held.mapInArrow(_ask(n_buckets), ASKED).groupBy("bucket").applyInPandas(_answer(n_buckets), ASKED), "told")
+        met = held.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInPandas(_meet(n_buckets), "train boolean, ids array<long>, sizes binary, c_tokens binary, levels binary")
+        self.met = written(met, "met")
 
-    def over(self, texts: DataFrame) -> DataFrame:
-        """chunk, texts, and the answers to its questions: a row a chunk."""
-        held = written(texts.mapInArrow(_held, "chunk long, texts binary"), "chunks")
-        asked = held.mapInArrow(_ask(self.n_buckets), "bucket long, chunk long, kind int, keys binary")
-        told = asked.groupBy("bucket").cogroup(self.sides.groupBy("bucket")).applyInPandas(_answer, "chunk long, kind int, bucket long, found binary")
-        return held.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInPandas(_meet, "texts binary, c_tokens binary, levels binary")
+    def over(self, train: bool) -> DataFrame:
+        """A row a chunk, of the training rows or of all."""
+        return (self.met.where("train") if train else self.met).drop("train")
 
     def chunks(self, batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            for texts, c_tokens, levels in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                ids, texts = _unheld(texts)
-                chunk = Chunk(texts)
-                order = [np.argsort(_bucket(k, self.n_buckets), kind="stable") for k in (chunk.tokens, chunk.pairs)]
-                found = np.empty(len(chunk.tokens), np.int64), np.empty(len(chunk.pairs), np.uint8)
-                found[0][order[0]], found[1][order[1]] = np.frombuffer(c_tokens, np.int64), np.frombuffer(levels, np.uint8)
-                yield ids, chunk, chunk.counts(*found, self.totals.n_docs)
+            for i in range(batch.num_rows):
+                ids, sizes, c_tokens, levels = (batch.column(k)[i].as_py() for k in range(4))
+                chunk = Sizes(_unplanes(sizes, np.int64))
+                yield ids, chunk, _counts(_unplanes(c_tokens, np.int64), _unplanes(levels, np.uint8), chunk.first, self.totals.n_docs)
 
     def __getstate__(self):
-        return {"n_buckets": self.n_buckets, "totals": self.totals}
+        return {"totals": self.totals}
+
+
+#: A chunk: its rows' ids and numbers of tokens, its distinct tokens, and the ranks by frequency of those that stand in it.
+HELD = "chunk long, train boolean, ids array<long>, sizes binary, tokens binary, token_at binary"
+#: What a chunk asks a bucket, and what it is told.
+ASKED = "bucket long, chunk long, tokens binary, pairs binary"
 
 
-def _packed(pdf: pd.DataFrame) -> pd.DataFrame:
-    key, n = pdf["h"].to_numpy(np.int64).view(np.uint64), pdf["n"].to_numpy(np.int64)
-    order = np.argsort(key)
-    return pd.DataFrame({"bucket": [int(pdf["bucket"].iloc[0])], "data": [key[order].tobytes() + n[order].tobytes()]})
+def _held(train: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        for n, (ids, texts) in enumerate(chunks(batches, KEYED_BYTES)):
+            text, h, _ = token_stream(texts)
+            tokens, at, n_token = np.unique(h, return_inverse=True, return_counts=True)
+            rank = np.empty(len(tokens), np.uint32)
+            rank[_frequent(n_token)] = np.arange(len(tokens))
+            column = lambda x: pa.array([x], pa.binary())
+            yield pa.record_batch({
+                "chunk": pa.array([(part << 32) + n], pa.int64()), "train": pa.array([train]), "ids": pa.array([ids], pa.list_(pa.int64())), "sizes": column(_planes(np.bincount(text, minlength=len(texts)))),
+                "tokens": column(pack_counts(tokens, n_token)), "token_at": column(_planes(rank[at])),
+            })
+
+    return run
 
 
-def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    part = TaskContext.get().partitionId()
-    for n, (ids, texts) in enumerate(chunks(batches, SCORE_BYTES)):
-        sink = pa.BufferOutputStream()
-        data = pa.record_batch({"id": pa.array(ids, pa.int64()), "text": pa.array(texts, pa.binary())})
-        with pa.ipc.new_stream(sink, data.schema) as out:
-            out.write_batch(data)
-        yield pa.record_batch({"chunk": pa.array([(part << 32) + n], pa.int64()), "texts": pa.array([zstandard.compress(sink.getvalue().to_pybytes(), 1)], pa.binary())})
+def _frequent(n_token: np.ndarray) -> np.ndarray:
+    """Tokens in order of frequency: ranks pack better than places."""
+    return np.argsort(-n_token.astype(np.int64), kind="stable")
 
 
-def _unheld(blob: bytes) -> tuple[list[int | None], list[bytes | None]]:
-    data = pa.ipc.open_stream(zstandard.decompress(blob)).read_all()
-    return data["id"].to_pylist(), data["text"].to_pylist()
+def _unheld(sizes: bytes, tokens: bytes, token_at: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct tokens and their counts, which of them stand where, and the bigram at each place."""
+    tokens, n_token = unpack_counts(tokens)
+    at = _frequent(n_token)[_unplanes(token_at, np.uint32)]
+    h, sizes = tokens[at], _unplanes(sizes, np.int64)
+    before = np.r_[_START, h[:-1]]
+    before[np.cumsum(sizes) - sizes] = _START
+    return tokens, n_token, at, pair(before, h)
 
 
 def _ask(n_buckets: int):
+    def runs(key: np.ndarray, n: np.ndarray) -> list[bytes]:
+        """By bucket, keys as multiples of n_buckets, which are shorter, with their counts."""
+        bucket, order = _by_bucket(key, n_buckets)
+        ends = np.cumsum(np.bincount(bucket, minlength=n_buckets))
+        whole, n = (key.view(np.int64)[order] // n_buckets).view(np.uint64), n[order]
+        return [pack_counts(whole[i:j], n[i:j]) for i, j in zip(np.r_[0, ends[:-1]].tolist(), ends.tolist(), strict=True)]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk_id, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                chunk = Chunk(_unheld(blob)[1])
-                for kind, key in enumerate((chunk.tokens, chunk.pairs)):
-                    bucket = _bucket(key, n_buckets)
-                    order = np.argsort(bucket, kind="stable")
-                    key, bucket = key[order], bucket[order]
-                    first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-                    stop = np.r_[first[1:], len(key)]
-                    yield pa.record_batch({"bucket": bucket[first], "chunk": np.full(len(first), chunk_id), "kind": np.full(len(first), kind, np.int32), "keys": pa.array([key[i:j].tobytes() for i, j in zip(first.tolist(), stop.tolist(), strict=True)], pa.binary())})
+            for i in range(batch.num_rows):
+                chunk_id, train, _, *held = (batch.column(k)[i].as_py() for k in range(6))
+                tokens, n_token, _, pairs = _unheld(*held)
+                pairs, n = _tally(pairs)
+                # Rows to score only are asked about, and not counted.
+                asked = runs(tokens, train * n_token), runs(pairs, train * n)
+                yield pa.record_batch({"bucket": np.arange(n_buckets), "chunk": np.full(n_buckets, chunk_id), "tokens": pa.array(asked[0], pa.binary()), "pairs": pa.array(asked[1], pa.binary())})
+
+    return run
+
+
+def _answer(n_buckets: int):
+    """Sums a bucket's runs, and answers each of them in its order."""
+
+    def summed(runs: pd.Series, bucket: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        parts = [unpack_counts(b) for b in runs]
+        key = (np.concatenate([p[0] for p in parts]).view(np.int64) * n_buckets + bucket).view(np.uint64)
+        key, at = np.unique(key, return_inverse=True)
+        return key, np.bincount(at, np.concatenate([p[1] for p in parts]), len(key)).astype(np.int64), at, np.cumsum([len(p[0]) for p in parts])[:-1]
+
+    def run(asked: pd.DataFrame) -> pd.DataFrame:
+        bucket = int(asked["bucket"].iloc[0])
+        _, c_tokens, at, ends = summed(asked["tokens"], bucket)
+        tokens = [_planes(x) for x in np.split(c_tokens[at], ends)]
+        key, n, at, ends = summed(asked["pairs"], bucket)
+        words = _filter(key[n > 0], n[n > 0])
+        levels = probe(words, key, np.zeros(len(key), np.int64), np.full(len(key), len(words), np.uint64))
+        return pd.DataFrame({"bucket": asked["bucket"], "chunk": asked["chunk"], "tokens": tokens, "pairs": [_planes(x) for x in np.split(levels[at], ends)]})
 
     return run
 
 
-def _answer(asked: pd.DataFrame, side: pd.DataFrame) -> pd.DataFrame:
-    counts, words = Counts(np.zeros(0, np.uint64), np.zeros(0, np.int64)), np.zeros(0, np.uint64)
-    for kind, data in zip(side["kind"], side["data"], strict=True):
-        if kind:
-            words = np.frombuffer(data, np.uint64)
-        else:
-            counts = Counts(np.frombuffer(data, np.uint64, len(data) // 16), np.frombuffer(data, np.int64, offset=len(data) // 2))
-    found = []
-    for kind, keys in zip(asked["kind"], asked["keys"], strict=True):
-        key = np.frombuffer(keys, np.uint64)
-        found.append(probe(words, key, np.zeros(len(key), np.int64), np.full(len(key), len(words), np.uint64)).tobytes() if kind else counts(key).tobytes())
-    return pd.DataFrame({"chunk": asked["chunk"], "kind": asked["kind"], "bucket": asked["bucket"], "found": found})
+def _meet(n_buckets: int):
+    def spread(key: np.ndarray, told: pd.Series, kind) -> np.ndarray:
+        out = np.empty(len(key), kind)
+        out[_by_bucket(key, n_buckets)[1]] = np.concatenate([_unplanes(b, kind) for b in told])
+        return out
 
+    def run(held: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        told, row = told.sort_values("bucket"), held.iloc[0]
+        tokens, _, at, pairs = _unheld(row["sizes"], row["tokens"], row["token_at"])
+        pairs, pair_at = np.unique(pairs, return_inverse=True)
+        c_tokens, levels = spread(tokens, told["tokens"], np.int64)[at], spread(pairs, told["pairs"], np.uint8)[pair_at]
+        return held[["train", "ids", "sizes"]].assign(c_tokens=[_planes(c_tokens)], levels=[_planes(levels)])
 
-def _meet(held: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
-    told = told.sort_values("bucket")
-    return pd.DataFrame({"texts": held["texts"], "c_tokens": [b"".join(told.loc[told["kind"] == 0, "found"])], "levels": [b"".join(told.loc[told["kind"] == 1, "found"])]})
+    return run
 
 
 def _cells(lookup):
@@ -426,24 +506,27 @@ def lm_score(docs: DataFrame, train, max_tokens: int = MAX_TOKENS, max_filter_by
     counts = written(training.mapInArrow(_count_tokens, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "tokens")
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.coalesce(F.max(F.when(F.col("h") == int(np.array(_END).view(np.int64)), F.col("n"))), F.lit(0))).first()
     totals = Totals(*(int(v) for v in total))
-    n_buckets = max(8, totals.n_tokens // BUCKET_TOKENS)
-    runs = training.mapInArrow(_count_pairs(n_buckets), "bucket long, counts binary")
-    filters = written(runs.groupBy("bucket").applyInPandas(_bucket_filter, "bucket long, bits binary"), "filters")
-    size = filters.agg(F.coalesce(F.sum(F.length("bits")), F.lit(0))).first()[0]
-    if totals.n_distinct > max_tokens or size > max_filter_bytes:
-        lookup = Keyed(counts, filters, n_buckets, totals)
+    n_buckets = buckets(totals.n_tokens)
+    keyed = totals.n_distinct > max_tokens
+    if not keyed:
+        runs = training.mapInArrow(_count_pairs(n_buckets), "bucket long, counts binary")
+        filters = written(runs.groupBy("bucket").applyInPandas(_bucket_filter, "bucket long, bits binary"), "filters")
+        keyed = filters.agg(F.coalesce(F.sum(F.length("bits")), F.lit(0))).first()[0] > max_filter_bytes
+    if keyed:
+        others = docs.where(~F.coalesce(train, F.lit(False))).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+        lookup = Keyed(training, others, n_buckets, totals)
     else:
         # Both are of a checked size, and so is the number of buckets: each holds millions of bigrams.
         sizes = sorted((r.bucket, r.size) for r in filters.select("bucket", F.length("bits").alias("size")).collect())
         hot = counts.toArrow()
         known = context.broadcast(Counts(hot["h"].to_numpy().view(np.uint64), hot["n"].to_numpy()))
         del hot
-        lookup = Broadcast(known, context.broadcast(PairFilter(n_buckets, sizes, ((r.bucket, r.bits) for r in filters.toLocalIterator()))), totals)
+        lookup = Broadcast(known, context.broadcast(PairFilter(n_buckets, sizes, ((r.bucket, r.bits) for r in filters.toLocalIterator()))), training, rows, totals)
     # As many rows as there are cells in use, whatever the input.
     n_cell = np.zeros(_CLASSES * _ODDS, np.int64)
-    for r in lookup.over(training).mapInArrow(_cells(lookup), _CELL).groupBy("cell").agg(F.sum("n").alias("n")).collect():
+    for r in lookup.over(True).mapInArrow(_cells(lookup), _CELL).groupBy("cell").agg(F.sum("n").alias("n")).collect():
         n_cell[r.cell] = r.n
-    out = lookup.over(rows).mapInArrow(_score(lookup, fit_shares(n_cell)), _ROW)
+    out = lookup.over(False).mapInArrow(_score(lookup, fit_shares(n_cell)), _ROW)
     return out.select("doc_id", "n_tokens", "n_known", F.lit(totals.n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
