@@ -70,3 +70,34 @@ def test_keep_one_keeps_each_text_without_an_id(spark):
     got = [tuple(r) for r in simhash.keep_one(docs).collect()]
     want = [(None, "q r s t u"), (None, "one two three four five six"), (None, None), (7, "alpha beta gamma delta")]
     assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def _prints(spark, prints):
+    return spark.createDataFrame([(p, p) for p in prints.view(np.int64).tolist()], "node long, print long").withColumn("ones", simhash.F.bit_count("print"))
+
+
+def test_prints_far_apart_are_not_compared(spark, monkeypatch):
+    # Random prints: the pairs that share a band are few, where all pairs were compared before.
+    monkeypatch.setattr(simhash, "tiled", lambda *_: 1 / 0)
+    rng = np.random.default_rng(8)
+    prints = rng.integers(0, 2**64, 3000, dtype=np.uint64)
+    near = prints[:200] ^ (np.uint64(1) << np.uint64(3)) ^ (np.uint64(1) << np.uint64(40)) ^ (np.uint64(1) << np.uint64(63))
+    far = prints[200:400] ^ np.uint64(0x0001000100010001)
+    got = simhash.links(_prints(spark, np.concatenate([prints, near, far]))).collect()
+    assert {frozenset((r.a, r.b)) for r in got} == {frozenset(x) for x in zip(prints[:200].view(np.int64).tolist(), near.view(np.int64).tolist())}
+
+
+def test_bands_shared_by_many_and_by_few(spark):
+    # Prints that share a band, in runs of 1 to 300, some beyond a tile: no link is lost.
+    rng = np.random.default_rng(4)
+    hot = rng.integers(0, 2**48, 300, dtype=np.uint64) << np.uint64(16) | np.uint64(77)
+    hot = np.concatenate([hot, hot[:90] ^ (np.uint64(5) << np.uint64(30)), hot[:60] ^ np.uint64(2)])
+    base = rng.integers(0, 2**64, 12, dtype=np.uint64)
+    chains = np.concatenate([base ^ np.uint64((1 << k) - 1) for k in range(0, 40, 3)])
+    prints = np.unique(np.concatenate([hot, chains]))
+    ids = prints.view(np.int64).tolist()
+    for radius in (0, 1, 3, 9):
+        want = brute_components(ids, [int(p) for p in prints], radius)
+        for tile in (7, 100, 8192):
+            of = {r.node: r.component for r in simhash.components(simhash.links(_prints(spark, prints), radius, tile)).collect()}
+            assert {i: of.get(i, i) for i in ids} == want

@@ -1,11 +1,14 @@
 """SimHash fingerprints and their tiled exact comparison.
 
-Fingerprints of whole texts are reduced to the distinct ones, sorted by population count
-and cut into tiles of a fixed size. Tile pairs whose population counts differ by more
-than the radius cannot hold a link and are never made; each other pair of tiles is one
-small row (two byte strings), compared by exclusive-or and bit counts in numpy. A pair
-of tiles returns a spanning forest of its links, so a group of near copies costs its
-members and not its pairs; the forests are joined by connected components.
+Fingerprints of whole texts are reduced to the distinct ones. Of bits cut into one band
+more than the radius, two linked prints share at least one band whole. So each print goes
+to one tile by each of its bands, and only prints of a tile with the same band are compared
+there, by exclusive-or and bit counts in numpy. Bands that more than a tile of prints share
+are compared as a whole: their prints are sorted by population count and cut into tiles of
+a fixed size. Tile pairs whose population counts differ by more than the radius cannot hold
+a link and are never made; each other pair of tiles is one small row (two byte strings).
+Tiles return a spanning forest of their links, so a group of near copies costs its members
+and not its pairs; the forests are joined by connected components.
 
 Defined results: a null or wordless text has fingerprint zero and is linked like any
 other; repeated rows share a component; an empty table gives an empty result; other
@@ -27,6 +30,8 @@ from varve.llm.common import small_batches, table, written
 from varve.llm.components import components
 
 SHINGLE, SEED, RADIUS, TILE = 3, 42, 3, 8192
+#: Prints of a tile of one band, about; bits of a band at least; runs up to which prints are compared across all runs at once.
+BAND_TILE, LEAST_BITS, SHORT = 4096, 8, 64
 _SLICE = 1 << 16
 
 
@@ -60,21 +65,30 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInPandas(_fingerprints, "doc_id long, text_hash long, print long, ones int")
 
 
+def _roots(parent: np.ndarray, x: np.ndarray) -> np.ndarray:
+    r = parent[x]
+    while True:
+        up = parent[r]
+        if np.array_equal(up, r):
+            return r
+        r = up
+
+
+def _unite(parent: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+    while len(i):
+        a, b = _roots(parent, i), _roots(parent, j)
+        apart = a != b
+        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+        if len(i):
+            np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
+
+
 def forest(left: np.ndarray, right: np.ndarray, radius: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
     """Positions (in left followed by right) and roots of a spanning forest of the links."""
     n, m = len(left), len(right)
     parent = np.arange(n + m)
     if same:
         parent[n:] = np.arange(n)
-
-    def roots(x):
-        r = parent[x]
-        while True:
-            up = parent[r]
-            if np.array_equal(up, r):
-                return r
-            r = up
-
     ones_l, ones_r = np.bitwise_count(left).astype(np.int16), np.bitwise_count(right).astype(np.int16)
     step = max(1, (1 << 21) // max(m, 1))
     for at in range(0, n, step):
@@ -86,15 +100,9 @@ def forest(left: np.ndarray, right: np.ndarray, radius: int, same: bool) -> tupl
             continue
         near = np.bitwise_count(left[rows, None] ^ right[None, lo:hi]) <= radius
         i, j = np.nonzero(near)
-        i, j = i + at, j + lo + n
-        while len(i):
-            a, b = roots(i), roots(j)
-            apart = a != b
-            i, j, a, b = i[apart], j[apart], a[apart], b[apart]
-            if len(i):
-                np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
+        _unite(parent, i + at, j + lo + n)
     all_ = np.arange(n if same else n + m)
-    top = roots(all_)
+    top = _roots(parent, all_)
     moved = top != all_
     return all_[moved], top[moved]
 
@@ -115,8 +123,64 @@ def _tile(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"tile": [pdf["tile"].iloc[0]], "lo": [int(pdf["ones"].iloc[0])], "hi": [int(pdf["ones"].iloc[-1])], "ids": [pdf["node"].to_numpy(np.int64).tobytes()], "prints": [pdf["print"].to_numpy(np.int64).tobytes()]})
 
 
+def bands(radius: int) -> list[tuple[int, int]]:
+    """First bit and number of bits of each of radius + 1 bands."""
+    ends = [64 * k // (radius + 1) for k in range(radius + 2)]
+    return [(a, b - a) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+
+def banded(prints: np.ndarray, first: int, bits: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions and roots of a spanning forest of the links between prints that share a band."""
+    band = prints >> np.uint64(first) & np.uint64((1 << bits) - 1)
+    order = np.lexsort((prints, np.bitwise_count(prints), band))
+    x, band, parent = prints[order], band[order], np.arange(len(prints))
+    start = np.flatnonzero(np.r_[True, band[1:] != band[:-1]]) if len(x) else np.zeros(0, np.int64)
+    size = np.diff(np.r_[start, len(x)])
+    # Of short runs, each print with the next of its run, then with the one after that, and so on.
+    left = np.repeat(start + size, size) - np.arange(len(x))
+    at, k = np.flatnonzero(np.repeat(size <= SHORT, size)), 1
+    while len(at := at[left[at] > k]):
+        near = at[np.bitwise_count(x[at] ^ x[at + k]) <= radius]
+        _unite(parent, near, near + k)
+        k += 1
+    for a, n in zip(start[size > SHORT].tolist(), size[size > SHORT].tolist(), strict=True):
+        i, top = forest(x[a : a + n], x[a : a + n], radius, True)
+        parent[a + i] = a + top
+    top = _roots(parent, np.arange(len(x)))
+    moved = np.flatnonzero(top != np.arange(len(x)))
+    return order[moved], order[top[moved]]
+
+
+def _banded(radius: int):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        nodes, (first, bits) = pdf["node"].to_numpy(np.int64), bands(radius)[int(pdf["band"].iloc[0])]
+        x, top = banded(pdf["print"].to_numpy(np.int64).view(np.uint64), first, bits, radius)
+        return pd.DataFrame({"a": nodes[x], "b": nodes[top]})
+
+    return run
+
+
 def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
     """distinct: node, print, ones. Returns a, b: spanning forests of the links within radius."""
+    cut = bands(radius)
+    if min(bits for _, bits in cut) < LEAST_BITS:
+        return tiled(distinct, radius, tile)
+    count = distinct.count()
+    of = [F.struct(F.lit(k).alias("band"), F.shiftrightunsigned("print", a).bitwiseAND(F.lit((1 << n) - 1 if n < 64 else -1)).alias("value")) for k, (a, n) in enumerate(cut)]
+    placed = distinct.select("*", F.explode(F.array(*of)).alias("of")).select("node", "print", "ones", "of.band", "of.value")
+    # At most as many rows as bands have values, whatever the input; most inputs have none.
+    hot = written(placed.groupBy("band", "value").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > tile).drop("n"), "hot")
+    shared = None
+    if hot.limit(1).count():
+        shared = tiled(placed.join(hot, ["band", "value"], "left_semi").select("node", "print", "ones").distinct(), radius, tile)
+        placed = placed.join(hot, ["band", "value"], "left_anti")
+    placed = placed.select("node", "print", "band", F.pmod(F.xxhash64("value"), F.lit(max(1, -(-count // BAND_TILE)))).alias("tile"))
+    found = placed.groupBy("band", "tile").applyInPandas(_banded(radius), "a long, b long")
+    return found.union(shared) if shared is not None else found
+
+
+def tiled(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+    """links() by comparing every pair of tiles that can hold one."""
     spark = distinct.sparkSession
     # How many prints each population count has: 65 rows, whatever the input.
     sizes = dict(distinct.groupBy("ones").count().collect())
