@@ -80,3 +80,17 @@ def test_products_are_exact():
     for top in (3, 2**26, 2**28):
         a, b = r.integers(-top, top, (5, 30)), r.integers(-top, top, (7, 30))
         assert hn.multiply(a, b).tolist() == [[sum(int(x) * int(y) for x, y in zip(u, v)) for v in b] for u in a]
+
+
+def test_many_stripes_and_no_shuffled_scores(spark, monkeypatch):
+    r = random.Random(12)
+    rows = [(k, 1 if k % 4 else r.randint(2, 9), [r.randint(-3, 6) for _ in range(40)]) for k in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, label long, vec array<long>")
+    plans, kept = [], hn.written
+    monkeypatch.setattr(hn, "written", lambda df, tag: (plans.append(df._jdf.queryExecution().toString()), kept(df, tag))[1])
+    # Stripes of two blocks of rows and four of anchors.
+    monkeypatch.setattr(hn, "STRIPE", 40 * 16 * 2)
+    monkeypatch.setattr(hn, "MIN_STRIPES", 3)
+    assert mined(df, row_block=16, anchor_block=8) == brute(rows, lambda i: i % 3 == 0)
+    # Blocks travel, and a few rows an anchor; partial tiles did before.
+    assert plans and not any("tile" in p for p in plans)

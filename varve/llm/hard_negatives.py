@@ -2,16 +2,17 @@
 
 Scores are integer inner products, so partial sums may be added in any order. Rows are
 grouped by label, groups are cut into blocks, and blocks into chunks of dimensions;
-anchors likewise. A task multiplies a chunk of anchors by the same chunk of a block of rows into
-a tile of partial scores, as int64; the tiles of a pair of blocks, one a chunk, are
-shuffled to one task and added. There the whole scores are reduced at once: to the
-nearest rows of the anchor's label, or to the best rows of other labels within each
-window that a positive's score opens. What leaves a tile is a few rows an anchor, and a
-ranking keeps the first of all tiles. No score matrix is stored.
+anchors likewise. Tiles of scores stay where they are: a task owns a stripe of anchor blocks
+and a stripe of row blocks, whose chunks are sent to it; for each pair of blocks it multiplies
+them chunk by chunk and adds the products to one tile, as int64. The whole scores are reduced
+at once: to the nearest rows of the anchor's label, or to the best rows of other labels
+within each window that a positive's score opens. What leaves a task is a few rows an anchor,
+and a ranking keeps the first of all tasks. No score, partial or whole, is shuffled or stored:
+rows are sent once a stripe of anchors, and anchors once a stripe of rows. Stripes are of
+megabytes, and so both are few.
 
 Positives are searched only in pairs of blocks of one group, negatives in all pairs but
-those of one single label, so the two passes together are about one full multiplication.
-The number of chunks is bounded, so the tiles of a pair fit a task. A label that holds a
+those of one single label, so the two passes together are about one full multiplication. A label that holds a
 third of the rows fills many blocks, and labels of few rows share one.
 
 Defined results: rows with a null id, label or vector, with a null or non-finite
@@ -39,9 +40,12 @@ from varve.llm.common import table, written
 #: Rows of a block, anchors of a block, dimensions of a chunk at least, chunks at most.
 ROW_BLOCK, ANCHOR_BLOCK, CHUNK, MAX_CHUNKS = 4096, 256, 32, 8
 POSITIVES, NEGATIVES = 5, 3
-_EXACT = 2.0**53
+#: Numbers of a stripe of blocks, about; stripes of rows at least, if there are as many blocks.
+STRIPE, MIN_STRIPES = 1 << 23, 24
+#: Whole numbers below are exact in floating point.
+_EXACT = {np.float32: 2.0**24, np.float64: 2.0**53}
 #: A block: its name, group and rows, and by chunk the values; ids, labels and marks with the first.
-BLOCK = "block string, group string, single boolean, n int, chunk int, ids binary, labels binary, numbers binary, marks binary, part binary"
+BLOCK = "block string, group string, single boolean, n int, chunk int, ids binary, labels binary, numbers binary, marks binary, kind string, part binary"
 
 
 def usable(rows: DataFrame, id_col: str, vec_col: str, label: Column, scale: float = 256.0) -> DataFrame:
@@ -70,6 +74,7 @@ def _blocks(rows: DataFrame, size: int, dim: int, tag: str) -> DataFrame:
     def cut(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("number", kind="stable")
         values, out = np.stack(pdf["vec"].to_numpy()).astype(np.int64), []
+        kind = next(k for k in ("<i2", "<i4", "<i8") if _largest(values) < 2 ** (8 * int(k[2]) - 1) or k == "<i8")
         # Labels and hashes do not fill blocks evenly: what is over a block is cut again.
         for at in range(0, len(pdf), size):
             rows, part = pdf.iloc[at : at + size], values[at : at + size]
@@ -77,7 +82,7 @@ def _blocks(rows: DataFrame, size: int, dim: int, tag: str) -> DataFrame:
             for chunk, first in enumerate(range(0, dim, step)):
                 head = {c: rows[s].to_numpy(np.int64).tobytes() if chunk == 0 else None for c, s in (("ids", "vec_id"), ("labels", "label"), ("numbers", "number"))}
                 marks = b"".join(rows["mark"]) if chunk == 0 else None
-                out.append(fixed | {"chunk": chunk} | head | {"marks": marks, "part": np.ascontiguousarray(part[:, first : first + step]).tobytes()})
+                out.append(fixed | {"chunk": chunk} | head | {"marks": marks, "kind": kind, "part": np.ascontiguousarray(part[:, first : first + step]).astype(kind).tobytes()})
         return pd.DataFrame(out)
 
     sizes = rows.groupBy("group").agg(F.count(F.lit(1)).alias("__n")).withColumnRenamed("group", "__group")
@@ -91,113 +96,123 @@ def _step(dim: int) -> int:
     return max(CHUNK, -(-dim // MAX_CHUNKS))
 
 
-def multiply(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """a times b transposed, as int64: in floating point where no partial sum can round."""
-    if float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * a.shape[1] < _EXACT:
-        return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
-    return a @ b.T
+def _largest(x: np.ndarray) -> float:
+    return max(float(x.max(initial=0)), -float(x.min(initial=0)))
 
 
-TILE = "a_block string, block string, chunk int, a_ids binary, a_labels binary, a_numbers binary, a_marks binary, ids binary, labels binary, numbers binary, tile binary"
+def multiply(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a times b transposed, as int64: in floating point where no partial sum can round."""
+    most = _largest(a) * _largest(b) * a.shape[1]
+    for kind, exact in _EXACT.items():
+        if most < exact:
+            return (a.astype(kind) @ b.astype(kind).T).astype(np.int64)
+    return a.astype(np.int64) @ b.astype(np.int64).T
 
 
-def _partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for r in batch.itertuples(index=False):
-            a = np.frombuffer(r.a_part, np.int64).reshape(r.a_n, -1)
-            b = np.frombuffer(r.part, np.int64).reshape(r.n, -1)
-            yield pd.DataFrame([{
-                "a_block": r.a_block, "block": r.block, "chunk": r.chunk, "a_ids": r.a_ids, "a_labels": r.a_labels, "a_numbers": r.a_numbers, "a_marks": r.a_marks,
-                "ids": r.ids, "labels": r.labels, "numbers": r.numbers, "tile": multiply(a, b).tobytes(),
-            }])
+class Block:
+    """Rows of a block, and their numbers by chunk of dimensions."""
 
+    def __init__(self, chunks: pd.DataFrame):
+        chunks = chunks.sort_values("chunk")
+        head = chunks.iloc[0]
+        self.group, self.single, self.marks = head["group"], head["single"], head["marks"]
+        self.ids, self.labels, self.numbers = (np.frombuffer(head[c], np.int64) for c in ("ids", "labels", "numbers"))
+        self.parts = [np.frombuffer(p, k).reshape(head["n"], -1) for k, p in zip(chunks["kind"], chunks["part"], strict=True)]
 
-def _added(pdf: pd.DataFrame):
-    """The whole scores of a pair of blocks, and what stands beside them."""
-    head = pdf.loc[pdf["chunk"] == 0].iloc[0]
-    read = lambda c: np.frombuffer(head[c], np.int64)
-    a = {c: read(f"a_{c}") for c in ("ids", "labels", "numbers")}
-    b = {c: read(c) for c in ("ids", "labels", "numbers")}
-    score = np.zeros((len(a["ids"]), len(b["ids"])), np.int64)
-    for tile in pdf["tile"]:
-        score += np.frombuffer(tile, np.int64).reshape(score.shape)
-    return a, b, score, head["a_marks"]
+    def scores(self, other: Block) -> np.ndarray:
+        """A whole tile: its partial products are added where they are made."""
+        out = np.zeros((len(self.ids), len(other.ids)), np.int64)
+        for a, b in zip(self.parts, other.parts, strict=True):
+            out += multiply(a, b)
+        return out
 
 
-def _first(score: np.ndarray, where: np.ndarray, b: dict, k: int) -> np.ndarray:
+def _first(score: np.ndarray, where: np.ndarray, b: Block, k: int) -> np.ndarray:
     """Of the places where, the k with the highest scores; ties by id, then number."""
     if len(where) > k:
         s = score[where]
         where = where[s >= np.partition(s, len(s) - k)[len(s) - k]]
-    return where[np.lexsort((b["numbers"][where], b["ids"][where], -score[where]))][:k]
+    return where[np.lexsort((b.numbers[where], b.ids[where], -score[where]))][:k]
 
 
 FOUND = "anchor long, anchor_id long, positive int, positive_id long, positive_score long, other long, other_id long, score long"
 _NAMES = [f.split()[0] for f in FOUND.split(", ")]
 
 
-def _frame(rows: list[tuple]) -> pd.DataFrame:
+def _frame(rows: list[tuple], k: int) -> pd.DataFrame:
+    """rows of FOUND: of each anchor and positive, the first k."""
     values = np.array(rows, np.int64).reshape(-1, len(_NAMES))
-    return pd.DataFrame({n: values[:, k].astype(np.int32 if n == "positive" else np.int64) for k, n in enumerate(_NAMES)})
+    x = {n: values[:, i] for i, n in enumerate(_NAMES)}
+    order = np.lexsort((x["other"], x["other_id"], -x["score"], x["positive"], x["anchor"]))
+    key = values[order][:, [_NAMES.index("anchor"), _NAMES.index("positive")]]
+    start = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(axis=1)]) if len(key) else np.zeros(0, np.int64)
+    size = np.diff(np.r_[start, len(key)])
+    order = order[np.arange(len(key)) - np.repeat(start, size) < k]
+    return pd.DataFrame({n: v[order].astype(np.int32 if n == "positive" else np.int64) for n, v in x.items()})
 
 
 def _positives(k: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b, score, _ = _added(pdf)
-        out = []
-        for i, (id_, label, number) in enumerate(zip(a["ids"].tolist(), a["labels"].tolist(), a["numbers"].tolist(), strict=True)):
-            where = np.flatnonzero((b["labels"] == label) & (b["ids"] != id_))
-            out += [(number, id_, 0, 0, 0, b["numbers"][j], b["ids"][j], score[i, j]) for j in _first(score[i], where, b, k).tolist()]
-        return _frame(out)
+    """Nearest rows of the anchors' labels, in blocks of their group."""
+
+    def run(a: Block, b: Block) -> list[tuple]:
+        if a.group != b.group:
+            return []
+        score, out = a.scores(b), []
+        for i, (id_, label, number) in enumerate(zip(a.ids.tolist(), a.labels.tolist(), a.numbers.tolist(), strict=True)):
+            where = np.flatnonzero((b.labels == label) & (b.ids != id_))
+            out += [(number, id_, 0, 0, 0, b.numbers[j], b.ids[j], score[i, j]) for j in _first(score[i], where, b, k).tolist()]
+        return out
 
     return run
 
 
 def _negatives(k: int, low: int, high: int, width: int):
-    """width: positives of an anchor at most; its marks are their ids and scores."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b, score, marks = _added(pdf)
-        marks = np.frombuffer(marks, np.int64).reshape(len(a["ids"]), 1 + 2 * width)
-        out = []
-        for i, (id_, label, number) in enumerate(zip(a["ids"].tolist(), a["labels"].tolist(), a["numbers"].tolist(), strict=True)):
-            apart = np.flatnonzero((b["labels"] != label) & (b["ids"] != id_))
+    """Nearest rows of other labels, in all blocks but those of the anchors' one label. width:
+    positives of an anchor at most; its marks are their ids and scores."""
+
+    def run(a: Block, b: Block) -> list[tuple]:
+        if a.group == b.group and a.single:
+            return []
+        score, out = a.scores(b), []
+        marks = np.frombuffer(a.marks, np.int64).reshape(len(a.ids), 1 + 2 * width)
+        for i, (id_, label, number) in enumerate(zip(a.ids.tolist(), a.labels.tolist(), a.numbers.tolist(), strict=True)):
+            apart = np.flatnonzero((b.labels != label) & (b.ids != id_))
             s = score[i, apart]
             for p in range(int(marks[i, 0])):
                 p_id, p_score = marks[i, 1 + 2 * p : 3 + 2 * p].tolist()
                 # Bounds in whole numbers: the scores themselves are not multiplied again.
                 where = apart[(s >= -(-low * p_score // 100)) & (s <= high * p_score // 100)]
-                out += [(number, id_, p, p_id, p_score, b["numbers"][j], b["ids"][j], score[i, j]) for j in _first(score[i], where, b, k).tolist()]
-        return _frame(out)
+                out += [(number, id_, p, p_id, p_score, b.numbers[j], b.ids[j], score[i, j]) for j in _first(score[i], where, b, k).tolist()]
+        return out
 
     return run
 
 
-def alike(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Pairs of blocks that may hold one label: those of one group."""
-    heads = lambda df, name: df.where("chunk = 0").select("group", F.col("block").alias(name))
-    return heads(a, "a_block").join(heads(b, "block"), "group").drop("group")
+def _striped(blocks: DataFrame, name: str, stripe: int, least: int) -> tuple[DataFrame, int]:
+    """blocks with the number of their stripe, blocks of one group side by side, and how many
+    stripes there are."""
+    heads = blocks.where("chunk = 0").select("block", F.row_number().over(Window.orderBy("group", "block")).alias("no"))  # one row a block
+    count = heads.count()
+    n = max(1, min(count, max(least, -(-count // max(1, stripe)))))
+    return blocks.join(heads.select("block", F.floor((F.col("no") - 1) * n / max(1, count)).cast("int").alias(name)), "block"), n
 
 
-def apart(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Pairs of blocks that hold two labels: all but those of one label's own group. Blocks
-    are numbered, and the pairs of numbers joined to both."""
-    no = F.row_number().over(Window.orderBy("block")) - 1
-    heads = lambda df: df.where("chunk = 0").select("block", "group", "single", no.alias("no"))  # noqa: E731  one row a block
-    left, right = heads(a).withColumnsRenamed({"block": "a_block", "group": "a_group", "single": "a_single", "no": "a_no"}), heads(b)
-    n_a, n_b = left.count(), right.count()
-    pairs = a.sparkSession.range(n_a * n_b).select((F.col("id") % n_a).cast("int").alias("a_no"), F.floor(F.col("id") / n_a).cast("int").alias("no"))
-    return pairs.join(left, "a_no").join(right, "no").where(~(F.col("single") & (F.col("a_group") == F.col("group")))).select("a_block", "block")
+def _multiplied(anchors: DataFrame, rows: DataFrame, reduce_, k: int, stripes: tuple[int, int]) -> DataFrame:
+    """Scores of the pairs of blocks, reduced, by tasks of a stripe of anchors and one of rows.
+    stripes: blocks in one, of anchors and of rows."""
+    left, lines = _striped(anchors, "line", stripes[0], 1)
+    right, columns = _striped(rows, "col", stripes[1], MIN_STRIPES)
 
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        of_rows, found = [Block(x) for _, x in b.groupby("block")], []
+        for _, x in a.groupby("block"):
+            first = Block(x)
+            found.append(_frame([row for other in of_rows for row in reduce_(first, other)], k))
+        return pd.concat(found) if found else _frame([], k)
 
-def _multiplied(pairs: DataFrame, anchors: DataFrame, rows: DataFrame, n_chunks: int, reduce_) -> DataFrame:
-    """Partial tiles of the pairs, a task row each, then whole tiles, reduced."""
-    tiles = pairs.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(n_chunks - 1))))
-    carried = {"ids": "a_ids", "labels": "a_labels", "numbers": "a_numbers", "marks": "a_marks", "part": "a_part", "n": "a_n"}
-    left = anchors.select(F.col("block").alias("a_block"), "chunk", *[F.col(c).alias(n) for c, n in carried.items()])
-    right = rows.select("block", "chunk", "ids", "labels", "numbers", "part", "n")
-    work = tiles.join(left, ["a_block", "chunk"]).join(right, ["block", "chunk"])
-    return work.mapInPandas(_partial, TILE).groupBy("a_block", "block").applyInPandas(reduce_, FOUND)
+    # Tasks in a few of many partitions each, so that hardly two meet in one.
+    sent = lambda df, name, n: df.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).repartition(min(4096, 4 * lines * columns), "line", "col").groupBy("line", "col")
+    return sent(left, "col", columns).cogroup(sent(right, "line", lines)).applyInPandas(run, FOUND)
 
 
 def _ranked(found: DataFrame, k: int, tag: str) -> DataFrame:
@@ -217,12 +232,12 @@ def mine(rows: DataFrame, anchors: Column, n_positives: int = POSITIVES, n_negat
     if lengths is None:
         return none
     dim, count = lengths["d"], lengths["count"]
-    n_chunks = -(-dim // _step(dim))
+    stripes = STRIPE // (dim * anchor_block), STRIPE // (dim * row_block)
     held = written(grouped(held.where(F.size("vec") == dim), count, row_block), "grouped")
     asked, plain = held.where(anchors), F.lit(b"").alias("mark")
     blocks = _blocks(held.select("*", plain), row_block, dim, "row-blocks")
     first = _blocks(asked.select("*", plain), anchor_block, dim, "anchor-blocks")
-    positives = _ranked(_multiplied(alike(first, blocks), first, blocks, n_chunks, _positives(n_positives)), n_positives, "positives")
+    positives = _ranked(_multiplied(first, blocks, _positives(n_positives), n_positives, stripes), n_positives, "positives")
     # An anchor's positives travel with it, as whole numbers: how many, then ids and scores.
     marks = positives.groupBy(F.col("anchor").alias("number")).agg(F.sort_array(F.collect_list(F.struct("rank", "other_id", "score"))).alias("p"))
     width = 1 + 2 * n_positives
@@ -233,7 +248,7 @@ def mine(rows: DataFrame, anchors: Column, n_positives: int = POSITIVES, n_negat
 
     flat = F.concat(F.array(F.size("p").cast("long")), F.flatten(F.transform("p", lambda r: F.array(r["other_id"], r["score"]))))
     second = _blocks(asked.join(marks.select("number", packed(flat).alias("mark")), "number"), anchor_block, dim, "marked-blocks")
-    found = _ranked(_multiplied(apart(second, blocks), second, blocks, n_chunks, _negatives(n_negatives, low, high, n_positives)), n_negatives, "negatives")
+    found = _ranked(_multiplied(second, blocks, _negatives(n_negatives, low, high, n_positives), n_negatives, stripes), n_negatives, "negatives")
     return found.select("anchor_id", "positive_id", "rank", F.col("other_id").alias("negative_id"), "positive_score", F.col("score").alias("negative_score"))
 
 
